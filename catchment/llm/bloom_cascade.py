@@ -52,20 +52,20 @@ def longest_rule(rules, what: int) -> Column:
 class Level:
     """One Bloom filter: bit i of word w is set if a key hashes to 64 w + i."""
 
-    def __init__(self, keys: DataFrame, count: int, rate: float, salt: int):
-        self.bits = 64 * max(1, math.ceil(-count * math.log(rate) / math.log(2) ** 2 / 64))
+    def __init__(self, keys: DataFrame, count: int, rate: float, salt: int, max_bits: int = 1 << 30):
+        self.bits = min(max_bits, 64 * max(1, math.ceil(-count * math.log(rate) / math.log(2) ** 2 / 64)))
         self.hashes, self.salt = max(1, round(-math.log2(rate))), salt
         at = keys.select(F.explode(F.array(*self.places())).alias("at"))
         words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
         words = dict(map(tuple, words.collect()))  # at most bits / 64 rows, bounded by max_keys
         self.words = [words.get(i, 0) for i in range(self.bits // 64)]
 
-    def places(self) -> list[Column]:
-        return [F.pmod(F.xxhash64("key", F.lit(64 * self.salt + i)), F.lit(self.bits)) for i in range(self.hashes)]
+    def places(self, key: Column | str = "key") -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(64 * self.salt + i)), F.lit(self.bits)) for i in range(self.hashes)]
 
-    def holds(self) -> Column:
+    def holds(self, key: Column | str = "key") -> Column:
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded into one literal by the optimiser
-        tests = [F.get(words, F.floor(p / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))) != 0 for p in self.places()]
+        tests = [F.get(words, F.floor(p / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))) != 0 for p in self.places(key)]
         held = tests[0]
         for t in tests[1:]:
             held = held & t

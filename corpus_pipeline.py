@@ -1,9 +1,50 @@
-"""A corpus pipeline over `documents` (under construction)."""
+"""A corpus pipeline over `documents`: language ID, line dedup, near-duplicate removal, decontamination, packing.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again for the
+next. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from catchment.llm import decontaminate, jaccard_join, langid, line_chunks, packing, shared
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of which no language makes up half, go."""
+    return langid.keep_identified(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated line chunks go, but for their first occurrence; documents of which nothing is left go."""
+    return line_chunks.dedup_lines(docs, shared.work_dir(spark, "pipeline-lines")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return jaccard_join.drop_near_duplicates(docs, shared.work_dir(spark, "pipeline-near"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or an edited copy of one, go."""
+    return decontaminate.drop_leaks(docs, shared.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, encoded and packed into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, shared.work_dir(spark, "pipeline-packing"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packed)]
+
+#: The stages use learned models, alignments and tokenizers, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, work = shared.table(spark, sf_dir, "documents"), shared.work_dir(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = shared.stash(stage(spark, docs, sf_dir), f"{work}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
