@@ -159,7 +159,7 @@ class Finder:
             yield batch.filter(pa.array([not some for some in found], pa.bool_()))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.6, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
     """FOUND: a row for each document and item whose alignment reaches the threshold."""
     out = docs.sparkSession.createDataFrame([], FOUND)
     for finder in finders(docs, benchmark, n, segment, threshold, min_words, max_bytes):
@@ -167,7 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int =
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.6, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
     """The rows of docs, all columns, in which no item is found."""
     out = docs
     for finder in finders(docs, benchmark, n, segment, threshold, min_words, max_bytes):
