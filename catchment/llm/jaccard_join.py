@@ -10,10 +10,11 @@ the bound allows are dropped (the Hamming distance never exceeds the difference)
 the whole sets.
 
 A key with few entities gives all its pairs. A larger one gives a star around its first entity, and its
-members are set down; after the stars are verified, members of keys that still hold two components are
-tried against further pivots until no pair of different components is left untried. So no link between
-different texts is lost, and no group's pairs are all made. Keys are combined before the shuffle: a batch
-sends one pivot of a large key, and its members go to tasks of their own.
+members are set down; after the stars are verified, the members of keys that still hold two components are
+compared by their sketches, in blocks of bounded size, and each pair of components hands on its closest
+pairs, more in each round, until it is linked or has no pair left. So no link between different texts is
+lost, and no group's pairs are all made. Keys are combined before the shuffle: a batch sends one pivot of
+a large key, and its members go to tasks of their own.
 
 Null text is empty. Rows that share a doc_id are separate documents; a null doc_id never names a
 component that has another. Set hashes have 64 bits; two sets with one hash stop the run.
@@ -22,7 +23,7 @@ component that has another. Set hashes have 64 bits; two sets with one hash stop
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchment.llm import bloom_cascade, shared, tokens
@@ -34,8 +35,8 @@ BYTES = np.random.default_rng(11).integers(1 << 63, size=256, dtype=np.uint64) *
 STEP = 0x9E3779B97F4A7C15 | 5
 SEGMENT = 1 << 20
 SKETCH_BITS = 2048
-SMALL_RUN = 8
-PIVOTS = 16
+SMALL_RUN = 32
+BLOCK = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -271,13 +272,13 @@ def doc_record(name, null, n, ent, check, found) -> bytes:
     return row.tobytes()
 
 
-def hamming(x: Column, y: Column) -> Column:
-    """Of two binary sketches: bits that differ, eight bytes at a time."""
-    total = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
-        word = lambda c: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")  # noqa: B023, E731
-        total = total + F.bit_count(word(x).bitwiseXOR(word(y)))
-    return total
+def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that differ, over the last axis of arrays of 64-bit words."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def sketch_words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
 def drop_near_duplicates(docs: DataFrame, work: str, **options) -> DataFrame:
@@ -303,7 +304,6 @@ class Join:
             raise ValueError("two sets share a 64-bit hash")
         self.pairs = found.where("kind = 1").select("a", "b").distinct()
         self.members = found.where("kind = 2").select("key", F.col("a").alias("entity"))
-        self.links = spark.createDataFrame([], "a long, b long")
         self.labels = spark.createDataFrame([], "entity long, comp long")
         self.run()
 
@@ -313,30 +313,72 @@ class Join:
 
     def run(self) -> None:
         near = self.near(self.pairs)
-        first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        self.verify(self.keep(first))
+        self.verify(self.keep(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
         self.verify(self.keep(self.apart(near)))
-        open_ = self.members
-        turn = 0
+        members, limit = self.members, 64
         while True:
-            named = self.name(open_, "entity")
-            split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-            open_ = self.keep(named.join(split, "key", "left_semi"))
-            if not open_.limit(1).count():
+            named = self.name(members, "entity")
+            split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
+            members = self.keep(named.join(split, "key").join(self.entities.select("entity", "n", "sketch"), "entity"))
+            if not members.limit(1).count():
                 return
-            turn += 1
-            pivots = self.keep(open_.groupBy("key", F.pmod(F.xxhash64("entity", F.lit(turn)), F.lit(PIVOTS)).alias("sub")).agg(F.min("entity").alias("pivot")).join(open_.select("key", F.col("entity").alias("pivot"), F.col("comp").alias("pivot_comp")), ["key", "pivot"]))
-            pairs = open_.join(pivots, "key").where("comp != pivot_comp").select(F.least("entity", "pivot").alias("a"), F.greatest("entity", "pivot").alias("b")).distinct()
-            self.verify(self.keep(self.near(pairs)))
-            open_ = open_.select("key", "entity").join(pivots.select("key", F.col("pivot").alias("entity")), ["key", "entity"], "left_anti")
+            found = self.keep(self.closest(members, limit))
+            self.verify(self.keep(found.select("a", "b").distinct()))
+            if not found.where("more").limit(1).count():
+                return
+            members, limit = members.select("key", "entity"), 8 * limit
+
+    def closest(self, members: DataFrame, limit: int) -> DataFrame:
+        """a, b, more: of each key, for each pair of its components, the `limit` closest pairs that may be links."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("entity"), blocks).cast("int")})
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", "entity", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        percent = self.percent
+
+        def test(frame):
+            import pyarrow as pa
+
+            ent, comp, n, block = (frame.column(c).to_numpy() for c in ("entity", "comp", "n", "block"))
+            words = sketch_words(frame.column("sketch"))
+            i, j = frame.column("i")[0].as_py(), frame.column("j")[0].as_py()
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            out = []
+            for at in left:
+                to = right[(comp[right] != comp[at]) & ((ent[right] > ent[at]) if i == j else True)]
+                to = to[100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at])]
+                bits = hamming(words[to], words[at])
+                good = bits * (100 + percent) <= (n[to] + n[at]) * (100 - percent)
+                out.append(np.stack([np.full(good.sum(), at), to[good], bits[good]], 1))
+            x, y, bits = np.concatenate(out).T if out else np.zeros((3, 0), np.int64)
+            low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+            order = np.lexsort((bits, high, low))
+            x, y, low, high = x[order], y[order], low[order], high[order]
+            first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(x) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate([first, [len(x)]]))
+            rank = np.arange(len(x)) - np.repeat(first, size)
+            take, more = rank < limit, np.repeat(size > limit, size)
+            a, b = np.minimum(ent[x], ent[y])[take], np.maximum(ent[x], ent[y])[take]
+            return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(more[take])], ["a", "b", "more"])
+
+        return rows.groupBy("key", "i", "j").applyInArrow(test, "a long, b long, more boolean")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Written pairs whose sizes and sketches allow a link."""
         a, b = (self.entities.select(F.col("entity").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-        both = pairs.join(a, "a").join(b, "b")
-        most = (F.col("n_a") + F.col("n_b")) * (100 - self.percent)  # of the difference, times 100 + percent
         sizes = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        return self.keep(both.where(sizes & (hamming(F.col("s_a"), F.col("s_b")) * (100 + self.percent) <= most)).select("a", "b"))
+        both = pairs.join(a, "a").join(b, "b").where(sizes)
+        percent = self.percent
+
+        def check(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                bits = hamming(sketch_words(batch.column("s_a")), sketch_words(batch.column("s_b")))
+                yield batch.filter(pa.array(bits * (100 + percent) <= n * (100 - percent))).select(["a", "b"])
+
+        return self.keep(both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(check, "a long, b long"))
 
     def name(self, df: DataFrame, column: str) -> DataFrame:
         names = self.labels.select(F.col("entity").alias(column), F.col("comp").alias("_comp"))
@@ -348,7 +390,7 @@ class Join:
         return self.name(left, "b").where("comp != comp_a").select("a", "b")
 
     def verify(self, pairs: DataFrame) -> None:
-        """Adds the pairs that reach the similarity to the links, and updates the components."""
+        """Merges the components of the pairs that reach the similarity."""
         wanted = self.entities.join(pairs.select(F.explode(F.array("a", "b")).alias("entity")), "entity", "left_semi").select(F.col("rep").alias("doc_id"))
         wanted = self.keep(wanted)
         count = wanted.count()
@@ -372,8 +414,12 @@ class Join:
         common = F.size(F.array_intersect("f_a", "f_b"))
         union = F.size("f_a") + F.size("f_b") - common
         linked = self.keep(both.where(100 * common >= self.percent * union).select("a", "b").distinct())
-        self.links = self.links.unionByName(linked)
-        self.labels = components(self.links, f"{self.work}/{self.step}-labels")
+        ends = self.name(linked, "a").withColumnRenamed("comp", "comp_a")
+        ends = self.name(ends, "b").select(F.col("comp_a").alias("a"), F.col("comp").alias("b")).where("a != b").distinct()
+        merged = components(ends, f"{self.work}/{self.step}-labels").select(F.col("entity").alias("comp"), F.col("comp").alias("to"))
+        old = self.labels.join(merged, "comp", "left").select("entity", F.coalesce("to", "comp").alias("comp"))
+        new = merged.join(self.labels.select(F.col("entity").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("entity"), F.col("to").alias("comp"))
+        self.labels = self.keep(old.unionByName(new))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
