@@ -34,7 +34,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTES = np.random.default_rng(11).integers(1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
 STEP = 0x9E3779B97F4A7C15 | 5
 SEGMENT = 1 << 20
-SKETCH_BITS = 2048
 SMALL_RUN = 32
 BLOCK = 2048
 
@@ -96,9 +95,24 @@ def entity(found: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.bitwise_xor.reduce(mix(found + U(c))).view(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
+def sketch_bits(size):
+    """Bits of a set's sketch: a power of two, at least twice its size. Works on arrays too."""
+    return 1 << np.maximum(6, np.ceil(np.log2(2.0 * np.maximum(size, 1))).astype(np.int64))
+
+
 def sketch(found: np.ndarray) -> bytes:
-    """Parity of the shingles at each of SKETCH_BITS bits."""
-    return np.packbits(np.bincount((found >> U(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS).astype(np.uint8) & 1).tobytes()
+    """Parity of the shingles at each bit; halving the bits by XOR gives the sketch of half the size."""
+    bits = int(sketch_bits(len(found)))
+    at = (found >> U(20)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def fold(words: np.ndarray, to: int) -> np.ndarray:
+    """Rows of 64-bit words brought down to `to` words."""
+    while words.shape[-1] > to:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
 
 
 def band(size: int) -> int:
@@ -133,17 +147,17 @@ def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(keys)]]))
 
 
-SHUFFLED = "bucket int, keys binary, entities binary, pivot_keys binary, pivots binary, big_keys binary, members binary, docs binary"
+SHUFFLED = "bucket int, keys binary, entities binary, pivot_keys binary, pivots binary, big_keys binary, members binary, docs binary, sketches binary"
 OUT = "kind int, key long, a long, b long, doc_id long, n int, entity long, extra long, sketch binary"
 
 
-def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 2_000_000) -> DataFrame:
+def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 1_000_000) -> DataFrame:
     """OUT: kind 0 the documents, 1 candidate pairs a < b, 2 members (a) of large keys."""
 
     def spread(batches):
         import pyarrow as pa
 
-        keys, ents, rows, held = [], [], [], 0
+        keys, ents, rows, sketches, held = [], [], [], [], 0
         flushed = 0
 
         def flush():
@@ -162,12 +176,12 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 2_00
             out = []
             for i in np.flatnonzero((np.diff(own_cut) > 0) | (np.diff(piv_cut) > 0)):
                 s, t = slice(own_cut[i], own_cut[i + 1]), slice(piv_cut[i], piv_cut[i + 1])
-                out.append((int(i), small(own_k[s]), own_e[s].tobytes(), small(piv_k[t]), piv_e[t].tobytes(), b"", b"", b""))
+                out.append((int(i), small(own_k[s]), own_e[s].tobytes(), small(piv_k[t]), piv_e[t].tobytes(), b"", b"", b"", b""))
             big_k, big_e = k[big], e[big]
             for i in range(0, len(big_k), 50_000):  # members of large keys go anywhere
-                out.append((spot(), b"", b"", b"", b"", big_k[i : i + 50_000].tobytes(), big_e[i : i + 50_000].tobytes(), b""))
+                out.append((spot(), b"", b"", b"", b"", big_k[i : i + 50_000].tobytes(), big_e[i : i + 50_000].tobytes(), b"", b""))
             for i in range(0, len(rows), 2_000):
-                out.append((spot(), b"", b"", b"", b"", b"", b"", b"".join(rows[i : i + 2_000])))
+                out.append((spot(), b"", b"", b"", b"", b"", b"", b"".join(rows[i : i + 2_000]), b"".join(sketches[i : i + 2_000])))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 0 else pa.binary()) for j, c in enumerate(zip(*out))], names) if out else None
 
         def dealt(k, e):
@@ -192,7 +206,8 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 2_00
             for text, name, null in zip(texts, names, missing):
                 found = shingles(text, width)
                 ent, check = entity(found) if len(found) else (0, 0)
-                rows.append(doc_record(name, null, len(found), ent, check, found))
+                rows.append(doc_record(name, null, len(found), ent, check))
+                sketches.append(sketch(found))
                 if len(found):
                     kept = part_keys(found)
                     keys.append(kept)
@@ -201,7 +216,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 2_00
                 if held >= batch_keys or len(rows) >= 50_000:
                     if (out := flush()) is not None:
                         yield out
-                    keys, ents, rows, held = [], [], [], 0
+                    keys, ents, rows, sketches, held = [], [], [], [], 0
         if (out := flush()) is not None:
             yield out
 
@@ -242,6 +257,8 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 2_00
         pairs = np.unique(np.stack([low, high], 1)[low != high], axis=0) if len(low) else np.zeros((0, 2), np.int64)
         members = np.unique(np.stack([member_key, member], 1), axis=0) if len(member) else np.zeros((0, 2), np.int64)
         docs_raw = np.frombuffer(b"".join(x for x in frame.column("docs").to_pylist() if x), DOC)
+        ends = np.cumsum(sketch_bits(docs_raw["n"]) // 8)
+        flat = b"".join(x for x in frame.column("sketches").to_pylist() if x)
         n, m, d = len(pairs), len(members), len(docs_raw)
         full = lambda kind, x, y, z: pa.concat_arrays([part if part is not None else pa.nulls(size, kind) for part, size in ((x, d), (y, n), (z, m))])
         longs, ints = pa.int64(), pa.int32()
@@ -255,7 +272,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 2_00
                 full(ints, pa.array(docs_raw["n"]), None, None),
                 full(longs, pa.array(docs_raw["entity"]), None, None),
                 full(longs, pa.array(docs_raw["extra"]), None, None),
-                full(pa.binary(), pa.array([x.tobytes() for x in docs_raw["sketch"]], pa.binary()), None, None),
+                full(pa.binary(), pa.array([flat[x:y] for x, y in zip(np.concatenate([[0], ends]).astype(int), ends)], pa.binary()), None, None),
             ],
             [c.split()[0] for c in OUT.split(", ")],
         )
@@ -263,13 +280,11 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 2_00
     return docs.select("doc_id", "text").mapInArrow(spread, SHUFFLED).groupBy("bucket").applyInArrow(meet, OUT)
 
 
-DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<i4"), ("entity", "<i8"), ("extra", "<i8"), ("sketch", "u1", SKETCH_BITS // 8)])
+DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<i4"), ("entity", "<i8"), ("extra", "<i8")])
 
 
-def doc_record(name, null, n, ent, check, found) -> bytes:
-    row = np.zeros(1, DOC)
-    row[0] = (name, null, n, ent, check, np.frombuffer(sketch(found), np.uint8))
-    return row.tobytes()
+def doc_record(name, null, n, ent, check) -> bytes:
+    return np.array([(name, null, n, ent, check)], DOC).tobytes()
 
 
 def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -277,8 +292,16 @@ def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def sketch_words(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Hamming distance of each pair of sketches, the longer one brought down to the shorter one's size."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)]).reshape(-1, 2)
+    for la, lb in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == la) & (sizes[:, 1] == lb))
+        x, y = (np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), -1) for side in (a, b))
+        to = min(la, lb) // 8
+        out[at] = hamming(fold(x, to), fold(y, to))
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, work: str, **options) -> DataFrame:
@@ -340,14 +363,22 @@ class Join:
             import pyarrow as pa
 
             ent, comp, n, block = (frame.column(c).to_numpy() for c in ("entity", "comp", "n", "block"))
-            words = sketch_words(frame.column("sketch"))
+            words = [np.frombuffer(x, np.uint64) for x in frame.column("sketch").to_pylist()]
+            width = np.array([len(w) for w in words])
+            levels = {int(v): np.zeros((len(words), v), np.uint64) for v in np.unique(width)}
+            for v, rows_of in levels.items():
+                for x in np.flatnonzero(width >= v):
+                    rows_of[x] = fold(words[x], v)
             i, j = frame.column("i")[0].as_py(), frame.column("j")[0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             out = []
             for at in left:
                 to = right[(comp[right] != comp[at]) & ((ent[right] > ent[at]) if i == j else True)]
                 to = to[100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at])]
-                bits = hamming(words[to], words[at])
+                bits = np.zeros(len(to), np.int64)
+                for v in np.unique(width[to]):
+                    some, low = width[to] == v, levels[int(min(v, width[at]))]
+                    bits[some] = hamming(low[to[some]], low[at])
                 good = bits * (100 + percent) <= (n[to] + n[at]) * (100 - percent)
                 out.append(np.stack([np.full(good.sum(), at), to[good], bits[good]], 1))
             x, y, bits = np.concatenate(out).T if out else np.zeros((3, 0), np.int64)
@@ -375,7 +406,7 @@ class Join:
 
             for batch in batches:
                 n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-                bits = hamming(sketch_words(batch.column("s_a")), sketch_words(batch.column("s_b")))
+                bits = distances(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist())
                 yield batch.filter(pa.array(bits * (100 + percent) <= n * (100 - percent))).select(["a", "b"])
 
         return self.keep(both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(check, "a long, b long"))
