@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from catchment.plans import grid_queries, grouped_queries, table_queries
+
+MODULES = (grid_queries, table_queries, grouped_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
