@@ -103,10 +103,10 @@ def confidence_overlap(spark, sf_dir):
 
 @query(f"""
 WITH v AS ({fx.votes_sql(4).format(lineitem="lineitem")}), p AS (SELECT grid_id, r, c, list_reverse_sort(list(w)) AS v, sum(w) / 300.0 AS t FROM v GROUP BY 1, 2, 3)
-SELECT grid_id, r, c, round(least(t / 4, 1.0) * (0.6 * v[1] / 300.0 / t + 0.4 * (v[1] - coalesce(v[2], 0)) / v[1]), 4) AS strength FROM p""")
+SELECT grid_id, r, c, round(least(t / 4, 1.0) * (0.6 * v[1] / 300.0 / t + 0.4 * (v[1] - coalesce(v[2], 0)) / v[1]) * pi(), 5) AS strength FROM p""")
 def vote_strength(spark, sf_dir):
     v = fx.votes(spark, sf_dir, 4).withColumn("w", F.col("w") / 300)
-    return raster.vote_strength(v).select("grid_id", "r", "c", F.round("strength", 4).alias("strength"))
+    return raster.vote_strength(v).select("grid_id", "r", "c", F.round(F.col("strength") * F.pi(), 5).alias("strength"))
 
 
 @query(f"""
