@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Items are cut into segments; the seed of a segment is its n-gram with the smallest document frequency in
-the whole corpus. A document that holds a seed is aligned with the item around it: local alignment of
-words (match +2, other -1, gap -1), scored against the item aligned with itself. A copy that keeps one
-seed of one segment is a candidate, however much it was edited elsewhere.
+Seeds of an item are its n-grams that occur in the corpus and are rare there: in at most one document in
+`rare_in`, or 20; and, for items that leaked often, the rarest n-gram of each segment of the item at any
+frequency. Frequencies are counted over all documents. A document that holds a seed is aligned with the
+item around it: local alignment of words (match +2, other -1, gap -1), scored against the item aligned
+with itself. A copy that keeps one rare n-gram is a candidate, however much it was edited elsewhere.
 
 The corpus is never shuffled: benchmark n-grams go to it. `max_bytes` bounds what is broadcast; a larger
 benchmark is cut into blocks, each against all documents.
@@ -83,12 +84,18 @@ class Finder:
         self.keys = sorted({g for _, w in items for g in grams(w, n)})
         self.seeds: dict[bytes, list[tuple[int, int]]] = {}
 
-    def choose(self, counts: dict[bytes, int]) -> None:
+    def choose(self, counts: dict[bytes, int], most: int) -> None:
+        """Seeds from the document frequencies of the n-grams; those in at most `most` documents are rare."""
         for k, (_, words) in enumerate(self.items):
             own = grams(words, self.n)
-            for low in range(0, len(own), self.segment):
-                at = min(range(low, min(low + self.segment, len(own))), key=lambda i: (counts.get(own[i], 0), own[i]))
-                self.seeds.setdefault(own[at], []).append((k, at))
+            seen = [i for i, g in enumerate(own) if counts.get(g)]
+            first = {}
+            for i in seen:
+                first.setdefault(i // self.segment, []).append(i)
+            rarest = {min(some, key=lambda i: (counts[own[i]], own[i])) for some in first.values()}
+            for i in seen:
+                if i in rarest or counts[own[i]] <= most:
+                    self.seeds.setdefault(own[i], []).append((k, i))
 
     def align(self, words: list[bytes], line: str, hits) -> list[tuple]:
         """(item number, score, first word, last word, seeds) of the items found in a document."""
@@ -124,7 +131,7 @@ class Finder:
 
 
     def lines(self, batch):
-        for text in tokens.utf8(batch.column(batch.schema.get_field_index("text"))):
+        for text in tokens.each(batch.column(batch.schema.get_field_index("text"))):
             words = words_of(text)
             yield words, (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
 
@@ -139,9 +146,9 @@ class Finder:
 
     def leaks(self, batches):
         """Each batch with the found items of each of its rows."""
-        machine = automaton(self.seeds)
+        machine = automaton(self.seeds) if self.seeds else None
         for batch in batches:
-            yield batch, [self.align(words, line, hits) if (hits := list(machine.iter(line))) else [] for words, line in self.lines(batch)]
+            yield batch, [self.align(words, line, hits) if machine and (hits := list(machine.iter(line))) else [] for words, line in self.lines(batch)]
 
     def find(self, batches):
         import pyarrow as pa
@@ -159,23 +166,23 @@ class Finder:
             yield batch.filter(pa.array([not some for some in found], pa.bool_()))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000, rare_in: int = 1000) -> DataFrame:
     """FOUND: a row for each document and item whose alignment reaches the threshold."""
     out = docs.sparkSession.createDataFrame([], FOUND)
-    for finder in finders(docs, benchmark, n, segment, threshold, min_words, max_bytes):
+    for finder in finders(docs, benchmark, n, segment, threshold, min_words, max_bytes, rare_in):
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(finder.find, FOUND))
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000, rare_in: int = 1000) -> DataFrame:
     """The rows of docs, all columns, in which no item is found."""
     out = docs
-    for finder in finders(docs, benchmark, n, segment, threshold, min_words, max_bytes):
+    for finder in finders(docs, benchmark, n, segment, threshold, min_words, max_bytes, rare_in):
         out = out.mapInArrow(finder.drop, docs.schema)
     return out
 
 
-def finders(docs: DataFrame, benchmark: DataFrame, n: int, segment: int, threshold: float, min_words: int, max_bytes: int):
+def finders(docs: DataFrame, benchmark: DataFrame, n: int, segment: int, threshold: float, min_words: int, max_bytes: int, rare_in: int):
     """A Finder with its seeds for each block of the benchmark."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -187,7 +194,7 @@ def finders(docs: DataFrame, benchmark: DataFrame, n: int, segment: int, thresho
             finder = Finder(held, n, segment, threshold)
             # document frequency of the block's n-grams: as many rows as the block has
             rows = docs.select("text").mapInArrow(finder.count, "gram binary, n long").groupBy("gram").agg(F.sum("n")).collect()
-            finder.choose({bytes(g): c for g, c in rows})
+            finder.choose({bytes(g): c for g, c in rows}, max(20, docs.count() // rare_in))
             yield finder
 
 

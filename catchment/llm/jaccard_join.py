@@ -33,7 +33,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTES = np.random.default_rng(11).integers(1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
 STEP = 0x9E3779B97F4A7C15 | 5
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 SMALL_RUN = 32
 BLOCK = 2048
 
@@ -151,7 +151,7 @@ SHUFFLED = "bucket int, keys binary, entities binary, pivot_keys binary, pivots
 OUT = "kind int, key long, a long, b long, doc_id long, n int, entity long, extra long, sketch binary"
 
 
-def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 1_000_000) -> DataFrame:
+def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 500_000) -> DataFrame:
     """OUT: kind 0 the documents, 1 candidate pairs a < b, 2 members (a) of large keys."""
 
     def spread(batches):
@@ -199,8 +199,9 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 1_00
             return (flushed * 40503 + seed) % buckets
 
         seed = 0
+        tokens.forget()
         for batch in batches:
-            texts, names = tokens.utf8(batch.column("text")), batch.column("doc_id")
+            texts, names = tokens.each(batch.column("text")), batch.column("doc_id")
             missing, names = names.is_null().to_pylist(), names.fill_null(0).to_pylist()
             seed = seed or int(batch.num_rows) * 7919 + (names[0] if names else 0)
             for text, name, null in zip(texts, names, missing):
@@ -213,12 +214,14 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 1_00
                     keys.append(kept)
                     ents.append(np.full(len(kept), ent, np.int64).view(U))
                     held += len(kept)
-                if held >= batch_keys or len(rows) >= 50_000:
+                if held >= batch_keys or len(rows) >= 20_000:
                     if (out := flush()) is not None:
                         yield out
                     keys, ents, rows, sketches, held = [], [], [], [], 0
         if (out := flush()) is not None:
             yield out
+        keys, ents, rows, sketches = [], [], [], []
+        tokens.forget()
 
     def meet(frame):
         import pyarrow as pa
@@ -434,9 +437,8 @@ class Join:
             import pyarrow as pa
 
             for batch in batches:
-                texts = tokens.utf8(batch.column("text"))
-                for low, high in tokens.runs(texts, 2_000_000):
-                    found = [s for s in (shingles(t, width) for t in texts[low:high]) if len(s)]
+                for low in range(0, batch.num_rows, 256):
+                    found = [s for s in (shingles(t, width) for t in tokens.each(batch.column("text").slice(low, 256))) if len(s)]
                     yield pa.RecordBatch.from_arrays([pa.array([entity(s)[0] for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["entity", "found"])
 
         held = self.docs.where(known.holds("doc_id")).mapInArrow(sets, "entity long, found array<long>")

@@ -114,7 +114,7 @@ def identify(docs: DataFrame, held_out, **options) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("langs", pa.string())])
         for batch in batches:
             out = []
-            for text in tokens.utf8(batch.column("text")):
+            for text in tokens.each(batch.column("text")):
                 text = text.decode("utf-8", "replace")
                 if not model.langs or not LETTER.search(text):
                     out.append(("und", 0.0, ""))
@@ -135,7 +135,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame
         import pyarrow as pa
 
         for batch in batches:
-            texts = [t.decode("utf-8", "replace") for t in tokens.utf8(batch.column(batch.schema.get_field_index("text")))]
+            texts = (t.decode("utf-8", "replace") for t in tokens.each(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array([bool(model.langs and LETTER.search(t)) and model.infer(t)[1] >= least for t in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -84,7 +84,7 @@ def block_counts(docs: DataFrame, vocabulary: frozenset) -> dict[str, int]:
 
         seen: dict[bytes, int] = {}
         for batch in batches:
-            for text in tokens.utf8(batch.column("text")):
+            for text in tokens.each(batch.column("text")):
                 low = text.lower()
                 if vocabulary.isdisjoint(WORD.findall(low)):
                     continue
@@ -111,7 +111,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for n, k in (c.split() for c in ROW.split(", "))])
         for batch in batches:
             rows = []
-            for name, text in zip(batch.column("doc_id").to_pylist(), tokens.utf8(batch.column("text"))):
+            for name, text in zip(batch.column("doc_id").to_pylist(), tokens.each(batch.column("text"))):
                 low = text.lower()  # bytes: A-Z only
                 words = WORD.findall(low)
                 all_words = set(words)

@@ -50,6 +50,23 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def each(column, size: int = 256):
+    """The same one after the other, a few at a time as Python objects."""
+    for at in range(0, len(column), size):
+        yield from utf8(column.slice(at, size))
+
+
+def forget() -> None:
+    """Frees what earlier tasks left in this worker: encoders and memory held by the allocators."""
+    import ctypes
+
+    import pyarrow as pa
+
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(texts: list[bytes], most: int = 4_000_000):
     """Index ranges of at most `most` bytes (or one text), to bound the memory of a batch."""
     low = size = 0
