@@ -39,7 +39,9 @@ class DigestIndex:
     def add(self, docs: DataFrame) -> None:
         """Appends the digests that the index lacks. Aggregation combines copies before its shuffle."""
         groups = docs.select("doc_id", digest()).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        # a sort-merge anti-join; written as left_anti, the optimiser would push it below the aggregate and shuffle every copy
+        known = self.read().select(F.col("digest").alias("known"))
+        new = groups.join(known.hint("merge"), F.col("digest") == F.col("known"), "left").where("known IS NULL")
         new.select("digest", "keep_id", "group_size").write.insertInto(self.name)
 
     def resolve(self, docs: DataFrame) -> DataFrame:
