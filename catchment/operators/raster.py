@@ -60,25 +60,46 @@ def segment_paths(segments: DataFrame, rows: int, cols, box) -> DataFrame:
     return ends.withColumn("path", path).drop("_r0", "_c0", "_r1", "_c1")
 
 
-def path_steps(paths: DataFrame) -> DataFrame:
-    """One row for each step of a path (r, c, d, k) and one with terminal = true for its last cell."""
-    last = F.size("path") - 1
-    k = F.sequence(F.lit(0), last)
-    rows = paths.where(F.size("path") > 1).select("*", F.explode(k).alias("k"))
-    here, to = F.get("path", F.col("k")), F.get("path", F.col("k") + 1)
-    before = F.get("path", F.col("k") - 1)
-    end = F.col("k") == last
-    src, dst = F.when(end, before).otherwise(here), F.when(end, here).otherwise(to)
-    code = directions.axis_code(dst["r"] - src["r"], dst["c"] - src["c"])
-    return rows.select("*", here["r"].alias("r"), here["c"].alias("c"), code.alias("d"), end.alias("terminal")).where("d > 0")
-
-
-def segment_votes(paths: DataFrame) -> DataFrame:
+def segment_steps(segments: DataFrame, rows: int, cols, box) -> DataFrame:
+    """One row for each step of the segments' cell paths (r, c, d) and one with terminal = true for each last cell.
+
+    No path is built: place k of a line and the bridge behind it follow from k alone, so all of it is plain
+    arithmetic on an exploded k. `steps` is the whole path's number of steps (longer axis plus diagonals).
+    """
+    r0, c0 = geometry.cell_of(F.col("x0"), F.col("y0"), rows, cols, box)
+    r1, c1 = geometry.cell_of(F.col("x1"), F.col("y1"), rows, cols, box)
+    ends = segments.select("*", r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
+    dr, dc = F.abs(F.col("r1") - F.col("r0")), F.abs(F.col("c1") - F.col("c0"))
+    sign = lambda v: F.when(v > 0, 1).when(v < 0, -1).otherwise(0)
+    ends = ends.select("*", F.greatest(dr, dc).alias("big"), F.least(dr, dc).alias("small"), (dc >= dr).alias("wide"), sign(F.col("r1") - F.col("r0")).alias("sr"), sign(F.col("c1") - F.col("c0")).alias("sc"))
+    ends = ends.where("big > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("big"))).alias("k"))
+    minor = lambda k: F.expr(f"cast((2 * ({k}) * small + big - 1) div (2 * big) as int)")
+    at = ends.select("*", minor("k").alias("m"), minor("k + 1").alias("m1"), minor("k - 1").alias("m0"))
+    row = lambda k, m: F.col("r0") + F.col("sr") * F.when(F.col("wide"), m).otherwise(k)
+    col = lambda k, m: F.col("c0") + F.col("sc") * F.when(F.col("wide"), k).otherwise(m)
+    k, m = F.col("k"), F.col("m")
+    at = at.select("*", row(k, m).alias("r"), col(k, m).alias("c"), row(k + 1, F.col("m1")).alias("nr"), col(k + 1, F.col("m1")).alias("nc"))
+    r, c, nr, nc = (F.col(x) for x in ("r", "c", "nr", "nc"))
+    flat, last = F.abs(F.col("x1") - F.col("x0")) >= F.abs(F.col("y1") - F.col("y0")), k == F.col("big")
+    bridged = (r != nr) & (c != nc)
+    across, down = F.when(F.col("sc") > 0, 1).otherwise(3), F.when(F.col("sr") > 0, 2).otherwise(4)
+    straight = F.when(c != nc, across).otherwise(down)
+    # the last cell takes the last step's code: behind a bridge, the second half's
+    before_bridged = m != F.col("m0")
+    final = F.when(before_bridged, F.when(flat, down).otherwise(across)).otherwise(F.when(F.col("wide"), across).otherwise(down))
+    step = lambda rr, cc, d, t: F.struct(rr.alias("r"), cc.alias("c"), d.alias("d"), F.lit(t).alias("terminal"))
+    one = F.when(last, step(r, c, final, True)).otherwise(step(r, c, F.when(bridged, F.when(flat, across).otherwise(down)).otherwise(straight), False))
+    two = F.when(~last & bridged, step(F.when(flat, r).otherwise(nr), F.when(flat, nc).otherwise(c), F.when(flat, down).otherwise(across), False))
+    out = at.select(*segments.columns, (F.col("big") + F.col("small")).alias("steps"), F.explode(F.array(one, two)).alias("s")).where("s IS NOT NULL")
+    return out.select(*segments.columns, "steps", "s.*")
+
+
+def segment_votes(segments: DataFrame, rows: int, cols, box) -> DataFrame:
     """Each step votes on its source cell with max(length / steps, 1), the last cell gets 0.35 of that."""
+    steps = segment_steps(segments, rows, cols, box)
     length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    weight = F.greatest(length / F.greatest(F.size("path") - 1, F.lit(1)), F.lit(1.0))
-    steps = path_steps(paths.withColumn("weight", weight))
-    w = F.rint(F.when(F.col("terminal"), F.col("weight") * 0.35).otherwise(F.col("weight")) * 1e6).cast("long")
+    weight = F.greatest(length / F.col("steps"), F.lit(1.0))
+    w = F.rint(F.when(F.col("terminal"), weight * 0.35).otherwise(weight) * 1e6).cast("long")
     return steps.select("grid_id", "r", "c", "d", w.alias("w")).groupBy("grid_id", "r", "c", "d").agg(F.sum("w").alias("w"))
 
 
@@ -107,7 +128,7 @@ def vote_strength(votes: DataFrame) -> DataFrame:
 
 def rasterise(segments: DataFrame, rows: int, cols, box) -> DataFrame:
     """Flagship: segments to cells (grid_id, r, c, d)."""
-    return argmax(segment_votes(segment_paths(oriented(segments), rows, cols, box)))
+    return argmax(segment_votes(oriented(segments), rows, cols, box))
 
 
 def slope_cells(segments: DataFrame, rows: int, cols, box, unit: str = "meter", factor: float | None = None) -> DataFrame:

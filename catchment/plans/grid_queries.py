@@ -73,7 +73,8 @@ def line_cells(spark, sf_dir):
 
 @query(f"WITH {VOTES} SELECT grid_id, r, c, d, round(w / 1e6, 3) AS w FROM seg_votes")
 def raster_votes(spark, sf_dir):
-    return raster.segment_votes(_paths(spark, sf_dir)).select("grid_id", "r", "c", "d", F.round(F.col("w") / 1e6, 3).alias("w"))
+    s = fx.segments(spark, sf_dir)
+    return raster.segment_votes(raster.oriented(s), fx.ROWS, fx.COLS, fx.extent(s)).select("grid_id", "r", "c", "d", F.round(F.col("w") / 1e6, 3).alias("w"))
 
 
 @query(f"WITH {VOTES} SELECT grid_id, r, c, CAST(arg_max(d, w * 10 - d) AS INT) AS d FROM seg_votes GROUP BY 1, 2, 3")
