@@ -14,7 +14,7 @@ from .conftest import prose
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     item = prose(rng, 40, 40)
-    near = prose(rng, 120).split(" ")
+    near = prose(rng, 120, 120).split(" ")  # one line, so that line dedup leaves the copies
     rows = [(i, prose(rng, 90), "en", "s", 1) for i in range(40)]
     rows += [(50 + i, " ".join([*near[:-1], f"end{i}"]), "en", "s", 1) for i in range(5)]
     rows += [(70, prose(rng, 40) + "\n" + item, "en", "s", 1), (80, None, None, None, None), (81, "123", "en", "s", 3)]
