@@ -139,3 +139,36 @@ def override(cells: DataFrame, fill: float = 0.6, relabel: float = 0.7, clear: f
     )
     out = cells.withColumn("rule", rule)
     return out.withColumn("d", F.when(F.col("rule").isin("filled", "relabelled", "cleared"), F.col("best")).otherwise(F.col("d")))
+
+
+def train_network(samples: DataFrame, hidden: tuple[int, ...] = (64, 32), classes: int = 5, seed: int = 42, rounds: int = 60):
+    """A fitted multilayer perceptron on x (standardise first); use it where `coverage` says network."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rows = samples.select(array_to_vector(F.transform("x", lambda v: v.cast("double"))).alias("features"), F.col("label").cast("double").alias("label"))
+    width = len(rows.first().features)
+    return MultilayerPerceptronClassifier(layers=[width, *hidden, classes], maxIter=rounds, seed=seed).fit(rows)
+
+
+def predict_network(model, samples: DataFrame) -> DataFrame:
+    """sample_id, best, p of each sample."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = samples.select("sample_id", array_to_vector(F.transform("x", lambda v: v.cast("double"))).alias("features"))
+    out = model.transform(rows).withColumn("probs", vector_to_array("probability"))
+    return out.select("sample_id", F.col("prediction").cast("int").alias("best"), F.array_max("probs").alias("p"))
+
+
+def reliable_context(anchors: DataFrame, cells: DataFrame, radius: int = 2, zeros: int = 2, directed: int = 2) -> DataFrame:
+    """Trusted neighbours of corrected cells: at most two empty and two directed ones an anchor, the best score of each cell.
+
+    anchors: grid_id, r, c; cells: grid_id, r, c, d, score.
+    """
+    step = F.sequence(F.lit(-radius), F.lit(radius))
+    near = anchors.select("grid_id", F.col("r").alias("ar"), F.col("c").alias("ac")).withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).where("dr <> 0 OR dc <> 0")
+    near = near.select("grid_id", "ar", "ac", (F.col("ar") + F.col("dr")).alias("r"), (F.col("ac") + F.col("dc")).alias("c"))
+    found = near.join(cells, CELL).join(anchors.select(*CELL), CELL, "left_anti")
+    w = Window.partitionBy("grid_id", "ar", "ac", F.col("d") > 0).orderBy(F.desc("score"), "r", "c")
+    kept = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("d") > 0, directed).otherwise(zeros))
+    return kept.groupBy(*CELL).agg(F.max_by("d", "score").alias("d"), F.max("score").alias("score"))

@@ -177,3 +177,35 @@ def resolve_directions(votes: DataFrame, transitions: DataFrame, cells: DataFram
     objects = F.coalesce("objects", F.lit(0))
     score = t * (1.35 + 0.2 * F.least(objects, F.lit(3))) + 0.85 * F.col("w") + 0.2 * axis - F.when((objects > 1) & (t <= 1e-6), 0.35).otherwise(0.0)
     return joined.groupBy(*CELL).agg(F.max_by("d", F.struct(score, t, "w", axis, -F.col("d"))).alias("d"))
+
+
+def traversal(x0: Column, y0: Column, x1: Column, y1: Column, w: float, h: float) -> Column:
+    """Array of (r, c) of the grid cells that a segment in pixels passes, in order, four-connected.
+
+    The places where it crosses columns and rows are two sequences; sorted (a column first where both meet), each
+    crossing moves on by one cell.
+    """
+    c0, c1, r0, r1 = (F.floor(v / s).cast("int") for v, s in ((x0, w), (x1, w), (y0, h), (y1, h)))
+
+    def crossings(a: Column, b: Column, lo: Column, hi: Column, size: float, axis: int) -> Column:
+        n = F.abs(hi - lo)
+        k = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        line = lambda i: F.when(hi > lo, (lo + i) * size).otherwise((lo - i + 1) * size)
+        return F.transform(k, lambda i: F.struct(F.coalesce(F.try_divide(line(i) - a, b - a), F.lit(0.0)).alias("t"), F.lit(axis).alias("axis")))
+
+    moves = F.array_sort(F.concat(crossings(x0, x1, c0, c1, w, 0), crossings(y0, y1, r0, r1, h, 1)))
+    sc, sr = F.when(c1 >= c0, 1).otherwise(-1), F.when(r1 >= r0, 1).otherwise(-1)
+    start = F.array(F.struct(r0.alias("r"), c0.alias("c")))
+    step = lambda path, m: F.concat(path, F.array(F.struct((F.element_at(path, -1)["r"] + F.when(m["axis"] == 1, sr).otherwise(0)).alias("r"), (F.element_at(path, -1)["c"] + F.when(m["axis"] == 0, sc).otherwise(0)).alias("c"))))
+    return F.aggregate(moves, start, step)
+
+
+def fallback_votes(links: DataFrame, votes: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Votes of 0.5 for cells without any, from the mean direction of their line pixels' neighbours.
+
+    links: image_id, x, y, nx, ny (a pixel and its neighbour), height, width.
+    """
+    r, c = F.floor(F.col("y") * rows / F.col("height")).cast("int"), F.floor(F.col("x") * cols / F.col("width")).cast("int")
+    sums = links.groupBy(F.col("image_id").alias("grid_id"), r.alias("r"), c.alias("c")).agg(F.sum(F.col("nx") - F.col("x")).alias("dx"), F.sum(F.col("ny") - F.col("y")).alias("dy"))
+    code = directions.dominant_code(F.col("dy"), F.col("dx"))
+    return sums.join(votes.select(*CELL).distinct(), CELL, "left_anti").select(*CELL, code.alias("d"), F.lit(0.5).alias("w")).where("d > 0")
