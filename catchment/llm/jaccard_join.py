@@ -350,12 +350,14 @@ class Join:
                 return
             found = self.keep(self.closest(members, limit))
             self.verify(self.keep(found.select("a", "b").distinct()))
-            if not found.where("more").limit(1).count():
+            # a key without more has had all its pairs verified
+            again = self.keep(found.where("more").select("key").distinct())
+            if not again.limit(1).count():
                 return
-            members, limit = members.select("key", "entity"), 8 * limit
+            members, limit = members.select("key", "entity").join(again, "key", "left_semi"), 8 * limit
 
     def closest(self, members: DataFrame, limit: int) -> DataFrame:
-        """a, b, more: of each key, for each pair of its components, the `limit` closest pairs that may be links."""
+        """key, a, b, more: of each key, for each pair of its components, the `limit` closest pairs that may be links."""
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("entity"), blocks).cast("int")})
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -393,9 +395,10 @@ class Join:
             rank = np.arange(len(x)) - np.repeat(first, size)
             take, more = rank < limit, np.repeat(size > limit, size)
             a, b = np.minimum(ent[x], ent[y])[take], np.maximum(ent[x], ent[y])[take]
-            return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(more[take])], ["a", "b", "more"])
+            names = np.full(len(a), frame.column("key")[0].as_py(), np.int64)
+            return pa.Table.from_arrays([pa.array(names), pa.array(a), pa.array(b), pa.array(more[take])], ["key", "a", "b", "more"])
 
-        return rows.groupBy("key", "i", "j").applyInArrow(test, "a long, b long, more boolean")
+        return rows.groupBy("key", "i", "j").applyInArrow(test, "key long, a long, b long, more boolean")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Written pairs whose sizes and sketches allow a link."""
