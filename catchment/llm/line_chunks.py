@@ -1,17 +1,24 @@
-"""Line dedup: content-defined chunks of lines, repeated chunks removed after a byte comparison.
+"""Line dedup: repeated passages of lines removed after a byte comparison.
+
+With `pairs` (the query and the pipeline's stage) the units are all pairs of neighbouring lines, and lines of
+`long_words` words or more. Each pair of a repeated passage is repeated too, wherever the passage stands and
+whatever surrounds it, so every line of a passage of two lines or more goes. The first occurrence of a line
+in the corpus always stays: a unit that goes has an equal one before it. Without `pairs` the units are chunks:
 
 Lines are hashed; a rolling hash over each line and the one before it ends a chunk after about one line in
 `one_in`, wherever the lines stand, so an inserted line moves only the boundaries next to it. A line of
 `long_words` words or more is a chunk of its own. Chunks of two lines or more, and long lines, that occur
-again anywhere in the corpus are compared byte for byte with their first occurrence (smallest doc_id, then
-place) and removed if equal; single short lines stay. Built-in expressions only.
+again anywhere in the corpus are removed; a passage loses only the chunks that lie wholly inside it.
+
+Either way units are compared byte for byte with their first occurrence (smallest doc_id, then place) and
+removed if equal; single short lines stay. Built-in expressions only.
 
-Whole texts cross the network once, to meet the lists of removed chunks. Chunk texts go only if a bounded
-Bloom filter holds their hash. Hashes with a thousandth of all chunks or more are salted.
+Whole texts cross the network once, to meet the lists of removed lines. Texts of units go only if a bounded
+Bloom filter holds their hash. Hashes with a thousandth of all units or more are salted.
 
-Null and empty texts have no chunk and stay as they are; a document of which nothing is left goes. Rows
-that share doc_id and text are one document: they keep or lose a chunk together. A null doc_id comes
-first in order. Two different chunks with one 64-bit hash are both kept. Other columns pass through,
+Null and empty texts have no unit and stay as they are; a document of which nothing is left goes. Rows
+that share doc_id and text are one document: they keep or lose a unit together. A null doc_id comes
+first in order. Two different units with one 64-bit hash are both kept. Other columns pass through,
 n_chars (if present) follows the new text.
 """
 
@@ -47,14 +54,40 @@ def with_chunks(docs: DataFrame, one_in: int, long_words: int) -> DataFrame:
     return cut.withColumn("chunks", F.when(F.octet_length("text") > 0, chunks).otherwise(F.filter(chunks, lambda c: F.lit(False)))).drop("marks", "ends")
 
 
+def with_pairs(docs: DataFrame, long_words: int) -> DataFrame:
+    """Adds lines, and chunks [first, count, key] of all pairs of neighbouring lines and of all long lines."""
+    lines = docs.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    marks = lines.withColumn("marks", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.regexp_count(x, F.lit(r"\S+")) >= long_words).alias("long"))))
+
+    def unit(i: Column, count: int) -> Column:
+        hashes = [F.get(F.col("marks"), i + k)["h"] for k in range(count)]
+        return F.struct(i.alias("first"), F.lit(count).alias("count"), F.xxhash64(*hashes).alias("key"))
+
+    places = F.sequence(F.lit(0), F.size("marks") - 1)
+    pairs = F.transform(F.filter(places, lambda i: i + 1 < F.size("marks")), lambda i: unit(i, 2))
+    longs = F.transform(F.filter(places, lambda i: F.get(F.col("marks"), i)["long"]), lambda i: unit(i, 1))
+    units = F.concat(pairs, longs)
+    return marks.withColumn("chunks", F.when(F.octet_length("text") > 0, units).otherwise(F.filter(units, lambda c: F.lit(False)))).drop("marks")
+
+
+def runs(gone: DataFrame) -> DataFrame:
+    """gone with overlapping and touching [first, count] merged."""
+    at = F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["first"] + g["count"] - 1)))
+    gone = gone.withColumn("at", F.array_sort(F.array_distinct(at)))
+    starts = F.filter("at", lambda x, k: F.coalesce(F.get(F.col("at"), k - 1) != x - 1, F.lit(True)))
+    ends = F.filter("at", lambda x, k: F.coalesce(F.get(F.col("at"), k + 1) != x + 1, F.lit(True)))
+    return gone.withColumn("gone", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("count")))).drop("at")
+
+
 def joined(lines: Column, first: Column, count: Column) -> Column:
     return F.array_join(F.slice(lines, first + 1, count), "\n")
 
 
-def removals(docs: DataFrame, work: str, one_in: int, long_words: int) -> DataFrame:
+def removals(docs: DataFrame, work: str, one_in: int, long_words: int, pairs: bool = False) -> DataFrame:
     """doc_id, text_hash, gone = sorted list of the removed [first, count], for the documents that lose some."""
     spark = docs.sparkSession
-    cut = with_chunks(docs.select("doc_id", "text"), one_in, long_words).withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.select("doc_id", "text")
+    cut = (with_pairs(docs, long_words) if pairs else with_chunks(docs, one_in, long_words)).withColumn("text_hash", F.xxhash64("text"))
     place = F.struct("doc_id", "text_hash", "chunk.first").alias("place")
     # explode_outer: for explode the optimiser infers a filter and copies the whole expression below every projection
     rows = cut.select("doc_id", "text_hash", F.explode_outer("chunks").alias("chunk")).where("chunk IS NOT NULL")
@@ -71,12 +104,13 @@ def removals(docs: DataFrame, work: str, one_in: int, long_words: int) -> DataFr
     salts = shared.width(spark)
     same = shared.salted_join(texts, firsts, "key", hot, F.xxhash64("place"), salts).where("place != first_place AND bytes = first_bytes")
     gone = same.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash"))
-    return gone.agg(F.array_sort(F.collect_set(F.struct(F.col("place.first").alias("first"), "count"))).alias("gone"))
+    gone = gone.agg(F.array_sort(F.collect_set(F.struct(F.col("place.first").alias("first"), "count"))).alias("gone"))
+    return runs(gone) if pairs else gone
 
 
-def dedup_lines(docs: DataFrame, work: str, one_in: int = 3, long_words: int = 50) -> DataFrame:
-    """docs with repeated chunks removed and the number of removed lines in removed_lines (a column of that name is replaced)."""
-    gone = removals(docs, work, one_in, long_words)
+def dedup_lines(docs: DataFrame, work: str, one_in: int = 3, long_words: int = 50, pairs: bool = False) -> DataFrame:
+    """docs with repeated units removed and the number of removed lines in removed_lines (a column of that name is replaced)."""
+    gone = removals(docs, work, one_in, long_words, pairs)
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash"))
     same = F.col("hash").eqNullSafe(F.col("text_hash")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
     rows = rows.join(gone, same, "left").select("row", "gone", F.split("row.text", "\n", -1).alias("lines"))
@@ -100,4 +134,4 @@ def dedup_lines(docs: DataFrame, work: str, one_in: int = 3, long_words: int = 5
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, shared.work_dir(spark, "line-chunks"))
+    return dedup_lines(docs, shared.work_dir(spark, "line-chunks"), pairs=True)

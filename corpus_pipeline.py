@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go, but for their first occurrence; documents of which nothing is left go."""
-    return line_chunks.dedup_lines(docs, shared.work_dir(spark, "pipeline-lines")).select(*docs.columns)
+    """Repeated passages of lines go, but for their first occurrence; documents of which nothing is left go."""
+    return line_chunks.dedup_lines(docs, shared.work_dir(spark, "pipeline-lines"), pairs=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

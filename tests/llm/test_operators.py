@@ -185,6 +185,40 @@ def test_line_chunks(spark, work):
     assert len(kept) == 1
 
 
+def test_repeated_passages_go_whole(spark, work, tmp_path):
+    """Passages of 2 to 6 short lines in different contexts, and one long line, against all pairs of neighbouring lines."""
+    rng = random.Random(21)
+    passages = [prose(rng, 9 * n, 9) for n in (2, 3, 4, 5, 6)] + [prose(rng, 60, 60)]
+    single = "one short line that many documents hold"
+    rows = []
+    for i in range(36):
+        own = [prose(rng, rng.randint(9, 50), 8) + f" {i} {k}" for k in range(2)]
+        rows.append((i, "\n".join([own[0], passages[i % 6], own[1] + f"\n{single}\nend {i}"])))
+    rows += [(40, "x\nx\nx\nx"), (41, passages[0]), (42, None), (43, ""), (44, single), (None, f"new\n{passages[4]}"), rows[7]]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3))
+    got = Counter((x.doc_id, x.text, x.n_chars, x.removed_lines) for x in line_chunks.dedup_lines(docs, work, pairs=True).collect())
+    seen, out = set(), Counter()
+    for (i, t), n in sorted(Counter(rows).items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1] or "")):
+        lines, gone = (t or "").split("\n"), set()
+        units = [(k, k + 2) for k in range(len(lines) - 1)] + [(k, k + 1) for k, x in enumerate(lines) if len(x.split()) >= 50]
+        for a, b in units if t else []:
+            if tuple(lines[a:b]) in seen:
+                gone |= set(range(a, b))
+            seen.add(tuple(lines[a:b]))
+        left = [x for k, x in enumerate(lines) if k not in gone]
+        new = "\n".join(left) if gone else t
+        if left:
+            out[i, new, None if new is None else len(new), len(gone)] = n
+    assert got == out
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    query = line_chunks.op4_line_chunks(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.text, x.removed_lines) for x in query) == Counter((i, t, n) for i, t, _, n in got.elements())
+    texts = [t for _, t, _, _ in got.elements() if t]
+    for p in passages:  # no line of a passage is left but in its first occurrence
+        assert all(sum(line in t.split("\n") for t in texts) == 1 for line in p.split("\n"))
+    assert sum(single in t.split("\n") for t in texts) == 38 and (40, "x", 1, 3) in got
+
+
 # 5 decontamination
 
 def test_alignment_matches_plain_recurrence():
