@@ -1,8 +1,9 @@
 """Graph operators against hand cases and naive walks."""
 
 import random
-from collections import deque
+from collections import Counter, deque
 
+import numpy as np
 import pytest
 
 from catchment.operators import correction, graph
@@ -171,3 +172,66 @@ def test_empty_grid(spark):
     assert graph.trace(none).count() == 0
     assert graph.flowlines(none).count() == 0
     assert graph.components(none).count() == 0
+
+
+def brute_states(before, after, outlets):
+    """State of each cell of a repaired grid, by following its flow."""
+    states = {}
+    for at in after:
+        here, seen = at, set()
+        while here in after and here not in outlets and here not in seen:
+            seen.add(here)
+            dr, dc = {1: (0, 1), 2: (1, 0), 3: (0, -1), 4: (-1, 0)}[after[here]]
+            here = (here[0] + dr, here[1] + dc)
+        states[at] = "unresolved" if here not in outlets else "kept" if after[at] == before.get(at, 0) else "edited"
+    return states
+
+
+def test_repair_queries_take_whole_grids(spark, tmp_path):
+    from catchment.plans import fixtures, registry
+
+    rng = random.Random(8)
+    rows = [(g, 40 + r, 50 + c, rng.randrange(40), 1, float(rng.randrange(1, 9))) for g, share in (("A", 1.0), ("B", 0.7)) for r in range(40) for c in range(50) if rng.random() < share]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = {g: {(p - 40, s - 50): (o + n) % 4 + 1 for f, p, s, o, n, _ in rows if f == g} for g in "AB"}
+    spots = [(7, 9), (20, 31), (39, 49), (12, 3)]
+    cells = fixtures.cells(spark, str(tmp_path), 4).persist()
+    done = correction.correct(cells, spark.createDataFrame([(g, 7, 9) for g in "AB"], "grid_id string, r int, c int")).collect()
+    stops = spark.createDataFrame([(g, r, c, 100 * r + c) for g in "AB" for r, c in spots], "grid_id string, r int, c int, label int")
+    parts = correction.correct_by_outlet(cells, graph.partition_by_outlet(cells, stops), stops).collect()
+    for name, out, outlets in (("connect_outlet", done, {(7, 9)}), ("connect_outlets", parts, set(spots))):
+        got = {(x.grid_id, x.state): x.cells for x in registry.queries()[name](spark, str(tmp_path)).collect()}
+        want = Counter()
+        for g in "AB":
+            after = {(x.r, x.c): x.d for x in out if x.grid_id == g}
+            assert after.keys() >= before[g].keys() and len(after) == sum(x.grid_id == g for x in out)
+            states = brute_states(before[g], after, outlets)
+            assert states == {(x.r, x.c): x.state for x in out if x.grid_id == g}
+            want.update((g, s) for s in states.values())
+        assert got == want and ("A", "unresolved") not in got
+
+
+def test_cheapest_path_matches_relaxation():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        d, goals = rng.integers(0, 5, (5, 6)), rng.random((5, 6)) < 0.1
+        head = rng.random((5, 6)) < 0.2
+        grid = correction.Grid(d, d > 0, head, correction._grow(head), (4, 5))
+        cells = [(r, c, used) for r in range(5) for c in range(6) for used in (0, 1)]
+        best, changed = {(0, 0, 0): 0}, True
+        while changed:
+            changed = False
+            for r, c, used in cells:
+                for (dr, dc), code in correction.CODE.items():
+                    to = (r + dr, c + dc)
+                    if (r, c, used) in best and grid.inside(*to):
+                        more = int(not (grid.route[to] or to == grid.outlet))
+                        price = best[r, c, used] + 100 * correction.edit_cost(d[r, c], code, head[r, c], grid.halo[r, c]) + 1 + 1000 * more
+                        if used + more <= 1 and price < best.get((*to, used + more), 1 << 60):
+                            best[(*to, used + more)], changed = price, True
+        path = grid.cheapest((0, 0), goals)
+        want = min((v for (r, c, _), v in best.items() if goals[r, c]), default=None)
+        assert (path is None) == (want is None)
+        if path:
+            steps = zip(path, path[1:])
+            assert want == sum(100 * correction.edit_cost(d[a], correction.CODE[b[0] - a[0], b[1] - a[1]], head[a], grid.halo[a]) + 1 + 1000 * (not (grid.route[b] or b == grid.outlet)) for a, b in steps)
