@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Seeds of an item are its n-grams that occur in the corpus and are rare there: in at most one document in
-`rare_in`, or 20; and, for items that leaked often, the rarest n-gram of each segment of the item at any
-frequency. Frequencies are counted over all documents. A document that holds a seed is aligned with the
-item around it: local alignment of words (match +2, other -1, gap -1), scored against the item aligned
-with itself. A copy that keeps one rare n-gram is a candidate, however much it was edited elsewhere.
+Seeds of an item are all its n-grams, however frequent in the corpus. A document that holds a seed is aligned
+with the item around it, if enough of the item's words stand there: local alignment of words (match +2,
+other -1, gap -1), scored against the item aligned with itself. A copy that keeps one n-gram is a candidate,
+however much it was edited elsewhere.
 
 The corpus is never shuffled: benchmark n-grams go to it. `max_bytes` bounds what is broadcast; a larger
 benchmark is cut into blocks, each against all documents.
@@ -79,23 +78,13 @@ def automaton(keys):
 class Finder:
     """The items, seeds and thresholds that travel to the tasks; automata are built where they are used."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], n: int, segment: int, threshold: float):
-        self.items, self.n, self.segment, self.threshold = items, n, segment, threshold
-        self.keys = sorted({g for _, w in items for g in grams(w, n)})
+    def __init__(self, items: list[tuple[int, list[bytes]]], n: int, threshold: float):
+        self.items, self.n, self.threshold = items, n, threshold
+        self.needs = [Counter(w) for _, w in items]
         self.seeds: dict[bytes, list[tuple[int, int]]] = {}
-
-    def choose(self, counts: dict[bytes, int], most: int) -> None:
-        """Seeds from the document frequencies of the n-grams; those in at most `most` documents are rare."""
-        for k, (_, words) in enumerate(self.items):
-            own = grams(words, self.n)
-            seen = [i for i, g in enumerate(own) if counts.get(g)]
-            first = {}
-            for i in seen:
-                first.setdefault(i // self.segment, []).append(i)
-            rarest = {min(some, key=lambda i: (counts[own[i]], own[i])) for some in first.values()}
-            for i in seen:
-                if i in rarest or counts[own[i]] <= most:
-                    self.seeds.setdefault(own[i], []).append((k, i))
+        for k, (_, words) in enumerate(items):
+            for i, g in enumerate(grams(words, n)):
+                self.seeds.setdefault(g, []).append((k, i))
 
     def align(self, words: list[bytes], line: str, hits) -> list[tuple]:
         """(item number, score, first word, last word, seeds) of the items found in a document."""
@@ -108,10 +97,12 @@ class Finder:
             word = int(np.searchsorted(ends, last)) - self.n
             for k, at in self.seeds[key]:
                 near.setdefault(k, []).append(word - at)
-        out = []
+        out, held = [], set(words)
         for k, shifts in near.items():
-            item = self.items[k][1]
-            slack, need, best = len(item) // 2 + 4, Counter(item), None
+            item, need = self.items[k][1], self.needs[k]
+            if sum(n for w, n in need.items() if w in held) < self.threshold * len(item):  # bounds the score in any window
+                continue
+            slack, best = len(item) // 2 + 4, None
             shifts.sort()
             low = 0
             for i in range(1, len(shifts) + 1):
@@ -135,18 +126,9 @@ class Finder:
             words = words_of(text)
             yield words, (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
 
-    def count(self, batches):
-        import pyarrow as pa
-
-        machine, seen = automaton(self.keys), Counter()
-        for batch in batches:
-            for _, line in self.lines(batch):
-                seen.update({k for _, k in machine.iter(line)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
-
     def leaks(self, batches):
         """Each batch with the found items of each of its rows."""
-        machine = automaton(self.seeds) if self.seeds else None
+        machine = automaton(self.seeds) if self.seeds else None  # none with n over the length of all items
         for batch in batches:
             yield batch, [self.align(words, line, hits) if machine and (hits := list(machine.iter(line))) else [] for words, line in self.lines(batch)]
 
@@ -166,24 +148,24 @@ class Finder:
             yield batch.filter(pa.array([not some for some in found], pa.bool_()))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000, rare_in: int = 1000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
     """FOUND: a row for each document and item whose alignment reaches the threshold."""
     out = docs.sparkSession.createDataFrame([], FOUND)
-    for finder in finders(docs, benchmark, n, segment, threshold, min_words, max_bytes, rare_in):
+    for finder in finders(benchmark, n, threshold, min_words, max_bytes):
         out = out.unionByName(docs.select("doc_id", "text").mapInArrow(finder.find, FOUND))
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, segment: int = 6, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000, rare_in: int = 1000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
     """The rows of docs, all columns, in which no item is found."""
     out = docs
-    for finder in finders(docs, benchmark, n, segment, threshold, min_words, max_bytes, rare_in):
+    for finder in finders(benchmark, n, threshold, min_words, max_bytes):
         out = out.mapInArrow(finder.drop, docs.schema)
     return out
 
 
-def finders(docs: DataFrame, benchmark: DataFrame, n: int, segment: int, threshold: float, min_words: int, max_bytes: int, rare_in: int):
-    """A Finder with its seeds for each block of the benchmark."""
+def finders(benchmark: DataFrame, n: int, threshold: float, min_words: int, max_bytes: int):
+    """A Finder for each block of the benchmark."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-max(1, size) // max_bytes)
@@ -191,11 +173,7 @@ def finders(docs: DataFrame, benchmark: DataFrame, n: int, segment: int, thresho
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         held = [(i, w) for i, t in block.collect() if len(w := words_of(t.encode())) >= min_words]  # about max_bytes of text
         if held:
-            finder = Finder(held, n, segment, threshold)
-            # document frequency of the block's n-grams: as many rows as the block has
-            rows = docs.select("text").mapInArrow(finder.count, "gram binary, n long").groupBy("gram").agg(F.sum("n")).collect()
-            finder.choose({bytes(g): c for g, c in rows}, max(20, docs.count() // rare_in))
-            yield finder
+            yield Finder(held, n, threshold)
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

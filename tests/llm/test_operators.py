@@ -258,6 +258,33 @@ def test_leaks_found_and_clean_documents_left(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 and decontaminate.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_edited_copies_of_frequent_items(spark):
+    """Edited copies of items that many documents hold, against alignment with whole documents."""
+    rng = random.Random(31)
+    items = [(k, [f"i{k}w{j}" for j in range(n)]) for k, n in enumerate((16, 24))]
+    texts = [" ".join(w) + " " + prose(rng, 20, 20) for _, w in items for _ in range(30)]  # every 3-gram is frequent
+    for _, w in items:
+        for edits in [*([[at + 2 for at in range(0, len(w) - 2, 6)]] * 2), *([rng.sample(range(len(w)), len(w) // 4) for _ in range(60)])]:
+            texts.append(" ".join([prose(rng, 15, 15), *(f"changed{j}" if j in edits else x for j, x in enumerate(w)), prose(rng, 15, 15)]))
+        own = decontaminate.grams([x.encode() for x in w], 3)
+        seeds = [min(range(at, min(at + 6, len(own))), key=lambda j: own[j]) for at in range(0, len(own), 6)]
+        texts.append(" ".join("changed" if j - 1 in seeds else x for j, x in enumerate(w)))  # one word in the first 3-gram of each 6 places
+    want = set()
+    for i, t in enumerate(texts):
+        words = decontaminate.words_of(t.encode())
+        for k, w in items:
+            item = [x.encode() for x in w]
+            ids = {x: j for j, x in enumerate(item)}
+            score = decontaminate.smith_waterman(np.arange(len(item)), np.array([ids.get(x, -1) for x in words]))[0]
+            if score >= len(item) and set(decontaminate.grams(item, 3)) & set(decontaminate.grams(words, 3)):
+                want.add((i, k))
+    assert len(want) > 150
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, bench).collect()} == want
+    assert {x.doc_id for x in decontaminate.drop_leaks(docs, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
 # 6 url filters
 
 def test_cascade_is_exact(spark, work):
