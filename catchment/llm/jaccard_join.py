@@ -119,11 +119,16 @@ def band(size: int) -> int:
     return (size.bit_length() - 1) // 2  # sizes 4^k up to 4^(k+1) - 1
 
 
-def part_keys(found: np.ndarray) -> np.ndarray:
-    """The keys an entity keeps, in its own band and, if larger partners reach into it, the next one."""
+def part_keys(found: np.ndarray, percent: int = 75) -> np.ndarray:
+    """The keys an entity keeps, in its own band and, if larger partners reach into them, the next ones.
+
+    Sets of a and b >= a shingles that reach `percent` have b <= 100 a / percent, so they differ in at most
+    (a + b) (100 - percent) / (100 + percent) <= a (100 - percent) / percent shingles: one third of a at 75.
+    """
     size, out = len(found), []
-    for k in sorted({band(size), band(size * 4 // 3)}):
-        parts, keep = max(16, 2 * 4**k), size // 3 + 1
+    for k in range(band(size), band(size * 100 // percent) + 1):
+        keep = size * (100 - percent) // percent + 1
+        parts = max(16, 2 * 4**k, 4 ** (k + 1) * (100 - percent) // percent + 2)  # more than any set of the band keeps
         at = (found % U(parts)).astype(np.int64)
         order = np.argsort(at, kind="stable")
         at, values = at[order], mix(found[order])
@@ -151,7 +156,7 @@ SHUFFLED = "bucket int, keys binary, entities binary, pivot_keys binary, pivots
 OUT = "kind int, key long, a long, b long, doc_id long, n int, entity long, extra long, sketch binary"
 
 
-def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 500_000) -> DataFrame:
+def candidates(docs: DataFrame, buckets: int, width: int, percent: int = 75, batch_keys: int = 500_000) -> DataFrame:
     """OUT: kind 0 the documents, 1 candidate pairs a < b, 2 members (a) of large keys."""
 
     def spread(batches):
@@ -210,7 +215,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, batch_keys: int = 500_
                 rows.append(doc_record(name, null, len(found), ent, check))
                 sketches.append(sketch(found))
                 if len(found):
-                    kept = part_keys(found)
+                    kept = part_keys(found, percent)
                     keys.append(kept)
                     ents.append(np.full(len(kept), ent, np.int64).view(U))
                     held += len(kept)
@@ -317,12 +322,14 @@ class Join:
     """The state of one join: its written tables, the links found so far and their components."""
 
     def __init__(self, docs: DataFrame, work: str, percent: int = 75, width: int = 5):
+        if not 0 < percent <= 100:
+            raise ValueError(f"percent is {percent}; 1 to 100 are possible")
         self.docs, self.work, self.percent, self.width, self.step = docs.select("doc_id", "text"), work, percent, width, 0
         spark = self.spark = docs.sparkSession
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         # about 400 thousand keys a bucket: a word has six bytes and 0.4 keys
         buckets = max(shared.width(spark), size // 6_000_000)
-        found = self.keep(candidates(self.docs, buckets, width))
+        found = self.keep(candidates(self.docs, buckets, width, percent))
         self.rows = found.where("kind = 0").select("doc_id", "n", "entity", "extra")
         reps = found.where("kind = 0 AND n > 0").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("extra") != F.max("extra")).alias("clash"))
         self.entities = self.keep(reps)

@@ -445,6 +445,19 @@ def test_components_in_blocks(spark, work, monkeypatch):
     assert Counter(tuple(x) for x in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("percent", [20, 40, 60, 90])
+def test_parts_meet_at_any_percent(percent):
+    """Sets whose similarity just reaches percent have a common key."""
+    rng = np.random.default_rng(percent)
+    for size in (3, 15, 16, 60, 63, 250, 255, 900):
+        for _ in range(40):
+            b = rng.integers(0, 2**64, size, dtype=np.uint64)
+            common = -(-size * percent // 100)
+            union = common * 100 // percent
+            for a in (b[:common], np.concatenate([b[:common], rng.integers(0, 2**64, max(0, union - size), dtype=np.uint64)])):
+                assert np.intersect1d(jaccard_join.part_keys(np.unique(a), percent), jaccard_join.part_keys(np.unique(b), percent)).size
+
+
 def test_sketch_bounds_difference():
     rng = np.random.default_rng(3)
     for size in (1, 5, 100, 3000):
