@@ -23,7 +23,7 @@ component that has another. Set hashes have 64 bits; two sets with one hash stop
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catchment.llm import bloom_cascade, shared, tokens
@@ -153,7 +153,7 @@ def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SHUFFLED = "bucket int, keys binary, entities binary, pivot_keys binary, pivots binary, big_keys binary, members binary, docs binary, sketches binary"
-OUT = "kind int, key long, a long, b long, doc_id long, n int, entity long, extra long, sketch binary"
+OUT = "kind int, key long, a long, b long, doc_id long, n int, entity long, extra long, text_hash long, sketch binary"
 
 
 def candidates(docs: DataFrame, buckets: int, width: int, percent: int = 75, batch_keys: int = 500_000) -> DataFrame:
@@ -209,10 +209,10 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int = 75, bat
             texts, names = tokens.each(batch.column("text")), batch.column("doc_id")
             missing, names = names.is_null().to_pylist(), names.fill_null(0).to_pylist()
             seed = seed or int(batch.num_rows) * 7919 + (names[0] if names else 0)
-            for text, name, null in zip(texts, names, missing):
+            for text, name, null, text_hash in zip(texts, names, missing, batch.column("text_hash").to_pylist()):
                 found = shingles(text, width)
                 ent, check = entity(found) if len(found) else (0, 0)
-                rows.append(doc_record(name, null, len(found), ent, check))
+                rows.append(doc_record(name, null, len(found), ent, check, text_hash))
                 sketches.append(sketch(found))
                 if len(found):
                     kept = part_keys(found, percent)
@@ -280,19 +280,20 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int = 75, bat
                 full(ints, pa.array(docs_raw["n"]), None, None),
                 full(longs, pa.array(docs_raw["entity"]), None, None),
                 full(longs, pa.array(docs_raw["extra"]), None, None),
+                full(longs, pa.array(docs_raw["text_hash"]), None, None),
                 full(pa.binary(), pa.array([flat[x:y] for x, y in zip(np.concatenate([[0], ends]).astype(int), ends)], pa.binary()), None, None),
             ],
             [c.split()[0] for c in OUT.split(", ")],
         )
 
-    return docs.select("doc_id", "text").mapInArrow(spread, SHUFFLED).groupBy("bucket").applyInArrow(meet, OUT)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(spread, SHUFFLED).groupBy("bucket").applyInArrow(meet, OUT)
 
 
-DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<i4"), ("entity", "<i8"), ("extra", "<i8")])
+DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<i4"), ("entity", "<i8"), ("extra", "<i8"), ("text_hash", "<i8")])
 
 
-def doc_record(name, null, n, ent, check) -> bytes:
-    return np.array([(name, null, n, ent, check)], DOC).tobytes()
+def doc_record(name, null, n, ent, check, text_hash) -> bytes:
+    return np.array([(name, null, n, ent, check, text_hash)], DOC).tobytes()
 
 
 def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -313,9 +314,17 @@ def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 def drop_near_duplicates(docs: DataFrame, work: str, **options) -> DataFrame:
-    """The rows of docs, all columns, but for those whose component has a smaller doc_id."""
-    gone = Join(docs, work, **options).result().where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, but one row only of each component: that of the smallest doc_id (null after all
+    others), by the text's hash where ids are repeated, any one of rows with the same id and text."""
+    marks = Join(docs, work, **options).spare()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    if not marks.where("stays").limit(1).count():
+        return rows.join(marks, same, "left_anti").select("row.*")
+    rows = rows.join(marks, same, "left").select("row", "hash", "stays")
+    tied = Window.partitionBy("row.doc_id", "hash").orderBy("hash")
+    one = rows.where("stays").withColumn("place", F.row_number().over(tied)).where("place = 1")
+    return rows.where("stays IS NULL").select("row.*").unionByName(one.select("row.*"))
 
 
 class Join:
@@ -330,7 +339,7 @@ class Join:
         # about 400 thousand keys a bucket: a word has six bytes and 0.4 keys
         buckets = max(shared.width(spark), size // 6_000_000)
         found = self.keep(candidates(self.docs, buckets, width, percent))
-        self.rows = found.where("kind = 0").select("doc_id", "n", "entity", "extra")
+        self.rows = found.where("kind = 0").select("doc_id", "n", "entity", "extra", "text_hash")
         reps = found.where("kind = 0 AND n > 0").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("extra") != F.max("extra")).alias("clash"))
         self.entities = self.keep(reps)
         if self.entities.where("clash").limit(1).count():
@@ -477,6 +486,20 @@ class Join:
         return out.select(*columns).unionByName(empty.select(*columns))
 
 
+    def spare(self) -> DataFrame:
+        """doc_id, text_hash, stays: the rows to drop (stays is false), and those of which one of several equal ones stays."""
+        keys = self.rows.where("n > 0").groupBy("doc_id", "text_hash", "entity").agg(F.count("*").alias("n_rows"))
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+        named = self.name(self.entities.select("entity"), "entity")
+        own = self.keep(keys.groupBy("entity").agg(F.min(order).alias("least")))
+        least = named.join(own, "entity").groupBy("comp").agg(F.min("least").alias("least"))
+        named = self.keep(named.join(least, "comp").select("entity", F.col("least.doc_id").alias("best_id"), F.col("least.text_hash").alias("best_hash")))
+        hot = shared.hot_keys(self.entities, "entity", "copies")
+        found = shared.salted_join(keys, named, "entity", hot, F.xxhash64("doc_id", "text_hash"), shared.width(self.spark))
+        best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash"))
+        return self.keep(found.where(~best | (F.col("n_rows") > 1)).select("doc_id", "text_hash", best.alias("stays")))
+
+
 def components(links: DataFrame, path: str) -> DataFrame:
     """entity, comp (the smallest entity reachable) by least labels and pointer jumps; every round is written."""
     edges = shared.stash(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{path}-edges")

@@ -473,6 +473,29 @@ def test_words_hash_apart():
     assert np.array_equal(one, jaccard_join.word_hashes(b"  alpha\x0bbeta "))
 
 
+def test_one_row_of_each_component_stays(spark, work):
+    """Repeated and null ids: near copies, equal rows and unique texts that share an id with a copy."""
+    rng = random.Random(17)
+    near = [[prose(rng, 60, 60) + f" v{g} {k}" for k in range(3)] for g in range(4)]
+    alone = [prose(rng, 60, 60) for _ in range(3)]
+    rows = [(1, near[0][0]), (2, near[0][1]), (2, alone[0])]  # id 2: a copy, and a unique text
+    rows += [(5, near[1][0])] * 3  # equal rows
+    rows += [(None, near[2][0]), (None, near[2][1]), (None, alone[1])]  # null ids
+    rows += [(7, near[3][0]), (7, near[3][1]), (None, near[3][2]), (8, alone[2]), (9, None), (9, ""), (9, None)]
+    # prose gives another text each call: make the copies near
+    base = {t: g for g, some in enumerate(near) for t in some}
+    first = {g: some[0].rsplit(" ", 2)[0] for g, some in enumerate(near)}
+    rows = [(i, first[base[t]] + " " + t.split(" ")[-1] if t in base else t) for i, t in rows]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, hash int").repartition(3)
+    kept = jaccard_join.drop_near_duplicates(docs, work)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    group = lambda t: next((g for g, f in first.items() if t and t.startswith(f)), None)
+    assert Counter(group(x.text) for x in got if group(x.text) is not None) == {0: 1, 1: 1, 2: 1, 3: 1}
+    assert {group(x.text): x.doc_id for x in got if group(x.text) is not None} == {0: 1, 1: 5, 2: None, 3: 7}
+    assert Counter((x.doc_id, x.text) for x in got if group(x.text) is None) == Counter((i, t) for i, t in rows if group(t) is None)
+
+
 # empty tables
 
 def test_empty_tables(spark, empty, work, tokenizer):
