@@ -1,8 +1,8 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups.
 
 Documents are encoded and cut every `length` ids; only the pieces' sizes go on, in a written table. Each
-document draws a group from a hash of its row's number, so equal or id-less rows spread too; a group holds about
-`group_pieces` pieces, apart from a very long document's own full pieces. Inside a group the pieces, longest
+document draws a group from a hash of its row's number, so equal or id-less rows spread too, and the full pieces of
+long documents, which fill a sequence each, draw their own; a group holds about `group_pieces` pieces. Inside a group the pieces, longest
 first (ties by doc_id and start), each go to the first sequence with room, found in logarithmic time at
 the root of a max tree over the capacities left. Each group's last sequence is padded most.
 
@@ -50,14 +50,13 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"]
         for batch in batches:
-            texts = tokens.utf8(batch.column("text"))
             ids, uids = batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist()
-            for low, high in tokens.runs(texts):
-                rows = []
-                for name, uid, code in zip(ids[low:high], uids[low:high], tokens.encoder(tokenizer).encode(texts[low:high])):
-                    for at in range(0, len(code), 4 * length):
-                        piece = code[at : at + 4 * length]
-                        rows.append((name, at // 4, len(piece) // 4, zlib.crc32(piece), len(code) // 4, uid))
+            for low, found, edges in tokens.encoder(tokenizer).encode(batch.column("text")):
+                code, rows = memoryview(found).cast("B"), []
+                for row, (begin, end) in enumerate(zip(edges.tolist(), edges[1:].tolist()), low):
+                    for at in range(begin, end, length):
+                        stop = min(end, at + length)
+                        rows.append((ids[row], at - begin, stop - at, zlib.crc32(code[4 * at : 4 * stop]), end - begin, uids[row]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
     rows = docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
@@ -67,7 +66,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
 def pack(pieces: DataFrame, pieces_count: int, length: int = 2048, group_pieces: int = 2048, seed: int = 7) -> DataFrame:
     """pieces (written, so that uid is fixed) with sequence_id and offset."""
     groups = max(1, round(pieces_count / group_pieces))
-    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(groups)))
+    own = F.when(F.col("length") == length, F.col("start")).otherwise(-1)
+    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("uid", own, F.lit(seed)), F.lit(groups)))
 
     def fill(frame):
         import pyarrow as pa

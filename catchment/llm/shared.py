@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A group is hot when it holds at least one part in HOT_PARTS of all rows, so at most HOT_PARTS groups are hot.
 HOT_PARTS = 1000
+#: Bytes of a written table's row groups, which a writing task holds in memory.
+ROW_GROUP = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,24 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary folder only where that setting is unset."""
+    """A fresh folder below spark.checkpoint.dir; where that is unset, below the warehouse, or a local folder if all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="catchment-")
         spark.sparkContext.setCheckpointDir(base)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def stash(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet and reads it back: the lineage is cut and survives the loss of executors."""
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def parts(df: DataFrame, each: int = 64_000_000) -> int:
+    """How many partitions df needs for about `each` bytes of the tables it reads in one, and no fewer than the session's."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(width(df.sparkSession), sum(s for s in sizes if s < 1 << 60) // each)  # a size that isn't known is larger
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,6 +17,7 @@ are separate documents, in an order fixed by their text. An empty table writes n
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -70,7 +71,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte
     """Encodes doc_id, text and writes the set's blocks as a table below folder. A task holds one batch and one block."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange(shards or shared.width(spark), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(shards or shared.parts(docs), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def blocks(batches):
         import pyarrow as pa
@@ -86,15 +87,14 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("ids", pa.int32()), ("payload", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("ord", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])))])
         for batch in batches:
-            texts, names = tokens.utf8(batch.column("text")), batch.column("doc_id").to_pylist()
-            for low, high in tokens.runs(texts):
-                for name, code in zip(names[low:high], tokens.encoder(tokenizer).encode(texts[low:high])):
-                    ids = np.frombuffer(code, "<u4")
-                    while len(ids):
-                        some = ids[: block_ids - (at - first)]
+            names = batch.column("doc_id").to_pylist()
+            for low, found, edges in tokens.encoder(tokenizer).encode(batch.column("text")):
+                for name, begin, end in zip(names[low : low + len(edges) - 1], edges.tolist(), edges[1:].tolist()):
+                    while begin < end:
+                        some = found[begin : min(end, begin + block_ids - (at - first))]
                         held.append(some)
                         inside.append({"doc_id": name, "ord": seen, "at": at, "n": len(some)})
-                        at, ids = at + len(some), ids[len(some) :]
+                        at, begin = at + len(some), begin + len(some)
                         if at - first == block_ids:
                             yield emit()
                             block, first, held, inside = block + 1, at, [], []
@@ -108,43 +108,38 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte
 def read_planes(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the blocks alone.
 
-    Blocks are read apart from each other. The offsets of the shards come from their totals (one row each).
-    Only the few documents that span blocks are brought together again.
+    Blocks are read apart from each other; what is read from them (a row for each document's part) is a table in
+    folder. The offsets of the shards come from their totals (one row each). Documents that touch no edge of
+    their block pass through; only the others (two for each block at most) are brought together again.
     """
+    import pyarrow as pa
+
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     totals, start = [], 0
     for shard, ids in sorted(blocks.groupBy("shard").agg(F.sum("ids")).collect()):
         totals.append((shard, start))
         start += ids
     offsets = spark.createDataFrame(totals, "shard int, shard_start long")
+    schema = pa.schema([("shard", pa.int32()), ("ord", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("whole", pa.bool_())])
 
     def pieces(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for row in batch.to_pylist():
                 ids, out = unpack_block(row["payload"]), []
                 for d in row["docs"]:
                     part = ids[d["at"] - row["first"] :][: d["n"]]
-                    whole = d["at"] > row["first"] and d["at"] + d["n"] < row["first"] + row["ids"]  # touches no edge of the block
-                    out.append({"shard": row["shard"], "ord": d["ord"], "doc_id": d["doc_id"], "at": d["at"], "n": d["n"], "crc": zlib.crc32(part.tobytes()), "whole": whole})
+                    whole = d["at"] > row["first"] and d["at"] + d["n"] < row["first"] + len(ids)
+                    out.append({"shard": row["shard"], "ord": d["ord"], "doc_id": d["doc_id"], "at": d["at"], "n": len(part), "crc": zlib.crc32(part.tobytes()), "whole": whole})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    import pyarrow as pa
-
-    schema = pa.schema([("shard", pa.int32()), ("ord", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("whole", pa.bool_())])
     found = blocks.mapInArrow(pieces, "shard int, ord long, doc_id long, at long, n long, crc long, whole boolean")
-    found = found.withColumn("part", F.struct("at", "n", "crc"))
-    # a document's number in its shard is unique, so these groups are small; whole documents pass through alone
-    docs = found.groupBy("shard", "ord").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("part")).alias("parts"))
-    docs = docs.join(F.broadcast(offsets), "shard").withColumn("first", F.col("parts")[0])
-    crc = F.when(F.size("parts") == 1, F.col("first")["crc"]).otherwise(F.pandas_udf(joined_crc, "long")(F.transform("parts", lambda p: p["n"]), F.transform("parts", lambda p: p["crc"])))
-    return docs.select(
-        "doc_id",
-        (F.col("shard_start") + F.col("first")["at"]).alias("start"),
-        F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("n_tokens"),
-        crc.alias("ids_crc32"),
-    )
+    found = shared.stash(found, f"{folder}/parts-{uuid.uuid4().hex[:8]}")
+    # a document's number in its shard is unique, so these groups are small
+    cut = found.where("not whole").groupBy("shard", "ord").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("parts"))
+    crc = F.when(F.size("parts") == 1, F.get(F.col("parts"), F.lit(0))["crc"]).otherwise(F.pandas_udf(joined_crc, "long")(F.transform("parts", lambda p: p["n"]), F.transform("parts", lambda p: p["crc"])))
+    cut = cut.select("shard", "doc_id", F.get(F.col("parts"), F.lit(0))["at"].alias("at"), F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["n"]).alias("n"), crc.alias("crc"))
+    docs = found.where("whole").select("shard", "doc_id", "at", "n", "crc").unionByName(cut).join(F.broadcast(offsets), "shard")
+    return docs.select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def crc_shift(crc: int, size: int) -> int:

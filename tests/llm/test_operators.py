@@ -78,14 +78,29 @@ def reference_ids(tokenizer, text):
 
 
 def test_parts_encode_like_whole_texts(tokenizer, rows):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    odd = ["İstanbul ΣΑΣ ς\u00a0x\u2003y", "e\u0301 \u0301a", "a\x0bb\x0cc\x1cd\x85e", "it's we'll 12 3½ <|endoftext|> <|start oftext|>", "日本語 テスト🙂👍🏽 ﬀ", "", " \n "]
-    texts = odd + [x or "" for _, x in rows if len(x or "") < 5000]
-    got = tokens.Encoder(tokenizer).encode([x.encode() for x in texts])
-    for text, code in zip(texts, got):
-        assert np.frombuffer(code, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], text[:60]
+    odd = ["İstanbul ΣΑΣ ς\u00a0x\u2003y", "e\u0301 \u0301a", "a\x0bb\x0cc\x1cd\x85e", "it's we'll 12 3½ <|endoftext|> <|start oftext|>", "日本語 テスト🙂👍🏽 ﬀ", "", " \n ", "क़ख़ Å K' a's.' x.'s", "İ. İİ, ab.. .ab a.b $$"]
+    texts = odd + [x for _, x in rows if len(x or "") < 5000]
+    own = tokens.Encoder(tokenizer)
+    assert own.by_parts
+    for by_parts in (True, False):
+        own.by_parts = by_parts
+        got = [ids[a:b].tolist() for _, ids, edges in own.encode(pa.chunked_array([pa.array(["skipped", *texts])]).chunk(0).slice(1)) for a, b in zip(edges, edges[1:])]
+        assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    own, t = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = [None, "a  b\n\n c", " lead", "trail "] * 100
+    got = [ids[a:b].tolist() for _, ids, edges in own.encode(pa.array(texts)) for a, b in zip(edges, edges[1:])]
+    assert not own.by_parts and got == [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
 
 
 def test_token_planes(spark, docs, rows, work, tokenizer):
