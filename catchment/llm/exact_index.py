@@ -1,80 +1,114 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by hash.
 
-New rows are aggregated to one row for each digest, anti-joined with the index by sort-merge and
-appended; documents are then resolved against the index. Built-in expressions only.
-
-Null text counts as empty. Of equal texts the row with the largest doc_id stays; a null doc_id loses
-to any other, and rows repeated under one doc_id (or all without one) are one document, so all of them
-carry kept = true. A digest that is in the index already keeps its first keep_id. An empty table gives
-an empty result; other columns of the input are never read.
+A batch of rows becomes one row for each digest, which a sort-merge anti-join tests against the index (a
+left join that marks what the index lacks) before it is appended: digests that the index lacks as new
+entries, others as additions to their entry. Rows are then resolved against the index, whose entries and
+additions merge without a shuffle, since both lie in one bucket. Built-in expressions only.
+
+Null text counts as empty. Of equal texts the row with the largest doc_id stays, over all batches that were
+added; a null doc_id loses to any other. Rows repeated under one doc_id are told apart by batch and
+number, so exactly one row of each text is kept. An empty table gives an empty result; other columns of
+the input are never read.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catchment.llm import shared
 
+#: The batches in which the query adds its rows.
+BATCHES = 3
+
 
 class DigestIndex:
-    """Table (digest binary, keep_id long, group_size long) in `buckets` sorted buckets at `path`.
+    """Table (digest, keep, rows, fresh) in sorted buckets below `path`; keep = (doc_id, batch, row) of the largest doc_id.
 
-    Opening the same path again in a later session continues the index.
+    The number of buckets is written beside the table when an index is begun: opening the path again, in any
+    session, continues with it. `close` takes the name of the table from the catalogue; its files stay.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path, self.buckets = spark, path, buckets or shared.width(spark)
-        self.name = f"digest_index_{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path
+        held = self.layout()
+        if held and buckets and held != buckets:
+            raise ValueError(f"the index has {held} buckets, not {buckets}")
+        self.buckets = held or buckets or shared.width(spark)
+        if not held:
+            spark.range(self.buckets, self.buckets + 1).write.parquet(f"{path}/layout")
+        self.name = f"digest_index_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep STRUCT<doc_id: BIGINT, batch: BIGINT, row: BIGINT>, rows BIGINT, fresh BOOLEAN) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/index'"
         )
 
-    def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def layout(self) -> int | None:
+        try:
+            return self.spark.read.schema("id long").parquet(f"{self.path}/layout").first()[0]
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def entries(self) -> DataFrame:
+        """digest, keep, rows: one for each digest, merged over the batches inside its bucket."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep").alias("keep"), F.sum("rows").alias("rows"))
 
-    def add(self, docs: DataFrame) -> None:
-        """Appends the digests that the index lacks. Aggregation combines copies before its shuffle."""
-        groups = docs.select("doc_id", digest()).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        # a sort-merge anti-join; written as left_anti, the optimiser would push it below the aggregate and shuffle every copy
-        known = self.read().select(F.col("digest").alias("known"))
-        new = groups.join(known.hint("merge"), F.col("digest") == F.col("known"), "left").where("known IS NULL")
-        new.select("digest", "keep_id", "group_size").write.insertInto(self.name)
+    def add(self, rows: DataFrame) -> None:
+        """Appends a batch of `digested` rows. Aggregation combines copies before its shuffle."""
+        groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "batch", "row")).alias("keep"), F.count("*").alias("rows"))
+        # written as left_anti, the optimiser would push the join below the aggregate and shuffle every copy
+        known = self.spark.table(self.name).where("fresh").select(F.col("digest").alias("known"))
+        groups = groups.join(known.hint("merge"), F.col("digest") == F.col("known"), "left")
+        groups.select("digest", "keep", "rows", F.col("known").isNull().alias("fresh")).write.insertInto(self.name)
 
-    def resolve(self, docs: DataFrame) -> DataFrame:
-        """Each document with the index's row for its text.
+    def resolve(self, rows: DataFrame) -> DataFrame:
+        """Each of the `digested` rows with the index's entry for its text.
 
         Digests with a thousandth of all rows or more (at most a thousand) are answered by a broadcast;
         their rows then join under keys of their own, which spreads them and matches nothing.
         """
-        index = self.read()
-        hot = shared.hot_keys(index, "digest", "group_size").select("digest")
-        hot = F.broadcast(index.join(F.broadcast(hot), "digest").select("digest", F.struct("keep_id", "group_size").alias("hot")))
-        rows = docs.select("doc_id", digest()).join(hot, "digest", "left")
-        rows = rows.withColumn("key", F.when(F.col("hot").isNotNull(), F.encode(F.col("doc_id").cast("string"), "UTF-8")).otherwise(F.col("digest")))
-        cold = index.select(F.col("digest").alias("key"), F.struct("keep_id", "group_size").alias("cold"))
+        index = self.entries()
+        hot = shared.hot_keys(index, "digest", "rows").select("digest")
+        hot = F.broadcast(index.join(F.broadcast(hot), "digest").select("digest", F.struct("keep", "rows").alias("hot")))
+        rows = rows.join(hot, "digest", "left")
+        own = F.encode(F.concat_ws("-", "batch", "row"), "UTF-8")
+        rows = rows.withColumn("key", F.when(F.col("hot").isNotNull(), own).otherwise(F.col("digest")))
+        cold = index.select(F.col("digest").alias("key"), F.struct("keep", "rows").alias("cold"))
         found = F.coalesce("hot", "cold")
         return rows.join(cold.hint("merge"), "key", "left").select(
             "doc_id",
-            found["keep_id"].alias("keep_id"),
-            found["group_size"].alias("group_size"),
-            F.col("doc_id").eqNullSafe(found["keep_id"]).alias("kept"),
+            found["keep"]["doc_id"].alias("keep_id"),
+            found["rows"].alias("group_size"),
+            F.struct("doc_id", "batch", "row").eqNullSafe(found["keep"]).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
 
-def digest():
-    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest")
+def digested(docs: DataFrame, work: str, batch=0) -> DataFrame:
+    """Written (doc_id, digest, batch, row) of every row of docs: the texts are read once, and row numbers stay."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest")
+    batch = batch if hasattr(batch, "cast") else F.lit(batch)
+    return shared.stash(docs.select("doc_id", digest, batch.cast("long").alias("batch"), F.monotonically_increasing_id().alias("row")), work)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = DigestIndex(spark, shared.work_dir(spark, "digest-index"))
-    index.add(docs)
-    return index.resolve(docs)
+    """All documents, added to a new index in BATCHES batches and resolved against it."""
+    docs, work = shared.table(spark, sf_dir, "documents").select("doc_id", "text"), shared.work_dir(spark, "digest-index")
+    rows = digested(docs, f"{work}/rows", F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)))
+    index = DigestIndex(spark, f"{work}/index", shared.parts(rows))
+    for batch in range(BATCHES):
+        index.add(rows.where(F.col("batch") == batch))
+    found = index.resolve(rows)
+    index.close()
+    return found
 
 
 SQL = """
