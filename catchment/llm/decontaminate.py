@@ -5,8 +5,9 @@ with the item around it, if enough of the item's words stand there: local alignm
 other -1, gap -1), scored against the item aligned with itself. A copy that keeps one n-gram is a candidate,
 however much it was edited elsewhere.
 
-The corpus is never shuffled: benchmark n-grams go to it. `max_bytes` bounds what is broadcast; a larger
-benchmark is cut into blocks, each against all documents.
+The corpus is never shuffled: hashes of the benchmark's n-grams go to it. A block of the benchmark holds about
+`max_bytes` of text (an item is never cut), so a task holds about 6 times that in hashes and at most some 30
+times for the words of the items it aligns; a larger benchmark takes a pass over the documents for each block.
 
 Words are runs of [0-9a-z] and non-ASCII, A-Z lower-cased. Items of under `min_words` words (null and
 empty ones too) are never reported; documents without words match nothing. A repeated document row or
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catchment.llm import shared, tokens
+from catchment.llm import hashing, shared, tokens
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOUND = "doc_id long, item_id long, score double, first_word long, last_word long, seeds long"
@@ -61,45 +62,55 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]
     return best
 
 
-def grams(words: list[bytes], n: int) -> list[bytes]:
-    return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(len(words) - n + 1)]
-
-
-def automaton(keys):
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for k in keys:
-        found.add_word(k.decode("utf-8", "replace"), k)
-    found.make_automaton()
-    return found
-
-
 class Finder:
-    """The items, seeds and thresholds that travel to the tasks; automata are built where they are used."""
+    """A block of items, their seeds and the thresholds, as they travel to the tasks."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], n: int, threshold: float):
+    def __init__(self, items: list[tuple[int, bytes]], n: int, threshold: float):
         self.items, self.n, self.threshold = items, n, threshold
-        self.needs = [Counter(w) for _, w in items]
-        self.seeds: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (_, words) in enumerate(items):
-            for i, g in enumerate(grams(words, n)):
-                self.seeds.setdefault(g, []).append((k, i))
-
-    def align(self, words: list[bytes], line: str, hits) -> list[tuple]:
+        found = [hashing.grams(hashing.words_at(text.lower(), hashing.NO_WORD)[0], n) for _, text in items]
+        own = np.repeat(np.arange(len(items), dtype=np.int32), [len(g) for g in found])
+        at = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(g), dtype=np.int32) for g in found)])
+        seeds = np.concatenate([np.zeros(0, np.uint64), *found])
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.own, self.at = seeds[order], own[order], at[order]
+        self.table_bits = max(10, (8 * len(seeds)).bit_length())
+        self.held: dict = {}
+
+    def item(self, k: int) -> tuple[list[bytes], Counter]:
+        if k not in self.held:
+            words = words_of(self.items[k][1])
+            self.held[k] = words, Counter(words)
+        return self.held[k]
+
+    def hits(self, texts: list[bytes], table: np.ndarray):
+        """For each text with seeds: its number, and the first words and seed numbers of all hits."""
+        joined = b"\n".join(texts)
+        words, places = hashing.words_at(joined.lower(), hashing.NO_WORD)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        doc = np.searchsorted(ends, places, "right")
+        found = hashing.grams(words, self.n)
+        some = np.flatnonzero(table[found >> np.uint64(64 - self.table_bits)])
+        some = some[doc[some] == doc[some + self.n - 1]]
+        low, high = (np.searchsorted(self.seeds, found[some], side) for side in ("left", "right"))
+        count = high - low
+        some, low, count = some[count > 0], low[count > 0], count[count > 0]
+        seed = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        word = np.repeat(some, count)
+        owner = doc[word]
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else []
+        firsts = np.searchsorted(doc, np.arange(len(texts)))
+        for a, b in zip(cuts, [*cuts[1:], len(owner)]):
+            k = int(owner[a])
+            yield k, word[a:b] - firsts[k], seed[a:b]
+
+    def align(self, words: list[bytes], starts: np.ndarray, seeds: np.ndarray) -> list[tuple]:
         """(item number, score, first word, last word, seeds) of the items found in a document."""
-        text = line.encode()
-        ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)  # the space before each word, and the last
         near: dict[int, list[int]] = {}
-        width = None if text.isascii() else np.cumsum([len(c.encode()) for c in line])
-        for end, key in hits:
-            last = end if width is None else int(width[end]) - 1
-            word = int(np.searchsorted(ends, last)) - self.n
-            for k, at in self.seeds[key]:
-                near.setdefault(k, []).append(word - at)
+        for k, shift in zip(self.own[seeds].tolist(), (starts - self.at[seeds]).tolist()):
+            near.setdefault(k, []).append(shift)
         out, held = [], set(words)
         for k, shifts in near.items():
-            item, need = self.items[k][1], self.needs[k]
+            item, need = self.item(k)
             if sum(n for w, n in need.items() if w in held) < self.threshold * len(item):  # bounds the score in any window
                 continue
             slack, best = len(item) // 2 + 4, None
@@ -120,17 +131,17 @@ class Finder:
                 out.append(best)
         return out
 
-
-    def lines(self, batch):
-        for text in tokens.each(batch.column(batch.schema.get_field_index("text"))):
-            words = words_of(text)
-            yield words, (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
-
     def leaks(self, batches):
         """Each batch with the found items of each of its rows."""
-        machine = automaton(self.seeds) if self.seeds else None  # none with n over the length of all items
+        table = np.zeros(1 << self.table_bits, bool)
+        table[self.seeds >> np.uint64(64 - self.table_bits)] = True
         for batch in batches:
-            yield batch, [self.align(words, line, hits) if machine and (hits := list(machine.iter(line))) else [] for words, line in self.lines(batch)]
+            found: list[list] = [[] for _ in range(batch.num_rows)]
+            for low, column in tokens.slices(batch.column(batch.schema.get_field_index("text")), 1_000_000):
+                texts = tokens.utf8(column)
+                for k, starts, seeds in self.hits(texts, table):
+                    found[low + k] = self.align(words_of(texts[k]), starts, seeds)
+            yield batch, found
 
     def find(self, batches):
         import pyarrow as pa
@@ -148,7 +159,7 @@ class Finder:
             yield batch.filter(pa.array([not some for some in found], pa.bool_()))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 8_000_000) -> DataFrame:
     """FOUND: a row for each document and item whose alignment reaches the threshold."""
     out = docs.sparkSession.createDataFrame([], FOUND)
     for finder in finders(benchmark, n, threshold, min_words, max_bytes):
@@ -156,7 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 32_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, min_words: int = 8, max_bytes: int = 8_000_000) -> DataFrame:
     """The rows of docs, all columns, in which no item is found."""
     out = docs
     for finder in finders(benchmark, n, threshold, min_words, max_bytes):
@@ -171,7 +182,7 @@ def finders(benchmark: DataFrame, n: int, threshold: float, min_words: int, max_
     blocks = -(-max(1, size) // max_bytes)
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        held = [(i, w) for i, t in block.collect() if len(w := words_of(t.encode())) >= min_words]  # about max_bytes of text
+        held = [(i, t.encode()) for i, t in block.collect() if len(words_of(t.encode())) >= min_words]  # about max_bytes of text
         if held:
             yield Finder(held, n, threshold)
 
