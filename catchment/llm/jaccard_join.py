@@ -9,15 +9,18 @@ part. Entities with a common part are candidates; candidates whose bit sketches
 the bound allows are dropped (the Hamming distance never exceeds the difference); the rest are verified on
 the whole sets.
 
-A key with few entities gives all its pairs. A larger one gives a star around its first entity, and its
-members are set down; after the stars are verified, the members of keys that still hold two components are
-compared by their sketches, in blocks of bounded size, and each pair of components hands on its closest
-pairs, more in each round, until it is linked or has no pair left. So no link between different texts is
-lost, and no group's pairs are all made. Keys are combined before the shuffle: a batch sends one pivot of
-a large key, and its members go to tasks of their own.
+A key with few entities gives all its pairs. A larger one gives a star around one of its entities (keys take
+turns in which comes first, so a cluster gets several centres), and its members are set down. After the stars
+are verified, the members of keys that still hold two components are compared by their sketches, in blocks of
+bounded size; each member hands on one partner, the closest of another component that may be a link. After
+these are verified too, the members that still have such a partner meet once more with their whole sets: a task tests
+the possible pairs of two blocks and hands on a forest of the links, no more rows than it read. So no
+link between components is lost, and no group's pairs are ever made. Keys are combined before the shuffle: a
+batch sends one pivot of a large key, and its members go to tasks of their own.
 
 Null text is empty. Rows that share a doc_id are separate documents; a null doc_id never names a
-component that has another. Set hashes have 64 bits; two sets with one hash stop the run.
+component that has another. Sets have names of 64 bits; sets that share one, found by a second hash, are named
+by that, in another pass (a bounded list).
 """
 
 from __future__ import annotations
@@ -27,72 +30,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catchment.llm import bloom_cascade, shared, tokens
+from catchment.llm.hashing import U, grams, mix, words_at
 
-U = np.uint64
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-BYTES = np.random.default_rng(11).integers(1 << 63, size=256, dtype=np.uint64) * U(2) + U(1)
-STEP = 0x9E3779B97F4A7C15 | 5
-SEGMENT = 1 << 18
 SMALL_RUN = 32
-BLOCK = 2048
+BLOCK = 1024
+MAX_RENAMED = 100_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads each bit over all."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's shingles."""
+    words, _ = words_at(text.lower())  # bytes: A-Z only
+    return np.unique(grams(words, min(width, len(words)))) if len(words) else words
 
-def powers(base: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, U), np.full(2 * SEGMENT, base & (2**64 - 1), U)]), dtype=U)
 
+def entity(found: np.ndarray) -> tuple[int, int]:
+    """Two independent hashes of a set."""
+    return tuple(int(np.bitwise_xor.reduce(mix(found + U(c))).view(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
-_POWERS: list[np.ndarray] = []
 
+class Names:
+    """The 64-bit name of a set: its first hash, or a mixture of the second for sets (first, second) that share the first with another."""
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums of a polynomial over the bytes."""
-    if not _POWERS:
-        _POWERS.extend((powers(STEP), powers(pow(STEP, -1, 2**64))))
-    up, down = _POWERS
-    out, low = [], 0
-    while low < len(text):
-        high = min(len(text), low + SEGMENT)
-        if high < len(text):  # cut at white space
-            cut = max(text.rfind(bytes([c]), low, high) for c in (9, 10, 11, 12, 13, 32))
-            high = cut + 1 if cut >= low else next((i for i in range(high, len(text)) if SPACE[text[i]]), len(text))
-        raw = np.frombuffer(text, np.uint8, high - low, low)
-        if len(raw) > 2 * SEGMENT:  # one very long word
-            import hashlib
+    def __init__(self, bits: int = 64, renamed: frozenset = frozenset()):
+        self.bits, self.renamed = bits, renamed
 
-            out += [np.frombuffer(hashlib.blake2b(w, digest_size=8).digest(), "<u8") for w in text[low:high].split()]
-        else:
-            inside = np.concatenate([[False], ~SPACE[raw], [False]])
-            edges = np.flatnonzero(inside[1:] != inside[:-1])
-            start, end = edges[::2], edges[1::2]
-            sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[raw] * up[: len(raw)], dtype=U)])
-            out.append(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U)))
-        low = high
-    return np.concatenate(out) if out else np.zeros(0, U)
+    def __call__(self, found: np.ndarray) -> tuple[int, int]:
+        name, extra = entity(found)
+        if self.bits < 64:
+            name &= (1 << self.bits) - 1
+        if self.renamed and (name, extra) in self.renamed:
+            name = int(mix(np.array([extra ^ 0x2545F4914F6CDD1D], np.int64).view(U)).view(np.int64)[0])
+        return name, extra
 
 
-def shingles(text: bytes, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = word_hashes(text.lower())  # bytes: A-Z only
-    if not len(words):
-        return words
-    size = min(width, len(words))
-    total = np.zeros(len(words) - size + 1, U)
-    for k in range(size):
-        total = total * U(0xD6E8FEB86659FD93) + words[k : k + len(total)]
-    return np.unique(mix(total))
-
-
-def entity(found: np.ndarray) -> tuple[int, int]:
-    """Two independent hashes of a set."""
-    return tuple(int(np.bitwise_xor.reduce(mix(found + U(c))).view(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+def turn(keys: np.ndarray, ents: np.ndarray) -> np.ndarray:
+    """A rank of entities that differs between keys, in one of four ways."""
+    return mix(ents ^ ((keys & U(3)) * U(0x9E3779B97F4A7C15)))
 
 
 def sketch_bits(size):
@@ -156,7 +129,7 @@ SHUFFLED = "bucket int, keys binary, entities binary, pivot_keys binary, pivots
 OUT = "kind int, key long, a long, b long, doc_id long, n int, entity long, extra long, text_hash long, sketch binary"
 
 
-def candidates(docs: DataFrame, buckets: int, width: int, percent: int = 75, batch_keys: int = 500_000) -> DataFrame:
+def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of: Names, batch_keys: int = 500_000) -> DataFrame:
     """OUT: kind 0 the documents, 1 candidate pairs a < b, 2 members (a) of large keys."""
 
     def spread(batches):
@@ -168,7 +141,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int = 75, bat
         def flush():
             nonlocal flushed
             k, e = (np.concatenate(x) if x else np.zeros(0, U) for x in (keys, ents))
-            order = np.lexsort((e, k))
+            order = np.lexsort((turn(k, e), k))
             k, e = k[order], e[order]
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (e[1:] != e[:-1])]) if len(k) else np.zeros(0, bool)
             k, e = k[new], e[new]
@@ -211,7 +184,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int = 75, bat
             seed = seed or int(batch.num_rows) * 7919 + (names[0] if names else 0)
             for text, name, null, text_hash in zip(texts, names, missing, batch.column("text_hash").to_pylist()):
                 found = shingles(text, width)
-                ent, check = entity(found) if len(found) else (0, 0)
+                ent, check = name_of(found) if len(found) else (0, 0)
                 rows.append(doc_record(name, null, len(found), ent, check, text_hash))
                 sketches.append(sketch(found))
                 if len(found):
@@ -237,7 +210,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int = 75, bat
         e = np.concatenate([load("entities", np.int64), load("pivots", np.int64)])
         flag = np.zeros(len(k), bool)
         flag[len(load("keys", np.uint32)) :] = True
-        order = np.lexsort((e, k))
+        order = np.lexsort((turn(k, e.view(U)), k))
         k, e, flag = k[order], e[order], flag[order]
         first, size = runs_of(k)
         some = size > 1
@@ -313,10 +286,41 @@ def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+class Possible:
+    """Members of two blocks (or one) of a key: which of them, in different components, may be links."""
+
+    def __init__(self, frame, percent: int):
+        self.percent = percent
+        self.ent, self.comp, self.n, self.block = (frame.column(c).to_numpy() for c in ("entity", "comp", "n", "block"))
+        words = [np.frombuffer(x, U) for x in frame.column("sketch").to_pylist()]
+        self.width = np.array([len(w) for w in words])
+        self.levels = {int(v): np.zeros((len(words), v), U) for v in np.unique(self.width)}
+        for v, rows_of in self.levels.items():
+            for x in np.flatnonzero(self.width >= v):
+                rows_of[x] = fold(words[x], v)
+        self.i, self.j = frame.column("i")[0].as_py(), frame.column("j")[0].as_py()
+
+    def pairs(self):
+        """For each member that has some: its place, the places of the others, and the bits in which their sketches differ."""
+        n, percent = self.n, self.percent
+        left, right = np.flatnonzero(self.block == self.i), np.flatnonzero(self.block == self.j)
+        for at in left:
+            to = right[(self.comp[right] != self.comp[at]) & ((self.ent[right] > self.ent[at]) if self.i == self.j else True)]
+            to = to[100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at])]
+            bits = np.zeros(len(to), np.int64)
+            for v in np.unique(self.width[to]):
+                some, low = self.width[to] == v, self.levels[int(min(v, self.width[at]))]
+                bits[some] = hamming(low[to[some]], low[at])
+            good = bits * (100 + percent) <= (n[to] + n[at]) * (100 - percent)
+            if good.any():
+                yield at, to[good], bits[good]
+
+
 def drop_near_duplicates(docs: DataFrame, work: str, **options) -> DataFrame:
     """The rows of docs, all columns, but one row only of each component: that of the smallest doc_id (null after all
     others), by the text's hash where ids are repeated, any one of rows with the same id and text."""
-    marks = Join(docs, work, **options).spare()
+    marks = shared.stash(Join(docs, f"{work}/join", **options).spare(), f"{work}/spare")
+    shared.remove(docs.sparkSession, f"{work}/join")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash"))
     same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
     if not marks.where("stays").limit(1).count():
@@ -330,7 +334,7 @@ def drop_near_duplicates(docs: DataFrame, work: str, **options) -> DataFrame:
 class Join:
     """The state of one join: its written tables, the links found so far and their components."""
 
-    def __init__(self, docs: DataFrame, work: str, percent: int = 75, width: int = 5):
+    def __init__(self, docs: DataFrame, work: str, percent: int = 75, width: int = 5, name_bits: int = 64):
         if not 0 < percent <= 100:
             raise ValueError(f"percent is {percent}; 1 to 100 are possible")
         self.docs, self.work, self.percent, self.width, self.step = docs.select("doc_id", "text"), work, percent, width, 0
@@ -338,12 +342,20 @@ class Join:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         # about 400 thousand keys a bucket: a word has six bytes and 0.4 keys
         buckets = max(shared.width(spark), size // 6_000_000)
-        found = self.keep(candidates(self.docs, buckets, width, percent))
-        self.rows = found.where("kind = 0").select("doc_id", "n", "entity", "extra", "text_hash")
-        reps = found.where("kind = 0 AND n > 0").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), (F.min("extra") != F.max("extra")).alias("clash"))
-        self.entities = self.keep(reps)
-        if self.entities.where("clash").limit(1).count():
-            raise ValueError("two sets share a 64-bit hash")
+        self.name_of = Names(name_bits)
+        while True:
+            found = self.keep(candidates(self.docs, buckets, width, percent, self.name_of))
+            self.rows = found.where("kind = 0").select("doc_id", "n", "entity", "extra", "text_hash")
+            reps = found.where("kind = 0 AND n > 0").groupBy("entity").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("extra").alias("extra"), F.max("extra").alias("high"))
+            self.entities = self.keep(reps)
+            shared_names = self.entities.where("extra != high").select("entity", F.col("extra").alias("first"))
+            clashes = self.rows.where("n > 0").join(F.broadcast(shared_names), "entity").where("extra != first").select("entity", "extra").distinct()
+            clashes = frozenset(map(tuple, clashes.limit(MAX_RENAMED + 1).collect())) if shared_names.limit(1).count() else frozenset()
+            if not clashes:
+                break
+            if len(clashes) > MAX_RENAMED:
+                raise ValueError(f"more than {MAX_RENAMED} sets share a name")
+            self.name_of = Names(name_bits, self.name_of.renamed | clashes)
         self.pairs = found.where("kind = 1").select("a", "b").distinct()
         self.members = found.where("kind = 2").select("key", F.col("a").alias("entity"))
         self.labels = spark.createDataFrame([], "entity long, comp long")
@@ -357,64 +369,78 @@ class Join:
         near = self.near(self.pairs)
         self.verify(self.keep(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
         self.verify(self.keep(self.apart(near)))
-        members, limit = self.members, 64
-        while True:
-            named = self.name(members, "entity")
-            split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
-            members = self.keep(named.join(split, "key").join(self.entities.select("entity", "n", "sketch"), "entity"))
-            if not members.limit(1).count():
-                return
-            found = self.keep(self.closest(members, limit))
-            self.verify(self.keep(found.select("a", "b").distinct()))
-            # a key without more has had all its pairs verified
-            again = self.keep(found.where("more").select("key").distinct())
-            if not again.limit(1).count():
-                return
-            members, limit = members.select("key", "entity").join(again, "key", "left_semi"), 8 * limit
-
-    def closest(self, members: DataFrame, limit: int) -> DataFrame:
-        """key, a, b, more: of each key, for each pair of its components, the `limit` closest pairs that may be links."""
+        left = self.partners(self.split(self.members))
+        ordered = left.select(F.least("entity", "partner").alias("a"), F.greatest("entity", "partner").alias("b"))
+        self.verify(self.keep(ordered.distinct()))
+        left = self.partners(self.split(left.select("key", "entity")))
+        if left.limit(1).count():
+            self.close(self.split(left.select("key", "entity")))
+
+    def split(self, members: DataFrame) -> DataFrame:
+        """Written members (key, entity, comp, size, n, sketch) of the keys that hold two components."""
+        named = self.name(members, "entity")
+        held = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
+        return self.keep(named.join(held, "key").join(self.entities.select("entity", "n", "sketch"), "entity"))
+
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """members dealt to the pairs i <= j of their key's blocks; the largest group has 2 * BLOCK rows or little more."""
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("entity"), blocks).cast("int")})
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", "entity", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other", "size")
+
+    def partners(self, members: DataFrame) -> DataFrame:
+        """Written (key, entity, partner): members with a partner in another component that may be a link, the closest one of each block."""
         percent = self.percent
 
         def test(frame):
             import pyarrow as pa
 
-            ent, comp, n, block = (frame.column(c).to_numpy() for c in ("entity", "comp", "n", "block"))
-            words = [np.frombuffer(x, np.uint64) for x in frame.column("sketch").to_pylist()]
-            width = np.array([len(w) for w in words])
-            levels = {int(v): np.zeros((len(words), v), np.uint64) for v in np.unique(width)}
-            for v, rows_of in levels.items():
-                for x in np.flatnonzero(width >= v):
-                    rows_of[x] = fold(words[x], v)
-            i, j = frame.column("i")[0].as_py(), frame.column("j")[0].as_py()
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            out = []
-            for at in left:
-                to = right[(comp[right] != comp[at]) & ((ent[right] > ent[at]) if i == j else True)]
-                to = to[100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at])]
-                bits = np.zeros(len(to), np.int64)
-                for v in np.unique(width[to]):
-                    some, low = width[to] == v, levels[int(min(v, width[at]))]
-                    bits[some] = hamming(low[to[some]], low[at])
-                good = bits * (100 + percent) <= (n[to] + n[at]) * (100 - percent)
-                out.append(np.stack([np.full(good.sum(), at), to[good], bits[good]], 1))
-            x, y, bits = np.concatenate(out).T if out else np.zeros((3, 0), np.int64)
-            low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-            order = np.lexsort((bits, high, low))
-            x, y, low, high = x[order], y[order], low[order], high[order]
-            first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(x) else np.zeros(0, np.int64)
-            size = np.diff(np.concatenate([first, [len(x)]]))
-            rank = np.arange(len(x)) - np.repeat(first, size)
-            take, more = rank < limit, np.repeat(size > limit, size)
-            a, b = np.minimum(ent[x], ent[y])[take], np.maximum(ent[x], ent[y])[take]
-            names = np.full(len(a), frame.column("key")[0].as_py(), np.int64)
-            return pa.Table.from_arrays([pa.array(names), pa.array(a), pa.array(b), pa.array(more[take])], ["key", "a", "b", "more"])
-
-        return rows.groupBy("key", "i", "j").applyInArrow(test, "key long, a long, b long, more boolean")
+            ent, near = frame.column("entity").to_numpy(), Possible(frame, percent)
+            best, closest = np.full(len(ent), np.iinfo(np.int64).max), np.zeros(len(ent), np.int64)
+            for at, to, bits in near.pairs():
+                if bits.min() < best[at]:
+                    best[at], closest[at] = bits.min(), to[bits.argmin()]
+                nearer = bits < best[to]
+                best[to[nearer]], closest[to[nearer]] = bits[nearer], at
+            some = np.flatnonzero(best < np.iinfo(np.int64).max)
+            names = np.full(len(some), frame.column("key")[0].as_py(), np.int64)
+            return pa.Table.from_arrays([pa.array(names), pa.array(ent[some]), pa.array(ent[closest[some]])], ["key", "entity", "partner"])
+
+        found = self.blocks(members).groupBy("key", "i", "j").applyInArrow(test, "key long, entity long, partner long")
+        return self.keep(found)
+
+    def close(self, members: DataFrame) -> None:
+        """Merges the components of all links between members of one key, tested on their whole sets."""
+        held = self.sets(members.select("entity").distinct())
+        both = self.blocks(members).join(held, "entity")
+        percent = self.percent
+
+        def test(frame):
+            import pyarrow as pa
+
+            ent, comp, near = frame.column("entity").to_numpy(), frame.column("comp").to_numpy(), Possible(frame, percent)
+            found = [np.frombuffer(x, U) for x in frame.column("found").to_pylist()]
+            over: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in over:
+                    x = over[x]
+                return x
+
+            links = []
+            for at, to, bits in near.pairs():
+                for other in to[np.argsort(bits, kind="stable")].tolist():
+                    x, y = top(int(comp[at])), top(int(comp[other]))
+                    if x != y:
+                        common = len(np.intersect1d(found[at], found[other], assume_unique=True))
+                        if 100 * common >= percent * (len(found[at]) + len(found[other]) - common):
+                            over[x] = y
+                            links.append((int(ent[at]), int(ent[other])))
+            a, b = zip(*links) if links else ((), ())
+            return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        self.merge(self.keep(both.groupBy("key", "i", "j").applyInArrow(test, "a long, b long").distinct()))
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Written pairs whose sizes and sketches allow a link."""
@@ -442,15 +468,11 @@ class Join:
         left = self.name(pairs, "a").withColumnRenamed("comp", "comp_a")
         return self.name(left, "b").where("comp != comp_a").select("a", "b")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Merges the components of the pairs that reach the similarity."""
-        wanted = self.entities.join(pairs.select(F.explode(F.array("a", "b")).alias("entity")), "entity", "left_semi").select(F.col("rep").alias("doc_id"))
-        wanted = self.keep(wanted)
-        count = wanted.count()
-        if not count:
-            return
-        known = bloom_cascade.Level(wanted.select(F.col("doc_id").alias("key")), count, 0.02, 99, 1 << 23)
-        width = self.width
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """entity, found (its shingles as 64-bit integers) of the wanted entities and some others, one row each."""
+        wanted = self.keep(self.entities.join(wanted, "entity", "left_semi").select(F.col("rep").alias("key")))
+        known = bloom_cascade.Level(wanted, wanted.count(), 0.02, 99, 1 << 23)
+        width, name_of = self.width, self.name_of
 
         def sets(batches):
             import pyarrow as pa
@@ -458,14 +480,36 @@ class Join:
             for batch in batches:
                 for low in range(0, batch.num_rows, 256):
                     found = [s for s in (shingles(t, width) for t in tokens.each(batch.column("text").slice(low, 256))) if len(s)]
-                    yield pa.RecordBatch.from_arrays([pa.array([entity(s)[0] for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["entity", "found"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name_of(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["entity", "found"])
 
-        held = self.docs.where(known.holds("doc_id")).mapInArrow(sets, "entity long, found array<long>")
+        held = self.docs.where(known.holds("doc_id")).mapInArrow(sets, "entity long, found binary")
+        return held.groupBy("entity").agg(F.first("found").alias("found"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Merges the components of the written pairs that reach the similarity."""
+        if not pairs.limit(1).count():
+            return
+        held = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct())
         a, b = (held.select(F.col("entity").alias(c), F.col("found").alias(f"f_{c}")) for c in "ab")
-        both = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a")
-        common = F.size(F.array_intersect("f_a", "f_b"))
-        union = F.size("f_a") + F.size("f_b") - common
-        linked = self.keep(both.where(100 * common >= self.percent * union).select("a", "b").distinct())
+        hot = shared.hot_keys(self.keep(pairs.groupBy("a").count()), "a", "count")  # the centres of large stars
+        both = shared.salted_join(pairs.join(b.hint("merge"), "b"), a, "a", hot, F.xxhash64("b"), shared.width(self.spark))
+        percent = self.percent
+
+        def check(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("f_a"), batch.column("f_b")):
+                    x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+        self.merge(self.keep(both.select("a", "b", "f_a", "f_b").mapInArrow(check, "a long, b long").distinct()))
+
+    def merge(self, linked: DataFrame) -> None:
+        """Merges the components of the written links a, b."""
         ends = self.name(linked, "a").withColumnRenamed("comp", "comp_a")
         ends = self.name(ends, "b").select(F.col("comp_a").alias("a"), F.col("comp").alias("b")).where("a != b").distinct()
         merged = components(ends, f"{self.work}/{self.step}-labels").select(F.col("entity").alias("comp"), F.col("comp").alias("to"))
@@ -497,7 +541,7 @@ class Join:
         hot = shared.hot_keys(self.entities, "entity", "copies")
         found = shared.salted_join(keys, named, "entity", hot, F.xxhash64("doc_id", "text_hash"), shared.width(self.spark))
         best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash"))
-        return self.keep(found.where(~best | (F.col("n_rows") > 1)).select("doc_id", "text_hash", best.alias("stays")))
+        return found.where(~best | (F.col("n_rows") > 1)).select("doc_id", "text_hash", best.alias("stays"))
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -518,4 +562,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
 
 def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Join(docs, shared.work_dir(spark, "jaccard")).result()
+    work = shared.work_dir(spark, "jaccard")
+    found = shared.stash(Join(docs, f"{work}/join").result(), f"{work}/found")
+    shared.remove(spark, f"{work}/join")
+    return found

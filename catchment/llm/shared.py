@@ -39,6 +39,12 @@ def stash(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this run wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parts(df: DataFrame, each: int = 64_000_000) -> int:
     """How many partitions df needs for about `each` bytes of the tables it reads in one, and no fewer than the session's."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catchment.llm import bloom_cascade, decontaminate, exact_index, jaccard_join, langid, license_join, line_chunks, packing, shared, sharding, token_planes, tokens
+from catchment.llm import bloom_cascade, decontaminate, exact_index, hashing, jaccard_join, langid, license_join, line_chunks, packing, shared, sharding, token_planes, tokens
 
 from .conftest import prose
 
@@ -30,28 +30,53 @@ def clashing(docs):
 
 # 1 exact dedup
 
-def test_exact_dedup(spark, docs, rows, work):
-    index = exact_index.DigestIndex(spark, work)
-    index.add(clashing(docs))
-    got = Counter((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in index.resolve(clashing(docs)).collect())
+def brute_groups(rows):
+    """keep_id and group size of each text, and all rows as (doc_id, keep_id, size, kept, digest): one kept row a text."""
     groups = defaultdict(list)
     for i, t in rows:
         groups[t or ""].append(i)
     want = Counter()
-    for i, t in rows:
-        ids = [x for x in groups[t or ""] if x is not None]
-        keep = max(ids, default=None)
-        want[i, keep, len(groups[t or ""]), i == keep, hashlib.sha256((t or "").encode()).hexdigest()] += 1
-    assert got == want
+    for t, ids in groups.items():
+        keep = max((x for x in ids if x is not None), default=None)
+        digest = hashlib.sha256(t.encode()).hexdigest()
+        want.update((i, keep, len(ids), False, digest) for i in ids)
+        want[keep, keep, len(ids), False, digest] -= 1
+        want[keep, keep, len(ids), True, digest] += 1
+    return +want
 
 
-def test_index_persists_and_first_batch_wins(spark, work):
-    mk = lambda *r: spark.createDataFrame(r, "doc_id long, text string")
-    exact_index.DigestIndex(spark, work, 4).add(mk((1, "a"), (2, "b"), (3, "a")))
-    again = exact_index.DigestIndex(spark, work, 4)  # as another session would open it
-    again.add(mk((9, "a"), (8, "c")))
-    assert {(x.keep_id, x.group_size) for x in again.read().collect()} == {(3, 2), (2, 1), (8, 1)}
-    assert {(x.doc_id, x.keep_id, x.kept) for x in again.resolve(mk((9, "a"), (8, "c"))).collect()} == {(9, 3, False), (8, 8, True)}
+def test_exact_dedup(spark, docs, rows, work):
+    index = exact_index.DigestIndex(spark, f"{work}/index")
+    held = exact_index.digested(clashing(docs), f"{work}/rows")
+    index.add(held)
+    got = Counter((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in index.resolve(held).collect())
+    assert got == brute_groups(rows)
+
+
+def test_index_persists_and_batches_merge(spark, rows, work):
+    """Batches added by sessions with other partition counts; an index knows its own number of buckets."""
+    path, held = f"{work}/index", []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, width in enumerate((8, 4, 3, 16)):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            index = exact_index.DigestIndex(spark, path)
+            assert index.buckets == 8
+            batch = spark.createDataFrame(rows[k::4], "doc_id long, text string")
+            held.append(exact_index.digested(batch, f"{work}/rows-{k}", k))
+            index.add(held[-1])
+            index.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    index = exact_index.DigestIndex(spark, path)
+    assert index.entries().count() == len({t or "" for _, t in rows})
+    assert spark.table(index.name).where("fresh").count() == len({t or "" for _, t in rows})
+    found = index.resolve(held[0].union(held[1]).union(held[2]).union(held[3]))
+    index.close()
+    assert Counter(tuple(x) for x in found.collect()) == brute_groups(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name == index.name]
+    with pytest.raises(ValueError):
+        exact_index.DigestIndex(spark, path, 5)
 
 
 # 2 token planes
@@ -236,6 +261,10 @@ def test_repeated_passages_go_whole(spark, work, tmp_path):
 
 # 5 decontamination
 
+def word_grams(words, n):
+    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
 def test_alignment_matches_plain_recurrence():
     rng = random.Random(6)
     for _ in range(60):
@@ -281,7 +310,7 @@ def test_edited_copies_of_frequent_items(spark):
     for _, w in items:
         for edits in [*([[at + 2 for at in range(0, len(w) - 2, 6)]] * 2), *([rng.sample(range(len(w)), len(w) // 4) for _ in range(60)])]:
             texts.append(" ".join([prose(rng, 15, 15), *(f"changed{j}" if j in edits else x for j, x in enumerate(w)), prose(rng, 15, 15)]))
-        own = decontaminate.grams([x.encode() for x in w], 3)
+        own = word_grams(w, 3)
         seeds = [min(range(at, min(at + 6, len(own))), key=lambda j: own[j]) for at in range(0, len(own), 6)]
         texts.append(" ".join("changed" if j - 1 in seeds else x for j, x in enumerate(w)))  # one word in the first 3-gram of each 6 places
     want = set()
@@ -291,7 +320,7 @@ def test_edited_copies_of_frequent_items(spark):
             item = [x.encode() for x in w]
             ids = {x: j for j, x in enumerate(item)}
             score = decontaminate.smith_waterman(np.arange(len(item)), np.array([ids.get(x, -1) for x in words]))[0]
-            if score >= len(item) and set(decontaminate.grams(item, 3)) & set(decontaminate.grams(words, 3)):
+            if score >= len(item) and set(word_grams(item, 3)) & set(word_grams(words, 3)):
                 want.add((i, k))
     assert len(want) > 150
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -412,7 +441,7 @@ def test_language_rows(spark, docs, empty):
 
 # 10 near duplicates
 
-def brute_components(rows):
+def brute_components(rows, percent=75):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
@@ -426,9 +455,9 @@ def brute_components(rows):
         return x
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 4 >= 3 * max(len(sets[a]), len(sets[b])):
+        if sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) * 100 >= percent * max(len(sets[a]), len(sets[b])):
             common = len(sets[a] & sets[b])
-            if 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 parent[find(a)] = find(b)
     least = defaultdict(list)
     for k, (i, _) in enumerate(rows):
@@ -460,6 +489,28 @@ def test_components_in_blocks(spark, work, monkeypatch):
     assert Counter(tuple(x) for x in got) == brute_components(rows)
 
 
+def test_components_with_shared_names(docs, rows, work):
+    """Names of ten bits: most sets share one with others and are named anew."""
+    got = jaccard_join.Join(docs, work, name_bits=10).result().collect()
+    assert Counter(tuple(x) for x in got) == brute_components(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 90])
+def test_links_at_other_percents(spark, work, percent):
+    rng = random.Random(percent)
+    rows = []
+    for g in range(12):
+        base = prose(rng, 120, 120).split()
+        for k in range(5):
+            words = list(base)
+            for at in rng.sample(range(120), 2 * k):
+                words[at] = f"c{g}x{k}x{at}"
+            rows.append((5 * g + k, " ".join(words)))
+    got = jaccard_join.Join(spark.createDataFrame(rows, "doc_id long, text string"), work, percent=percent).result().collect()
+    want = brute_components(rows, percent)
+    assert Counter(tuple(x) for x in got) == want and 12 < len({c for _, _, c in want}) < 60
+
+
 @pytest.mark.parametrize("percent", [20, 40, 60, 90])
 def test_parts_meet_at_any_percent(percent):
     """Sets whose similarity just reaches percent have a common key."""
@@ -483,9 +534,13 @@ def test_sketch_bounds_difference():
 
 def test_words_hash_apart():
     words = [f"{a}{b}".encode() for a in range(300) for b in "abcé"]
-    assert len(set(jaccard_join.word_hashes(b" ".join(words)).tolist())) == len(set(words))
-    one = jaccard_join.word_hashes(b"alpha \t\n beta")
-    assert np.array_equal(one, jaccard_join.word_hashes(b"  alpha\x0bbeta "))
+    assert len(set(hashing.words_at(b" ".join(words))[0].tolist())) == len(set(words))
+    one = hashing.words_at(b"alpha \t\n beta")[0]
+    assert np.array_equal(one, hashing.words_at(b"  alpha\x0bbeta ")[0])
+    text = b"x" * 700_000 + b" mid " + b"y" * 300_000 + b" end"  # words longer than a segment
+    found, places = hashing.words_at(text)
+    assert places.tolist() == [0, 700_001, 700_005, 1_000_006] and np.array_equal(found[1::2], hashing.words_at(b"mid end")[0])
+    assert np.array_equal(hashing.words_at(b"a-b,c", hashing.NO_WORD)[0], hashing.words_at(b"a b c")[0])
 
 
 def test_one_row_of_each_component_stays(spark, work):
@@ -515,8 +570,9 @@ def test_one_row_of_each_component_stays(spark, work):
 
 def test_empty_tables(spark, empty, work, tokenizer):
     index = exact_index.DigestIndex(spark, f"{work}/1")
-    index.add(empty)
-    assert index.resolve(empty).count() == 0
+    nothing = exact_index.digested(empty, f"{work}/1-rows")
+    index.add(nothing)
+    assert index.resolve(nothing).count() == 0
     token_planes.write_planes(empty, f"{work}/2", tokenizer)
     assert token_planes.read_planes(spark, f"{work}/2").count() == 0
     assert license_join.scan_licenses(empty).count() == 0
