@@ -10,13 +10,15 @@ the bound allows are dropped (the Hamming distance never exceeds the difference)
 the whole sets.
 
 A key with few entities gives all its pairs. A larger one gives a star around one of its entities (keys take
-turns in which comes first, so a cluster gets several centres), and its members are set down. After the stars
-are verified, the members of keys that still hold two components are compared by their sketches, in blocks of
-bounded size; each member hands on one partner, the closest of another component that may be a link. After
-these are verified too, the members that still have such a partner meet once more with their whole sets: a task tests
-the possible pairs of two blocks and hands on a forest of the links, no more rows than it read. So no
-link between components is lost, and no group's pairs are ever made. Keys are combined before the shuffle: a
-batch sends one pivot of a large key, and its members go to tasks of their own.
+turns in which comes first, so a cluster gets several centres), and its members are set down; the stars are verified.
+Then the entities of large keys that still hold two components list their parts anew, those of these keys last (the
+order is again one for all of them), and meet by what they keep now: texts that share a passage with many
+others meet by the rest of them. What is still large and split after some rounds is compared by sketches, in blocks of
+bounded size: the members outside of the key's largest component with all others. Each hands on one partner, the
+closest of another component that may be a link; after these are verified, the members that still have such a
+partner meet with their whole sets, and a task hands on a forest of the links, no more rows than it read.
+So no link between components is lost, and no group's pairs are ever made. Keys are combined before the
+shuffle: a batch sends one pivot of a large key, and its members go to tasks of their own.
 
 Null text is empty. Rows that share a doc_id are separate documents; a null doc_id never names a
 component that has another. Sets have names of 64 bits; sets that share one, found by a second hash, are named
@@ -33,8 +35,10 @@ from catchment.llm import bloom_cascade, shared, tokens
 from catchment.llm.hashing import U, grams, mix, words_at
 
 SMALL_RUN = 32
-BLOCK = 1024
+BLOCK = 2048
 MAX_RENAMED = 100_000
+#: Large keys whose parts are put last in a round (a sorted array that goes to every task), and rounds.
+MAX_LAST, ROUNDS = 200_000, 2
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -92,11 +96,12 @@ def band(size: int) -> int:
     return (size.bit_length() - 1) // 2  # sizes 4^k up to 4^(k+1) - 1
 
 
-def part_keys(found: np.ndarray, percent: int = 75) -> np.ndarray:
+def part_keys(found: np.ndarray, percent: int = 75, last: np.ndarray | None = None, buckets: int = 1) -> np.ndarray:
     """The keys an entity keeps, in its own band and, if larger partners reach into them, the next ones.
 
     Sets of a and b >= a shingles that reach `percent` have b <= 100 a / percent, so they differ in at most
     (a + b) (100 - percent) / (100 + percent) <= a (100 - percent) / percent shingles: one third of a at 75.
+    last: sorted short keys whose parts come last in the order.
     """
     size, out = len(found), []
     for k in range(band(size), band(size * 100 // percent) + 1):
@@ -109,7 +114,10 @@ def part_keys(found: np.ndarray, percent: int = 75) -> np.ndarray:
         full = np.diff(np.concatenate([first, [size]]))
         name = at[first].astype(U) * U(64) + U(k)
         keys = mix(np.bitwise_xor.reduceat(values, first) + mix(name))
-        rank = (U(3) - np.minimum(full, 3).astype(U)) << U(62) | keys >> U(2)
+        rank = (U(3) - np.minimum(full, 3).astype(U)) << U(61) | keys >> U(3)
+        if last is not None and len(last):
+            own = short(keys, buckets)
+            rank |= (last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own).astype(U) << U(63)
         if len(keys) > keep:
             keys = keys[np.argpartition(rank, keep - 1)[:keep]]
         elif len(keys) < keep:  # empty parts come last in the order
@@ -120,6 +128,11 @@ def part_keys(found: np.ndarray, percent: int = 75) -> np.ndarray:
     return np.concatenate(out)
 
 
+def short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys as their bucket and 32 more bits, the form in which they meet."""
+    return (keys // U(buckets)).astype(np.uint32).astype(U) * U(buckets) + keys % U(buckets)
+
+
 def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return first, np.diff(np.concatenate([first, [len(keys)]]))
@@ -129,8 +142,8 @@ SHUFFLED = "bucket int, keys binary, entities binary, pivot_keys binary, pivots
 OUT = "kind int, key long, a long, b long, doc_id long, n int, entity long, extra long, text_hash long, sketch binary"
 
 
-def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of: Names, batch_keys: int = 500_000) -> DataFrame:
-    """OUT: kind 0 the documents, 1 candidate pairs a < b, 2 members (a) of large keys."""
+def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of: Names, last: np.ndarray | None = None, batch_keys: int = 500_000) -> DataFrame:
+    """OUT: kind 0 the documents (in the first round, without last), 1 candidate pairs a < b, 2 members (a) of large keys."""
 
     def spread(batches):
         import pyarrow as pa
@@ -154,7 +167,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of:
             out = []
             for i in np.flatnonzero((np.diff(own_cut) > 0) | (np.diff(piv_cut) > 0)):
                 s, t = slice(own_cut[i], own_cut[i + 1]), slice(piv_cut[i], piv_cut[i + 1])
-                out.append((int(i), small(own_k[s]), own_e[s].tobytes(), small(piv_k[t]), piv_e[t].tobytes(), b"", b"", b"", b""))
+                out.append((int(i), packed(own_k[s]), own_e[s].tobytes(), packed(piv_k[t]), piv_e[t].tobytes(), b"", b"", b"", b""))
             big_k, big_e = k[big], e[big]
             for i in range(0, len(big_k), 50_000):  # members of large keys go anywhere
                 out.append((spot(), b"", b"", b"", b"", big_k[i : i + 50_000].tobytes(), big_e[i : i + 50_000].tobytes(), b"", b""))
@@ -168,7 +181,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of:
             order = np.argsort(b, kind="stable")
             return k[order], e[order], np.searchsorted(b[order], np.arange(buckets + 1))
 
-        def small(k):
+        def packed(k):
             return (k // U(buckets)).astype(np.uint32).tobytes()  # 32 bits besides the bucket
 
         def spot():
@@ -185,10 +198,11 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of:
             for text, name, null, text_hash in zip(texts, names, missing, batch.column("text_hash").to_pylist()):
                 found = shingles(text, width)
                 ent, check = name_of(found) if len(found) else (0, 0)
-                rows.append(doc_record(name, null, len(found), ent, check, text_hash))
-                sketches.append(sketch(found))
+                if last is None:
+                    rows.append(doc_record(name, null, len(found), ent, check, text_hash))
+                    sketches.append(sketch(found))
                 if len(found):
-                    kept = part_keys(found, percent)
+                    kept = part_keys(found, percent, last, buckets)
                     keys.append(kept)
                     ents.append(np.full(len(kept), ent, np.int64).view(U))
                     held += len(kept)
@@ -212,6 +226,8 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of:
         flag[len(load("keys", np.uint32)) :] = True
         order = np.lexsort((turn(k, e.view(U)), k))
         k, e, flag = k[order], e[order], flag[order]
+        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (e[1:] != e[:-1])])) if len(k) else np.zeros(0, np.int64)
+        k, e, flag = k[new], e[new], np.logical_or.reduceat(flag, new) if len(new) else flag  # copies in other batches
         first, size = runs_of(k)
         some = size > 1
         large = (size > SMALL_RUN) | (np.logical_or.reduceat(flag, first) if len(k) else False)
@@ -231,8 +247,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of:
         bf, bs = runs_of(bk)
         a.append(np.repeat(bm[bf], bs))
         b.append(bm)
-        short = (bk // U(buckets)).astype(np.uint32).astype(U) * U(buckets) + bk % U(buckets)
-        member_key, member = np.concatenate([member_key, short]).view(np.int64), np.concatenate([member, bm])
+        member_key, member = np.concatenate([member_key, short(bk, buckets)]).view(np.int64), np.concatenate([member, bm])
         a, b = np.concatenate(a), np.concatenate(b)
         low, high = np.minimum(a, b), np.maximum(a, b)
         pairs = np.unique(np.stack([low, high], 1)[low != high], axis=0) if len(low) else np.zeros((0, 2), np.int64)
@@ -287,25 +302,26 @@ def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 class Possible:
-    """Members of two blocks (or one) of a key: which of them, in different components, may be links."""
+    """Strays (members outside of the key's largest component) and the members at home in a block: which of them, in different components, may be links."""
 
     def __init__(self, frame, percent: int):
         self.percent = percent
-        self.ent, self.comp, self.n, self.block = (frame.column(c).to_numpy() for c in ("entity", "comp", "n", "block"))
+        self.ent, self.comp, self.n = (frame.column(c).to_numpy() for c in ("entity", "comp", "n"))
+        self.stray, self.guest = (frame.column(c).to_numpy().astype(bool) for c in ("stray", "guest"))
         words = [np.frombuffer(x, U) for x in frame.column("sketch").to_pylist()]
         self.width = np.array([len(w) for w in words])
         self.levels = {int(v): np.zeros((len(words), v), U) for v in np.unique(self.width)}
         for v, rows_of in self.levels.items():
             for x in np.flatnonzero(self.width >= v):
                 rows_of[x] = fold(words[x], v)
-        self.i, self.j = frame.column("i")[0].as_py(), frame.column("j")[0].as_py()
 
     def pairs(self):
-        """For each member that has some: its place, the places of the others, and the bits in which their sketches differ."""
+        """For each stray that has some: its place, the places of the others, and the bits in which their sketches differ."""
         n, percent = self.n, self.percent
-        left, right = np.flatnonzero(self.block == self.i), np.flatnonzero(self.block == self.j)
-        for at in left:
-            to = right[(self.comp[right] != self.comp[at]) & ((self.ent[right] > self.ent[at]) if self.i == self.j else True)]
+        home = np.flatnonzero(~self.guest)
+        for at in np.flatnonzero(self.guest):
+            # two strays meet where the one with the larger name is at home
+            to = home[(self.comp[home] != self.comp[at]) & (~self.stray[home] | (self.ent[home] > self.ent[at]))]
             to = to[100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at])]
             bits = np.zeros(len(to), np.int64)
             for v in np.unique(self.width[to]):
@@ -356,38 +372,61 @@ class Join:
             if len(clashes) > MAX_RENAMED:
                 raise ValueError(f"more than {MAX_RENAMED} sets share a name")
             self.name_of = Names(name_bits, self.name_of.renamed | clashes)
-        self.pairs = found.where("kind = 1").select("a", "b").distinct()
-        self.members = found.where("kind = 2").select("key", F.col("a").alias("entity"))
+        self.buckets = buckets
         self.labels = spark.createDataFrame([], "entity long, comp long")
-        self.run()
+        self.run(found)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.step += 1
         return shared.stash(df, f"{self.work}/{self.step}")
 
-    def run(self) -> None:
-        near = self.near(self.pairs)
-        self.verify(self.keep(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-        self.verify(self.keep(self.apart(near)))
-        left = self.partners(self.split(self.members))
+    def run(self, found: DataFrame) -> None:
+        members, rest, last = self.meet(found), [], np.zeros(0, U)
+        for _ in range(ROUNDS):
+            sizes = self.keep(members.groupBy("key").count())
+            total = sizes.agg(F.sum("count")).first()[0] or 0
+            large = sizes.where(F.col("count") >= max(SMALL_RUN, -(-total // MAX_LAST))).select("key")  # MAX_LAST at most
+            new = large.toArrow().column("key").to_numpy()
+            if not len(new):
+                break
+            rest.append(members.join(F.broadcast(large), "key", "left_anti"))
+            names = members.join(F.broadcast(large), "key", "left_semi").select("entity").distinct()
+            last = np.union1d(last, new.view(U))
+            again = candidates(self.some_docs(names), self.buckets, self.width, self.percent, self.name_of, last)
+            members = self.meet(self.keep(again))
+        for more in rest:
+            members = members.unionByName(self.split(more.select("key", "entity")))
+        left = self.partners(members)
         ordered = left.select(F.least("entity", "partner").alias("a"), F.greatest("entity", "partner").alias("b"))
         self.verify(self.keep(ordered.distinct()))
-        left = self.partners(self.split(left.select("key", "entity")))
+        left = self.partners(self.split(left.select("key", "entity").distinct()))
         if left.limit(1).count():
-            self.close(self.split(left.select("key", "entity")))
+            self.close(self.split(left.select("key", "entity").distinct()))
+
+    def meet(self, found: DataFrame) -> DataFrame:
+        """Verifies the pairs of written candidates, stars first; what their large keys still hold (see split)."""
+        near = self.near(found.where("kind = 1").select("a", "b").distinct())
+        self.verify(self.keep(self.apart(near).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+        self.verify(self.keep(self.apart(near)))
+        return self.split(found.where("kind = 2").select("key", F.col("a").alias("entity")).distinct())
 
     def split(self, members: DataFrame) -> DataFrame:
-        """Written members (key, entity, comp, size, n, sketch) of the keys that hold two components."""
+        """Written members (key, entity, comp, size, strays, stray, n, sketch) of the keys that hold two components."""
         named = self.name(members, "entity")
-        held = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
-        return self.keep(named.join(held, "key").join(self.entities.select("entity", "n", "sketch"), "entity"))
+        comps = named.groupBy("key", "comp").agg(F.count("*").alias("own"))
+        held = comps.groupBy("key").agg(F.max(F.struct("own", "comp")).alias("main"), F.sum("own").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+        held = held.select("key", "main.comp", "size", (F.col("size") - F.col("main.own")).alias("strays")).withColumnRenamed("comp", "main")
+        rows = named.join(held, "key").withColumn("stray", F.col("comp") != F.col("main")).drop("main")
+        return self.keep(rows.join(self.entities.select("entity", "n", "sketch"), "entity"))
 
     def blocks(self, members: DataFrame) -> DataFrame:
-        """members dealt to the pairs i <= j of their key's blocks; the largest group has 2 * BLOCK rows or little more."""
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("entity"), blocks).cast("int")})
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other", "size")
+        """members dealt to (key, i, j): block i of the key's strays (guest) meets block j of its members; about 2 * BLOCK rows at most."""
+        guests, homes = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("strays", "size"))
+        rows = members.withColumns({"guests": guests, "homes": homes, "hash": F.xxhash64("entity")}).drop("size", "strays")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        home = rows.withColumns({"guest": F.lit(False), "j": F.pmod("hash", "homes").cast("int")}).withColumn("i", every("guests"))
+        guest = rows.where("stray").withColumns({"guest": F.lit(True), "i": F.pmod("hash", "guests").cast("int")}).withColumn("j", every("homes"))
+        return home.unionByName(guest).drop("guests", "homes", "hash")
 
     def partners(self, members: DataFrame) -> DataFrame:
         """Written (key, entity, partner): members with a partner in another component that may be a link, the closest one of each block."""
@@ -468,10 +507,13 @@ class Join:
         left = self.name(pairs, "a").withColumnRenamed("comp", "comp_a")
         return self.name(left, "b").where("comp != comp_a").select("a", "b")
 
+    def some_docs(self, wanted: DataFrame) -> DataFrame:
+        """Documents that hold the wanted entities, and some others."""
+        wanted = self.keep(self.entities.join(wanted, "entity", "left_semi").select(F.col("rep").alias("key")))
+        return self.docs.where(bloom_cascade.Level(wanted, wanted.count(), 0.02, 99, 1 << 23).holds("doc_id"))
+
     def sets(self, wanted: DataFrame) -> DataFrame:
         """entity, found (its shingles as 64-bit integers) of the wanted entities and some others, one row each."""
-        wanted = self.keep(self.entities.join(wanted, "entity", "left_semi").select(F.col("rep").alias("key")))
-        known = bloom_cascade.Level(wanted, wanted.count(), 0.02, 99, 1 << 23)
         width, name_of = self.width, self.name_of
 
         def sets(batches):
@@ -482,7 +524,7 @@ class Join:
                     found = [s for s in (shingles(t, width) for t in tokens.each(batch.column("text").slice(low, 256))) if len(s)]
                     yield pa.RecordBatch.from_arrays([pa.array([name_of(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["entity", "found"])
 
-        held = self.docs.where(known.holds("doc_id")).mapInArrow(sets, "entity long, found binary")
+        held = self.some_docs(wanted).mapInArrow(sets, "entity long, found binary")
         return held.groupBy("entity").agg(F.first("found").alias("found"))
 
     def verify(self, pairs: DataFrame) -> None:
