@@ -3,12 +3,15 @@
 Level 1 encodes the listed keys; level 2 the other keys of the universe that level 1 takes for listed;
 level 3 the listed keys that level 2 takes for others; and so on until a level has no false positive.
 A key of the universe is listed if the first level that rejects it has an even number. Filters are
-literals of the lookup expression. A cascade holds at most `max_keys` listed keys; a longer list is cut
-by hash into more cascades, of which `per_pass` stand in one expression and the rest in further passes
-over the rows, so no literal grows with the data. Built-in expressions only.
+literals of the lookup expression. A cascade holds about `max_keys` listed keys; a longer list is cut by hash
+into more cascades, of which `per_pass` stand in one expression and the rest in further passes over their own
+part of the rows. Level 1's rate follows the universe: it takes fewer others for listed than there are listed
+keys, so all levels together have max_keys * (1.44 log2(universe / listed) + some 12) bits, whatever the number of other keys.
+Built-in expressions only.
 
 A null url, or one without ://, has an empty host and path. Such keys, like any other, are exact as long
-as they were in the universe. An empty list allows everything; an empty table gives an empty result.
+as they were in the universe. A null key is never listed. Repeated keys count once; listed keys outside of the universe
+do no harm. An empty list allows everything; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from catchment.llm import shared
 #: rule (host and path prefix), verdict
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-#: Names that, as a label of a host, put its pages on the list.
+#: The query's list stands in for a block list: keys below hosts with one of these labels, and keys whose MD5 begins with LISTED_MD5, which no host or path tells.
+LISTED_MD5 = "0"
 LISTED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
@@ -73,18 +77,26 @@ class Level:
 
 
 class Cascade:
-    """Exact membership over `universe` (key, listed; one row for each key)."""
+    """Exact membership over a universe (column key, distinct) of the listed keys (column key, distinct)."""
 
-    def __init__(self, universe: DataFrame, work: str, salt: int = 0, rate: float = 0.02):
+    def __init__(self, universe: DataFrame, listed: DataFrame, work: str, salt: int = 0, rate: float = 0.02):
         self.levels: list[Level] = []
-        put, other = universe.where("listed").select("key"), universe.where("not listed").select("key")
-        while count := put.count():
-            level = Level(put, count, rate if self.levels else rate / 4, salt + len(self.levels))
-            self.levels.append(level)
-            wrong = shared.stash(other.where(level.holds()), f"{work}/false-{salt}-{len(self.levels)}")
-            put, other = wrong, put
+        put, count, others = listed, listed.count(), universe.count()
+        while count:
+            # of the first level, fewer false positives than listed keys
+            first = min(rate, 0.7 * count / max(1, others))
+            self.levels.append(Level(put, count, rate if self.levels else first, salt + len(self.levels)))
+            if len(self.levels) == 1:
+                wrong = universe.where(self.levels[0].holds()).join(listed, "key", "left_anti")
+            else:
+                wrong = other.where(self.levels[-1].holds())
+            wrong = shared.stash(wrong, f"{work}/false-{salt}-{len(self.levels)}")
+            put, other, count = wrong, put, wrong.count()
             if len(self.levels) > 60:
-                raise ValueError("keys that no filter can tell apart: is a key both listed and not listed?")
+                raise ValueError("keys that no filter can tell apart")
+
+    def bits(self) -> int:
+        return sum(level.bits for level in self.levels)
 
     def listed(self) -> Column:
         found = F.lit(len(self.levels) % 2 == 1)
@@ -96,40 +108,64 @@ class Cascade:
 class CascadeFilter:
     """Cascades over any number of listed keys, cut by hash so that each holds about max_keys at most."""
 
-    def __init__(self, universe: DataFrame, work: str, max_keys: int = 100_000, per_pass: int = 8):
-        self.universe = shared.stash(universe, f"{work}/universe")
-        self.parts = max(1, math.ceil(self.universe.where("listed").count() / max_keys))
-        self.work, self.per_pass = work, per_pass
+    def __init__(self, universe: DataFrame, listed: DataFrame, work: str, max_keys: int = 100_000, per_pass: int = 8):
+        listed = shared.stash(listed.select("key").where("key IS NOT NULL").distinct(), f"{work}/all-listed")
+        self.parts = max(1, math.ceil(listed.count() / max_keys))
+        keys = universe.select("key").where("key IS NOT NULL").distinct()
+        self.universe, self.list = (self.cut(df, f"{work}/{name}") for df, name in ((keys, "universe"), (listed, "listed")))
+        self.work, self.per_pass, self.cascades = work, per_pass, {}
 
     def part(self) -> Column:
-        return F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(self.parts))
+        return F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(self.parts)).cast("int")
+
+    def cut(self, keys: DataFrame, path: str) -> DataFrame:
+        """keys written in folders by part, so that a cascade reads its own."""
+        keys.withColumn("part", self.part()).write.partitionBy("part").parquet(path)
+        return keys.sparkSession.read.schema("key string, part int").parquet(path)
+
+    def cascade(self, part: int) -> Cascade:
+        if part not in self.cascades:
+            universe, listed = (df.where(F.col("part") == part).select("key") for df in (self.universe, self.list))
+            self.cascades[part] = Cascade(universe, listed, self.work, salt=1000 * part)
+        return self.cascades[part]
 
     def mark(self, rows: DataFrame) -> DataFrame:
-        """rows (with a column key) and their boolean `listed`."""
+        """rows (with a column key) and their boolean `listed`, which replaces a column of that name."""
         out = None
         for low in range(0, self.parts, self.per_pass):
             found = F.lit(False)
             for p in range(low, min(self.parts, low + self.per_pass)):
-                cascade = Cascade(self.universe.where(self.part() == p), self.work, salt=1000 * p)
-                found = F.when(self.part() == p, cascade.listed()).otherwise(found)
-            some = rows.where((self.part() >= low) & (self.part() < low + self.per_pass)) if self.parts > self.per_pass else rows
-            some = some.withColumn("listed", found)
+                found = F.when(self.part() == p, self.cascade(p).listed()).otherwise(found)
+            here = F.coalesce(self.part(), F.lit(0))
+            some = rows.where((here >= low) & (here < low + self.per_pass)) if self.parts > self.per_pass else rows
+            some = some.withColumn("listed", F.coalesce(found & F.col("key").isNotNull(), F.lit(False)))
             out = some if out is None else out.unionByName(some)
         return out
 
 
-def judge_urls(pages: DataFrame, work: str, rules=RULES, labels=LISTED_LABELS) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page. The listed keys are the corpus's url keys below hosts with a listed label."""
-    urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("key", F.concat("host", "path"))
-    listed = F.exists(F.split("host", r"\."), lambda label: label.isin(*labels))
-    universe = urls.groupBy("key").agg(F.bool_or(listed).alias("listed"))
-    marked = CascadeFilter(universe, work).mark(urls)
+def url_keys(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, key (host and path) of each page."""
+    return pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("key", F.concat("host", "path"))
+
+
+def judge_urls(pages: DataFrame, listed: DataFrame, work: str, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page. listed: a table whose column key holds the blocked hosts and paths."""
+    urls = url_keys(pages)
+    marked = CascadeFilter(urls, listed, work).mark(urls)
     own = F.when(F.col("listed"), "block").otherwise("allow")
     return marked.select("page_id", "host", "path", longest_rule(rules, 0).alias("rule"), F.coalesce(longest_rule(rules, 1), own).alias("verdict"))
 
 
+def block_list(urls: DataFrame) -> DataFrame:
+    """The query's listed keys, drawn from the corpus."""
+    named = F.exists(F.split("host", r"\."), lambda label: label.isin(*LISTED_LABELS))
+    return urls.where(named | F.md5(F.col("key").cast("binary")).startswith(LISTED_MD5)).select("key").distinct()
+
+
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(shared.table(spark, sf_dir, "pages").select("page_id", "url"), shared.work_dir(spark, "url-cascade"))
+    pages, work = shared.table(spark, sf_dir, "pages").select("page_id", "url"), shared.work_dir(spark, "url-cascade")
+    listed = shared.stash(block_list(url_keys(pages)), f"{work}/list")
+    return judge_urls(pages, listed, work)
 
 
 SQL = """
@@ -148,6 +184,7 @@ SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
     WHEN list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block'
+    WHEN md5(host || path) LIKE '0%' THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """
