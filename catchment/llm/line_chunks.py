@@ -13,12 +13,13 @@ again anywhere in the corpus are removed; a passage loses only the chunks that l
 Either way units are compared byte for byte with their first occurrence (smallest doc_id, then place) and
 removed if equal; single short lines stay. Built-in expressions only.
 
-Whole texts cross the network once, to meet the lists of removed lines. Texts of units go only if a bounded
-Bloom filter holds their hash. Hashes with a thousandth of all units or more are salted.
+Whole texts cross the network once, to meet the lists of removed lines. Texts of units go only if their hash
+is repeated: a bounded Bloom filter tells, up to FILTER_KEYS such hashes; beyond, documents join the places of
+their repeated units, so their texts cross once more. Hashes with a thousandth of all units or more are salted.
 
 Null and empty texts have no unit and stay as they are; a document of which nothing is left goes. Rows
 that share doc_id and text are one document: they keep or lose a unit together. A null doc_id comes
-first in order. Two different units with one 64-bit hash are both kept. Other columns pass through,
+first in order. Different units with one 64-bit hash are told apart by their bytes. Other columns pass through,
 n_chars (if present) follows the new text.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from catchment.llm import bloom_cascade, shared
 
 FILTER_BITS = 1 << 23
+FILTER_KEYS = 1_000_000
 
 
 def with_chunks(docs: DataFrame, one_in: int, long_words: int) -> DataFrame:
@@ -93,12 +95,21 @@ def removals(docs: DataFrame, work: str, one_in: int, long_words: int, pairs: bo
     rows = cut.select("doc_id", "text_hash", F.explode_outer("chunks").alias("chunk")).where("chunk IS NOT NULL")
     counts = rows.select(F.col("chunk.key").alias("key"), place).groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.max("place").alias("last"))
     repeated = shared.stash(counts.where("n > 1 AND place != last").drop("last"), f"{work}/repeated")
-    known = bloom_cascade.Level(repeated.select("key"), repeated.count(), 0.02, 77, FILTER_BITS)
-    pieces = F.transform("chunks", lambda c: F.struct(c["key"].alias("key"), c["first"].alias("first"), c["count"].alias("count"), joined(F.col("lines"), c["first"], c["count"]).alias("bytes")))
-    texts = cut.select("doc_id", "text_hash", F.explode_outer(pieces).alias("chunk")).where("chunk IS NOT NULL").select(place, "chunk.key", "chunk.count", "chunk.bytes").where(known.holds("key"))
-    texts = shared.stash(texts, f"{work}/texts")
-    # the first occurrences, with their bytes
-    firsts = texts.join(repeated.select("key", "place"), ["key", "place"], "left_semi").dropDuplicates(["key", "place"]).select("key", F.col("place").alias("first_place"), F.col("bytes").alias("first_bytes"))
+    piece = lambda c: F.struct(c["key"].alias("key"), c["first"].alias("first"), c["count"].alias("count"), joined(F.col("lines"), c["first"], c["count"]).alias("bytes"))
+    count = repeated.count()
+    if count <= FILTER_KEYS:
+        known = bloom_cascade.Level(repeated.select("key"), count, 0.02, 77, FILTER_BITS)
+        texts = cut.select("doc_id", "text_hash", F.explode_outer(F.transform("chunks", piece)).alias("chunk")).where("chunk IS NOT NULL").where(known.holds("chunk.key"))
+    else:
+        hot = shared.hot_keys(repeated.select("key", "n"), "key", "n")
+        units = rows.select("doc_id", "text_hash", "chunk.key", F.col("chunk.first").alias("first"), F.col("chunk.count").alias("count"))
+        found = shared.salted_join(units, repeated.select("key"), "key", hot, F.xxhash64("doc_id", "text_hash", "first"), shared.width(spark))
+        found = found.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.collect_set(F.struct("first", "count", "key")).alias("chunks"))
+        same = F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("text_hash").eqNullSafe(F.col("own_hash"))
+        texts = cut.drop("chunks").join(found, same).select("doc_id", "text_hash", F.explode_outer(F.transform("chunks", piece)).alias("chunk")).where("chunk IS NOT NULL")
+    texts = shared.stash(texts.select(place, "chunk.key", "chunk.count", "chunk.bytes"), f"{work}/texts")
+    # the first occurrence of each unit; two with one hash are two
+    firsts = texts.groupBy("key", "bytes").agg(F.min("place").alias("first_place")).withColumnRenamed("bytes", "first_bytes")
     hot = repeated.select("key", "n")
     hot = shared.hot_keys(hot, "key", "n")
     salts = shared.width(spark)
