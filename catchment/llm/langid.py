@@ -2,7 +2,7 @@
 
 Learning counts hashed byte trigrams of lower-cased text for each language, on about `per_language` whole
 labelled documents a language, drawn by a hash of doc_id (the bound of the fitted sample); the model is a
-table of log-likelihoods, languages x buckets. For a document, EM estimates the proportions of all
+table of likelihoods, languages x buckets (at most `max_languages` x 32,768 of four bytes: 34 MB, which goes to every task). For a document, EM estimates the proportions of all
 languages; the languages with the largest proportions then form nested sets of 1, 2, 3 ... languages,
 each is fitted by EM, and the set with the best likelihood less `penalty` * log(trigrams) for each further
 language wins. The prediction is its largest language, the score that language's proportion.
@@ -40,8 +40,7 @@ class Mixture:
     def __init__(self, counts: dict[str, np.ndarray], smooth: float = 0.5, penalty: float = 2.0, rounds: int = 12, least: float = 0.03):
         self.langs = sorted(counts)
         table = np.stack([counts[k] for k in self.langs]) + smooth if counts else np.zeros((0, BUCKETS))
-        self.chance = (table / table.sum(axis=1, keepdims=True)).T.astype(np.float64) if counts else table.T
-        self.log = np.log(self.chance)
+        self.chance = np.ascontiguousarray((table / table.sum(axis=1, keepdims=True)).T, np.float32) if counts else table.T
         self.penalty, self.rounds, self.least = penalty, rounds, least
 
     def fit(self, chance: np.ndarray, counts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
@@ -55,13 +54,13 @@ class Mixture:
         counts = histogram(text)
         seen = np.flatnonzero(counts)
         counts, n = counts[seen].astype(np.float64), len(self.langs)
-        total, chance = counts.sum(), self.chance[seen]
-        alone = counts @ self.log[seen]
-        first = int(alone.argmax())
+        total, chance = counts.sum(), self.chance[seen].astype(np.float64)
+        alone = counts @ np.log(chance)
+        first = int(np.round(alone, 6).argmax())  # rounded, so that equal languages tie in any order of summation
         chosen, value = (np.array([first]), np.ones(1)), float(alone[first])
         if n > 1:
             share, _ = self.fit(chance, counts, np.full(n, 1 / n))
-            order = np.argsort(-share, kind="stable")
+            order = np.argsort(-np.round(share, 9), kind="stable")
             for size in range(2, int((share >= self.least).sum()) + 1):
                 some = order[:size]
                 fitted, likely = self.fit(chance[:, some], counts, share[some] / share[some].sum())
@@ -69,7 +68,7 @@ class Mixture:
                 if likely <= value:
                     break
                 chosen, value = (some, fitted), likely
-        langs = sorted(((self.langs[i], float(s)) for i, s in zip(*chosen)), key=lambda x: (-x[1], x[0]))
+        langs = sorted(((self.langs[i], float(s)) for i, s in zip(*chosen)), key=lambda x: (-round(x[1], 9), x[0]))
         return langs[0][0], min(1.0, langs[0][1]), langs
 
 
@@ -96,11 +95,13 @@ def learn(labelled: DataFrame, per_language: int = 1500, max_languages: int = 25
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    rows = drawn.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS at most
-    out: dict[str, np.ndarray] = {}
-    for lang, bucket, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "bucket", "n"))):
-        out.setdefault(lang, np.zeros(BUCKETS))[bucket] = n
-    return out
+    rows = drawn.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().combine_chunks()  # languages x BUCKETS at most
+    if not rows.num_rows:
+        return {}
+    langs, buckets, n = rows.column("lang").combine_chunks().dictionary_encode(), rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
+    table = np.zeros((len(langs.dictionary), BUCKETS))
+    table[langs.indices.to_numpy(), buckets] = n
+    return dict(zip(langs.dictionary.to_pylist(), table))
 
 
 def identify(docs: DataFrame, held_out, **options) -> DataFrame:
@@ -128,8 +129,13 @@ def identify(docs: DataFrame, held_out, **options) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language that makes up `least` of it; learns from all labelled rows."""
+    """The rows of docs, all columns, whose text has a language that makes up `least` of it; learns from all labelled rows.
+
+    Null, empty and letterless texts go. An empty table stays empty; rows without any label to learn from are an error.
+    """
     model = Mixture(learn(docs.select("doc_id", "text", "lang"), **options))
+    if not model.langs and docs.limit(1).count():
+        raise ValueError("no row with a letter has a lang to learn from")
 
     def keep(batches):
         import pyarrow as pa

@@ -40,3 +40,13 @@ def work(spark):
     from catchment.llm import shared
 
     return shared.work_dir(spark, "test")
+
+
+@pytest.fixture(scope="session")
+def tables():
+    import os
+
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    return path

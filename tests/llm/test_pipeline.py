@@ -34,3 +34,33 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in pieces} == kept[3]
     assert max(Counter(x.sequence_id for x in pieces).values()) > 1
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Repeated rows, ties, null and repeated ids, a very long text, columns with clashing names, an empty benchmark."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(23)
+    rows = [(i, prose(rng, 60), "en", "s", 1) for i in range(20)]
+    rows += [rows[0], rows[0], (3, prose(rng, 50), "en", "s", 1), (None, prose(rng, 40), None, None, None), (None, None, None, None, None)]
+    rows += [(30, prose(rng, 40_000, 12), "en", "s", 1), (31, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit("x") for c in ("key", "hash", "row", "lines", "gone", "removed_lines", "entity", "score", "uid", "group", "stays", "found")}
+    docs.withColumns(clash).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = frame.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(tmp_path))
+        assert sorted(frame.columns) == sorted(c for c in columns if c in frame.columns) and set(docs.columns) <= set(frame.columns)
+        frame.write.parquet(str(tmp_path / name))
+        frame = spark.read.parquet(str(tmp_path / name))
+    kept = Counter((x.doc_id, x.text) for x in frame.collect())
+    assert kept == Counter({(i, t): 1 for i, t, *_ in rows if t})  # of the equal rows one stays
+    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {i for i, _ in kept}
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
