@@ -96,25 +96,39 @@ class Grid:
                 self.d[at], self.route[at] = code, True
                 self.edits += 1
 
+    def extend(self, reached, path):
+        """Adds to reached the path's cells, which now lead into it, and all whose flow enters them. Nothing reached is lost: a plan only edits cells outside."""
+        queue = [at for at in path if not reached[at]]
+        for at in queue:
+            reached[at] = True
+        for r, c in queue:
+            for dr, dc, back in NEIGHBOURS:
+                at = (r + dr, c + dc)
+                if self.inside(*at) and not reached[at] and self.route[at] and self.d[at] == back:
+                    reached[at] = True
+                    queue.append(at)
+
     def repair(self, attempts=8):
-        """Connects every routed cell that can be: starts in row-major order, sources first; each plan sees the ones before."""
+        """Connects every routed cell that can be: starts in row-major order, sources first; each plan sees the ones before. Returns the mask of connected cells."""
         entered = np.zeros(self.d.shape, bool)
         for r, c in zip(*np.nonzero(self.d)):
             dr, dc = STEPS[int(self.d[r, c])]
             if self.inside(r + dr, c + dc):
                 entered[r + dr, c + dc] = True
         cells = [tuple(map(int, x)) for x in zip(*np.nonzero(self.route & (self.d > 0)))]
+        reached = self.reached()
         for start in sorted(cells, key=lambda x: (bool(entered[x]), x)):
             for _ in range(attempts):
-                path, good = self.follow(start)
-                if good:
+                if reached[start]:
                     break
-                reached = self.reached()
+                path, _ = self.follow(start)
                 # leave the failing flow where the way to a connected cell is cheapest: its last cell comes first
                 plan = self.cheapest(path[-1] if self.inside(*path[-1]) else start, reached)
                 if plan is None or len(plan) < 2:
                     break
                 self.lay(plan)
+                self.extend(reached, plan)
+        return reached
 
 
 def correct(cells: DataFrame, outlets: DataFrame, heads: DataFrame | None = None, extra_route: DataFrame | None = None) -> DataFrame:
@@ -144,8 +158,7 @@ def correct(cells: DataFrame, outlets: DataFrame, heads: DataFrame | None = None
         if not len(stop):
             return pd.DataFrame({"grid_id": key[0], "r": own.r, "c": own.c, "d": own.d, "state": "unresolved"})
         grid = Grid(d, (d > 0) | mask(3), head, _grow(head), (int(stop.r.iloc[0]), int(stop.c.iloc[0])))
-        grid.repair()
-        reached = grid.reached()
+        reached = grid.repair()
         at = np.nonzero((grid.d > 0) | (before > 0))
         state = np.where(~reached[at], "unresolved", np.where(grid.d[at] != before[at], "edited", "kept"))
         return pd.DataFrame({"grid_id": key[0], "r": at[0], "c": at[1], "d": grid.d[at], "state": state})
@@ -218,16 +231,17 @@ def propagate(cells: DataFrame, support: DataFrame, least_share: float = 0.67) -
     return cells.select("grid_id", "r", "c", "d").unionByName(empty).groupBy("grid_id").applyInPandas(run, "grid_id string, r int, c int, d int")
 
 
-def suppress(candidates: DataFrame, radius: float, most: int = 160) -> DataFrame:
+def suppress(candidates: DataFrame, radius: float, most: int | None = None) -> DataFrame:
     """Greedy suppression per image: candidates (image_id, x, y, dx, dy, score) by falling score; one stays if no better
-    one that stayed is near it and points alike (cosine over 0.7; opposite ones under -0.55 never suppress)."""
+    one that stayed is near it and points alike (cosine over 0.7; opposite ones under -0.55 never suppress). The best
+    `most` are left, all if it is None."""
 
     def run(frame):
         frame = frame.sort_values(["score", "x", "y"], ascending=[False, True, True])
         kept: list[int] = []
         x, y, dx, dy = (frame[c].to_numpy() for c in ("x", "y", "dx", "dy"))
         for i in range(len(frame)):
-            if len(kept) >= most:
+            if most is not None and len(kept) >= most:
                 break
             k = np.array(kept, int)
             near = np.hypot(x[k] - x[i], y[k] - y[i]) <= radius

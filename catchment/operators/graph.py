@@ -1,21 +1,69 @@
 """Operators on the functional graph of a direction grid, for any number of grids at once.
 
-cells: grid_id, r, c, d with d in 1..4, sparse (absent cells are 0). Iterations double pointers, so a
-grid of depth n takes about log2(n) joins on (grid_id, id); each round is a written table.
+cells: grid_id, r, c, d with d in 1..4, sparse (absent cells are 0). Grids of up to SMALL cells are one Arrow group
+each, so many grids spread over the cluster and none takes a shuffle a round. Larger ones are iterated
+as tables: pointers double, so a grid of depth n takes about log2(n) joins on (grid_id, id), and each round is
+a written table. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchment.functions import directions
 from catchment.functions.materialise import cut
+from catchment.operators import kernels
 
 CELL = ["grid_id", "r", "c"]
 SHIFT = 1 << 31
+SMALL = 1_000_000
+
+
+def on_grids(cells: DataFrame, one, many, columns: str) -> DataFrame:
+    """one(dict of arrays of a grid's columns) -> arrays for `columns` where a grid has at most SMALL rows, many(rows) -> DataFrame for all others.
+
+    columns: "name type, ..." without grid_id, which comes first.
+    """
+    cells = cut(cells)
+    big = cells.groupBy("grid_id").count().where(F.col("count") > SMALL).select("grid_id")
+    some = bool(big.limit(1).count())
+    names = [c.split()[0] for c in columns.split(", ")]
+    kind = cells.schema["grid_id"].dataType.simpleString()
+
+    def whole(frame):
+        import pyarrow as pa
+
+        name = frame.column("grid_id")[0]
+        out = one({c: frame.column(c).to_numpy() for c in frame.column_names if c != "grid_id"})
+        ids = pa.array([name.as_py()] * len(out[0]), name.type)
+        return pa.Table.from_arrays([ids, *(x if isinstance(x, pa.Array) else pa.array(x) for x in out)], ["grid_id", *names])
+
+    schema = f"grid_id {kind}, {columns}"
+    if not some:
+        return cells.groupBy("grid_id").applyInArrow(whole, schema)
+    big = cut(big)
+    small = cells.join(big, "grid_id", "left_anti").groupBy("grid_id").applyInArrow(whole, schema)
+    return small.unionByName(many(cut(cells.join(big, "grid_id", "left_semi"))).select("grid_id", *names))
+
+
+def stopped(cells: DataFrame, outlets: DataFrame | None) -> DataFrame:
+    """grid_id, r, c, d, stop: whether a cell is an outlet."""
+    if outlets is None:
+        return cells.select(*CELL, "d", F.lit(False).alias("stop"))
+    stops = outlets.select(*CELL, F.lit(True).alias("stop")).distinct()
+    return cells.select(*CELL, "d").join(stops, CELL, "left").fillna(False, ["stop"])
+
+
+def places(found, order, r, c):
+    """Ids of places in the sorted cells; null where the place is -1."""
+    import pyarrow as pa
+
+    ids = r[order].astype("int64") * SHIFT + c[order]
+    return pa.array(ids[found], mask=found < 0) if len(ids) else pa.array([], pa.int64())
 
 
 def cell_id(r="r", c="c") -> Column:
@@ -48,7 +96,21 @@ def edges(cells: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
 
 def trace(cells: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
     """grid_id, id, sink, depth: the last cell of each cell's flow and the steps to it; null for flows into cycles."""
-    start = edges(cells, outlets)
+
+    def one(g):
+        import pyarrow as pa
+
+        order, after = kernels.links(g["r"], g["c"], g["d"], g["stop"])
+        sink, depth = kernels.ends(after)
+        own = places(np.arange(len(order)), order, g["r"], g["c"])
+        return own, places(sink, order, g["r"], g["c"]), pa.array(depth, mask=depth < 0)
+
+    return on_grids(stopped(cells, outlets), one, trace_large, "id long, sink long, depth long")
+
+
+def trace_large(cells: DataFrame) -> DataFrame:
+    """The same by doubling pointers; cells have a column stop."""
+    start = edges(cells, cells.where("stop"))
     ends = F.col("next").isNull()
     state = cut(start.select("grid_id", "id", F.coalesce("next", "id").alias("at"), F.when(ends, 0).otherwise(1).cast("long").alias("steps"), ends.alias("done")))
     known = state.where("done").count()
@@ -63,9 +125,19 @@ def trace(cells: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
         known = now
 
 
-def cycle_cells(cells: DataFrame, traced: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
+def cycle_cells(cells: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
     """grid_id, id of the cells on cycles: where flows that never end are after as many steps as there are cells."""
-    lost = cut(edges(cells, outlets).join(traced.where("sink IS NULL").select("grid_id", "id"), ["grid_id", "id"]).select("grid_id", "id", F.col("next").alias("at")))
+
+    def one(g):
+        order, after = kernels.links(g["r"], g["c"], g["d"], g["stop"])
+        return (places(kernels.loops(after), order, g["r"], g["c"]),)
+
+    return on_grids(stopped(cells, outlets), one, cycles_large, "id long")
+
+
+def cycles_large(cells: DataFrame) -> DataFrame:
+    stops = cells.where("stop")
+    lost = cut(edges(cells, stops).join(trace_large(cells).where("sink IS NULL").select("grid_id", "id"), ["grid_id", "id"]).select("grid_id", "id", F.col("next").alias("at")))
     most = lost.groupBy("grid_id").count().agg(F.max("count")).first()[0] or 0
     steps = 1
     while steps < most:
@@ -95,7 +167,7 @@ def inspect(cells: DataFrame, grids: DataFrame, outlets: DataFrame) -> DataFrame
     indegree = moved.where("active").groupBy("grid_id", F.col("nr").alias("r"), F.col("nc").alias("c")).count()
     degree = cells.join(indegree, CELL, "left").groupBy("grid_id").agg(F.count("*").alias("active"), F.count_if(F.col("count").isNull()).alias("sources"), F.count_if(F.col("count") >= 2).alias("junctions"))
     traced = trace(cells, stops)
-    loops = cycle_cells(cells, traced, stops).groupBy("grid_id").agg(F.count("*").alias("cycle_cells"))
+    loops = cycle_cells(cells, stops).groupBy("grid_id").agg(F.count("*").alias("cycle_cells"))
     connected = traced.join(stops.select("grid_id", cell_id().alias("sink")), ["grid_id", "sink"], "left_semi").groupBy("grid_id").agg(F.count("*").alias("connected"))
     count = stops.groupBy("grid_id").agg(F.count("*").alias("outlets"))
     out = degree
@@ -119,13 +191,23 @@ def main_sinks(traced: DataFrame) -> DataFrame:
 
 
 def flowlines(cells: DataFrame) -> DataFrame:
-    """grid_id, head, length, start: the flow lines left by always removing the longest one.
+    """grid_id, head, length, start: the flow lines left by always removing the longest one (see flowlines_large)."""
+
+    def one(g):
+        order, after = kernels.links(g["r"], g["c"], g["d"])
+        head, length, start = kernels.flow_lines(after, g["r"][order], g["c"][order])
+        return places(head, order, g["r"], g["c"]), length, places(start, order, g["r"], g["c"])
+
+    return on_grids(cells.select(*CELL, "d"), one, flowlines_large, "head long, length long, start long")
 
-    Instead of removing them in turn: each cell's best line comes from upstream by the longest way (ties: the
+
+def flowlines_large(cells: DataFrame) -> DataFrame:
+    """The same as tables. Instead of removing them in turn: each cell's best line comes from upstream by the longest way (ties: the
     start in the smallest column, then row); at a confluence the best line goes on and all others end. Best lines are
     found by doubling: a cell's best line within twice as many steps is that of the cells as far upstream.
     """
-    traced = cut(trace(cells))
+    cells = cells.withColumn("stop", F.lit(False))
+    traced = cut(trace_large(cells))
     basin = traced.join(main_sinks(traced).select("grid_id", "sink"), ["grid_id", "sink"], "left_semi").select("grid_id", "id")
     jump = cut(edges(cells).join(basin, ["grid_id", "id"]).select("grid_id", "id", F.col("next").alias("to")))
     order = lambda i: F.struct((-col_of(i)).alias("c"), (-row_of(i)).alias("r"))
@@ -165,8 +247,29 @@ def spread(seeds: DataFrame, open_cells: DataFrame) -> DataFrame:
 
     seeds: grid_id, r, c, label. d leads one step back towards the seed (0 at seeds). Ties follow a queue: seeds by
     row and column, each taken cell's neighbours in the order north, south, west, east; a cell's rank is that of
-    (its parent's rank, the step). A round is one step for all grids.
+    (its parent's rank, the step).
     """
+
+    both = seeds.select(*CELL, F.col("label").cast("long").alias("label"), F.lit(True).alias("seed"))
+    both = both.unionByName(open_cells.select(*CELL, F.lit(None).cast("long").alias("label"), F.lit(False).alias("seed")))
+
+    def one(g):
+        import pyarrow as pa
+
+        own = g["seed"]
+        at = np.stack([g["r"], g["c"]], 1).astype(np.int64)
+        first = np.column_stack([at[own], np.nan_to_num(g["label"][own]).astype(np.int64)])
+        first = first[np.lexsort((first[:, 1], first[:, 0]))]
+        cells, label, dist, d = kernels.breadth_first(first, at[~own])
+        return (*(pa.array(x, pa.int32()) for x in cells.T), pa.array(label), *(pa.array(x, pa.int32()) for x in (dist, d)))
+
+    found = on_grids(both, one, spread_large, "r int, c int, label long, dist int, d int")
+    return found.withColumn("label", F.col("label").cast(seeds.schema["label"].dataType))
+
+
+def spread_large(both: DataFrame) -> DataFrame:
+    """The same as tables, a round a step."""
+    seeds, open_cells = both.where("seed"), both.where("NOT seed")
     rank = F.row_number().over(Window.partitionBy("grid_id").orderBy("r", "c"))
     front = cut(seeds.select(*CELL, "label", F.lit(0).alias("dist"), F.lit(0).alias("d"), rank.alias("rank")))
     found, behind, dist = [front], front, 0
@@ -205,6 +308,17 @@ def partition_by_outlet(support: DataFrame, outlets: DataFrame) -> DataFrame:
 def components(mask: DataFrame, diagonal: bool = False) -> DataFrame:
     """grid_id, r, c, component: numbered from 0 by the row-major first cell of each; 4 or 8 neighbours."""
     steps = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if diagonal else [])
+
+    def one(g):
+        import pyarrow as pa
+
+        order, number = kernels.connected(g["r"], g["c"], steps)
+        return g["r"][order], g["c"][order], pa.array(number, pa.int32())
+
+    return on_grids(mask.select(*CELL).distinct(), one, lambda rows: components_large(rows, steps), "r int, c int, component int")
+
+
+def components_large(mask: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
     nodes = cut(mask.select("grid_id", cell_id().alias("id")).distinct())
     near = nodes.select("grid_id", "id", F.explode(F.array(*[F.lit(dr * SHIFT + dc) for dr, dc in steps])).alias("step")).select("grid_id", "id", (F.col("id") + F.col("step")).alias("to"))
     links = cut(near.join(nodes.select("grid_id", F.col("id").alias("to")), ["grid_id", "to"]))
@@ -279,7 +393,18 @@ def coarsen(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> tu
 
 def through_counts(cells: DataFrame) -> DataFrame:
     """grid_id, r, c, passing: starts (the cell itself too) whose flow passes a cell; flows into cycles count up to their entry only."""
-    traced = cut(trace(cells))
+
+    def one(g):
+        order, after = kernels.links(g["r"], g["c"], g["d"])
+        found, total = kernels.passing(after)
+        return g["r"][order][found], g["c"][order][found], total
+
+    return on_grids(cells.select(*CELL, "d"), one, through_large, "r int, c int, passing long")
+
+
+def through_large(cells: DataFrame) -> DataFrame:
+    cells = cells.withColumn("stop", F.lit(False))
+    traced = cut(trace_large(cells))
     jump = cut(edges(cells).join(traced.where("sink IS NOT NULL").select("grid_id", "id"), ["grid_id", "id"]).select("grid_id", "id", F.col("next").alias("to")))
     total = cut(jump.select("grid_id", "id", F.lit(1).cast("long").alias("n")))
     while jump.where("to IS NOT NULL").limit(1).count():
@@ -292,13 +417,12 @@ def through_counts(cells: DataFrame) -> DataFrame:
 def compress(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> DataFrame:
     """grid_id, r, c, d, conf of a grid without an outlet on `to` rows and columns.
 
-    A coarse cell is supported by enough fine cells or by any passing flow; of its supported neighbours it points
+    A coarse cell is supported by any fine cell or passing flow; of its supported neighbours it points
     to the one with the least edge cost, then the most transitions, votes, and the lowest code.
     """
     counts, votes, moves = coarsen(cells, shape, to)
-    least = max(1.0, shape[0] / to[0] * shape[1] / to[1] * 0.08)
     into = moves.select("grid_id", (F.col("r") + directions.row_step(F.col("d"))).alias("r"), (F.col("c") + directions.col_step(F.col("d"))).alias("c")).distinct().withColumn("hit", F.lit(True))
-    support = counts.join(into, CELL, "full").where((F.col("n") >= least) | F.col("hit") | (F.col("n") >= 1)).select(*CELL)
+    support = counts.join(into, CELL, "full").where(F.col("hit") | (F.col("n") >= 1)).select(*CELL)
     options = support.select("*", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("d"))
     options = options.withColumns({"nr": F.col("r") + directions.row_step(F.col("d")), "nc": F.col("c") + directions.col_step(F.col("d"))})
     options = options.join(support.select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc")), ["grid_id", "nr", "nc"], "left_semi")

@@ -1,17 +1,17 @@
 """Learned correction: standardising, nearest exemplars, neighbourhood features, splits, override rules.
 
-Exemplars are a table of bounded size: `MAX_EXEMPLARS` rows is checked before they are broadcast. Queries
-stay where they are; distances are one array expression a pair inside the join, and only the k best of a
-query leave it.
+Exemplars go to the queries in blocks of about `BLOCK` rows, each one matrix; a batch of queries is multiplied with a
+block, only the k best of a query leave it, and the best of all blocks are merged. Queries stay where they are.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = ["grid_id", "r", "c"]
-MAX_EXEMPLARS = 20_000
+BLOCK = 20_000
 
 
 def moments(samples: DataFrame, x: str = "x") -> DataFrame:
@@ -34,21 +34,69 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
 
 
-def checked(exemplars: DataFrame) -> DataFrame:
-    if exemplars.limit(MAX_EXEMPLARS + 1).count() > MAX_EXEMPLARS:
-        raise ValueError(f"more than {MAX_EXEMPLARS} exemplars: draw a bounded set first")
-    return F.broadcast(exemplars)
-
-
-def nearest(queries: DataFrame, exemplars: DataFrame, k: int) -> DataFrame:
-    """query_id and `near`: the k nearest exemplars (dist, id, label), without the query itself.
-
-    The exemplars travel as one array, so a query's candidates never leave its row.
-    """
-    held = checked(exemplars).agg(F.collect_list(F.struct(F.col("sample_id").alias("id"), "x", "label")).alias("held"))
-    scored = F.transform("held", lambda e: F.struct(distance(F.col("x"), e["x"]).alias("dist"), e["id"].alias("id"), e["label"].alias("label")))
-    others = F.filter(scored, lambda e: e["id"] != F.col("query_id"))
-    return queries.join(F.broadcast(held), how="cross").select("query_id", F.slice(F.array_sort(others), 1, k).alias("near"))
+def blocks(exemplars: DataFrame):
+    """Ids, vectors (a matrix) and labels of the exemplars, some BLOCK at a time."""
+    parts = -(-exemplars.count() // BLOCK)
+    rows = exemplars.select(F.col("sample_id").alias("id"), F.col("x").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"))
+    for k in range(parts):
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) if parts > 1 else rows
+        held = some.toArrow().combine_chunks()  # about BLOCK rows
+        if held.num_rows:
+            yield held.column("id").to_numpy(), matrix(held.column("x").combine_chunks()), held.column("label").to_numpy()
+
+
+def matrix(column) -> np.ndarray:
+    """An Arrow list column whose lists are equally long."""
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+NEAR = "array<struct<dist: double, id: bigint, label: int>>"
+
+
+def best_of_block(queries: DataFrame, held, k: int, copies: float | None = None) -> DataFrame:
+    """query_id, near: the k nearest of one block but the query itself (with copies: but those within that distance)."""
+    ids, x, labels = held
+    norms = (x * x).sum(axis=1)
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            names, points = batch.column("query_id").to_numpy(), matrix(batch.column("x"))
+            out = []
+            for low in range(0, len(names), 256):
+                q = points[low : low + 256]
+                rough = norms[None] - 2 * (q @ x.T)  # without the query's own norm, which moves all alike
+                rough[names[low : low + 256, None] == ids[None]] = np.inf
+                if copies is not None:
+                    near = rough + (q * q).sum(axis=1)[:, None] <= 1e-6
+                    for i, j in zip(*np.nonzero(near & np.isfinite(rough))):
+                        if np.sqrt(((q[i] - x[j]) ** 2).sum()) <= copies:
+                            rough[i, j] = np.inf
+                some = np.argpartition(rough, min(k + 8, rough.shape[1]) - 1, axis=1)[:, : k + 8]
+                exact = np.sqrt(((q[:, None] - x[some]) ** 2).sum(axis=2))
+                exact[~np.isfinite(np.take_along_axis(rough, some, 1))] = np.inf
+                for i in range(len(q)):
+                    order = np.lexsort((ids[some[i]], exact[i]))[:k]
+                    out.append([{"dist": float(exact[i, j]), "id": int(ids[some[i, j]]), "label": int(labels[some[i, j]])} for j in order if np.isfinite(exact[i, j])])
+            kind = pa.list_(pa.struct([("dist", pa.float64()), ("id", pa.int64()), ("label", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").cast(pa.int64()), pa.array(out, kind)], ["query_id", "near"])
+
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("x").cast("array<double>").alias("x"))
+    return rows.mapInArrow(scan, f"query_id long, near {NEAR}")
+
+
+def nearest(queries: DataFrame, exemplars: DataFrame, k: int, copies: float | None = None) -> DataFrame:
+    """query_id and `near`: the k nearest exemplars (dist, id, label) without the query itself; ties by id."""
+    found = [best_of_block(queries, held, k, copies) for held in blocks(exemplars)]
+    if not found:
+        return queries.select(F.col("query_id").cast("long").alias("query_id"), F.array().cast(NEAR).alias("near"))
+    if len(found) == 1:
+        return found[0]
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
 def vote(near: DataFrame, sigma: float, classes: int = 5) -> DataFrame:
@@ -63,10 +111,8 @@ def vote(near: DataFrame, sigma: float, classes: int = 5) -> DataFrame:
 
 def nearest_other(samples: DataFrame) -> DataFrame:
     """query_id, dist to the nearest sample that isn't a copy (farther than 1e-8)."""
-    held = checked(samples).agg(F.collect_list(F.struct(F.col("sample_id").alias("id"), "x")).alias("held"))
-    dist = F.transform("held", lambda e: F.when(e["id"] != F.col("sample_id"), distance(F.col("x"), e["x"])))
-    far = F.filter(dist, lambda d: d > 1e-8)
-    return samples.join(F.broadcast(held), how="cross").select(F.col("sample_id").alias("query_id"), F.array_min(far).alias("dist"))
+    near = nearest(samples.withColumnRenamed("sample_id", "query_id"), samples, 1, 1e-8)
+    return near.select("query_id", F.get("near", F.lit(0))["dist"].alias("dist"))
 
 
 def scale(samples: DataFrame) -> DataFrame:

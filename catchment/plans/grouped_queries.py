@@ -19,10 +19,10 @@ def query(fn):
 
 @query
 def connect_outlet(spark, sf_dir):
-    """Counts of kept, edited and unresolved cells after least-cost repair towards one outlet a grid."""
+    """Cells after least-cost repair towards one outlet a grid: code, and whether kept, edited or unresolved."""
     cells = fx.cells(spark, sf_dir, 4)
     outlets = cells.select("grid_id").distinct().select("grid_id", F.lit(7).alias("r"), F.lit(9).alias("c"))
-    return correction.correct(cells, outlets).groupBy("grid_id", "state").agg(F.count("*").alias("cells"))
+    return correction.correct(cells, outlets)
 
 
 @query
@@ -31,7 +31,7 @@ def connect_outlets(spark, sf_dir):
     cells = fx.cells(spark, sf_dir, 4)
     stops = _outlets(cells).withColumn("label", F.col("r") * 100 + F.col("c"))
     labels = graph.partition_by_outlet(cells.select("grid_id", "r", "c"), stops)
-    return correction.correct_by_outlet(cells, labels, stops).groupBy("grid_id", "state").agg(F.count("*").alias("cells"))
+    return correction.correct_by_outlet(cells, labels, stops)
 
 
 @query

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catchment.plans import grid_queries, grouped_queries, table_queries
+from catchment.plans import grid_queries, grouped_queries, table_queries, workspace_queries
 
-MODULES = (grid_queries, table_queries, grouped_queries)
+MODULES = (grid_queries, table_queries, grouped_queries, workspace_queries)
 
 
 def queries() -> dict:
