@@ -38,7 +38,7 @@ SMALL_RUN = 32
 BLOCK = 2048
 MAX_RENAMED = 100_000
 #: Large keys whose parts are put last in a round (a sorted array that goes to every task), and rounds.
-MAX_LAST, ROUNDS = 200_000, 2
+MAX_LAST, ROUNDS = 200_000, 1
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -256,6 +256,8 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of:
         ends = np.cumsum(sketch_bits(docs_raw["n"]) // 8)
         flat = b"".join(x for x in frame.column("sketches").to_pylist() if x)
         n, m, d = len(pairs), len(members), len(docs_raw)
+        del k, e, flag, order, a, b, low, high, wide, member_key, member
+        tokens.forget()
         full = lambda kind, x, y, z: pa.concat_arrays([part if part is not None else pa.nulls(size, kind) for part, size in ((x, d), (y, n), (z, m))])
         longs, ints = pa.int64(), pa.int32()
         return pa.Table.from_arrays(
@@ -381,7 +383,7 @@ class Join:
         return shared.stash(df, f"{self.work}/{self.step}")
 
     def run(self, found: DataFrame) -> None:
-        members, rest, last = self.meet(found), [], np.zeros(0, U)
+        members, rest, last = self.meet(found, True), [], np.zeros(0, U)
         for _ in range(ROUNDS):
             sizes = self.keep(members.groupBy("key").count())
             total = sizes.agg(F.sum("count")).first()[0] or 0
@@ -393,7 +395,7 @@ class Join:
             names = members.join(F.broadcast(large), "key", "left_semi").select("entity").distinct()
             last = np.union1d(last, new.view(U))
             again = candidates(self.some_docs(names), self.buckets, self.width, self.percent, self.name_of, last)
-            members = self.meet(self.keep(again))
+            members = self.meet(self.keep(again), False)
         for more in rest:
             members = members.unionByName(self.split(more.select("key", "entity")))
         left = self.partners(members)
@@ -403,10 +405,11 @@ class Join:
         if left.limit(1).count():
             self.close(self.split(left.select("key", "entity").distinct()))
 
-    def meet(self, found: DataFrame) -> DataFrame:
-        """Verifies the pairs of written candidates, stars first; what their large keys still hold (see split)."""
+    def meet(self, found: DataFrame, stars: bool) -> DataFrame:
+        """Verifies the pairs of written candidates, stars first if there are many; what their large keys still hold (see split)."""
         near = self.near(found.where("kind = 1").select("a", "b").distinct())
-        self.verify(self.keep(self.apart(near).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+        if stars:
+            self.verify(self.keep(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
         self.verify(self.keep(self.apart(near)))
         return self.split(found.where("kind = 2").select("key", F.col("a").alias("entity")).distinct())
 
@@ -495,6 +498,7 @@ class Join:
                 n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
                 bits = distances(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist())
                 yield batch.filter(pa.array(bits * (100 + percent) <= n * (100 - percent))).select(["a", "b"])
+            tokens.forget()
 
         return self.keep(both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(check, "a long, b long"))
 
@@ -523,6 +527,7 @@ class Join:
                 for low in range(0, batch.num_rows, 256):
                     found = [s for s in (shingles(t, width) for t in tokens.each(batch.column("text").slice(low, 256))) if len(s)]
                     yield pa.RecordBatch.from_arrays([pa.array([name_of(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["entity", "found"])
+            tokens.forget()
 
         held = self.some_docs(wanted).mapInArrow(sets, "entity long, found binary")
         return held.groupBy("entity").agg(F.first("found").alias("found"))
@@ -547,6 +552,7 @@ class Join:
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            tokens.forget()
 
         self.merge(self.keep(both.select("a", "b", "f_a", "f_b").mapInArrow(check, "a long, b long").distinct()))
 
