@@ -373,57 +373,70 @@ def coarse(v: Column, src: int, dst: int) -> Column:
     return F.floor(v * dst / src).cast("int")
 
 
-def coarsen(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts, direction votes and transitions of a grid without an outlet on a coarser one.
+def coarsen(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int], outlets: DataFrame | None = None, lost: float = 0.35) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts (n, hits), direction votes (w) and transitions (t) of a grid on a coarser one.
 
-    Each fine cell's whole flow path crosses coarse cells; a path's steps count for every start upstream of them,
-    so a step's weight is the number of starts that pass it (by doubling), not a walk from each start.
+    Each fine cell's whole flow path, up to an outlet and with the empty cell that it may end in, crosses coarse cells.
+    A path's steps count for every start upstream of them, so a step's weight is the number of starts that pass it (by
+    doubling), not a walk from each start. All of them share their end: flows that miss the outlets weigh `lost`.
     """
-    passing = through_counts(cells)
-    fine = target(cells.join(passing, CELL))
+    fine = target(stopped(cells, outlets).join(through_counts(cells, outlets), CELL))
+    if outlets is None:
+        fine = fine.withColumn("share", F.lit(1.0))
+    else:
+        good = reaching(cells, outlets).withColumn("good", F.lit(True))
+        fine = fine.join(good, CELL, "left").withColumn("share", F.when(F.col("good"), 1.0).otherwise(lost))
     spot = lambda r, c: [coarse(F.col(r), shape[0], to[0]).alias("r"), coarse(F.col(c), shape[1], to[1]).alias("c")]
-    counts = cells.select("grid_id", *spot("r", "c")).groupBy(*CELL).agg(F.count("*").alias("n"))
-    votes = cells.select("grid_id", *spot("r", "c"), "d").groupBy("grid_id", "r", "c", "d").agg(F.count("*").alias("w"))
-    active = cells.select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc"))
-    moved = fine.join(active, ["grid_id", "nr", "nc"], "left_semi").select("grid_id", *spot("r", "c"), coarse(F.col("nr"), shape[0], to[0]).alias("nr"), coarse(F.col("nc"), shape[1], to[1]).alias("nc"), "passing")
+    inside = (F.col("nr") >= 0) & (F.col("nc") >= 0) & (F.col("nr") < shape[0]) & (F.col("nc") < shape[1])
+    moved = fine.where(inside & ~F.col("stop")).select("grid_id", *spot("r", "c"), coarse(F.col("nr"), shape[0], to[0]).alias("nr"), coarse(F.col("nc"), shape[1], to[1]).alias("nc"), (F.col("passing") * F.col("share")).alias("weight"))
     code = directions.axis_code(F.col("nr") - F.col("r"), F.col("nc") - F.col("c"))
-    moves = moved.withColumn("d", code).where("d > 0").groupBy("grid_id", "r", "c", "d").agg(F.sum("passing").alias("t"))
+    moves = cut(moved.withColumn("d", code).where("d > 0").groupBy("grid_id", "r", "c", "d").agg(F.round(F.sum("weight"), 6).alias("t")))
+    own = fine.select("grid_id", *spot("r", "c"), "d", "share")
+    votes = own.groupBy("grid_id", "r", "c", "d").agg(F.count("*").alias("w"))
+    into = moves.select("grid_id", (F.col("r") + directions.row_step(F.col("d"))).alias("r"), (F.col("c") + directions.col_step(F.col("d"))).alias("c"), F.lit(0).alias("n"), F.col("t").alias("hits"))
+    counts = own.select(*CELL, F.lit(1).alias("n"), F.col("share").alias("hits")).unionByName(into).groupBy(*CELL).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     return counts, votes, moves
 
 
-def through_counts(cells: DataFrame) -> DataFrame:
-    """grid_id, r, c, passing: starts (the cell itself too) whose flow passes a cell; flows into cycles count up to their entry only."""
+def through_counts(cells: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
+    """grid_id, r, c, passing: starts (the cell itself too) whose flow passes a cell; a flow into a cycle passes each of its cells once."""
 
     def one(g):
-        order, after = kernels.links(g["r"], g["c"], g["d"])
-        found, total = kernels.passing(after)
-        return g["r"][order][found], g["c"][order][found], total
+        order, after = kernels.links(g["r"], g["c"], g["d"], g["stop"])
+        return g["r"][order], g["c"][order], kernels.passing(after)
 
-    return on_grids(cells.select(*CELL, "d"), one, through_large, "r int, c int, passing long")
+    return on_grids(stopped(cells, outlets), one, through_large, "r int, c int, passing long")
 
 
 def through_large(cells: DataFrame) -> DataFrame:
-    cells = cells.withColumn("stop", F.lit(False))
-    traced = cut(trace_large(cells))
-    jump = cut(edges(cells).join(traced.where("sink IS NOT NULL").select("grid_id", "id"), ["grid_id", "id"]).select("grid_id", "id", F.col("next").alias("to")))
+    """The same as tables: cycles are opened at their first cell, sums double along the trees."""
+    ring = cut(cycles_large(cells))
+    jump = edges(cells, cells.where("stop"))
+    low = None
+    if ring.limit(1).count():
+        low = cut(jump.join(ring, ["grid_id", "id"]).select("grid_id", "id", F.col("next").alias("at"), F.col("id").alias("low")))
+        most, steps = low.groupBy("grid_id").count().agg(F.max("count")).first()[0], 1
+        while steps <= most:
+            ahead = low.select("grid_id", F.col("id").alias("at"), F.col("at").alias("far"), F.col("low").alias("more"))
+            low = cut(low.join(ahead, ["grid_id", "at"]).select("grid_id", "id", F.col("far").alias("at"), F.least("low", "more").alias("low")))
+            steps *= 2
+        opened = low.where("id = low").select("grid_id", "id", F.lit(True).alias("opened"))
+        jump = jump.join(opened, ["grid_id", "id"], "left").select("grid_id", "id", F.when(F.col("opened").isNull(), F.col("next")).alias("next"))
+    jump = cut(jump.select("grid_id", "id", F.col("next").alias("to")))
     total = cut(jump.select("grid_id", "id", F.lit(1).cast("long").alias("n")))
     while jump.where("to IS NOT NULL").limit(1).count():
         more = jump.where("to IS NOT NULL").join(total, ["grid_id", "id"]).groupBy("grid_id", F.col("to").alias("id")).agg(F.sum("n").alias("more"))
         total = cut(total.join(more, ["grid_id", "id"], "left").select("grid_id", "id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
         jump = cut(jump.where("to IS NOT NULL").join(jump.select("grid_id", F.col("id").alias("to"), F.col("to").alias("far")), ["grid_id", "to"]).select("grid_id", "id", F.col("far").alias("to")))
+    if low is not None:
+        first = low.select("grid_id", "id", "low").join(total.select("grid_id", F.col("id").alias("low"), F.col("n").alias("whole")), ["grid_id", "low"])
+        total = total.join(first.select("grid_id", "id", "whole"), ["grid_id", "id"], "left").select("grid_id", "id", F.coalesce("whole", "n").alias("n"))
     return total.select("grid_id", row_of("id").alias("r"), col_of("id").alias("c"), F.col("n").alias("passing"))
 
 
-def compress(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> DataFrame:
-    """grid_id, r, c, d, conf of a grid without an outlet on `to` rows and columns.
-
-    A coarse cell is supported by any fine cell or passing flow; of its supported neighbours it points
-    to the one with the least edge cost, then the most transitions, votes, and the lowest code.
-    """
-    counts, votes, moves = coarsen(cells, shape, to)
-    into = moves.select("grid_id", (F.col("r") + directions.row_step(F.col("d"))).alias("r"), (F.col("c") + directions.col_step(F.col("d"))).alias("c")).distinct().withColumn("hit", F.lit(True))
-    support = counts.join(into, CELL, "full").where(F.col("hit") | (F.col("n") >= 1)).select(*CELL)
-    options = support.select("*", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("d"))
+def rated_steps(support: DataFrame, votes: DataFrame, moves: DataFrame) -> DataFrame:
+    """grid_id, r, c, d, nr, nc, cost, t, vote, conf: the steps from each supported cell to its supported neighbours."""
+    options = support.select(*CELL, F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 4)])).alias("d"))
     options = options.withColumns({"nr": F.col("r") + directions.row_step(F.col("d")), "nc": F.col("c") + directions.col_step(F.col("d"))})
     options = options.join(support.select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc")), ["grid_id", "nr", "nc"], "left_semi")
     key = ["grid_id", "r", "c", "d"]
@@ -433,5 +446,136 @@ def compress(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> D
     cost = 1.75 - 1.15 * move - 0.5 * vote - F.when(move > 0.55, 0.2).otherwise(0.0)
     cost = F.when((move <= 0) & (vote <= 0), 3.0).otherwise(F.least(F.lit(3.0), F.greatest(F.lit(0.12), cost)))
     conf = F.least(F.lit(1.0), 0.25 + 0.45 * move + 0.3 * vote)
-    best = rated.groupBy(*CELL).agg(F.min(F.struct(cost.alias("cost"), (-F.coalesce("t", F.lit(0))).alias("t"), (-vote).alias("v"), F.col("d").alias("d"), conf.alias("conf"))).alias("best"))
+    return rated.select(*CELL, "d", "nr", "nc", cost.alias("cost"), F.coalesce("t", F.lit(0.0)).alias("t"), vote.alias("vote"), conf.alias("conf"))
+
+
+def compress(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """grid_id, r, c, d, conf of a grid without an outlet on `to` rows and columns.
+
+    A coarse cell is supported by any fine cell or passing flow; of its supported neighbours it points
+    to the one with the least edge cost, then the most transitions, votes, and the lowest code.
+    """
+    counts, votes, moves = coarsen(cells, shape, to)
+    rated = rated_steps(counts.select(*CELL), votes, moves)
+    best = rated.groupBy(*CELL).agg(F.min_by(F.struct("d", "conf"), F.struct("cost", -F.col("t"), -F.col("vote"), "d")).alias("best"))
     return best.select(*CELL, "best.d", "best.conf")
+
+
+def compress_to_outlet(cells: DataFrame, outlets: DataFrame, shape: tuple[int, int], to: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """grid_id, r, c, d, conf of grids with one outlet each, and a row a grid: outlet_r, outlet_c, dropped.
+
+    A coarse cell is supported by fine cells on 8 % of its area, or by visits of weight 0.95. Cells from which support does not
+    lead to the outlet are dropped; the others point to the neighbour nearest it, then as in `compress`, then the one nearest by rows and
+    columns. The outlet has no direction and full confidence.
+    """
+    counts, votes, moves = coarsen(cells, shape, to, outlets)
+    stops = outlets.select("grid_id", coarse(F.col("r"), shape[0], to[0]).alias("r"), coarse(F.col("c"), shape[1], to[1]).alias("c"))
+    least = max(1.0, shape[0] / to[0] * shape[1] / to[1] * 0.08)
+    held = cut(counts.where((F.col("n") >= least) | (F.col("hits") >= 0.95)).select(*CELL))
+    bare = counts.where("n > 0").join(held.select("grid_id").distinct(), "grid_id", "left_anti").select(*CELL)
+    support = cut(held.unionByName(bare).unionByName(stops).distinct())
+    dist = cut(distance_to_outlet(support, stops))
+    steps = rated_steps(dist.select(*CELL), votes, moves).join(dist.select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc"), "dist"), ["grid_id", "nr", "nc"])
+    steps = steps.join(stops.select("grid_id", F.col("r").alias("to_r"), F.col("c").alias("to_c")), "grid_id").where("NOT (r = to_r AND c = to_c)")
+    away = F.abs(F.col("nr") - F.col("to_r")) + F.abs(F.col("nc") - F.col("to_c"))
+    best = steps.groupBy(*CELL).agg(F.min_by(F.struct("d", "conf"), F.struct("dist", "cost", -F.col("t"), -F.col("vote"), away, "d")).alias("best"))
+    out = best.select(*CELL, "best.d", "best.conf").unionByName(stops.select(*CELL, F.lit(0).alias("d"), F.lit(1.0).alias("conf")))
+    dropped = support.join(dist, CELL, "left_anti").groupBy("grid_id").agg(F.count("*").alias("dropped"))
+    return out, stops.select("grid_id", F.col("r").alias("outlet_r"), F.col("c").alias("outlet_c")).join(dropped, "grid_id", "left").fillna(0, ["dropped"])
+
+
+def gap_fills(cells: DataFrame, support: DataFrame, fillable: DataFrame | None = None) -> DataFrame:
+    """grid_id, r, c, d for empty support cells between two directed neighbours of their component (which four-neighbours always share).
+
+    Of a cell's pairs of directed neighbours, both ways, the way that most of the two directions agree with wins (then the fewest that
+    contradict; then the pair first in the order north, south, west, east, and the way from its first). All cells look at the grid as given.
+    """
+    empty = support.select(*CELL).distinct().join(cells.select(*CELL), CELL, "left_anti")
+    if fillable is not None:
+        empty = empty.join(fillable.select(*CELL).distinct(), CELL, "left_semi")
+    near = empty.select(*CELL, F.explode(directions.neighbours()).alias("n")).select(*CELL, (F.col("r") + F.col("n.dr")).alias("nr"), (F.col("c") + F.col("n.dc")).alias("nc"), "n.k", "n.back")
+    held = cells.join(support.select(*CELL).distinct(), CELL, "left_semi").select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("d").alias("own"))
+    near = near.join(held, ["grid_id", "nr", "nc"])
+    # a neighbour's code towards the cell is `back`, the cell's code towards it the opposite
+    list_ = F.array_sort(F.collect_list(F.struct("k", "back", "own")))
+    rows = near.groupBy(*CELL).agg(list_.alias("l")).where("size(l) >= 2")
+    pairs = rows.select(*CELL, F.posexplode("l").alias("i", "a"), "l").select(*CELL, "i", "a", F.posexplode("l").alias("j", "b")).where("i < j")
+
+    def way(source, sink, order: int) -> Column:
+        on = directions.opposite(sink["back"])  # the code from the cell to the sink
+        agree = (source["own"] == source["back"]).cast("int") + (sink["own"] == on).cast("int")
+        return F.struct(agree.alias("agree"), (agree - 2).alias("against"), F.lit(-order).alias("order"), on.alias("d"))
+
+    ways = pairs.select(*CELL, "i", "j", F.explode(F.array(way(F.col("a"), F.col("b"), 0), way(F.col("b"), F.col("a"), 1))).alias("w"))
+    best = F.max_by("w.d", F.struct("w.agree", "w.against", -F.col("i"), -F.col("j"), "w.order"))
+    return ways.groupBy(*CELL).agg(best.alias("d"))
+
+
+def guide_to_outlet(cells: DataFrame, support: DataFrame, outlets: DataFrame, fillable: DataFrame | None = None) -> DataFrame:
+    """grid_id, r, c, d, dist for empty support cells: towards the neighbour nearest the outlet, one with a direction first (as given: no fill sees another)."""
+    routes = support.select(*CELL).unionByName(outlets.select(*CELL)).distinct()
+    dist = cut(distance_to_outlet(routes, outlets))
+    empty = routes.join(cells.select(*CELL), CELL, "left_anti")
+    if fillable is not None:
+        empty = empty.join(fillable.select(*CELL).distinct(), CELL, "left_semi")
+    return downhill(empty, dist, cells).join(dist, CELL)
+
+
+def progress(cells: DataFrame, outlets: DataFrame, most: int = 4) -> DataFrame:
+    """grid_id, r, c, steps: how far each flow goes on over active cells, `most` at the most and for any that meets an outlet within so many."""
+    jump = cut(edges(cells.unionByName(outlets.join(cells, CELL, "left_anti").select(*CELL, F.lit(0).alias("d"))), outlets))
+    stops = outlets.select("grid_id", cell_id().alias("at"), F.lit(True).alias("stop")).distinct()
+    walk = jump.select("grid_id", "id", F.col("id").alias("at"), F.lit(0).alias("steps"))
+    for _ in range(most):
+        step = jump.select("grid_id", F.col("id").alias("at"), "next")
+        walk = walk.join(step, ["grid_id", "at"], "left").join(F.broadcast(stops), ["grid_id", "at"], "left")
+        on = F.col("next").isNotNull()
+        walk = walk.select("grid_id", "id", F.when(on, F.col("next")).otherwise(F.col("at")).alias("at"), F.when(F.col("stop"), most).when(on, F.col("steps") + 1).otherwise(F.col("steps")).alias("steps"))
+    return walk.join(cells.select("grid_id", cell_id().alias("id")), ["grid_id", "id"], "left_semi").select("grid_id", row_of("id").alias("r"), col_of("id").alias("c"), "steps")
+
+
+def remaining(chains: DataFrame) -> DataFrame:
+    """chains (grid_id, head, length, ...) with the cells that are left of their grid before each one is removed, the longest first."""
+    w = Window.partitionBy("grid_id").orderBy(F.desc("length"), "start")
+    total = F.sum("length").over(Window.partitionBy("grid_id"))
+    before = F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return chains.withColumn("left", total - F.coalesce(before, F.lit(0)))
+
+
+def shortest_path(mask: DataFrame, ends: DataFrame) -> DataFrame:
+    """grid_id, k, r, c: a shortest four-connected path inside the mask from (r0, c0) to (r1, c1) of each grid, ties by the order in which a
+    breadth-first search from the start takes cells; only the start where there is none."""
+    start = ends.select("grid_id", F.col("r0").alias("r"), F.col("c0").alias("c"), F.lit(0).alias("label"))
+    found = cut(spread(start, mask.select(*CELL).unionByName(start.select(*CELL)).distinct()))
+    goal = ends.select("grid_id", F.col("r1").alias("r"), F.col("c1").alias("c")).join(found, CELL, "left_semi")
+    # d leads back to the start: the path is the flow from the goal
+    from_goal = trace_from(found.select(*CELL, "d"), goal)
+    lone = start.select(*CELL).join(goal.select("grid_id"), "grid_id", "left_anti").select(*CELL, F.lit(0).alias("back"))
+    steps = from_goal.unionByName(lone)
+    last = steps.groupBy("grid_id").agg(F.max("back").alias("last"))
+    return steps.join(last, "grid_id").select("grid_id", (F.col("last") - F.col("back")).alias("k"), "r", "c")
+
+
+def trace_from(flow: DataFrame, starts: DataFrame) -> DataFrame:
+    """grid_id, r, c, back: the cells on the flow (which ends at cells without a direction, d 0) from one start a grid, and the steps from it. The flow is doubled: the cells within 2^n steps hand on those 2^n further."""
+    jump = cut(edges(flow, flow.where("d = 0")).select("grid_id", "id", F.col("next").alias("to")))
+    on = cut(starts.select("grid_id", cell_id().alias("id"), F.lit(0).alias("back")))
+    steps = 1
+    while True:
+        more = on.join(jump.where("to IS NOT NULL"), ["grid_id", "id"]).select("grid_id", F.col("to").alias("id"), (F.col("back") + steps).alias("back"))
+        more = cut(more)
+        if not more.limit(1).count():
+            return on.select("grid_id", row_of("id").alias("r"), col_of("id").alias("c"), "back")
+        on = cut(on.unionByName(more))
+        jump = cut(jump.where("to IS NOT NULL").join(jump.select("grid_id", F.col("id").alias("to"), F.col("to").alias("far")), ["grid_id", "to"]).select("grid_id", "id", F.col("far").alias("to")))
+        steps *= 2
+
+
+def backbone(mask: DataFrame) -> DataFrame:
+    """grid_id, k, r, c: a longest shortest path of a connected mask, by two breadth-first searches: from the first cell to the farthest, and from there (the first in row-major order of the farthest)."""
+    far = lambda df: df.groupBy("grid_id").agg(F.min_by(F.struct("r", "c"), F.struct(-F.col("dist"), "r", "c")).alias("p")).select("grid_id", "p.r", "p.c")
+    first = mask.groupBy("grid_id").agg(F.min(F.struct("r", "c")).alias("p")).select("grid_id", "p.r", "p.c")
+    one = cut(far(distance_to_outlet(mask, first)))
+    two = cut(far(distance_to_outlet(mask, one)))
+    both = one.select("grid_id", F.col("r").alias("r0"), F.col("c").alias("c0")).join(two.select("grid_id", F.col("r").alias("r1"), F.col("c").alias("c1")), "grid_id")
+    return shortest_path(mask, both)

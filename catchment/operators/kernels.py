@@ -48,15 +48,24 @@ def loops(after: np.ndarray) -> np.ndarray:
     return np.unique(at[lost])
 
 
-def passing(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the cells whose flow ends, and how many starts pass each (itself too)."""
-    sink, depth = ends(after)
+def passing(after: np.ndarray) -> np.ndarray:
+    """How many starts pass each cell (itself too). A flow into a cycle passes each of its cells once: the cycle is opened at its first cell, and all its cells get that one's number."""
+    ring = loops(after)
+    opened, first = after.copy(), np.zeros(0, np.int64)
+    if len(ring):
+        # the first cell of each one's cycle: least places over twice as many steps each round
+        low, at = np.arange(len(after)), np.where(after < 0, np.arange(len(after)), after)
+        for _ in range(len(ring).bit_length() + 1):
+            low, at = np.minimum(low, low[at]), at[at]
+        first = low[ring]
+        opened[np.unique(first)] = -1
+    _, depth = ends(opened)
     total = np.ones(len(after), np.int64)
     for cells in levels(depth):
         if depth[cells[0]] > 0:
-            np.add.at(total, after[cells], total[cells])
-    some = np.flatnonzero(sink >= 0)
-    return some, total[some]
+            np.add.at(total, opened[cells], total[cells])
+    total[ring] = total[first]
+    return total
 
 
 def levels(depth: np.ndarray):

@@ -288,9 +288,9 @@ def flow_accumulation(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {fx.cells_cte()},
 w AS (SELECT grid_id, r AS sr, c AS sc, r, c, nr, nc FROM cells UNION ALL SELECT w.grid_id, sr, sc, a.r, a.c, a.nr, a.nc FROM w JOIN cells a ON a.grid_id = w.grid_id AND a.r = w.nr AND a.c = w.nc),
-t AS (SELECT w.grid_id, w.r // 4 AS r, w.c // 5 AS c, CASE WHEN w.nc // 5 > w.c // 5 THEN 1 WHEN w.nr // 4 > w.r // 4 THEN 2 END AS d, count(*) AS t FROM w JOIN cells a ON a.grid_id = w.grid_id AND a.r = w.nr AND a.c = w.nc GROUP BY 1, 2, 3, 4 HAVING d IS NOT NULL),
+t AS (SELECT grid_id, r // 4 AS r, c // 5 AS c, CASE WHEN nc // 5 > c // 5 THEN 1 WHEN nr // 4 > r // 4 THEN 2 END AS d, count(*) AS t FROM w WHERE nr < 40 AND nc < 50 GROUP BY 1, 2, 3, 4 HAVING d IS NOT NULL),
 v AS (SELECT grid_id, r // 4 AS r, c // 5 AS c, d, count(*) AS w FROM cells GROUP BY 1, 2, 3, 4),
-s AS (SELECT DISTINCT grid_id, r, c FROM v),
+s AS (SELECT grid_id, r, c FROM v UNION SELECT grid_id, r + CASE d WHEN 2 THEN 1 ELSE 0 END, c + CASE d WHEN 1 THEN 1 ELSE 0 END FROM t),
 o AS (SELECT s.*, d, r + [0, 1, 0, -1][d] AS nr, c + [1, 0, -1, 0][d] AS nc FROM s, (VALUES (1), (2), (3), (4)) k(d)),
 p AS (SELECT o.*, coalesce(t, 0) AS t, coalesce(w / sum(w) OVER g, 0) AS vote, coalesce(t / sum(t) OVER g, 0) AS move FROM o LEFT JOIN t USING (grid_id, r, c, d) LEFT JOIN v USING (grid_id, r, c, d) WINDOW g AS (PARTITION BY o.grid_id, o.r, o.c)),
 e AS (SELECT *, CASE WHEN move <= 0 AND vote <= 0 THEN 3.0 ELSE least(3.0, greatest(0.12, 1.75 - 1.15 * move - 0.5 * vote - CASE WHEN move > 0.55 THEN 0.2 ELSE 0 END)) END AS cost FROM p WHERE EXISTS (FROM s WHERE s.grid_id = p.grid_id AND s.r = p.nr AND s.c = p.nc))
