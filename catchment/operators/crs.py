@@ -159,25 +159,27 @@ def signature_scores() -> Column:
     return F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.when(test, s).otherwise(0.0).alias("score")) for test, k, s in rules]), lambda r: r["score"] > 0)
 
 
-PRIORITY = {"epsg5179": 1, "epsg5174": 2, "epsg2097": 3, "epsg5178": 4}
+#: Order of candidates with equal scores, and the systems that a year in a layer's name speaks for (fixed values).
+PRIORITY = {"project": 0, "epsg5179": 1, "epsg5174": 2, "epsg2097": 3, "epsg5178": 4}
 NEWER, OLDER = ("epsg5179", "epsg5181", "epsg5186"), ("epsg5178", "epsg5174", "epsg2097")
 
 
 def recommend(layers: DataFrame, project: System | None = None, project_box: tuple[float, ...] | None = None) -> DataFrame:
     """layer, key, score, confidence, alternatives of each layer (layer, name, xmin, ymin, xmax, ymax); null key: none.
 
-    Scores come from number ranges, from overlap and closeness with the project's box after a trial transform,
+    A system found beside a file (column detected, if there is one) is confirmed, one that was assigned before (column assigned) comes
+    next. Otherwise scores come from number ranges, from overlap and closeness with the project's box after a trial transform,
     and from the year in the name. Under 0.25 there is no recommendation.
     """
     valid = (F.col("xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("ymax")) & ((F.col("xmin") < F.col("xmax")) | (F.col("ymin") < F.col("ymax")))
     scored = layers.where(valid).select("layer", "name", F.explode(signature_scores()).alias("s")).select("layer", "name", "s.key", "s.score")
     if project is not None:
         box = tuple(F.lit(float(v)) for v in project_box)
-        for s in SYSTEMS.values():
-            trial = transform_box(layers.where(valid), "layer", s, project).join(layers.select("layer", "name"), "layer")
+        for name, s in [("project", project), *((s.key, s) for s in SYSTEMS.values())]:
+            trial = layers.where(valid) if name == "project" else transform_box(layers.where(valid), "layer", s, project).join(layers.select("layer", "name"), "layer")
             own = tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
             score = F.coalesce(0.72 * geometry.overlap_share(own, box) + 0.18 * geometry.centre_closeness(own, box), F.lit(0.0))
-            scored = scored.unionByName(trial.select("layer", "name", F.lit(s.key).alias("key"), F.when(F.isnan(score), 0.0).otherwise(score).alias("score")))
+            scored = scored.unionByName(trial.select("layer", "name", F.lit(name).alias("key"), F.when(F.isnan(score), 0.0).otherwise(score).alias("score")))
     best = scored.groupBy("layer", "name", "key").agg(F.max("score").alias("score"))
     year = F.regexp_extract("name", r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1).try_cast("int")
     bonus = F.when((year >= 2002) & F.col("key").isin(*NEWER), 0.04).when((year < 2002) & F.col("key").isin(*OLDER), 0.04).otherwise(0.0)
@@ -189,7 +191,10 @@ def recommend(layers: DataFrame, project: System | None = None, project_box: tup
     good = F.col("score") >= 0.25
     margin = F.col("score") - F.coalesce("second", F.lit(0.0))
     out = top.select("layer", F.when(good, F.col("key")).alias("key"), F.when(good, F.col("score")).alias("score"), F.when(good, F.when((F.col("score") >= 0.62) & (margin >= 0.05), "medium").otherwise("low")).alias("confidence"), F.when(good, F.array_join(F.transform(F.filter("next", lambda n: F.col("score") - n["score"] < 0.12), lambda n: n["key"]), ",")).alias("alternatives"))
-    return layers.select("layer").join(out, "layer", "left")
+    known = {c: F.col(c) if c in layers.columns else F.lit(None).cast("string") for c in ("detected", "assigned")}
+    out = layers.select("layer", *[c.alias(k) for k, c in known.items()]).join(out, "layer", "left")
+    sure = lambda detected, assigned, other: F.when(F.col("detected").isNotNull(), detected).when(F.col("assigned").isNotNull(), assigned).otherwise(other)
+    return out.select("layer", sure("detected", "assigned", F.col("key")).alias("key"), sure(1.0, 0.98, F.col("score")).alias("score"), sure("confirmed", "high", F.col("confidence")).alias("confidence"), sure("", "", F.col("alternatives")).alias("alternatives"))
 
 
 def project_choice(layers: DataFrame) -> DataFrame:
@@ -205,3 +210,46 @@ def unit_of(prj: Column) -> Column:
     name, factor = F.lower(F.try_element_at(names, F.lit(-1))), F.try_element_at(factors, F.lit(-1)).try_cast("double")
     kind = F.when(name.contains("degree"), "degree").when(name.rlike("met(er|re)") & (F.abs(factor - 1) < 1e-9), "meter").when(factor.isNotNull(), "linear").otherwise("unknown")
     return F.struct(name.alias("name"), factor.alias("factor"), kind.alias("kind"))
+
+
+def parsed(text: Column) -> Column:
+    """Struct(code, name, geographic, projected, unit) of a system's text: an authority code (EPSG:5179, as such or in a projection's text), a name, its kind and its unit.
+
+    A text that is neither a code of a known system nor a projection's text has a null name.
+    """
+    t = F.trim(text)
+    known = F.create_map(*[F.lit(v) for key, s in SYSTEMS.items() for v in (key[4:], key)])
+    bare = F.regexp_extract(t, r"(?i)^epsg\s*:\s*(\d+)$", 1)
+    named = F.regexp_extract_all(t, F.lit(r'(?i)(?:AUTHORITY|ID)\s*\[\s*"EPSG"\s*,\s*"?(\d+)"?\s*\]\s*\]\s*$'), F.lit(1))
+    code = F.when(bare != "", bare).otherwise(F.try_element_at(named, F.lit(-1)))
+    name = F.regexp_extract(t, r'(?i)^(?:PROJCS|GEOGCS|PROJCRS|GEOGCRS|GEODCRS)\s*\[\s*"([^"]*)"', 1)
+    geographic = t.rlike(r"(?i)^(GEOGCS|GEOGCRS|GEODCRS)") | (F.coalesce(code, F.lit("")) == "4326")
+    projected = t.rlike(r"(?i)^(PROJCS|PROJCRS)") | ((bare != "") & F.try_element_at(known, bare).isNotNull() & (bare != "4326"))
+    unit = F.when(geographic, "degree").when(bare != "", "meter").otherwise(unit_of(t)["kind"])
+    good = (name != "") | F.try_element_at(known, bare).isNotNull()
+    return F.struct(F.when(code != "", code).alias("code"), F.when(good, F.when(name != "", name).otherwise(F.concat(F.lit("EPSG:"), bare))).alias("name"), geographic.alias("geographic"), projected.alias("projected"), unit.alias("unit"))
+
+
+def same_system(first: Column, second: Column) -> Column:
+    """Whether two texts name one system: equal authority codes, else equal projection texts but for names, authorities, axes, case and white space."""
+    a, b = parsed(first)["code"], parsed(second)["code"]
+
+    def bare(t: Column) -> Column:
+        out = F.regexp_replace(F.lower(t), r'(?:,\s*)?(?:authority|id|axis)\s*\[[^\[\]]*\]', "")
+        out = F.regexp_replace(out, r'(projcs|geogcs|projcrs|geogcrs|datum|spheroid|primem|unit)\s*\[\s*"[^"]*"', "$1[")
+        return F.regexp_replace(out, r"\s+", "")
+
+    return F.coalesce(a == b, F.lit(False)) | (bare(first) == bare(second))
+
+
+def project_recommendation(pipe: Column, pipe_projected: Column, current: Column, current_projected: Column) -> Column:
+    """Struct(key, confidence, score) for a project: the pipes' projected system, the current projected one, then either as it is, else a general one (fixed values)."""
+    pick = lambda key, confidence, score: F.struct(F.lit(key).alias("key"), F.lit(confidence).alias("confidence"), F.lit(score).alias("score"))
+    some = lambda c, flag: c.isNotNull() & F.coalesce(flag, F.lit(False))
+    return (
+        F.when(some(pipe, pipe_projected), pick("pipe", "high", 1.0))
+        .when(some(current, current_projected), pick("current", "high", 0.96))
+        .when(current.isNotNull(), pick("current", "medium", 0.70))
+        .when(pipe.isNotNull(), pick("pipe", "medium", 0.68))
+        .otherwise(pick("epsg5179", "low", 0.35))
+    )

@@ -9,7 +9,7 @@ library's rounding pixel for pixel.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PIXELS = "image_id string, y int, x int, height int, width int, ink boolean, line boolean, thick double"
@@ -218,3 +218,42 @@ def draw(matrix: np.ndarray, cell: int = 24) -> np.ndarray:
         tip = (u <= cell * 0.42) & (u >= cell * 0.08) & (v <= (cell * 0.42 - u) * 0.7)
         canvas[shaft | tip] = 0
     return canvas
+
+
+def component_near(tips: DataFrame, labels: DataFrame, radius: int = 4) -> DataFrame:
+    """tip_id, label of the component at a tip's pixel, else the most frequent one within `radius` rows and columns (the smallest of equals), else 0.
+
+    tips: image_id, tip_id, x, y; labels: image_id, x, y, label (labelled pixels only). A tip asks for the pixels of its window by an equi-join.
+    """
+    step = F.sequence(F.lit(-radius), F.lit(radius))
+    asked = tips.select("image_id", "tip_id", F.rint("x").cast("int").alias("tx"), F.rint("y").cast("int").alias("ty")).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
+    asked = asked.select("image_id", "tip_id", (F.col("tx") + F.col("dx")).alias("x"), (F.col("ty") + F.col("dy")).alias("y"), ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("own"))
+    found = asked.join(labels, ["image_id", "x", "y"]).groupBy("image_id", "tip_id", "label").agg(F.bool_or("own").alias("own"), F.count("*").alias("n"))
+    best = found.groupBy("image_id", "tip_id").agg(F.max_by("label", F.struct("own", "n", -F.col("label"))).alias("label"))
+    return tips.select("image_id", "tip_id").join(best, ["image_id", "tip_id"], "left").fillna(0, ["label"])
+
+
+def fill_short_gaps(profiles: DataFrame, most: int = 3) -> DataFrame:
+    """profiles (profile_id, i, v; v of 0 or less is a gap) with gaps of at most `most` places between positive values filled on a straight line."""
+    w = Window.partitionBy("profile_id").orderBy("i")
+    some = lambda c: F.when(F.col("v") > 0, F.col(c))
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    sides = {"li": F.last(some("i"), True).over(before), "lv": F.last(some("v"), True).over(before), "ri": F.first(some("i"), True).over(after), "rv": F.first(some("v"), True).over(after)}
+    line = F.col("lv") + (F.col("rv") - F.col("lv")) * (F.col("i") - F.col("li")) / (F.col("ri") - F.col("li"))
+    fill = (F.col("v") <= 0) & (F.col("ri") - F.col("li") - 1 <= most)
+    return profiles.withColumns(sides).withColumn("v", F.when(fill, line).otherwise(F.col("v"))).drop(*sides)
+
+
+def assign_greedily(edges: DataFrame) -> DataFrame:
+    """group_id, a, b, cost: one to one by rising cost (then a, then b), within each group. Each round takes the edges that are the best of both their ends, all at once, which is what taking them in order gives."""
+    from catchment.functions.materialise import cut
+
+    left, taken = cut(edges.select("group_id", "a", "b", "cost")), None
+    while left.limit(1).count():
+        order = F.struct("cost", "a", "b")
+        best_a = left.groupBy("group_id", "a").agg(F.min(order).alias("m")).select("group_id", "a", F.col("m.b").alias("b"))
+        best_b = left.groupBy("group_id", "b").agg(F.min(order).alias("m")).select("group_id", "b", F.col("m.a").alias("a"))
+        now = cut(left.join(best_a, ["group_id", "a", "b"]).join(best_b, ["group_id", "a", "b"]))
+        taken = now if taken is None else taken.unionByName(now)
+        left = cut(left.join(now.select("group_id", "a"), ["group_id", "a"], "left_anti").join(now.select("group_id", "b"), ["group_id", "b"], "left_anti"))
+    return left if taken is None else taken.select("group_id", "a", "b", "cost")

@@ -41,3 +41,10 @@ def reference_box(layers: DataFrame, without: str | None = None) -> DataFrame:
 def working_copy(segments: DataFrame, source: str, project: str) -> DataFrame:
     """Segments in the project's system; the source stays as it was."""
     return crs.reproject(segments, crs.SYSTEMS[source], crs.SYSTEMS[project])
+
+
+def point_counts(parts: DataFrame) -> DataFrame:
+    """layer, part, points (vertices of a part, an array column) and layer_points (of its whole layer)."""
+    counts = parts.select("layer", "part", F.size("points").cast("long").alias("points"))
+    whole = counts.groupBy("layer").agg(F.sum("points").alias("layer_points"))
+    return counts.join(whole, "layer").select("layer", "part", "points", "layer_points")

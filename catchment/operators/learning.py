@@ -218,3 +218,11 @@ def reliable_context(anchors: DataFrame, cells: DataFrame, radius: int = 2, zero
     w = Window.partitionBy("grid_id", "ar", "ac", F.col("d") > 0).orderBy(F.desc("score"), "r", "c")
     kept = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("d") > 0, directed).otherwise(zeros))
     return kept.groupBy(*CELL).agg(F.max_by("d", "score").alias("d"), F.max("score").alias("score"))
+
+
+def append_samples(old: DataFrame, new: DataFrame, identity: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """The training set with a batch appended (columns that one side lacks are null), the last sample of each identity kept, and one row of counts."""
+    from catchment.operators import evaluate
+
+    both = old.unionByName(new, allowMissingColumns=True)
+    return evaluate.dedupe_keep_last(both, F.col(identity).cast("string"), order, "label")

@@ -144,19 +144,95 @@ def slope_cells(segments: DataFrame, rows: int, cols, box, unit: str = "meter",
     return cells.groupBy("grid_id", F.col("cell.r").alias("r"), F.col("cell.c").alias("c")).agg((F.sum(F.col("slope") * F.col("weight")) / F.sum("weight")).alias("slope"))
 
 
-def vote_object_paths(steps: DataFrame, weight: float = 3.0, terminal: float = 1.5) -> DataFrame:
-    """Votes of arrow objects. steps: grid_id, object_id, k, r, c, own (the object's code).
+def vote_object_paths(steps: DataFrame, weight: float | Column = 3.0, terminal: float | Column = 1.5) -> DataFrame:
+    """Votes of arrow objects. steps: grid_id, object_id, k, r, c, own (the object's code; 0 for none).
 
-    A step's code is the dominant one, or the object's own where they oppose; the last cell gets the last code.
+    A step's code is the dominant one, or the object's own where they oppose; the last cell gets the last code. Weights may be columns
+    of the steps. Sums are of millionths, so they don't depend on order.
     """
+    rows = _coded_steps(steps, weight, terminal).where("d IS NOT NULL")
+    return rows.groupBy("grid_id", "r", "c", "d").agg((F.sum("w") / 1e6).alias("w"))
+
+
+def _coded_steps(steps: DataFrame, weight, terminal) -> DataFrame:
     w = Window.partitionBy("grid_id", "object_id").orderBy("k")
     moved = steps.select("*", F.lead("r").over(w).alias("nr"), F.lead("c").over(w).alias("nc"))
-    code = directions.object_code(F.col("nr") - F.col("r"), F.col("nc") - F.col("c"), F.col("own"))
-    coded = moved.select("*", F.when(F.col("nr").isNotNull(), F.nullif(code, F.lit(0))).alias("d"))
+    step = (F.col("nr") - F.col("r"), F.col("nc") - F.col("c"))
+    coded = moved.withColumns({"raw": F.when(F.col("nr").isNotNull(), F.nullif(directions.dominant_code(*step), F.lit(0))), "d": F.when(F.col("nr").isNotNull(), F.nullif(directions.object_code(*step, F.col("own")), F.lit(0)))})
     last = F.last("d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    share = F.when(F.col("nr").isNull(), terminal).otherwise(weight)
-    rows = coded.select("grid_id", "r", "c", F.when(F.col("nr").isNull(), last).otherwise(F.col("d")).alias("d"), share.alias("w")).where("d IS NOT NULL")
-    return rows.groupBy("grid_id", "r", "c", "d").agg(F.sum("w").alias("w"))
+    share = lambda v: F.rint((v if isinstance(v, Column) else F.lit(v)) * 1e6).cast("long")
+    end = F.col("nr").isNull()
+    return coded.select("grid_id", "object_id", "r", "c", "nr", "nc", "raw", F.when(end, last).otherwise(F.col("d")).alias("d"), F.when(end, share(terminal)).otherwise(share(weight)).alias("w"))
+
+
+def path_transitions(steps: DataFrame, weight: float = 3.0) -> DataFrame:
+    """grid_id, r, c, nr, nc, t: weight of the steps between cells, of those whose code is that of the step itself."""
+    rows = _coded_steps(steps, weight, 0.0).where("nr IS NOT NULL AND d = raw")
+    return rows.groupBy(*CELL, "nr", "nc").agg((F.sum("w") / 1e6).alias("t"))
+
+
+def rasterise_objects(steps: DataFrame) -> DataFrame:
+    """grid_id, r, c, d, objects: cells of arrow objects (steps with a column score): the best code (0 without a vote) and how many objects touch a cell. Better objects weigh more."""
+    weight = F.greatest(F.lit(0.25), F.least(F.lit(8.0), 1.0 + 4.2 * F.col("score")))
+    votes = vote_object_paths(steps, weight, 0.5 * weight)
+    best = argmax(votes.withColumn("w", F.rint(F.col("w") * 1e6).cast("long")))
+    return object_counts(steps).join(best, CELL, "left").fillna(0, ["d"])
+
+
+def cell_paths(pixels: DataFrame, rows: int, cols: int, height: int, width: int) -> DataFrame:
+    """grid_id, path_id, k, r, c: pixel paths (grid_id, path_id, k, x, y) as cells, consecutive repeats dropped; a step that isn't to a neighbour goes along the row first, then along the column."""
+    at = lambda v, n, size: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col(v) / (size / n)).cast("int")))
+    w = Window.partitionBy("grid_id", "path_id").orderBy("k")
+    cells = pixels.select("grid_id", "path_id", "k", at("y", rows, height).alias("r"), at("x", cols, width).alias("c"))
+    kept = cells.select("*", F.lag("r").over(w).alias("pr"), F.lag("c").over(w).alias("pc")).where("pr IS NULL OR r <> pr OR c <> pc")
+
+    def between(low: str, high: str) -> Column:
+        """The places after low up to high, in order."""
+        down = F.col(high) < F.col(low)
+        return F.when(F.col(high) == F.col(low), F.array().cast("array<int>")).otherwise(F.sequence(F.col(low) + F.when(down, -1).otherwise(1), F.col(high)))
+
+    along = F.transform(between("pc", "c"), lambda v: F.struct(F.col("pr").alias("r"), v.alias("c")))
+    across = F.transform(between("pr", "r"), lambda v: F.struct(v.alias("r"), F.col("c").alias("c")))
+    steps = F.when(F.col("pr").isNull(), F.array(F.struct("r", "c"))).otherwise(F.concat(along, across))
+    out = kept.select("grid_id", "path_id", "k", F.posexplode(steps).alias("s", "p"))
+    return out.select("grid_id", "path_id", (F.row_number().over(Window.partitionBy("grid_id", "path_id").orderBy("k", "s")) - 1).alias("k"), "p.r", "p.c")
+
+
+def supported_paths(candidates: DataFrame, raw: DataFrame, tolerance: int = 1) -> DataFrame:
+    """path_id, supported: whether each cell of a path lies within `tolerance` rows and columns (summed) of some cell of the raw path of the same id. Cells near a raw cell are spread from it, so no pair of all is made."""
+    step = F.sequence(F.lit(-tolerance), F.lit(tolerance))
+    near = raw.select("path_id", "r", "c").distinct().withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).where(F.abs("dr") + F.abs("dc") <= tolerance)
+    near = near.select("path_id", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")).distinct().withColumn("near", F.lit(True))
+    found = candidates.select("path_id", "r", "c").join(near, ["path_id", "r", "c"], "left")
+    return found.groupBy("path_id").agg(F.bool_and(F.coalesce("near", F.lit(False))).alias("supported"))
+
+
+def guided_votes(cells: DataFrame, heads: DataFrame, grids: DataFrame) -> DataFrame:
+    """grid_id, r, c, d, w: for each occupied cell the vote of the head that fits it best.
+
+    cells: grid_id, r, c, path (0 or 1), axis_x, axis_y, axis_conf. heads: grid_id, head_id, x, y, dx, dy, score. grids: grid_id, rows, cols, width,
+    height. A head fits as far as the cell lies behind its tip, along its direction, close to its line, and the cell's own axis agrees. The
+    lateral share falls under any use beyond a few cells, but heads have no bound along their line: a grid's cells meet its heads.
+    """
+    unit = F.hypot("dx", "dy")
+    h = heads.where(unit > 1e-6).select("grid_id", "head_id", "x", "y", (F.col("dx") / unit).alias("ux"), (F.col("dy") / unit).alias("uy"), "score")
+    rows = cells.join(grids, "grid_id").join(h, "grid_id")
+    cx, cy = (F.col("c") + 0.5) * F.col("width") / F.col("cols"), (F.col("r") + 0.5) * F.col("height") / F.col("rows")
+    scale = F.greatest(F.lit(1.0), F.hypot(F.col("height") / F.col("rows"), F.col("width") / F.col("cols")))
+    rows = rows.withColumns({"tx": F.col("x") - cx, "ty": F.col("y") - cy, "size": scale})
+    dist = F.hypot("tx", "ty")
+    ahead = -(F.col("tx") * F.col("ux") + F.col("ty") * F.col("uy"))  # how far the cell lies in front of the tip
+    aligned = -ahead / dist
+    lateral = F.abs(F.col("ty") * F.col("ux") - F.col("tx") * F.col("uy"))
+    agree = F.abs(F.col("axis_x") * F.col("ux") + F.col("axis_y") * F.col("uy"))
+    known = F.col("axis_conf") > 0.08
+    good = (dist > 1e-6) & (aligned > 0.10) & (ahead <= 1.2 * F.col("size")) & (~known | (agree >= 0.35))
+    front = 1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), ahead / (2.5 * F.col("size"))))
+    side = lateral / (1.8 * F.col("size"))
+    score = (0.30 + 0.70 * F.greatest("score", F.lit(0.0))) * aligned * F.exp(-side * side) * front * F.when(known, 0.25 + 0.75 * agree).otherwise(0.45) * F.when(F.col("path") == 1, 1.10).otherwise(1.0)
+    code = directions.dominant_code(F.col("ty"), F.col("tx"))
+    best = rows.where(good).withColumns({"fit": score, "d": code}).groupBy(*CELL).agg(F.max_by(F.struct("d", "fit"), F.struct("fit", -F.col("head_id"))).alias("b"))
+    return best.where("b.fit >= 0.03 AND b.d > 0").select(*CELL, "b.d", (0.7 + 2.2 * F.col("b.fit")).alias("w"))
 
 
 def object_counts(steps: DataFrame) -> DataFrame:
@@ -175,7 +251,7 @@ def resolve_directions(votes: DataFrame, transitions: DataFrame, cells: DataFram
     along = F.when(F.col("d").isin(1, 3), F.abs("axis_x")).otherwise(F.abs("axis_y"))
     axis = F.coalesce(F.when(F.col("axis_conf") > 0.05, along), F.lit(0.0))
     objects = F.coalesce("objects", F.lit(0))
-    score = t * (1.35 + 0.2 * F.least(objects, F.lit(3))) + 0.85 * F.col("w") + 0.2 * axis - F.when((objects > 1) & (t <= 1e-6), 0.35).otherwise(0.0)
+    score = F.round(t * (1.35 + 0.2 * F.least(objects, F.lit(3))) + 0.85 * F.col("w") + 0.2 * axis - F.when((objects > 1) & (t <= 1e-6), 0.35).otherwise(0.0), 9)
     return joined.groupBy(*CELL).agg(F.max_by("d", F.struct(score, t, "w", axis, -F.col("d"))).alias("d"))
 
 

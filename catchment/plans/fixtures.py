@@ -1,6 +1,7 @@
 """Grids, lines, rings and labels derived from the test tables by SQL that Spark and DuckDB both run.
 
-ROWS x COLS is the size of the derived grids; grid_id is the line items' return flag (segments: one grid).
+ROWS x COLS is the size of the derived grids; grid_id is the line items' return flag and, beyond the first
+ORDERS order keys, the number of their block: the number of grids grows with the data (segments: one grid).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from catchment.operators import raster
 
 ROWS, COLS = 40, 50
+ORDERS = 15_000
+GRID = f"CASE WHEN l_orderkey < {ORDERS} THEN l_returnflag ELSE concat(l_returnflag, '-', CAST(floor(l_orderkey / {float(ORDERS)}) AS INT)) END"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +23,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def votes_sql(codes: int, weight: str = "l_quantity") -> str:
     """Votes with codes 1..`codes`; 2 codes (east, south) make an acyclic grid."""
     return f"""
-SELECT l_returnflag AS grid_id, CAST(l_partkey % {ROWS} AS INT) AS r, CAST(l_suppkey % {COLS} AS INT) AS c,
+SELECT {GRID} AS grid_id, CAST(l_partkey % {ROWS} AS INT) AS r, CAST(l_suppkey % {COLS} AS INT) AS c,
        CAST((l_orderkey + l_linenumber) % {codes} + 1 AS INT) AS d, CAST(SUM(CAST(FLOOR({weight}) AS BIGINT)) AS BIGINT) AS w
 FROM {{lineitem}} GROUP BY 1, 2, 3, 4"""
 

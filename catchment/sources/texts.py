@@ -122,3 +122,45 @@ def select_workbooks(files: DataFrame, low: int, high: int) -> DataFrame:
 def gamma_report(m: DataFrame) -> DataFrame:
     """grid_id, text: the summary lines of gamma_index."""
     return m.select("grid_id", F.format_string("cells=%d\nchains=%d\nlongest=%d\ncentre=%.10f\ngamma=%.10f", "cells", "chains", "longest", "centre", "gamma").alias("text"))
+
+
+def parse_summary(files: DataFrame) -> DataFrame:
+    """path, line_no, k, beta, ok_total, mean_run, low, high, mean_q (texts) of an engine's table by beta.
+
+    The table follows the first line that holds its title, or both column names; a line that names a saved file ends it. Rows have five
+    fields, or seven with the least and the largest value; lines that don't begin with a whole number are headers.
+    """
+    rows = lines(files).select("path", "line_no", F.trim("line").alias("line"))
+    title = F.contains("line", F.lit("[Summary by beta]")) | (F.contains("line", F.lit("beta")) & F.contains("line", F.lit("meanNSE(run)")))
+    start = rows.where(title).groupBy("path").agg(F.min("line_no").alias("start"))
+    body = rows.join(start, "path").where("line_no > start")
+    ends = F.col("line").startswith("NSE saved:") | F.col("line").startswith("Saved:") | F.contains("line", F.lit("width_functions.csv"))
+    stop = body.where(ends).groupBy("path").agg(F.min("line_no").alias("stop"))
+    f = F.col("f")
+    kept = body.join(stop, "path", "left").where("stop IS NULL OR line_no < stop").select("path", "line_no", numbers(F.col("line")).alias("f"))
+    kept = kept.where((F.size(f) >= 5) & f[0].rlike(r"^[-+]?\d+$"))
+    wide = F.size(f) >= 7
+    return kept.select("path", "line_no", f[0].alias("k"), f[1].alias("beta"), f[2].alias("ok_total"), f[3].alias("mean_run"), F.when(wide, F.get(f, F.lit(4))).alias("low"), F.when(wide, F.get(f, F.lit(5))).alias("high"), F.when(wide, F.get(f, F.lit(6))).otherwise(F.get(f, F.lit(4))).alias("mean_q"))
+
+
+def best_run(summary: DataFrame) -> DataFrame:
+    """path, beta, mean_run of the row with the largest mean; the first of equals; rows without a number don't count."""
+    number = F.col("mean_run").try_cast("double")
+    rows = summary.where(number.isNotNull() & ~F.isnan(number))
+    return rows.groupBy("path").agg(F.max_by(F.struct("beta", "mean_run"), F.struct(number, -F.col("line_no"))).alias("b")).select("path", "b.*")
+
+
+def progress_note(line: Column) -> Column:
+    """What a line of a running engine tells: exponent, beta, run, the end of a batch; else its first 120 characters (null for a blank line)."""
+    text = F.trim(line)
+    found = lambda pattern, name: F.when(F.regexp_extract(text, pattern, 1) != "", F.concat(F.lit(name), F.regexp_extract(text, pattern, 1)))
+    parts = F.array_compact(F.array(found(r"\bk\s*=?\s*([-+]?\d+)", "k="), found(r"beta\s*=?\s*([0-9.eE+-]+)", "beta="), found(r"(?i)\brun\s*=?\s*(\d+)", "run="), F.when(F.contains(text, F.lit("Batch completed")), "batch completed")))
+    return F.when(text == "", F.lit(None).cast("string")).when(F.size(parts) > 0, F.array_join(parts, " / ")).otherwise(F.substring(text, 1, 120))
+
+
+def length_lines(chains: DataFrame) -> DataFrame:
+    """grid_id, place, line: the flow-line lengths of each grid as lines of a table, the longest first, with each one's share of all cells."""
+    w = Window.partitionBy("grid_id")
+    share = F.col("length") / F.sum("length").over(w)
+    place = F.row_number().over(w.orderBy(F.desc("length"), "start"))
+    return chains.select("grid_id", place.alias("place"), F.format_string("%d,%d,%.10f", place, F.col("length"), share).alias("line"))

@@ -7,11 +7,16 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
-FAST = ["argmax_dir", "confidence_overlap", "vote_strength", "raster_argmax", "line_cells", "degree_maps", "run_length6", "trim_bounds", "resample_mask", "resample_any", "hole_bridges", "pip_smallest", "clip_segments", "label_metrics", "match_rates", "gold_upsert", "dedupe_conflicts", "offset_features", "matrix_parse", "nse_parse", "width_blocks", "crs_signature", "bbox_overlap", "crs_round_trip"]
+
+
+def names():
+    from catchment.plans import registry
+
+    return sorted(registry.oracle_sql())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", names())
 def test_equals_duckdb(spark, name):
     from catchment.plans import registry
 
