@@ -11,9 +11,9 @@ the whole sets.
 
 A key with few entities gives all its pairs. A larger one gives a star around one of its entities (keys take
 turns in which comes first, so a cluster gets several centres), and its members are set down; the stars are verified.
-Then the entities of large keys that still hold two components list their parts anew, those of these keys last (the
+Then the texts that hold a large key with two components list their parts anew, those of such keys last (the
 order is again one for all of them), and meet by what they keep now: texts that share a passage with many
-others meet by the rest of them. What is still large and split after some rounds is compared by sketches, in blocks of
+others meet by the rest of them. What is still large and split is compared by sketches, in blocks of
 bounded size: the members outside of the key's largest component with all others. Each hands on one partner, the
 closest of another component that may be a link; after these are verified, the members that still have such a
 partner meet with their whole sets, and a task hands on a forest of the links, no more rows than it read.
@@ -37,8 +37,8 @@ from catchment.llm.hashing import U, grams, mix, words_at
 SMALL_RUN = 32
 BLOCK = 2048
 MAX_RENAMED = 100_000
-#: Large keys whose parts are put last in a round (a sorted array that goes to every task), and rounds.
-MAX_LAST, ROUNDS = 200_000, 1
+#: Large keys whose parts are put last (a sorted array that goes to every task); 0: parts are listed once.
+MAX_LAST = 200_000
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -143,7 +143,7 @@ OUT = "kind int, key long, a long, b long, doc_id long, n int, entity long, extr
 
 
 def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of: Names, last: np.ndarray | None = None, batch_keys: int = 500_000) -> DataFrame:
-    """OUT: kind 0 the documents (in the first round, without last), 1 candidate pairs a < b, 2 members (a) of large keys."""
+    """OUT: kind 0 the documents, 1 candidate pairs a < b, 2 members (a) of large keys. With last: kinds 1 and 2 of the texts that keep one of these keys, by parts listed anew."""
 
     def spread(batches):
         import pyarrow as pa
@@ -202,7 +202,11 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of:
                     rows.append(doc_record(name, null, len(found), ent, check, text_hash))
                     sketches.append(sketch(found))
                 if len(found):
-                    kept = part_keys(found, percent, last, buckets)
+                    kept = part_keys(found, percent)
+                    if last is not None:
+                        if not np.isin(short(kept, buckets), last).any():
+                            continue
+                        kept = part_keys(found, percent, last, buckets)
                     keys.append(kept)
                     ents.append(np.full(len(kept), ent, np.int64).view(U))
                     held += len(kept)
@@ -383,35 +387,36 @@ class Join:
         return shared.stash(df, f"{self.work}/{self.step}")
 
     def run(self, found: DataFrame) -> None:
-        members, rest, last = self.meet(found, True), [], np.zeros(0, U)
-        for _ in range(ROUNDS):
-            sizes = self.keep(members.groupBy("key").count())
-            total = sizes.agg(F.sum("count")).first()[0] or 0
-            large = sizes.where(F.col("count") >= max(SMALL_RUN, -(-total // MAX_LAST))).select("key")  # MAX_LAST at most
-            new = large.toArrow().column("key").to_numpy()
-            if not len(new):
-                break
-            rest.append(members.join(F.broadcast(large), "key", "left_anti"))
-            names = members.join(F.broadcast(large), "key", "left_semi").select("entity").distinct()
-            last = np.union1d(last, new.view(U))
-            again = candidates(self.some_docs(names), self.buckets, self.width, self.percent, self.name_of, last)
-            members = self.meet(self.keep(again), False)
-        for more in rest:
-            members = members.unionByName(self.split(more.select("key", "entity")))
+        members = self.meet(found, True)
+        named = self.name(members, "entity").groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        sizes = self.keep(named.where("low != high").select("key", "size"))
+        total = sizes.agg(F.sum("size")).first()[0] or 0
+        last = np.zeros(0, U)
+        if MAX_LAST and total:
+            large = sizes.where(F.col("size") >= max(SMALL_RUN, -(-total // MAX_LAST))).select("key")  # MAX_LAST at most
+            last = np.unique(large.toArrow().column("key").to_numpy().view(U))
+        if len(last):
+            rest = self.split(members.join(F.broadcast(large), "key", "left_anti"))
+            again = self.meet(self.keep(candidates(self.docs, self.buckets, self.width, self.percent, self.name_of, last)), False)
+            members = self.split(again).unionByName(rest)
+        else:
+            members = self.split(members)
         left = self.partners(members)
         ordered = left.select(F.least("entity", "partner").alias("a"), F.greatest("entity", "partner").alias("b"))
         self.verify(self.keep(ordered.distinct()))
-        left = self.partners(self.split(left.select("key", "entity").distinct()))
+        # two members that were of the largest component still are of one, so the strays stay those to test
+        members = self.keep(self.name(members.join(left.select("key", "entity").distinct(), ["key", "entity"], "left_semi"), "entity"))
+        left = self.partners(members)
         if left.limit(1).count():
-            self.close(self.split(left.select("key", "entity").distinct()))
+            self.close(members.join(left.select("key", "entity").distinct(), ["key", "entity"], "left_semi"))
 
     def meet(self, found: DataFrame, stars: bool) -> DataFrame:
-        """Verifies the pairs of written candidates, stars first if there are many; what their large keys still hold (see split)."""
+        """Verifies the pairs of written candidates, stars first if there are many; the members (key, entity) of their large keys."""
         near = self.near(found.where("kind = 1").select("a", "b").distinct())
         if stars:
             self.verify(self.keep(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
         self.verify(self.keep(self.apart(near)))
-        return self.split(found.where("kind = 2").select("key", F.col("a").alias("entity")).distinct())
+        return found.where("kind = 2").select("key", F.col("a").alias("entity")).distinct()
 
     def split(self, members: DataFrame) -> DataFrame:
         """Written members (key, entity, comp, size, strays, stray, n, sketch) of the keys that hold two components."""
@@ -511,13 +516,10 @@ class Join:
         left = self.name(pairs, "a").withColumnRenamed("comp", "comp_a")
         return self.name(left, "b").where("comp != comp_a").select("a", "b")
 
-    def some_docs(self, wanted: DataFrame) -> DataFrame:
-        """Documents that hold the wanted entities, and some others."""
-        wanted = self.keep(self.entities.join(wanted, "entity", "left_semi").select(F.col("rep").alias("key")))
-        return self.docs.where(bloom_cascade.Level(wanted, wanted.count(), 0.02, 99, 1 << 23).holds("doc_id"))
-
     def sets(self, wanted: DataFrame) -> DataFrame:
         """entity, found (its shingles as 64-bit integers) of the wanted entities and some others, one row each."""
+        wanted = self.keep(self.entities.join(wanted, "entity", "left_semi").select(F.col("rep").alias("key")))
+        known = bloom_cascade.Level(wanted, wanted.count(), 0.02, 99, 1 << 23)
         width, name_of = self.width, self.name_of
 
         def sets(batches):
@@ -529,7 +531,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([pa.array([name_of(s)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["entity", "found"])
             tokens.forget()
 
-        held = self.some_docs(wanted).mapInArrow(sets, "entity long, found binary")
+        held = self.docs.where(known.holds("doc_id")).mapInArrow(sets, "entity long, found binary")
         return held.groupBy("entity").agg(F.first("found").alias("found"))
 
     def verify(self, pairs: DataFrame) -> None:

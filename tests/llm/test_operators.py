@@ -598,12 +598,11 @@ def test_components(docs, rows, work):
     assert Counter(tuple(x) for x in got) == brute_components(rows)
 
 
-@pytest.mark.parametrize("rounds, most", [(0, 100), (2, 100_000), (2, 20)])
-def test_components_in_blocks(spark, work, monkeypatch, rounds, most):
+@pytest.mark.parametrize("most", [0, 100_000, 20])
+def test_components_in_blocks(spark, work, monkeypatch, most):
     """Chains of edits around the threshold, with small limits so that stars, blocks and rounds all take part."""
     monkeypatch.setattr(jaccard_join, "SMALL_RUN", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "MAX_LAST", most)
     rng = random.Random(5)
     rows, words = [], prose(rng, 90).split()
