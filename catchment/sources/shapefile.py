@@ -156,3 +156,54 @@ def feature_label(attributes, feature, preferred: str | None = None, known=("nam
     tries = [F.nullif(F.trim(F.try_element_at(attributes, F.lit(n))), F.lit("")) for n in names]
     some = F.get(F.filter(F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.trim(e["value"])), lambda v: v != ""), F.lit(0))
     return F.coalesce(*tries, some, F.concat(F.lit("feature_"), feature.cast("string")))
+
+
+KIND_NAMES = {0: "null", 1: "point", 3: "line", 5: "polygon", 8: "points", 13: "line with height", 15: "polygon with height", 25: "polygon with measure"}
+
+
+def inspect(files: DataFrame) -> DataFrame:
+    """path, kind, kind_name, xmin, ymin, xmax, ymax, error of shapefiles, from their first 100 bytes: a plan that reads content only up to there."""
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path, head in zip(batch.column("path").to_pylist(), batch.column("head").to_pylist()):
+                try:
+                    kind, box = header(head)
+                    rows.append((path, kind, KIND_NAMES.get(kind, f"kind {kind}"), *box, None))
+                except ValueError as e:
+                    rows.append((path, None, None, None, None, None, None, str(e)))
+            if rows:
+                kinds = [pa.string(), pa.int32(), pa.string(), *[pa.float64()] * 4, pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["path", "kind", "kind_name", "xmin", "ymin", "xmax", "ymax", "error"])
+
+    heads = files.select("path", F.substring("content", 1, 100).alias("head"))
+    return heads.mapInArrow(parse, "path string, kind int, kind_name string, xmin double, ymin double, xmax double, ymax double, error string")
+
+
+def field_names(files: DataFrame) -> DataFrame:
+    """path, place, name, width, records of dBASE tables, from their headers alone."""
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                count, first = struct.unpack("<IH", content[4:10])
+                for k, at in enumerate(range(32, first - 1, 32)):
+                    rows.append((path, k, content[at : at + 11].split(b"\x00")[0].decode("ascii", "replace"), content[at + 16], count))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64()))], ["path", "place", "name", "width", "records"])
+
+    return files.mapInArrow(parse, "path string, place int, name string, width int, records long")
+
+
+def selected_rings(layer_points: DataFrame, field: str, value: str) -> DataFrame:
+    """Edges of the polygons whose attribute equals a value; none is an error."""
+    some = layer_points.where(F.trim(F.try_element_at("attributes", F.lit(field))) == value)
+    if not some.limit(1).count():
+        raise ValueError(f"no polygon has {field} = {value}")
+    return ring_edges(some)
