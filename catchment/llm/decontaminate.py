@@ -142,6 +142,7 @@ class Finder:
                 for k, starts, seeds in self.hits(texts, table):
                     found[low + k] = self.align(words_of(texts[k]), starts, seeds)
             yield batch, found
+        tokens.trim()
 
     def find(self, batches):
         import pyarrow as pa

@@ -143,6 +143,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame
         for batch in batches:
             texts = (t.decode("utf-8", "replace") for t in tokens.each(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array([bool(model.langs and LETTER.search(t)) and model.infer(t)[1] >= least for t in texts], pa.bool_()))
+        tokens.trim()
 
     return docs.mapInArrow(keep, docs.schema)
 

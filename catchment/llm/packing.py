@@ -49,6 +49,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
         import pyarrow as pa
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"]
+        tokens.trim()
         for batch in batches:
             ids, uids = batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist()
             for low, found, edges in tokens.encoder(tokenizer).encode(batch.column("text")):

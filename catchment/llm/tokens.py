@@ -16,7 +16,7 @@ import numpy as np
 
 END_ID = 1
 JOINED = 200
-BATCH_BYTES, STEP_BYTES = 32_000_000, 4_000_000
+BATCH_BYTES, STEP_BYTES, WORDS = 24_000_000, 2_000_000, 50_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Normalisers and pre-tokenizers (types in order) and the pattern that leave white space out of every pre-token: fixed values.
@@ -65,17 +65,23 @@ class Encoder:
                 continue
             words = pc.ascii_split_whitespace(texts)
             held = words.flatten().dictionary_encode()
-            flat, sizes, begin = self.words(held.dictionary.to_pylist())
-            index = held.indices.to_numpy()
             places = words.offsets.to_numpy() - words.offsets[0].as_py()
-            for first, some in slices(texts, STEP_BYTES):
-                at = places[first : first + len(some) + 1]
+            bounds = [(first, len(some)) for first, some in slices(texts, STEP_BYTES)]
+            del words, texts
+            flat, sizes, begin = self.words(held.dictionary)
+            index = held.indices.to_numpy()
+            for first, count in bounds:
+                at = places[first : first + count + 1]
                 part = index[at[0] : at[-1]]
                 size = sizes[part]
-                ends = np.cumsum(size)
+                ends = np.cumsum(size, dtype=np.int64)
                 kind = np.int32 if len(part) < 1 << 24 else np.int64
-                ids = flat[np.repeat((begin[part] - (ends - size)).astype(kind), size) + np.arange(ends[-1] if len(ends) else 0, dtype=kind)]
-                yield low + first, *ended(ids, np.diff(np.concatenate([[0], ends])[at - at[0]]), end_id)
+                move = (begin[part] - (ends - size)).astype(kind)
+                places_of = np.repeat(move, size)
+                places_of += np.arange(len(places_of), dtype=kind)
+                yield low + first, *ended(flat[places_of], np.diff(np.concatenate([[0], ends])[at - at[0]]), end_id)
+            del held, flat, index
+            trim()
 
     def lists(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -86,27 +92,30 @@ class Encoder:
             out += found
         return np.concatenate(out), np.array(sizes, np.int64)
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words in some order, how many each has, and where it begins. A word of letters is one pre-token, with punctuation behind it two, so joined words can be told apart by the ids that end pre-tokens; other words go alone."""
-        cuts = np.array([1 if w.isalpha() else 2 if w.rstrip(PUNCTUATION).isalpha() else 0 for w in words], np.int64)
-        out, sizes = [], np.zeros(len(words), np.int64)
-        order = np.concatenate([np.flatnonzero(cuts == k) for k in (1, 2, 0)])
-        for k in (1, 2):
-            some = [words[i] for i in np.flatnonzero(cuts == k)]
-            for i in range(0, len(some), JOINED):
-                group = some[i : i + JOINED]
-                ids, _ = self.lists([" ".join(group)])
-                ends = np.flatnonzero(self.last[ids])
-                if len(ends) == k * len(group):
-                    out.append((ids, np.diff(np.concatenate([[-1], ends[k - 1 :: k]]))))
-                else:  # a letter whose lower case is no letter alone
-                    out.append(self.lists(group))
-        out.append(self.lists([words[i] for i in np.flatnonzero(cuts == 0)]))
-        flat = np.concatenate([ids for ids, _ in out])
-        sizes[order] = by_order = np.concatenate([n for _, n in out])
-        begin = np.empty(len(words), np.int64)
-        begin[order] = np.cumsum(by_order) - by_order
-        return flat, sizes, begin
+    def words(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words of an Arrow column in some order, how many each has, and where it begins. A word of letters is one pre-token, with punctuation behind it two, so joined words can be told apart by the ids that end pre-tokens; other words go alone."""
+        out, sizes, begin, used = [np.zeros(0, np.uint32)], np.zeros(len(column), np.int32), np.zeros(len(column), np.int64), 0
+        for low in range(0, len(column), WORDS):
+            words = column.slice(low, WORDS).to_pylist()
+            cuts = np.array([1 if w.isalpha() else 2 if w.rstrip(PUNCTUATION).isalpha() else 0 for w in words], np.int8)
+            order = np.concatenate([np.flatnonzero(cuts == k) for k in (1, 2, 0)])
+            found = []
+            for k in (1, 2):
+                some = [words[i] for i in np.flatnonzero(cuts == k)]
+                for i in range(0, len(some), JOINED):
+                    group = some[i : i + JOINED]
+                    ids, _ = self.lists([" ".join(group)])
+                    ends = np.flatnonzero(self.last[ids])
+                    if len(ends) == k * len(group):
+                        found.append((ids, np.diff(np.concatenate([[-1], ends[k - 1 :: k]]))))
+                    else:  # a letter whose lower case is no letter alone
+                        found.append(self.lists(group))
+            found.append(self.lists([words[i] for i in np.flatnonzero(cuts == 0)]))
+            count = np.concatenate([n for _, n in found])
+            sizes[low + order], begin[low + order] = count, used + np.cumsum(count) - count
+            out += [ids for ids, _ in found]
+            used += int(count.sum())
+        return np.concatenate(out), sizes, begin
 
 
 def ended(ids: np.ndarray, sizes: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -151,12 +160,17 @@ def each(column, size: int = 256):
         yield from utf8(column.slice(at, size))
 
 
-def forget() -> None:
-    """Frees what earlier tasks left in this worker: encoders and memory held by the allocators."""
+def trim() -> None:
+    """Gives memory that the allocators hold back to the machine."""
     import ctypes
 
     import pyarrow as pa
 
-    encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """Frees what earlier tasks left in this worker: encoders and memory held by the allocators."""
+    encoder.cache_clear()
+    trim()
