@@ -178,7 +178,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
 
 def finders(benchmark: DataFrame, n: int, threshold: float, min_words: int, max_bytes: int):
     """A Finder for each block of the benchmark."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    items = shared.bound_batches(benchmark).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-max(1, size) // max_bytes)
     for b in range(blocks):

@@ -359,7 +359,7 @@ class Join:
     def __init__(self, docs: DataFrame, work: str, percent: int = 75, width: int = 5, name_bits: int = 64):
         if not 0 < percent <= 100:
             raise ValueError(f"percent is {percent}; 1 to 100 are possible")
-        self.docs, self.work, self.percent, self.width, self.step = docs.select("doc_id", "text"), work, percent, width, 0
+        self.docs, self.work, self.percent, self.width, self.step = shared.bound_batches(docs).select("doc_id", "text"), work, percent, width, 0
         spark = self.spark = docs.sparkSession
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         # about 400 thousand keys a bucket: a word has six bytes and 0.4 keys

@@ -74,7 +74,7 @@ class Mixture:
 
 def learn(labelled: DataFrame, per_language: int = 1500, max_languages: int = 256) -> dict[str, np.ndarray]:
     """Bucket counts of each language from doc_id, text, lang. Rates come from counts of all labelled rows."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    labelled = shared.bound_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = dict(map(tuple, labelled.groupBy("lang").count().limit(max_languages + 1).collect()))
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")

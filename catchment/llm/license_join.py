@@ -155,6 +155,7 @@ def document_counts(docs: DataFrame, vocabulary: frozenset) -> dict[str, int]:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, threshold: float = 0.9, base: dict[str, str] = BASE, max_templates: int = 10_000) -> DataFrame:
     """ROW for each document."""
     templates = read_templates(templates, max_templates)
+    docs = shared.bound_batches(docs)
     held = Templates(templates, threshold, document_counts(docs, Templates(templates, threshold, {}).vocabulary))
     phrases = [(tuple(p.encode().split()), label) for p, label in base.items()]
     starts = frozenset(p[0] for p, _ in phrases)

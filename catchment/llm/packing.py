@@ -50,7 +50,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"]
         tokens.trim()
-        for batch in batches:
+        for batch in tokens.gathered(batches):
             ids, uids = batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist()
             for low, found, edges in tokens.encoder(tokenizer).encode(batch.column("text")):
                 code, rows = memoryview(found).cast("B"), []
@@ -60,7 +60,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
                         rows.append((ids[row], at - begin, stop - at, zlib.crc32(code[4 * at : 4 * stop]), end - begin, uids[row]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    rows = docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
+    rows = shared.bound_batches(docs).select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id())
     return rows.mapInArrow(cut, PIECES + ", uid long")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 HOT_PARTS = 1000
 #: Bytes of a written table's row groups, which a writing task holds in memory.
 ROW_GROUP = 32 << 20
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,14 @@ def stash(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the rows of an Arrow batch to BATCH_ROWS where the session has more: whole texts travel in batches, which the JVM and the worker both hold."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(conf)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(conf, BATCH_ROWS)
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that this run wrote."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

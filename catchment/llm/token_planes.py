@@ -69,8 +69,7 @@ def unpack_block(payload: bytes) -> np.ndarray:
 
 def write_planes(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", block_ids: int = BLOCK_IDS, shards: int | None = None) -> None:
     """Encodes doc_id, text and writes the set's blocks as a table below folder. A task holds one batch and one block."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = shared.bound_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = docs.repartitionByRange(shards or shared.parts(docs), F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def blocks(batches):
@@ -86,7 +85,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "first": first, "ids": len(ids), "payload": pack_block(ids, kind), "docs": inside}], schema=schema)
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("ids", pa.int32()), ("payload", pa.binary()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("ord", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])))])
-        for batch in batches:
+        for batch in tokens.gathered(batches):
             names = batch.column("doc_id").to_pylist()
             for low, found, edges in tokens.encoder(tokenizer).encode(batch.column("text")):
                 for name, begin, end in zip(names[low : low + len(edges) - 1], edges.tolist(), edges[1:].tolist()):

@@ -16,7 +16,7 @@ import numpy as np
 
 END_ID = 1
 JOINED = 200
-BATCH_BYTES, STEP_BYTES, WORDS = 24_000_000, 2_000_000, 50_000
+BATCH_BYTES, STEP_BYTES, WORDS = 20_000_000, 2_000_000, 50_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Normalisers and pre-tokenizers (types in order) and the pattern that leave white space out of every pre-token: fixed values.
@@ -147,6 +147,21 @@ def slices(column, most: int):
         low, done = high, int(sizes[high - 1])
 
 
+def gathered(batches, most: int | None = None):
+    """Record batches put together up to `most` bytes, so that their distinct words are found once."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= (most or BATCH_BYTES):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def utf8(column) -> list[bytes]:
     """Values of an Arrow string column as bytes; null is empty."""
     import pyarrow as pa
