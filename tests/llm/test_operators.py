@@ -619,6 +619,13 @@ def test_components_in_blocks(spark, work, monkeypatch, most):
     assert Counter(tuple(x) for x in got) == brute_components(rows)
 
 
+def test_components_match_all_pairs_of_the_tables(spark, tables):
+    """Every pair of documents of the small tables: no link is lost, none is added."""
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()]
+    got = jaccard_join.op10_jaccard_components(spark, tables).collect()
+    assert Counter(tuple(x) for x in got) == brute_components(rows)
+
+
 def test_components_with_shared_names(docs, rows, work):
     """Names of ten bits: most sets share one with others and are named anew."""
     got = jaccard_join.Join(docs, work, name_bits=10).result().collect()
