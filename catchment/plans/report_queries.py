@@ -43,11 +43,11 @@ def plot_ticks(spark, sf_dir):
 
 @query("""SELECT c_custkey AS grid_id, CASE c_custkey % 4 WHEN 3 THEN printf('%.3f x %.3f units, %d x %d', w, h, c_custkey % 90 + 2, c_custkey % 70 + 2) ELSE concat(CASE WHEN w >= 1000 THEN printf('%.3f km', w / 1000) WHEN w >= 1 THEN printf('%.2f m', w) WHEN w >= 0.01 THEN printf('%.1f cm', w * 100) ELSE printf('%.2f mm', w * 1000) END, ' x ',
   CASE WHEN h >= 1000 THEN printf('%.3f km', h / 1000) WHEN h >= 1 THEN printf('%.2f m', h) WHEN h >= 0.01 THEN printf('%.1f cm', h * 100) ELSE printf('%.2f mm', h * 1000) END, printf(', %d x %d', c_custkey % 90 + 2, c_custkey % 70 + 2), CASE WHEN c_custkey % 4 = 2 THEN ' (approximate)' ELSE '' END) END AS label
-FROM (SELECT c_custkey, c_custkey % 7 * 375.5 + 0.0617 AS w, c_custkey % 11 * 0.1253 + 0.0038 AS h FROM customer)""")
+FROM (SELECT c_custkey, c_custkey % 7 * 375.5 + 0.06171 AS w, c_custkey % 11 * 0.12537 + 0.00383 AS h FROM customer)""")
 def cell_size_labels(spark, sf_dir):
     k = F.col("c_custkey")
     unit = F.element_at(F.array(*map(F.lit, ("meter", "linear", "degree", "unknown"))), (k % 4 + 1).cast("int"))
-    text = reports.cell_size_text(k % 7 * 375.5 + 0.0617, k % 11 * 0.1253 + 0.0038, (k % 90 + 2).cast("int"), (k % 70 + 2).cast("int"), unit)
+    text = reports.cell_size_text(k % 7 * 375.5 + 0.06171, k % 11 * 0.12537 + 0.00383, (k % 90 + 2).cast("int"), (k % 70 + 2).cast("int"), unit)
     return fx.read(spark, sf_dir, "customer").select(k.alias("grid_id"), text.alias("label"))
 
 
