@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catchment.operators import skeleton
+from catchment.operators import raster, skeleton
 from catchment.plans import fixtures as fx
 
 QUERIES: dict = {}
@@ -66,6 +66,17 @@ def line_support(spark, sf_dir):
     return skeleton.line_support(line, _grids(line))
 
 
+@query(f"""WITH {LINKS}, s AS (SELECT image_id AS grid_id, CAST(floor(y * 40 / 124e0) AS INT) AS r, CAST(floor(x * 50 / 160e0) AS INT) AS c, sum(nx - x) AS dx, sum(ny - y) AS dy FROM k WHERE (x + 2 * y) % 3 > 0 GROUP BY 1, 2, 3)
+SELECT grid_id, r, c, CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 1 ELSE 3 END WHEN dy > 0 THEN 2 ELSE 4 END AS d, 0.5e0 AS w FROM s WHERE (dx <> 0 OR dy <> 0) AND (r + c) % 4 > 0""")
+def fallback_votes(spark, sf_dir):
+    """Votes from the mean direction of line pixels, for cells without any."""
+    line = _line(spark, sf_dir)
+    links = skeleton.pixel_links(line).where("(x + 2 * y) % 3 > 0").withColumns({"height": F.lit(124), "width": F.lit(160)})
+    voted = skeleton.line_support(line, _grids(line)).where("(r + c) % 4 = 0").withColumns({"d": F.lit(1), "w": F.lit(1.0)})
+    every = line.select(F.col("image_id").alias("grid_id")).distinct().select("grid_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("r")).select("grid_id", "r", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("c"))
+    return raster.fallback_votes(links, voted.select("grid_id", "r", "c").unionByName(every.where("(r + c) % 4 = 0")), 40, 50)
+
+
 @query("""WITH w AS (SELECT vec_id, list_transform(embedding[1 : vec_id % 12], lambda v: abs(v)::DOUBLE * 3) AS w FROM embeddings), p AS (SELECT vec_id, len(w) AS n, w[1] AS tip, w[2 : least(len(w), 8)] AS inside, least(len(w), 8) AS m FROM w)
 SELECT vec_id AS sample_id, round(CASE WHEN n >= 3 THEN 0.6 * greatest(0, least(1, (list_avg(inside) - tip) / greatest(list_avg(inside), 0.75))) + 0.25 * greatest(0, least(1, (list_max(inside) - tip) / 2.5)) + 0.15 * greatest(0, least(1, (m - 2) / 6)) ELSE 0 END, 5) AS taper FROM p""")
 def head_tapers(spark, sf_dir):

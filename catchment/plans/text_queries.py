@@ -168,3 +168,10 @@ def label_history(spark, sf_dir):
     o = fx.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image_hash"), F.date_format("o_orderdate", "yyyyMMdd").alias("created_at"), F.col("o_orderkey").alias("label"))
     newest = evaluate.latest(o, "image_hash").select("image_hash", F.col("created_at").alias("latest"))
     return newest.join(o.groupBy("image_hash").agg(F.count("*").alias("labels")), "image_hash")
+
+
+@query("SELECT vec_id % 12 AS group_id, count(*) AS samples, 1 AS sides FROM embeddings GROUP BY 1")
+def group_split(spark, sf_dir):
+    """A split by whole groups: the samples of each group, and on how many sides they lie."""
+    split = learning.group_split(fx.samples(spark, sf_dir), 0.4)
+    return split.groupBy("group_id").agg(F.count("*").alias("samples"), F.count_distinct("validation").cast("int").alias("sides"))

@@ -58,19 +58,17 @@ def companion(files: DataFrame) -> DataFrame:
     return out.select("path", F.when(F.col("there"), F.col("wanted")).otherwise(F.col("sole")).alias("nse"))
 
 
-def load_layers(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Shapefiles by path, and the errors of those that can't be read; headers are read before any geometry."""
-    layers, errors = {}, {}
-    for path in paths:
-        try:
-            content = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 100).alias("h")).first().h
-            kind, _ = shapefile.header(bytes(content))
-            if kind not in (*shapefile.LINES, *shapefile.POLYGONS):
-                raise ValueError(f"shape type {kind} isn't supported")
-            layers[path] = shapefile.read_points(shapefile.read_binary(spark, path), shapefile.LINES if kind in shapefile.LINES else shapefile.POLYGONS)
-        except Exception as e:  # the caller shows each file's error
-            errors[path] = f"{type(e).__name__}: {e}"
-    return layers, errors
+def load_layers(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Points of all readable shapefiles (columns of shapefile.POINTS; kind tells lines from polygons), and path, error of the others.
+
+    One scan reads the headers of all files, and one the geometry of the good ones; nothing goes file by file. A path that doesn't exist
+    is an error of Spark's.
+    """
+    files = shapefile.read_binary(spark, *paths)
+    supported = (*shapefile.LINES, *shapefile.POLYGONS)
+    heads = shapefile.inspect(files).select("path", F.coalesce("error", F.when(~F.col("kind").isin(*supported), F.concat(F.lit("shape type isn't supported: "), "kind_name"))).alias("error"))
+    good = files.join(heads.where("error IS NULL").select("path"), "path", "left_semi")
+    return shapefile.read_points(good.select("path", "content"), supported), heads.where("error IS NOT NULL")
 
 
 def write_audit(records: list[DataFrame], path: str) -> None:

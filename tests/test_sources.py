@@ -146,3 +146,23 @@ def test_vote_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(x) for x in spark.table("votes_out").collect()} == {tuple(x) for x in streams.vote_stream(df).collect()}
+
+
+def test_layers_load_with_their_errors(spark, tmp_path):
+    from catchment.sources import labels
+
+    good = {"a.shp": shp(3, [[[(0, 0), (5, 5)]]]), "b.shp": shp(5, [[[(0, 0), (4, 0), (4, 4)]]]), "c.shp": b"no shapefile", "d.shp": shp(1, [])}
+    for name, content in good.items():
+        (tmp_path / name).write_bytes(content)
+    points, errors = labels.load_layers(spark, [str(tmp_path / n) for n in good])
+    assert {(x.path.rsplit("/")[-1], x.kind, x.x, x.y) for x in points.collect()} == {("a.shp", 3, 0, 0), ("a.shp", 3, 5, 5), ("b.shp", 5, 0, 0), ("b.shp", 5, 4, 0), ("b.shp", 5, 4, 4)}
+    assert {x.path.rsplit("/")[-1]: x.error for x in errors.collect()} == {"c.shp": "not a shapefile", "d.shp": "shape type isn't supported: point"}
+
+
+def test_audit_file_has_all_columns(spark, tmp_path):
+    from catchment.sources import labels
+
+    one, two = spark.createDataFrame([(1, "a")], "n int, image string"), spark.createDataFrame([("b", 0.5)], "image string, share double")
+    labels.write_audit([one, two], str(tmp_path / "audit"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "audit"))
+    assert got.columns == ["n", "image", "share"] and {(x.n, x.image, x.share) for x in got.collect()} == {("1", "a", None), (None, "b", "0.5")}
