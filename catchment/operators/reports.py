@@ -118,3 +118,22 @@ def batch_summary(basins: DataFrame, runs: DataFrame, folder: str, beta: str, wi
     failure = F.when(F.col("status") != "ok", F.regexp_replace("status", "^error: ", "")).when(F.col("code").isNull(), F.coalesce("error", F.lit("not run"))).when(F.col("code") != 0, F.format_string("exit code %d", "code"))
     text = {"excel_name": name, "status": F.when(good, "ok").otherwise("error"), "beta_a": F.lit(beta), "rows": F.col("rows"), "cols": F.col("cols"), "outlet_row": F.col("outlet_r") + 1, "outlet_col": F.col("outlet_c") + 1, "active_count": F.col("cells"), "connected_count": F.col("connected"), "disconnected_count": F.col("disconnected"), "elapsed_sec": F.round("seconds", 6), "output_dir": F.lit(folder), "txt_path": at(".txt"), "result_path": at("_result.txt"), "fd_path": at("_FD.txt", width), "ls_path": at("_LS.txt", width), "width_functions_path": at("_width_functions.csv", width), "warning": F.when(good, F.coalesce(F.trim("error"), F.lit(""))).otherwise(""), "error": F.coalesce(F.when(~good, failure), F.lit(""))}
     return rows.select(*[text[c].alias(c) for c in SUMMARY])
+
+
+def region_mark(mask: DataFrame) -> DataFrame:
+    """grid_id, mark: a digest of a mask's cells, equal for equal masks in any order."""
+    cells = F.array_sort(F.collect_set(F.struct("r", "c")))
+    text = F.array_join(F.transform(cells, lambda p: F.concat_ws(",", p["r"].cast("string"), p["c"].cast("string"))), ";")
+    return mask.groupBy("grid_id").agg(F.md5(text.cast("binary")).alias("mark"))
+
+
+def result_key(image: Column, rows: Column, degrees: Column, mark: Column, *fields: Column) -> Column:
+    """Key under which a detection or a layer's matrix may be kept: what it was made from, row count, rotation, region and chosen fields. Written tables named by it stand in for memory caches."""
+    parts = [image, rows.cast("string"), F.format_string("%.4f", degrees), F.coalesce(mark, F.lit("whole")), *[F.coalesce(f, F.lit("")) for f in fields]]
+    return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
+
+
+def system_meta(system: Column) -> Column:
+    """A system's struct (see crs.parsed) as a map of texts for a layer's metadata; unknown entries are left out."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in (("authority", F.when(system["code"].isNotNull(), "EPSG")), ("code", system["code"]), ("name", system["name"]), ("unit", system["unit"]), ("geographic", system["geographic"]), ("projected", system["projected"]))])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
