@@ -1,7 +1,8 @@
 """A corpus pipeline over `documents`: language ID, line dedup, near-duplicate removal, decontamination, packing.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again for the
-next. All stages but the last return the columns of documents.
+next. All stages but the last return the columns of documents, with any further ones, whatever their names.
+Every stage takes an empty table and gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,27 +14,27 @@ from catchment.llm import decontaminate, jaccard_join, langid, line_chunks, pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of which no language makes up half, go."""
+    """Documents without a letter (null and empty ones too), or of which no language makes up half, go. Repeated rows share their fate. Rows without any lang to learn from are an error."""
     return langid.keep_identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of lines go, but for their first occurrence; documents of which nothing is left go."""
+    """Repeated passages of lines go, but for their first occurrence (smallest doc_id, null first); documents of which nothing is left go. Null and empty texts stay; rows with one doc_id and text keep or lose lines together; removed_lines, if there is such a column, holds their number."""
     return line_chunks.dedup_lines(docs, shared.work_dir(spark, "pipeline-lines"), pairs=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates one row stays: that of the smallest doc_id (null after all others), then by the text's hash, then any one of equal rows. Texts without words stay, all of them."""
     return jaccard_join.drop_near_duplicates(docs, shared.work_dir(spark, "pipeline-near"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or an edited copy of one, go."""
+    """Documents that hold a benchmark item, or an edited copy of one, go. Items of under eight words never match, nor do texts without words; an empty benchmark drops nothing."""
     return decontaminate.drop_leaks(docs, shared.table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, encoded and packed into sequences of 2048 tokens."""
+    """What is left, encoded and packed into sequences of 2048 tokens. A null or empty text is its end id alone; rows that share a doc_id are packed apart."""
     return packing.pack_documents(docs, shared.work_dir(spark, "pipeline-packing"), public_tokenizers.path("word_bpe_49k.json"))
 
 
