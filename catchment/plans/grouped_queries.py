@@ -36,7 +36,7 @@ def connect_outlets(spark, sf_dir):
 
 @query
 def propagate_lines(spark, sf_dir):
-    """Directions carried on through empty cells of unbranched lines."""
+    """Directions carried on through empty cells of unbranched lines: rows of a grid, joined by a column."""
     cells = fx.cells(spark, sf_dir, 2, keep="r % 4 = 0 AND c % 6 = 0")
-    support = fx.cells(spark, sf_dir, 2, keep="r % 4 = 0")
+    support = fx.cells(spark, sf_dir, 2, keep="r % 4 = 0 OR c = 13")
     return correction.propagate(cells, support)

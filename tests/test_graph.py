@@ -271,3 +271,22 @@ def test_cheapest_path_matches_relaxation():
         if path:
             steps = zip(path, path[1:])
             assert want == sum(100 * correction.edit_cost(d[a], correction.CODE[b[0] - a[0], b[1] - a[1]], head[a], grid.halo[a]) + 1 + 1000 * (not (grid.route[b] or b == grid.outlet)) for a, b in steps)
+
+
+def carried(spark, drawing, seeds):
+    """Codes after propagation on a drawing (# line), seeds (r, c) -> code."""
+    cells = spark.createDataFrame([("g", r, c, d) for (r, c), d in seeds.items()], "grid_id string, r int, c int, d int")
+    line = spark.createDataFrame([("g", r, c) for r, row in enumerate(drawing) for c, k in enumerate(row) if k == "#"], "grid_id string, r int, c int")
+    return {(x.r, x.c): (x.d, round(x.conf, 2)) for x in correction.propagate(cells, line).collect()}
+
+
+def test_directions_follow_lines(spark):
+    # on and back along a straight line, round a corner, up to its end
+    assert carried(spark, ["#####", "    #"], {(0, 2): 1}) == {(0, 0): (1, 0.52), (0, 1): (1, 0.52), (0, 3): (1, 0.52), (0, 4): (2, 0.52), (1, 4): (2, 0.52)}
+    # two ways on that fit alike are a branch: the walk ends before it, with its last step's code
+    assert carried(spark, ["   # ", "#### ", "   # "], {(1, 0): 1}) == {(1, 1): (1, 0.52), (1, 2): (1, 0.52), (1, 3): (1, 0.52)}
+    # seeds that face each other propose nothing; seeds in a row agree
+    assert carried(spark, ["#####"], {(0, 0): 1, (0, 4): 3}) == {}
+    assert carried(spark, ["#####"], {(0, 0): 1, (0, 4): 1}) == {(0, c): (1, 0.6) for c in (1, 2, 3)}
+    # a line that starts across a seed's axis isn't its own
+    assert carried(spark, ["#", "#", "#"], {(1, 0): 1}) == {}
