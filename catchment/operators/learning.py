@@ -163,10 +163,27 @@ def stratified_split(samples: DataFrame, share: float = 0.2) -> DataFrame:
     return samples.withColumn("validation", F.row_number().over(w) <= F.greatest(F.lit(1), F.rint(n * share).cast("int")))
 
 
-def repeat_hard(samples: DataFrame) -> DataFrame:
-    """Corrected samples repeated up to 4 times: once more each for overlap, low confidence, disagreement."""
-    times = 1 + (F.col("overlap") > 1).cast("int") + (F.col("conf") < 0.55).cast("int") + (F.col("reference") != F.col("label")).cast("int")
-    return samples.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(4), times))))
+def repeat_hard(samples: DataFrame, weight: int = 1) -> DataFrame:
+    """samples (detected, overlap, conf, and tier and reference, which may be null) `weight` times, hard ones once more, and once more where lines overlap; 4 times at most.
+
+    Hard are cells where lines overlap, the detector is unsure or has little support, or a reference says otherwise than it.
+    """
+    hard = (F.col("overlap") > 1) | (F.col("conf") < 0.55) | F.coalesce(F.col("tier") <= 1, F.lit(False)) | F.coalesce(F.col("reference") != F.col("detected"), F.lit(False))
+    times = F.when(hard, F.least(F.lit(4), weight + 1 + (F.col("overlap") > 1).cast("int"))).otherwise(weight)
+    return samples.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+
+
+def training_samples(corrections: DataFrame, cells: DataFrame, vectors: DataFrame, trusted: DataFrame | None = None, weight: int = 1) -> DataFrame:
+    """grid_id, r, c, x, label, copy: corrected cells (d: the label 0 to 4; others are left out) with their vectors, repeated as `repeat_hard` says, and trusted cells (d) once.
+
+    cells: grid_id, r, c, detected, overlap, conf, tier, reference. Corrections outside of the grid have no vector and are left out.
+    """
+    own = corrections.where("d BETWEEN 0 AND 4").select(*CELL, F.col("d").alias("label")).join(cells, CELL)
+    rows = repeat_hard(own, weight).select(*CELL, "label", "copy")
+    if trusted is not None:
+        more = trusted.join(corrections.select(*CELL), CELL, "left_anti").join(cells.where("overlap <= 1 AND (tier IS NULL OR tier >= 2)").select(*CELL), CELL, "left_semi")
+        rows = rows.unionByName(more.select(*CELL, F.col("d").alias("label"), F.lit(1).alias("copy")))
+    return rows.join(vectors.select(*CELL, "x"), CELL)
 
 
 def override(cells: DataFrame, fill: float = 0.6, relabel: float = 0.7, clear: float = 0.8) -> DataFrame:

@@ -279,10 +279,29 @@ def stratified_split(spark, sf_dir):
     return s.groupBy("label").agg(F.count("*").alias("n"), F.count_if("validation").alias("validation"))
 
 
-@query(f"WITH {fx.cells_cte(4)}, s AS (SELECT r * 50 + c AS i, 1 + CASE WHEN r % 3 > 1 THEN 1 ELSE 0 END + CASE WHEN c % 10 < 5 THEN 1 ELSE 0 END + CASE WHEN d <> 1 THEN 1 ELSE 0 END AS n, grid_id FROM cells) SELECT grid_id, CAST(sum(n) AS BIGINT) AS samples FROM s GROUP BY 1")
+SAMPLED = f"""WITH {fx.cells_cte(4)}, s AS (SELECT grid_id, r, c, d AS label, CASE WHEN r % 2 = 0 THEN d ELSE 1 END AS detected, r % 3 AS overlap, c % 10 * 0.11 AS conf, CASE WHEN c % 4 > 0 THEN r % 4 END AS tier, CASE WHEN r % 5 > 0 THEN d END AS reference FROM cells),
+t AS (SELECT *, CASE WHEN overlap > 1 OR conf < 0.55 OR coalesce(tier <= 1, false) OR coalesce(reference <> detected, false) THEN least(4, 2 + 1 + CASE WHEN overlap > 1 THEN 1 ELSE 0 END) ELSE 2 END AS times FROM s)"""
+
+
+def _sampled(spark, sf_dir):
+    r, c, d = F.col("r"), F.col("c"), F.col("d")
+    return fx.cells(spark, sf_dir, 4).withColumns({"label": d, "detected": F.when(r % 2 == 0, d).otherwise(1), "overlap": r % 3, "conf": c % 10 * 0.11, "tier": F.when(c % 4 > 0, r % 4), "reference": F.when(r % 5 > 0, d)})
+
+
+@query(SAMPLED + " SELECT grid_id, r, c, label, CAST(unnest(range(1, times + 1)) AS INT) AS copy FROM t")
 def hard_examples(spark, sf_dir):
-    c = fx.cells(spark, sf_dir, 4).select("grid_id", F.col("d").alias("label"), F.lit(1).alias("reference"), (F.col("r") % 3).alias("overlap"), ((F.col("c") % 10) * 0.11).alias("conf"))
-    return learning.repeat_hard(c).groupBy("grid_id").agg(F.count("*").alias("samples"))
+    """Corrected samples, hard ones repeated."""
+    return learning.repeat_hard(_sampled(spark, sf_dir), 2).select("grid_id", "r", "c", "label", "copy")
+
+
+@query(SAMPLED + """, k AS (SELECT grid_id, r, c, label, unnest(range(1, times + 1)) AS copy FROM t WHERE (r + c) % 7 = 0 UNION ALL SELECT grid_id, r, c, label, 1 FROM s WHERE (r + c) % 7 = 3 AND overlap <= 1 AND (tier IS NULL OR tier >= 2))
+SELECT grid_id, r, c, label, CAST(copy AS INT) AS copy, r * 100 + c AS code FROM k""")
+def training_samples(spark, sf_dir):
+    """Samples of corrected and trusted cells with their vectors."""
+    cells = _sampled(spark, sf_dir)
+    vectors = cells.select("grid_id", "r", "c", F.array("r", "c").alias("x"))
+    out = learning.training_samples(cells.where("(r + c) % 7 = 0"), cells.drop("d", "label"), vectors, cells.where("(r + c) % 7 = 3"), 2)
+    return out.select("grid_id", "r", "c", "label", "copy", (F.col("x")[0] * 100 + F.col("x")[1]).alias("code"))
 
 
 @query(f"""WITH {fx.cells_cte(4)}, x AS (SELECT grid_id, CASE WHEN r % 4 = 0 THEN 0 ELSE d END AS d, (r + c) % 5 AS best, ((r * 7 + c * 3) % 100) / 100.0 AS p, c % 3 > 0 AS near, (r * c) % 2 = 0 AS support FROM cells)
