@@ -83,9 +83,10 @@ def raster_argmax(spark, sf_dir):
     return raster.rasterise(s, fx.ROWS, fx.COLS, fx.extent(s))
 
 
-@query("SELECT CASE WHEN start_h IS NULL OR end_h IS NULL THEN 'missing' WHEN abs(start_h) <= 1e-9 AND abs(end_h) <= 1e-9 THEN 'zero' WHEN start_h < end_h THEN 'reversed' WHEN start_h > end_h THEN 'forward' ELSE 'equal' END AS height_rule, count(*) AS segments FROM (" + fx.SEGMENTS.replace("{minutes}", "epoch_us(ts) // 60000000").replace("{events}", "events") + ") GROUP BY 1")
+@query("SELECT feature_id, seg, CASE WHEN start_h IS NULL OR end_h IS NULL THEN 'missing' WHEN abs(start_h) <= 1e-9 AND abs(end_h) <= 1e-9 THEN 'zero' WHEN start_h < end_h THEN 'reversed' WHEN start_h > end_h THEN 'forward' ELSE 'equal' END AS height_rule FROM (" + fx.SEGMENTS.replace("{minutes}", "epoch_us(ts) // 60000000").replace("{events}", "events") + ")")
 def height_rules(spark, sf_dir):
-    return raster.oriented(fx.segments(spark, sf_dir)).groupBy("height_rule").agg(F.count("*").alias("segments"))
+    """What the heights say of each segment's direction."""
+    return raster.oriented(fx.segments(spark, sf_dir)).select("feature_id", "seg", "height_rule")
 
 
 @query(f"WITH {fx.cells_cte()} SELECT grid_id, r, c, d FROM cells")
@@ -124,6 +125,19 @@ def slope_mean(spark, sf_dir):
     return per.groupBy("grid_id").agg(F.count("*").alias("cells"), F.round(m, 5).alias("slope"), F.round(m * 100, 3).alias("percent"), F.round(m * 1000, 2).alias("per_mille"))
 
 
+@query(f"""
+WITH {PATHS}, lens AS (SELECT grid_id, feature_id, seg, x0, y0, x1, y1, start_h, end_h, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS len, count(*) AS n, list({{'r': r, 'c': c}}) AS cells
+  FROM path WHERE start_h IS NOT NULL AND end_h IS NOT NULL AND NOT (abs(start_h) <= 1e-9 AND abs(end_h) <= 1e-9) GROUP BY ALL),
+slopes AS (SELECT feature_id, abs(any_value(start_h) - any_value(end_h)) / sum(len) AS slope FROM lens GROUP BY 1),
+u AS (SELECT grid_id, slope, greatest(len / n, 1e-12) AS weight, unnest(cells) AS cell FROM lens JOIN slopes USING (feature_id)),
+per AS (SELECT grid_id, cell.r, cell.c, sum(slope * weight) / sum(weight) AS slope FROM u GROUP BY 1, 2, 3)
+SELECT grid_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(slope, 6) AS slope FROM per""")
+def slope_cells(spark, sf_dir):
+    """Slope of each cell."""
+    s = fx.segments(spark, sf_dir)
+    return raster.slope_cells(raster.oriented(s), fx.ROWS, fx.COLS, fx.extent(s)).select("grid_id", "r", "c", F.round("slope", 6).alias("slope"))
+
+
 # DuckDB: depth of each cell by walking up from the cells whose flow leaves the grid
 UP = """ends AS (SELECT a.* FROM cells a LEFT JOIN cells b ON a.grid_id = b.grid_id AND a.nr = b.r AND a.nc = b.c WHERE b.r IS NULL),
 up AS (SELECT grid_id, r, c, r AS sink_r, c AS sink_c, 0 AS depth FROM ends
