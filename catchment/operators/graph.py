@@ -528,7 +528,7 @@ def progress(cells: DataFrame, outlets: DataFrame, most: int = 4) -> DataFrame:
     walk = jump.select("grid_id", "id", F.col("id").alias("at"), F.lit(0).alias("steps"))
     for _ in range(most):
         step = jump.select("grid_id", F.col("id").alias("at"), "next")
-        walk = walk.join(step, ["grid_id", "at"], "left").join(F.broadcast(stops), ["grid_id", "at"], "left")
+        walk = walk.join(step, ["grid_id", "at"], "left").join(stops, ["grid_id", "at"], "left")
         on = F.col("next").isNotNull()
         walk = walk.select("grid_id", "id", F.when(on, F.col("next")).otherwise(F.col("at")).alias("at"), F.when(F.col("stop"), most).when(on, F.col("steps") + 1).otherwise(F.col("steps")).alias("steps"))
     return walk.join(cells.select("grid_id", cell_id().alias("id")), ["grid_id", "id"], "left_semi").select("grid_id", row_of("id").alias("r"), col_of("id").alias("c"), "steps")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from catchment.functions import geometry
 from catchment.operators import crs
 
+#: Layers of a map: what is broadcast, checked first.
+MAX_LAYERS = 1000
+
 
 def status(project: str | None) -> Column:
     """native, reprojected, unassigned, invalid or unreferenced."""
@@ -27,7 +30,9 @@ def compatible(pipes: DataFrame, areas: DataFrame) -> DataFrame:
         .when(F.col("p_crs").isNull() | F.col("a_crs").isNull(), "warning: a system is missing")
         .otherwise("ok")
     )
-    return p.join(F.broadcast(a), how="cross").select("pipe", "area", verdict.alias("verdict"))  # a map has a few layers
+    if areas.limit(MAX_LAYERS + 1).count() > MAX_LAYERS:
+        raise ValueError(f"a map has {MAX_LAYERS} layers at most")
+    return p.join(F.broadcast(a), how="cross").select("pipe", "area", verdict.alias("verdict"))  # every pipe layer against every area layer, MAX_LAYERS at most
 
 
 def reference_box(layers: DataFrame, without: str | None = None) -> DataFrame:
