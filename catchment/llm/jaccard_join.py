@@ -116,8 +116,7 @@ def part_keys(found: np.ndarray, percent: int = 75, last: np.ndarray | None = No
         keys = mix(np.bitwise_xor.reduceat(values, first) + mix(name))
         rank = (U(3) - np.minimum(full, 3).astype(U)) << U(61) | keys >> U(3)
         if last is not None and len(last):
-            own = short(keys, buckets)
-            rank |= (last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own).astype(U) << U(63)
+            rank |= among(last, short(keys, buckets)).astype(U) << U(63)
         if len(keys) > keep:
             keys = keys[np.argpartition(rank, keep - 1)[:keep]]
         elif len(keys) < keep:  # empty parts come last in the order
@@ -128,6 +127,11 @@ def part_keys(found: np.ndarray, percent: int = 75, last: np.ndarray | None = No
     return np.concatenate(out)
 
 
+def among(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is in a sorted array that isn't empty."""
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
+
+
 def short(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Keys as their bucket and 32 more bits, the form in which they meet."""
     return (keys // U(buckets)).astype(np.uint32).astype(U) * U(buckets) + keys % U(buckets)
@@ -204,7 +208,7 @@ def candidates(docs: DataFrame, buckets: int, width: int, percent: int, name_of:
                 if len(found):
                     kept = part_keys(found, percent)
                     if last is not None:
-                        if not np.isin(short(kept, buckets), last).any():
+                        if not among(last, short(kept, buckets)).any():
                             continue
                         kept = part_keys(found, percent, last, buckets)
                     keys.append(kept)
