@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catchment.llm import bloom_cascade, decontaminate, exact_index, jaccard_join, langid, license_join, line_chunks, packing, sharding, token_planes
+from catchment.llm import bloom_cascade, collocations, decontaminate, exact_index, fill_middle, jaccard_join, langid, license_join, line_chunks, packing, sharding, token_planes
 
 QUERIES = {
     "op1_exact_dedup": exact_index.op1_exact_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_byte_shards": sharding.op8_byte_shards,
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_jaccard_components": jaccard_join.op10_jaccard_components,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op3_license_join": license_join.SQL,
     "op6_url_cascade": bloom_cascade.SQL,
     "op8_byte_shards": sharding.SQL,
+    "op11_fill_middle": fill_middle.SQL,
+    "op13_collocations": collocations.SQL,
 }
