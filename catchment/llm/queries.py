@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catchment.llm import bloom_cascade, collocations, decontaminate, exact_index, fill_middle, jaccard_join, langid, license_join, line_chunks, packing, sharding, token_planes
+from catchment.llm import bloom_cascade, collocations, decontaminate, exact_index, fill_middle, jaccard_join, langid, license_join, line_chunks, packing, quality, sharding, token_planes
 
 QUERIES = {
     "op1_exact_dedup": exact_index.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_mixture": langid.op9_language_mixture,
     "op10_jaccard_components": jaccard_join.op10_jaccard_components,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_quality_rules": quality.op12_quality_rules,
     "op13_collocations": collocations.op13_collocations,
 }
 
