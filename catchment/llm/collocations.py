@@ -6,7 +6,8 @@ language; the empty gram counts the words. A phrase of two words or more with mi
 candidate. Its counts are joined with those of the parts of each of its cuts, its score is the least
 floor(scale * a / (l + r)) of its cuts in Decimal (ties: the first cut). An anti-join takes off candidates that
 stand inside a phrase of one word more with drop_percent of their occurrences; longer phrases need no look, as a
-phrase between the two occurs at least as often as the longer one. A window ranks what is left.
+phrase between the two occurs at least as often as the longer one. A window ranks what is left, in parts of a
+language first.
 
 No phrase occurs more often than its parts, so of the n-grams of three words and more only those are exploded
 whose every word pair may have min_count occurrences: the pairs are counted first, and a Bloom filter over the
@@ -37,6 +38,7 @@ TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 #: Bytes of text of one language that are counted together.
 SLICE = 4 << 20
 MOST_BITS, LEAST_BITS = 28, 16
+PARTS = 64
 SCHEMA = "lang string, gram string, words int, count long"
 
 
@@ -160,8 +162,11 @@ def collocations(docs: DataFrame, work: str, max_n: int = 4, min_count: int = 30
     extended = longer.select("lang", F.explode(inside).alias("phrase"), F.col("a").alias("b")).groupBy("lang", "phrase").agg(F.max("b").alias("b"))
     weak = (best["lang"] == extended["lang"]) & (best["phrase"] == extended["phrase"]) & (F.expr("cast(b AS decimal(20, 0))") * 100 >= F.expr("cast(a AS decimal(20, 0))") * drop_percent)
     left = best.join(extended, weak, "left_anti").select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best_first = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # a language's phrases are ranked in PARTS first, of which no more than top can be among its best
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best_first)
+    left = left.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).where(F.col("rank") <= top)
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", F.col("score").cast("long"))
 
 
