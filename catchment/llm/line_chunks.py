@@ -1,26 +1,25 @@
-"""Line dedup: repeated passages of lines removed after a byte comparison.
-
-With `pairs` (the query and the pipeline's stage) the units are all pairs of neighbouring lines, and lines of
-`long_words` words or more. Each pair of a repeated passage is repeated too, wherever the passage stands and
-whatever surrounds it, so every line of a passage of two lines or more goes. The first occurrence of a line
-in the corpus always stays: a unit that goes has an equal one before it. Without `pairs` the units are chunks:
-
-Lines are hashed; a rolling hash over each line and the one before it ends a chunk after about one line in
-`one_in`, wherever the lines stand, so an inserted line moves only the boundaries next to it. A line of
-`long_words` words or more is a chunk of its own. Chunks of two lines or more, and long lines, that occur
-again anywhere in the corpus are removed; a passage loses only the chunks that lie wholly inside it.
-
-Either way units are compared byte for byte with their first occurrence (smallest doc_id, then place) and
-removed if equal; single short lines stay. Built-in expressions only.
-
-Whole texts cross the network once, to meet the lists of removed lines. Texts of units go only if their hash
-is repeated: a bounded Bloom filter tells, up to FILTER_KEYS such hashes; beyond, documents join the places of
-their repeated units, so their texts cross once more. Hashes with a thousandth of all units or more are salted.
-
-Null and empty texts have no unit and stay as they are; a document of which nothing is left goes. Rows
-that share doc_id and text are one document: they keep or lose a unit together. A null doc_id comes
-first in order. Different units with one 64-bit hash are told apart by their bytes. Other columns pass through,
-n_chars (if present) follows the new text.
+"""Line dedup: chunks of lines that begin at content-defined boundaries and stand elsewhere are removed.
+
+Only lines with text count; lines without any stay where they are, and so do the breaks between paragraphs. Lines are
+hashed, and a window of `window` lines rolls over the hashes: the line with the smallest hash of a window is a boundary,
+wherever the window stands. So an inserted line moves only the boundaries next to it, and no stretch of `window`
+lines is without one. A boundary line that occurs again anywhere in the corpus is an anchor. From it chunks reach line
+by line to both sides, 2 to `window` lines long; a chunk that occurs again is compared byte for byte and removed,
+but for its first occurrence (smallest doc_id, then place). Chunks overlap, so what goes of a document is the union of
+its repeated chunks: a repeated passage of `window` lines or more goes whole, whatever surrounds it. Lines of
+`long_words` words or more are anchors and chunks by themselves; other single lines (headings) stay. The first
+occurrence of a line in the corpus always stays, as a chunk that goes has an equal one before it.
+
+What crosses the network: the hashes of boundary lines (summed in the task), places of chunks at anchors, each
+different line of a repeated chunk once a task for the comparison, and whole texts once, to meet their lists of
+removed lines. The comparison is by lines: if all lines with one hash are the same bytes, equal hashes are equal
+lines; hashes of which that isn't so are replaced by hashes of the lines' SHA-256, and all is done again. A bounded
+Bloom filter picks the repeated hashes, up to FILTER_KEYS of them; beyond, places join them. Chunks with a thousandth of
+all places or more are salted. Built-in expressions only.
+
+Null and empty texts have no chunk and stay as they are; a document that loses all lines with text goes. Rows that
+share doc_id and text are one document: they keep or lose a line together. A null doc_id comes first in order.
+Other columns pass through, n_chars (if present) follows the new text.
 """
 
 from __future__ import annotations
@@ -32,110 +31,131 @@ from catchment.llm import bloom_cascade, shared
 
 FILTER_BITS = 1 << 23
 FILTER_KEYS = 1_000_000
+ROUNDS = 5
 
 
-def with_chunks(docs: DataFrame, one_in: int, long_words: int) -> DataFrame:
-    """Adds lines, and chunks [first, count (in lines from 0), key (hash)] of those that may be removed."""
-    lines = docs.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
-    marks = lines.withColumn("marks", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.regexp_count(x, F.lit(r"\S+")) >= long_words).alias("long"))))
-
-    def ends(m: Column, i: Column) -> Column:
-        here, before, after = F.get(m, i), F.get(m, i - 1), F.get(m, i + 1)
-        rolling = F.xxhash64(before["h"], here["h"])
-        return here["long"] | F.coalesce(after["long"], F.lit(True)) | (F.pmod(rolling, F.lit(one_in)) == 0)
+def line_hash(line: Column, shared_hashes: list[int]) -> Column:
+    """A line's 64-bit hash; where lines are known to share one, that of its SHA-256."""
+    own = F.xxhash64(line)
+    return F.when(own.isin(shared_hashes), F.xxhash64(F.sha2(line.cast("binary"), 256))).otherwise(own) if shared_hashes else own
 
-    cut = marks.withColumn("ends", F.filter(F.sequence(F.lit(0), F.size("marks") - 1), lambda i: ends(F.col("marks"), i)))
 
-    def chunk(end: Column, k: Column) -> Column:
-        first = F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("ends"), k - 1) + 1)
-        count = end - first + 1
-        hashes = F.transform(F.slice(F.col("marks"), first + 1, count), lambda m: m["h"])
-        return F.struct(first.alias("first"), count.alias("count"), F.xxhash64(hashes).alias("key"), F.get(F.col("marks"), first)["long"].alias("long"))
+def with_boundaries(docs: DataFrame, window: int, long_words: int, shared_hashes: list[int]) -> DataFrame:
+    """Adds text_hash, lines, marks (at, h, long: of the lines with text) and cuts, the numbers of the marks that are boundaries."""
+    lines = docs.withColumns({"text_hash": F.xxhash64("text"), "lines": F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)})
+    # a line of so many words has one blank fewer at least
+    is_long = lambda x: F.when(F.length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(r"\S+")) >= long_words).otherwise(F.lit(False))
+    marks = F.transform("lines", lambda x, i: F.struct(i.cast("int").alias("at"), line_hash(x, shared_hashes).alias("h"), is_long(x).alias("long"), x.rlike(r"\S").alias("text")))
+    marks = lines.withColumn("marks", F.filter(marks, lambda m: m["text"]))
+    size = F.size("marks")
 
-    chunks = F.filter(F.transform("ends", chunk), lambda c: (c["count"] > 1) | c["long"])
-    return cut.withColumn("chunks", F.when(F.octet_length("text") > 0, chunks).otherwise(F.filter(chunks, lambda c: F.lit(False)))).drop("marks", "ends")
+    def boundary(j: Column) -> Column:
+        here = F.get(F.col("marks"), j)
+        if window == 2:  # a window is a line and its neighbour
+            least = (here["h"] <= F.get(F.col("marks"), j - 1)["h"]) | (here["h"] <= F.get(F.col("marks"), j + 1)["h"])
+        else:
+            starts = F.sequence(F.greatest(F.lit(0), j - (window - 1)), F.greatest(F.least(j, size - window), F.lit(0)))
+            least = (size >= window) & F.exists(starts, lambda s: here["h"] <= F.array_min(F.transform(F.slice(F.col("marks"), s + 1, window), lambda m: m["h"])))
+        return here["long"] | F.coalesce(least, F.lit(False))
 
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    return marks.withColumn("cuts", F.filter(places, boundary))
 
-def with_pairs(docs: DataFrame, long_words: int) -> DataFrame:
-    """Adds lines, and chunks [first, count, key] of all pairs of neighbouring lines and of all long lines."""
-    lines = docs.withColumn("lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
-    marks = lines.withColumn("marks", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.regexp_count(x, F.lit(r"\S+")) >= long_words).alias("long"))))
 
-    def unit(i: Column, count: int) -> Column:
-        hashes = [F.get(F.col("marks"), i + k)["h"] for k in range(count)]
-        return F.struct(i.alias("first"), F.lit(count).alias("count"), F.xxhash64(*hashes).alias("key"))
+def with_chunks(rows: DataFrame, window: int) -> DataFrame:
+    """Adds chunks [key, at (numbers of lines), hashes]: of each boundary in cuts those that reach from it to either side, and long lines."""
+    size = F.size("marks")
 
-    places = F.sequence(F.lit(0), F.size("marks") - 1)
-    pairs = F.transform(F.filter(places, lambda i: i + 1 < F.size("marks")), lambda i: unit(i, 2))
-    longs = F.transform(F.filter(places, lambda i: F.get(F.col("marks"), i)["long"]), lambda i: unit(i, 1))
-    units = F.concat(pairs, longs)
-    return marks.withColumn("chunks", F.when(F.octet_length("text") > 0, units).otherwise(F.filter(units, lambda c: F.lit(False)))).drop("marks")
+    def chunk(first: Column, count: int) -> Column:
+        own = F.slice(F.col("marks"), first + 1, count)
+        hashes = F.transform(own, lambda m: m["h"])
+        return F.struct(F.xxhash64(hashes).alias("key"), F.transform(own, lambda m: m["at"]).alias("at"), hashes.alias("hashes"))
 
+    def reaching(more: int) -> list[Column]:
+        after = F.transform(F.filter("cuts", lambda j: j + more < size), lambda j: chunk(j, more + 1))
+        return [after, F.transform(F.filter("cuts", lambda j: j >= more), lambda j: chunk(j - more, more + 1))]
 
-def runs(gone: DataFrame) -> DataFrame:
-    """gone with overlapping and touching [first, count] merged."""
-    at = F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["first"] + g["count"] - 1)))
-    gone = gone.withColumn("at", F.array_sort(F.array_distinct(at)))
-    starts = F.filter("at", lambda x, k: F.coalesce(F.get(F.col("at"), k - 1) != x - 1, F.lit(True)))
-    ends = F.filter("at", lambda x, k: F.coalesce(F.get(F.col("at"), k + 1) != x + 1, F.lit(True)))
-    return gone.withColumn("gone", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("count")))).drop("at")
+    found = [F.transform(F.filter("cuts", lambda j: F.get(F.col("marks"), j)["long"]), lambda j: chunk(j, 1))]
+    for more in range(1, window):
+        found += reaching(more)
+    return rows.withColumn("chunks", F.array_distinct(F.concat(*found)))
 
 
-def joined(lines: Column, first: Column, count: Column) -> Column:
-    return F.array_join(F.slice(lines, first + 1, count), "\n")
-
-
-def removals(docs: DataFrame, work: str, one_in: int, long_words: int, pairs: bool = False) -> DataFrame:
-    """doc_id, text_hash, gone = sorted list of the removed [first, count], for the documents that lose some."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    cut = (with_pairs(docs, long_words) if pairs else with_chunks(docs, one_in, long_words)).withColumn("text_hash", F.xxhash64("text"))
-    place = F.struct("doc_id", "text_hash", "chunk.first").alias("place")
+def exploded(rows: DataFrame, array: Column, *columns: str) -> DataFrame:
     # explode_outer: for explode the optimiser infers a filter and copies the whole expression below every projection
-    rows = cut.select("doc_id", "text_hash", F.explode_outer("chunks").alias("chunk")).where("chunk IS NOT NULL")
-    counts = rows.select(F.col("chunk.key").alias("key"), place).groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.max("place").alias("last"))
-    repeated = shared.stash(counts.where("n > 1 AND place != last").drop("last"), f"{work}/repeated")
-    piece = lambda c: F.struct(c["key"].alias("key"), c["first"].alias("first"), c["count"].alias("count"), joined(F.col("lines"), c["first"], c["count"]).alias("bytes"))
-    count = repeated.count()
-    if count <= FILTER_KEYS:
-        known = bloom_cascade.Level(repeated.select("key"), count, 0.02, 77, FILTER_BITS)
-        texts = cut.select("doc_id", "text_hash", F.explode_outer(F.transform("chunks", piece)).alias("chunk")).where("chunk IS NOT NULL").where(known.holds("chunk.key"))
-    else:
-        hot = shared.hot_keys(repeated.select("key", "n"), "key", "n")
-        units = rows.select("doc_id", "text_hash", "chunk.key", F.col("chunk.first").alias("first"), F.col("chunk.count").alias("count"))
-        found = shared.salted_join(units, repeated.select("key"), "key", hot, F.xxhash64("doc_id", "text_hash", "first"), shared.width(spark))
-        found = found.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.collect_set(F.struct("first", "count", "key")).alias("chunks"))
-        same = F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("text_hash").eqNullSafe(F.col("own_hash"))
-        texts = cut.drop("chunks").join(found, same).select("doc_id", "text_hash", F.explode_outer(F.transform("chunks", piece)).alias("chunk")).where("chunk IS NOT NULL")
-    texts = shared.stash(texts.select(place, "chunk.key", "chunk.count", "chunk.bytes"), f"{work}/texts")
-    # the first occurrence of each unit; two with one hash are two
-    firsts = texts.groupBy("key", "bytes").agg(F.min("place").alias("first_place")).withColumnRenamed("bytes", "first_bytes")
-    hot = repeated.select("key", "n")
-    hot = shared.hot_keys(hot, "key", "n")
-    salts = shared.width(spark)
-    same = shared.salted_join(texts, firsts, "key", hot, F.xxhash64("place"), salts).where("place != first_place AND bytes = first_bytes")
-    gone = same.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash"))
-    gone = gone.agg(F.array_sort(F.collect_set(F.struct(F.col("place.first").alias("first"), "count"))).alias("gone"))
-    return runs(gone) if pairs else gone
-
-
-def dedup_lines(docs: DataFrame, work: str, one_in: int = 3, long_words: int = 50, pairs: bool = False) -> DataFrame:
-    """docs with repeated units removed and the number of removed lines in removed_lines (a column of that name is replaced)."""
-    gone = removals(docs, work, one_in, long_words, pairs)
+    return rows.select(*columns, F.explode_outer(array).alias("one")).where("one IS NOT NULL")
+
+
+def picked(rows: DataFrame, repeated: DataFrame, total: int, spread: Column) -> DataFrame:
+    """rows whose key is in repeated(key, n), by a bounded Bloom filter (with some others) or a salted join."""
+    if total <= FILTER_KEYS:
+        return rows.where(bloom_cascade.Level(repeated.select("key"), max(1, total), 0.02, 77, FILTER_BITS).holds("key"))
+    hot = shared.hot_keys(repeated, "key", "n")
+    return shared.salted_join(rows, repeated.select("key"), "key", hot, spread, shared.width(rows.sparkSession))
+
+
+def anchored(cut: DataFrame, work: str) -> DataFrame:
+    """cut with only the boundaries whose line occurs again (and a few others), without documents that have none."""
+    spark = cut.sparkSession
+    hashes = exploded(cut, F.transform("cuts", lambda j: F.get(F.col("marks"), j)["h"])).withColumnRenamed("one", "key")
+    repeated = shared.stash(hashes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{work}/anchors")
+    total = repeated.count()
+    if total <= FILTER_KEYS:
+        known = bloom_cascade.Level(repeated.select("key"), max(1, total), 0.02, 77, FILTER_BITS)
+        return cut.withColumn("cuts", F.filter("cuts", lambda j: known.holds(F.get(F.col("marks"), j)["h"]))).where("size(cuts) > 0")
+    places = exploded(cut, F.transform("cuts", lambda j: F.struct(j.alias("j"), F.get(F.col("marks"), j)["h"].alias("key"))), "doc_id", "text_hash").select("doc_id", "text_hash", "one.*")
+    hot = shared.hot_keys(repeated, "key", "n")
+    found = shared.salted_join(places, repeated.select("key"), "key", hot, F.xxhash64("doc_id", "text_hash", "j"), shared.width(spark))
+    found = found.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.array_sort(F.collect_set("j")).alias("cuts"))
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & F.col("text_hash").eqNullSafe(F.col("own_hash"))
+    return cut.drop("cuts").join(found, same).drop("own_id", "own_hash")
+
+
+def removals(docs: DataFrame, work: str, window: int, long_words: int) -> DataFrame:
+    """doc_id, text_hash, gone = numbers of the removed lines, for the documents that lose some."""
+    docs = docs.select("doc_id", "text")
+    shared_hashes: list[int] = []
+    for again in range(ROUNDS):
+        gone, collided = once(docs, f"{work}/{again}", window, long_words, shared_hashes)
+        if not collided:
+            return gone
+        shared_hashes += collided
+    raise ValueError(f"lines whose hashes {ROUNDS} hash functions can't tell apart")
+
+
+def once(docs: DataFrame, work: str, window: int, long_words: int, shared_hashes: list[int]) -> tuple[DataFrame, list[int]]:
+    """The removals if lines with one hash are one line, and the hashes (64 bits: hardly ever any) of which that isn't so."""
+    cut = with_boundaries(docs, window, long_words, shared_hashes)
+    places = exploded(with_chunks(anchored(cut, work), window), F.col("chunks"), "doc_id", "text_hash")
+    place = F.struct("doc_id", "text_hash", F.get("one.at", F.lit(0)).alias("first"))
+    chunks = shared.stash(places.select("one.key", place.alias("place"), F.get("one.at", F.size("one.at") - 1).alias("last"), "one.at", "one.hashes"), f"{work}/chunks")
+    counts = chunks.groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
+    repeated = shared.stash(counts.where("n > 1 AND first_place != last_place").drop("last_place"), f"{work}/repeated")
+    hot = shared.hot_keys(repeated.select("key", "n"), "key", "n")
+    found = shared.salted_join(chunks.drop("last"), repeated.drop("n"), "key", hot, F.xxhash64("place"), shared.width(docs.sparkSession))
+    later = shared.stash(found.where("place != first_place").select("place", "at", "hashes"), f"{work}/later")
+    # each hash of a line in these chunks must stand for one line
+    wanted = exploded(later, F.col("hashes")).groupBy(F.col("one").alias("key")).agg(F.count("*").alias("n"))
+    wanted = shared.stash(wanted, f"{work}/wanted")
+    texts = exploded(cut, F.transform("marks", lambda m: F.struct(m["h"].alias("key"), F.get(F.col("lines"), m["at"]).alias("bytes")))).select("one.*")
+    different = picked(texts, wanted, wanted.count(), F.monotonically_increasing_id()).distinct()
+    collided = different.groupBy("key").count().where("count > 1").join(wanted, "key", "left_semi").select("key")
+    gone = later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash")).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
+    return gone, [x.key for x in collided.collect()]
+
+
+def dedup_lines(docs: DataFrame, work: str, window: int = 2, long_words: int = 50) -> DataFrame:
+    """docs with repeated chunks removed and the number of removed lines in removed_lines (a column of that name is replaced)."""
+    gone = removals(docs, work, window, long_words)
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("hash"))
     same = F.col("hash").eqNullSafe(F.col("text_hash")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
-    rows = rows.join(gone, same, "left").select("row", "gone", F.split("row.text", "\n", -1).alias("lines"))
-
-    def kept(k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("gone"), k - 1)["first"] + F.get(F.col("gone"), k - 1)["count"])
-        end = F.coalesce(F.get(F.col("gone"), k)["first"], F.size("lines"))
-        return F.slice(F.col("lines"), start + 1, end - start)
-
+    rows = rows.join(gone, same, "left").select("row", "gone")
+    lines = F.split("row.text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    left = rows.withColumn("left", F.when(F.col("gone").isNotNull(), F.transform(stay, lambda i: F.get(lines, i))))
+    left = left.where(F.col("gone").isNull() | F.exists("left", lambda x: x.rlike(r"\S")))
     changed = F.col("gone").isNotNull()
-    removed = F.when(changed, F.aggregate("gone", F.lit(0), lambda n, g: n + g["count"])).otherwise(0)
-    out = rows.withColumn("removed", removed).where(~changed | (F.size("lines") > F.col("removed")))
-    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), kept)), "\n")
-    out = out.select("row", "removed", F.when(changed, left).otherwise(F.col("row.text")).alias("left"))
+    out = left.select("row", F.when(changed, F.size("gone")).otherwise(0).alias("removed"), F.when(changed, F.array_join("left", "\n")).otherwise(F.col("row.text")).alias("left"))
     new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("removed") > 0, F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
@@ -145,4 +165,4 @@ def dedup_lines(docs: DataFrame, work: str, one_in: int = 3, long_words: int = 5
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, shared.work_dir(spark, "line-chunks"), pairs=True)
+    return dedup_lines(docs, shared.work_dir(spark, "line-chunks"))

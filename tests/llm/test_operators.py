@@ -204,91 +204,94 @@ def i64(v):
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
-def brute_chunks(text, one_in, long_words):
+def brute_line_chunks(text, window, long_words):
+    """Numbers of the lines of each chunk: all pairs of neighbouring lines with text for a window of two, else those at a boundary."""
     import xxhash
 
-    if not text:
-        return []
-    lines = text.split("\n")
-    step = lambda v, seed: xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed)
-    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
-    long = [len(re.findall(r"\S+", x)) >= long_words for x in lines]
-    out, first = [], 0
-    for i in range(len(lines)):
-        rolling = step(hashes[i], step(hashes[i - 1], 42) if i else 42)
-        if long[i] or i + 1 == len(lines) or long[i + 1] or i64(rolling) % one_in == 0:
-            if i > first or long[first]:
-                out.append((first, i + 1, "\n".join(lines[first : i + 1])))
-            first = i + 1
+    marks = [k for k, x in enumerate((text or "").split("\n")) if x.strip()]
+    lines = (text or "").split("\n")
+    long = [len(re.findall(r"\S+", lines[k])) >= long_words for k in marks]
+    out = [[k] for k, x in zip(marks, long) if x]
+    if window == 2:
+        return out + [marks[j : j + 2] for j in range(len(marks) - 1)]
+    h = [i64(xxhash.xxh64_intdigest(lines[k].encode(), 42)) for k in marks]
+    cuts = {s + d for s in range(len(h) - window + 1) for d in range(window) if h[s + d] == min(h[s : s + window])} | {j for j, x in enumerate(long) if x}
+    for j in cuts:
+        for d in range(1, window):
+            out += [marks[a : a + d + 1] for a in (j, j - d) if a >= 0 and a + d < len(marks)]
     return out
 
 
-def test_line_chunks(spark, work):
-    rng = random.Random(9)
-    passage = prose(rng, 70, 9)
-    long = prose(rng, 60, 60)
-    rows = []
-    for i in range(40):
-        parts = [prose(rng, rng.randint(9, 60), 7)]
-        if i % 3 == 0:
-            parts.insert(rng.randrange(2), passage)
-        if i % 4 == 0:
-            parts.append(long)
-        rows.append((i, "\n".join(parts)))
-    rows += [(50, passage), (51, rows[1][1]), (52, rows[1][1]), (53, None), (54, ""), (55, "one line"), (56, "one line"), (None, long)]
-    rows += [(rows[2][0], rows[2][1])]  # a repeated row
-    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3))
-    got = Counter((x.doc_id, x.text, x.n_chars) for x in line_chunks.dedup_lines(docs, work, 3, 50).collect())
+def brute_line_dedup(rows, window=2, long_words=50):
+    """(doc_id, text, length, removed) after the removal of chunks of which an equal one stands before, each row as often as it is there."""
     seen, out = {}, Counter()
-    for (i, t), n in sorted(Counter(rows).items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1] or "")):
-        gone = set()
-        for a, b, body in brute_chunks(t, 3, 50):
-            if body in seen:
-                gone |= set(range(a, b))
-            seen[body] = True
-        left = [x for k, x in enumerate((t or "").split("\n")) if k not in gone]
-        new = t if not gone else "\n".join(left)
-        if left:
-            out[i, new, None if new is None else len(new)] = n
-    assert got == out
-    kept = [t for _, t, _ in got.elements() if t and long in t.split("\n")]
-    assert len(kept) == 1
+    order = sorted(Counter(rows).items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1] or ""))
+    for at, ((i, t), _) in enumerate(order):
+        lines = (t or "").split("\n")
+        for c in brute_line_chunks(t, window, long_words):
+            body = tuple(lines[k] for k in c)
+            seen[body] = min(seen.get(body, (at, c[0])), (at, c[0]))
+    for at, ((i, t), n) in enumerate(order):
+        lines = (t or "").split("\n")
+        gone = {k for c in brute_line_chunks(t, window, long_words) if seen[tuple(lines[k] for k in c)] != (at, c[0]) for k in c}
+        left = [x for k, x in enumerate(lines) if k not in gone]
+        new = "\n".join(left) if gone else t
+        if not gone or any(x.strip() for x in left):
+            out[i, new, None if new is None else len(new), len(gone)] = n
+    return out
 
 
-@pytest.mark.parametrize("filter_keys", [line_chunks.FILTER_KEYS, 0])
-def test_repeated_passages_go_whole(spark, work, tmp_path, monkeypatch, filter_keys):
-    """Passages of 2 to 6 short lines in different contexts, and one long line, against all pairs of neighbouring lines."""
-    monkeypatch.setattr(line_chunks, "FILTER_KEYS", filter_keys)
+def line_rows():
+    """Passages of 2 to 6 short lines and one long line in different contexts, headings between blank lines, repeated rows."""
     rng = random.Random(21)
     passages = [prose(rng, 9 * n, 9) for n in (2, 3, 4, 5, 6)] + [prose(rng, 60, 60)]
+    passages.append("\n\n".join(prose(rng, 8, 8) for _ in range(4)))  # paragraphs
     single = "one short line that many documents hold"
     rows = []
-    for i in range(36):
+    for i in range(42):
         own = [prose(rng, rng.randint(9, 50), 8) + f" {i} {k}" for k in range(2)]
-        rows.append((i, "\n".join([own[0], passages[i % 6], own[1] + f"\n{single}\nend {i}"])))
-    rows += [(40, "x\nx\nx\nx"), (41, passages[0]), (42, None), (43, ""), (44, single), (None, f"new\n{passages[4]}"), rows[7]]
+        rows.append((i, "\n".join([own[0], passages[i % 7], own[1] + f"\n{single}\nend {i}"])))
+    rows += [(50 + k, f"text {k}\n\nIntro\n\nbody {k}") for k in range(5)]  # headings and paragraph breaks
+    rows += [(60, "x\nx\nx\nx"), (61, passages[0]), (62, None), (63, ""), (64, single), (65, "a b\n\n\n\nc d"), (66, "\n \n\n"), (67, "a b\n\nc d\n"), (None, f"new\n{passages[4]}"), (None, None), rows[7], (8, rows[9][1])]
+    return passages, single, rows
+
+
+@pytest.mark.parametrize("window", [2, 3, 4])
+@pytest.mark.parametrize("filter_keys", [line_chunks.FILTER_KEYS, 0])
+def test_line_chunks(spark, work, monkeypatch, window, filter_keys):
+    monkeypatch.setattr(line_chunks, "FILTER_KEYS", filter_keys)
+    _, _, rows = line_rows()
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3))
-    got = Counter((x.doc_id, x.text, x.n_chars, x.removed_lines) for x in line_chunks.dedup_lines(docs, work, pairs=True).collect())
-    seen, out = set(), Counter()
-    for (i, t), n in sorted(Counter(rows).items(), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1] or "")):
-        lines, gone = (t or "").split("\n"), set()
-        units = [(k, k + 2) for k in range(len(lines) - 1)] + [(k, k + 1) for k, x in enumerate(lines) if len(x.split()) >= 50]
-        for a, b in units if t else []:
-            if tuple(lines[a:b]) in seen:
-                gone |= set(range(a, b))
-            seen.add(tuple(lines[a:b]))
-        left = [x for k, x in enumerate(lines) if k not in gone]
-        new = "\n".join(left) if gone else t
-        if left:
-            out[i, new, None if new is None else len(new), len(gone)] = n
-    assert got == out
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    query = line_chunks.op4_line_chunks(spark, str(tmp_path)).collect()
-    assert Counter((x.doc_id, x.text, x.removed_lines) for x in query) == Counter((i, t, n) for i, t, _, n in got.elements())
-    texts = [t for _, t, _, _ in got.elements() if t]
-    for p in passages:  # no line of a passage is left but in its first occurrence
-        assert all(sum(line in t.split("\n") for t in texts) == 1 for line in p.split("\n"))
-    assert sum(single in t.split("\n") for t in texts) == 38 and (40, "x", 1, 3) in got
+    got = Counter((x.doc_id, x.text, x.n_chars, x.removed_lines) for x in line_chunks.dedup_lines(docs, work, window).collect())
+    assert got == brute_line_dedup(rows, window)
+
+
+def test_repeated_passages_go_whole(spark, tmp_path):
+    """The query: no line of a passage is left but in its first occurrence; headings, short lines and paragraph breaks stay."""
+    passages, single, rows = line_rows()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((x.doc_id, x.text, x.removed_lines) for x in line_chunks.op4_line_chunks(spark, str(tmp_path)).collect())
+    assert got == Counter({(i, t, n): k for (i, t, _, n), k in brute_line_dedup(rows).items()})
+    texts = [t for i, t, _ in got.elements() if t]
+    for p in passages:
+        assert all(sum(line in t.split("\n") for t in texts) == 1 for line in p.split("\n") if line)
+    assert sum(single in t.split("\n") for t in texts) >= 42
+    assert all((50 + k, f"text {k}\n\nIntro\n\nbody {k}", 0) in got for k in range(5))
+    assert (65, "a b\n\n\n\nc d", 0) in got and not any(i == 67 for i, *_ in got)  # the same two lines, whatever is between them
+
+
+def test_lines_with_one_hash_are_told_apart(spark, work, monkeypatch):
+    """A hash of seven values: all lines collide, and are known by their SHA-256 in a second round."""
+
+    def weak(line, known):
+        own = F.pmod(F.xxhash64(line), F.lit(7))
+        return F.when(own.isin(known), F.xxhash64(F.sha2(line.cast("binary"), 256))).otherwise(own) if known else own
+
+    monkeypatch.setattr(line_chunks, "line_hash", weak)
+    _, _, rows = line_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = Counter((x.doc_id, x.text, x.n_chars, x.removed_lines) for x in line_chunks.dedup_lines(docs, work).collect())
+    assert got == brute_line_dedup(rows)
 
 
 # 5 decontamination
