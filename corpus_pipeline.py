@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of lines go, but for their first occurrence (smallest doc_id, null first); documents of which nothing is left go. Null and empty texts stay; rows with one doc_id and text keep or lose lines together; removed_lines, if there is such a column, holds their number."""
-    return line_chunks.dedup_lines(docs, shared.work_dir(spark, "pipeline-lines"), pairs=True).select(*docs.columns)
+    """Repeated chunks of lines go, but for their first occurrence (smallest doc_id, null first); documents that lose all lines with text go. Headings, single short lines and paragraph breaks stay. Null and empty texts stay; rows with one doc_id and text keep or lose lines together; removed_lines, if there is such a column, holds their number."""
+    return line_chunks.dedup_lines(docs, shared.work_dir(spark, "pipeline-lines")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
