@@ -41,6 +41,49 @@ def shape_bytes(points: list[tuple], kind: int) -> bytes:
     return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i4d", 1000, kind, *box(every)) + b"\0" * 32 + body
 
 
+def index_bytes(content: bytes) -> bytes:
+    """The index of a shapefile's records: where each begins and its length, in words of two bytes."""
+    from catchment.sources import shapefile
+
+    at, parts = 50, []
+    for body in shapefile.records(content):
+        parts.append(struct.pack(">2i", at, len(body) // 2))
+        at += 4 + len(body) // 2
+    out = b"".join(parts)
+    return content[:24] + struct.pack(">i", 50 + len(out) // 2) + content[28:100] + out
+
+
+def indexes(files: DataFrame) -> DataFrame:
+    """path, content of the .shx files of shapefiles (path, content)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            paths = [p[:-1] + "x" for p in batch.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([index_bytes(c) for c in batch.column("content").to_pylist()], pa.binary())], ["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, FILE)
+
+
+def saved(files: DataFrame, folder: str) -> list[str]:
+    """Writes files (path: a name without folders, content) below a folder that all executors share, and tells their names."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root)
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])
+
+    return sorted(x.path for x in files.select("path", "content").mapInArrow(run, "path string").collect())
+
+
 def shapefiles(points: DataFrame, kind: int = 3) -> DataFrame:
     """path, content of shapefiles from path, record, part, seq, x, y."""
     return _each(points, lambda rows: shape_bytes(rows, kind), ["record", "part", "seq", "x", "y"])
