@@ -203,7 +203,7 @@ def drawn_labels(cells: DataFrame, grids: DataFrame, most: int = 5000, zero_shar
     their number, drawn from the cells no directed one touches (from all empty ones if there are none)."""
     from pyspark.sql import Window
 
-    draw = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("grid_id", "r", "c", F.lit(seed)), "r", "c")))
+    draw = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.concat_ws(",", "grid_id", "r", "c", F.lit(seed))), "r", "c")))
     active = cells.where("d > 0").select(*CELL, "d")
     kept = draw(active, "grid_id").where(F.col("place") <= most).select(*CELL, "d")
     every = grids.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))

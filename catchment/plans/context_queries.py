@@ -60,11 +60,10 @@ def _maps(spark, sf_dir):
     return context.context_maps(cells, _grids(cells)), _grids(cells)
 
 
-@query(MAPS.replace(f"WHERE {KEEP})", f"WHERE {KEEP} AND c < 12)").replace(f"CASE WHEN {KEEP} THEN", f"CASE WHEN {KEEP} AND c < 12 THEN") + f" SELECT grid_id, r, c, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM maps")
+@query(MAPS + f" SELECT grid_id, r, c, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM maps")
 def context_maps(spark, sf_dir):
-    """Maps of each cell's surroundings; occupied are two thirds of the cells on the left."""
-    cells = fx.cells(spark, sf_dir, 4).withColumns({"occ": F.expr(f"cast({KEEP} AND c < 12 as int)"), "head": F.expr("cast((r + 2 * c) % 7 = 0 as int)")})
-    return context.context_maps(cells, _grids(cells)).select("grid_id", "r", "c", *[F.round(n, 6).alias(n) for n in _NAMES])
+    """Maps of each cell's surroundings; occupied are two thirds of the cells."""
+    return _maps(spark, sf_dir)[0].select("grid_id", "r", "c", *[F.round(n, 6).alias(n) for n in _NAMES])
 
 
 INK = {"bw": "(r * 13 + c * 7) % 50 / 100e0", "edges": "(r * 3 + c * 11) % 20 / 100e0", "skeleton": "(r * 5 + c * 3) % 30 / 100e0", "conf": "(r * 17 + c * 29) % 100 / 100e0", "occ": "CASE WHEN (r * c) % 3 > 0 THEN 1 ELSE 0 END", "head": "CASE WHEN (r + 2 * c) % 7 = 0 THEN 1 ELSE 0 END"}
@@ -160,17 +159,18 @@ def decisions_full(spark, sf_dir):
     return _decided(spark, sf_dir, False)
 
 
-@query(f"""WITH {fx.cells_cte(4, keep='r % 9 < 4 AND c % 11 < 5')}, n AS (SELECT grid_id, least(count(*), 120) AS directed FROM cells GROUP BY 1)
-SELECT grid_id, directed, CAST(round_even(directed * 0.35, 0) AS BIGINT) AS zeros, CAST(0 AS BIGINT) AS touching FROM n""")
+@query(f"""WITH {fx.cells_cte(4)}, {{keep}}, kept AS (SELECT grid_id, r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY md5(concat_ws(',', grid_id, r, c, 0)), r, c) AS p FROM held) WHERE p <= 120),
+sizes AS (SELECT grid_id, count(*) AS n FROM kept GROUP BY 1),
+every AS (SELECT grid_id, CAST(y.i AS INT) AS r, CAST(x.i AS INT) AS c FROM (SELECT DISTINCT grid_id FROM cells), range(40) y(i), range(50) x(i)),
+touched AS (SELECT DISTINCT grid_id, r + y.i AS r, c + x.i AS c FROM held, range(-1, 2) y(i), range(-1, 2) x(i)),
+spare AS (SELECT e.*, t.r IS NOT NULL AS near FROM every e ANTI JOIN held h ON h.grid_id = e.grid_id AND h.r = e.r AND h.c = e.c LEFT JOIN touched t ON t.grid_id = e.grid_id AND t.r = e.r AND t.c = e.c),
+far AS (SELECT grid_id, count(*) FILTER (NOT near) AS far FROM spare GROUP BY 1),
+zeros AS (SELECT s.grid_id, r, c, row_number() OVER (PARTITION BY s.grid_id ORDER BY md5(concat_ws(',', s.grid_id, r, c, 0)), r, c) AS p, greatest(1, round_even(coalesce(n, 0) * 0.35, 0)) AS wanted FROM spare s JOIN far USING (grid_id) LEFT JOIN sizes USING (grid_id) WHERE NOT near OR far = 0)
+SELECT grid_id, r, c, d FROM kept UNION ALL SELECT grid_id, r, c, 0 FROM zeros WHERE p <= wanted""".replace("{keep}", "held AS (SELECT * FROM cells WHERE NOT (r BETWEEN 8 AND 19 AND c BETWEEN 10 AND 31))"))
 def drawn_labels(spark, sf_dir):
-    """Labels drawn from a grid: directed cells, empty cells, and empty ones that touch a directed one (none)."""
-    from catchment.operators import masks
-
-    cells = fx.cells(spark, sf_dir, 4, keep="r % 9 < 4 AND c % 11 < 5")
-    drawn = context.drawn_labels(cells, _grids(cells), 120)
-    near = masks.dilate(cells).withColumn("near", F.lit(True))
-    zero = F.col("d") == 0
-    return drawn.join(near, ["grid_id", "r", "c"], "left").groupBy("grid_id").agg(F.count_if(~zero).alias("directed"), F.count_if(zero).alias("zeros"), F.count_if(zero & F.col("near")).alias("touching"))
+    """Labels drawn from grids with a hole: directed cells, and empty ones that no directed one touches."""
+    cells = fx.cells(spark, sf_dir, 4)
+    return context.drawn_labels(cells.where("NOT (r BETWEEN 8 AND 19 AND c BETWEEN 10 AND 31)"), _grids(cells), 120)
 
 
 @query(f"""WITH {fx.cells_cte(4)}, l AS (SELECT grid_id AS image, 40 AS rows, d, CASE WHEN r % 2 = 0 THEN d ELSE 0 END AS object_d, r % 3 AS support, c % 2 AS centre, (r + c) % 2 AS occ, CASE WHEN c % 5 = 0 THEN 0 ELSE d END AS final FROM cells),

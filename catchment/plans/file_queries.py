@@ -103,10 +103,10 @@ def workbook_cells(spark, sf_dir):
     return workbook.read_cells(writers.workbooks(cells)).where("error IS NULL").drop("error")
 
 
-@query(f"WITH RECURSIVE {fx.cells_cte(4, keep='r < 12 AND c < 9')}, f AS (SELECT grid_id || '.npz' AS path, max(r) AS mr, max(c) AS mc FROM cells GROUP BY 1) SELECT f.path, CAST(a.i AS INT) AS r, CAST(b.i AS INT) AS c, CAST(coalesce(d, 0) AS INT) AS d, coalesce(cells.r % 3 = 0, false) AS reviewed FROM f JOIN range(12) a(i) ON a.i <= mr JOIN range(9) b(i) ON b.i <= mc LEFT JOIN cells ON f.path = cells.grid_id || '.npz' AND cells.r = a.i AND cells.c = b.i")
+@query(f"WITH RECURSIVE {fx.cells_cte(4)}, f AS (SELECT grid_id || '.npz' AS path, max(r) AS mr, max(c) AS mc FROM cells GROUP BY 1) SELECT f.path, CAST(a.i AS INT) AS r, CAST(b.i AS INT) AS c, CAST(coalesce(d, 0) AS INT) AS d, coalesce(cells.r % 3 = 0, false) AS reviewed FROM f JOIN range(40) a(i) ON a.i <= mr JOIN range(50) b(i) ON b.i <= mc LEFT JOIN cells ON f.path = cells.grid_id || '.npz' AND cells.r = a.i AND cells.c = b.i")
 def label_files(spark, sf_dir):
     """Labels written to archives and read back."""
-    cells = fx.cells(spark, sf_dir, 4, keep="r < 12 AND c < 9").withColumns({"path": F.concat("grid_id", F.lit(".npz")), "reviewed": F.col("r") % 3 == 0})
+    cells = fx.cells(spark, sf_dir, 4).withColumns({"path": F.concat("grid_id", F.lit(".npz")), "reviewed": F.col("r") % 3 == 0})
     return labels.read_npz(writers.label_archives(cells)).where("error IS NULL").drop("error")
 
 

@@ -181,15 +181,18 @@ def macro_accuracy(spark, sf_dir):
     return learning.class_accuracy(rows).agg(F.round(F.avg("accuracy"), 6).alias("macro"))
 
 
-@query("""WITH p AS (SELECT c_nationkey AS image_id, c_custkey AS k, c_custkey * 7 % 100 AS x, c_custkey * 13 % 90 AS y, c_custkey * 31 % 97 AS score FROM customer)
-SELECT image_id, k, x, y FROM p a WHERE NOT EXISTS (FROM p b WHERE b.image_id = a.image_id AND (b.score, -b.x, -b.y) > (a.score, -a.x, -a.y) AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 25
-  AND NOT EXISTS (FROM p q WHERE q.image_id = b.image_id AND (q.score, -q.x, -q.y) > (b.score, -b.x, -b.y) AND (q.x - b.x) * (q.x - b.x) + (q.y - b.y) * (q.y - b.y) <= 25
-    AND NOT EXISTS (FROM p o WHERE o.image_id = q.image_id AND (o.score, -o.x, -o.y) > (q.score, -q.x, -q.y) AND (o.x - q.x) * (o.x - q.x) + (o.y - q.y) * (o.y - q.y) <= 25)))""")
+@query("""WITH RECURSIVE p AS (SELECT c_nationkey AS image_id, c_custkey AS k, c_custkey * 7 % 100 AS x, c_custkey * 13 % 90 AS y, c_custkey * 31 % 97 AS score FROM customer),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, x, y, k) AS n FROM p),
+taken AS (SELECT image_id, 0::BIGINT AS n, []::STRUCT(k BIGINT, x BIGINT, y BIGINT)[] AS kept FROM p GROUP BY 1
+  UNION ALL SELECT r.image_id, r.n, CASE WHEN len(list_filter(kept, lambda o: (o.x - r.x) * (o.x - r.x) + (o.y - r.y) * (o.y - r.y) <= 25)) = 0 THEN list_append(kept, {'k': r.k, 'x': r.x, 'y': r.y}) ELSE kept END
+  FROM taken t JOIN ranked r ON r.image_id = t.image_id AND r.n = t.n + 1),
+done AS (SELECT image_id, arg_max(kept, n) AS kept FROM taken GROUP BY 1)
+SELECT image_id, o.k, o.x, o.y FROM (SELECT image_id, unnest(kept) AS o FROM done)""")
 def suppressed_heads(spark, sf_dir):
-    """Heads left by greedy suppression (in these tables chains of suppression are at most three long, which the SQL follows)."""
-    from catchment.operators import correction
+    """Heads left by greedy suppression."""
+    from catchment.operators import suppression
 
     k = F.col("c_custkey")
     heads = fx.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("image_id"), k.alias("k"), (k * 7 % 100).cast("double").alias("x"), (k * 13 % 90).cast("double").alias("y"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), (k * 31 % 97).cast("double").alias("score"))
-    out = correction.suppress(heads, 5.0)
+    out = suppression.suppressed(heads, 5.0)
     return out.select("image_id", "k", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))

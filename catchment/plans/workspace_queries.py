@@ -163,12 +163,22 @@ def merged_region(spark, sf_dir):
     return workspace.merge_region(a, fx.cells(spark, sf_dir, 4, weight="l_extendedprice", keep="(r + c) % 7 > 0"), _full(a).where("r < 25"))
 
 
-@query(f"WITH {fx.cells_cte(4)} SELECT grid_id, r, c, d, 1 AS support, false AS edited FROM cells")
+@query(f"""WITH {fx.cells_cte(4)}, e AS (SELECT grid_id, r, c, CASE WHEN (r + c) % 2 = 0 THEN 0 ELSE 4 END AS d FROM cells WHERE (r * 3 + c) % 17 = 0),
+m AS (SELECT cells.*, coalesce(e.d, cells.d) AS edited_d FROM cells LEFT JOIN e USING (grid_id, r, c) WHERE NOT (cells.r = 20 AND cells.c > 30))
+SELECT c.grid_id, c.r, c.c, c.d, CAST(CASE WHEN c.d > 0 THEN 1 ELSE 0 END AS INT) AS support, false AS edited, CAST(coalesce(m.edited_d, 0) AS INT) AS edited_d FROM cells c LEFT JOIN m USING (grid_id, r, c)""")
 def restored_grid(spark, sf_dir):
-    """Edits laid over a grid and taken back."""
+    """A stored grid, edited and with a stretch deleted in its next version, restored from the version before; edited_d is what the edits had made of each cell."""
+    from catchment.functions.materialise import folder
+    from catchment.sources.snapshots import Snapshots
+
     base = fx.cells(spark, sf_dir, 4)
-    edited = masks.apply_edits(base, base.where("r < 5").withColumn("d", F.lit(0)))
-    return workspace.restore(base.join(edited.select("grid_id").distinct(), "grid_id", "left_semi"))
+    table = Snapshots(spark, folder(spark))
+    table.append(base.select("grid_id", "r", "c", "d"), "baseline")
+    edits = base.where("(r * 3 + c) % 17 = 0").withColumn("d", F.when((F.col("r") + F.col("c")) % 2 == 0, 0).otherwise(4))
+    edited = masks.apply_edits(table.read(), edits).where("NOT (r = 20 AND c > 30)")
+    table.replace(edited.select("grid_id", "r", "c", F.col("d").cast("int").alias("d")), table.version(), "edits")
+    now = table.read().select("grid_id", "r", "c", F.col("d").alias("edited_d"))
+    return workspace.restore(table.read(0)).join(now, ["grid_id", "r", "c"], "left").fillna(0, ["edited_d"])
 
 
 EDITS = "SELECT l_returnflag AS grid_id, CAST(l_partkey % 47 AS INT) AS r, CAST(l_suppkey % 53 AS INT) AS c, CAST(max(l_linenumber % 5) AS INT) AS d FROM {lineitem} WHERE l_orderkey % 9 = 0 GROUP BY 1, 2, 3"
