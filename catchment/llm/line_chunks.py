@@ -10,7 +10,7 @@ its repeated chunks: a repeated passage of `window` lines or more goes whole, wh
 `long_words` words or more are anchors and chunks by themselves; other single lines (headings) stay. The first
 occurrence of a line in the corpus always stays, as a chunk that goes has an equal one before it.
 
-What crosses the network: the hashes of boundary lines (summed in the task), places of chunks at anchors, each
+Hashes of lines are written once. What crosses the network: the hashes of boundary lines (summed in the task), places of chunks at anchors, each
 different line of a repeated chunk once a task for the comparison, and whole texts once, to meet their lists of
 removed lines. The comparison is by lines: if all lines with one hash are the same bytes, equal hashes are equal
 lines; hashes of which that isn't so are replaced by hashes of the lines' SHA-256, and all is done again. A bounded
@@ -40,13 +40,18 @@ def line_hash(line: Column, shared_hashes: list[int]) -> Column:
     return F.when(own.isin(shared_hashes), F.xxhash64(F.sha2(line.cast("binary"), 256))).otherwise(own) if shared_hashes else own
 
 
+def with_text(line: Column) -> Column:
+    """Whether a line has anything but white space."""
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
+
+
 def with_boundaries(docs: DataFrame, window: int, long_words: int, shared_hashes: list[int]) -> DataFrame:
-    """Adds text_hash, lines, marks (at, h, long: of the lines with text) and cuts, the numbers of the marks that are boundaries."""
-    lines = docs.withColumns({"text_hash": F.xxhash64("text"), "lines": F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)})
-    # a line of so many words has one blank fewer at least
-    is_long = lambda x: F.when(F.length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(r"\S+")) >= long_words).otherwise(F.lit(False))
-    marks = F.transform("lines", lambda x, i: F.struct(i.cast("int").alias("at"), line_hash(x, shared_hashes).alias("h"), is_long(x).alias("long"), x.rlike(r"\S").alias("text")))
-    marks = lines.withColumn("marks", F.filter(marks, lambda m: m["text"]))
+    """doc_id, text_hash, marks (at, h, long: of the lines with text) and cuts, the numbers of the marks that are boundaries."""
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    # a line of so many words has so many bytes at least
+    is_long = lambda x: F.when(F.octet_length(x) >= 2 * long_words - 1, F.regexp_count(x, F.lit(r"\S+")) >= long_words).otherwise(F.lit(False))
+    marks = F.transform(lines, lambda x, i: F.when(with_text(x), F.struct(i.cast("int").alias("at"), line_hash(x, shared_hashes).alias("h"), is_long(x).alias("long"))))
+    marks = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(marks, lambda m: m.isNotNull()).alias("marks"))
     size = F.size("marks")
 
     def boundary(j: Column) -> Column:
@@ -95,14 +100,15 @@ def picked(rows: DataFrame, repeated: DataFrame, total: int, spread: Column) ->
 
 
 def anchored(cut: DataFrame, work: str) -> DataFrame:
-    """cut with only the boundaries whose line occurs again (and a few others), without documents that have none."""
+    """cut with only the boundaries whose line occurs again (and a few others)."""
     spark = cut.sparkSession
     hashes = exploded(cut, F.transform("cuts", lambda j: F.get(F.col("marks"), j)["h"])).withColumnRenamed("one", "key")
     repeated = shared.stash(hashes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{work}/anchors")
     total = repeated.count()
     if total <= FILTER_KEYS:
         known = bloom_cascade.Level(repeated.select("key"), max(1, total), 0.02, 77, FILTER_BITS)
-        return cut.withColumn("cuts", F.filter("cuts", lambda j: known.holds(F.get(F.col("marks"), j)["h"]))).where("size(cuts) > 0")
+        # no filter on cuts: the optimiser would copy it below the columns that it is made from, and make these anew for each line
+        return cut.withColumn("cuts", F.filter("cuts", lambda j: known.holds(F.get(F.col("marks"), j)["h"])))
     places = exploded(cut, F.transform("cuts", lambda j: F.struct(j.alias("j"), F.get(F.col("marks"), j)["h"].alias("key"))), "doc_id", "text_hash").select("doc_id", "text_hash", "one.*")
     hot = shared.hot_keys(repeated, "key", "n")
     found = shared.salted_join(places, repeated.select("key"), "key", hot, F.xxhash64("doc_id", "text_hash", "j"), shared.width(spark))
@@ -125,7 +131,7 @@ def removals(docs: DataFrame, work: str, window: int, long_words: int) -> DataFr
 
 def once(docs: DataFrame, work: str, window: int, long_words: int, shared_hashes: list[int]) -> tuple[DataFrame, list[int]]:
     """The removals if lines with one hash are one line, and the hashes (64 bits: hardly ever any) of which that isn't so."""
-    cut = with_boundaries(docs, window, long_words, shared_hashes)
+    cut = shared.stash(with_boundaries(docs, window, long_words, shared_hashes), f"{work}/marks")
     places = exploded(with_chunks(anchored(cut, work), window), F.col("chunks"), "doc_id", "text_hash")
     place = F.struct("doc_id", "text_hash", F.get("one.at", F.lit(0)).alias("first"))
     chunks = shared.stash(places.select("one.key", place.alias("place"), F.get("one.at", F.size("one.at") - 1).alias("last"), "one.at", "one.hashes"), f"{work}/chunks")
@@ -137,7 +143,8 @@ def once(docs: DataFrame, work: str, window: int, long_words: int, shared_hashes
     # each hash of a line in these chunks must stand for one line
     wanted = exploded(later, F.col("hashes")).groupBy(F.col("one").alias("key")).agg(F.count("*").alias("n"))
     wanted = shared.stash(wanted, f"{work}/wanted")
-    texts = exploded(cut, F.transform("marks", lambda m: F.struct(m["h"].alias("key"), F.get(F.col("lines"), m["at"]).alias("bytes")))).select("one.*")
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(line_hash(x, shared_hashes).alias("key"), x.alias("bytes")))
+    texts = exploded(docs, lines).select("one.*")
     different = picked(texts, wanted, wanted.count(), F.monotonically_increasing_id()).distinct()
     collided = different.groupBy("key").count().where("count > 1").join(wanted, "key", "left_semi").select("key")
     gone = later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash")).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
@@ -153,7 +160,7 @@ def dedup_lines(docs: DataFrame, work: str, window: int = 2, long_words: int = 5
     lines = F.split("row.text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     left = rows.withColumn("left", F.when(F.col("gone").isNotNull(), F.transform(stay, lambda i: F.get(lines, i))))
-    left = left.where(F.col("gone").isNull() | F.exists("left", lambda x: x.rlike(r"\S")))
+    left = left.where(F.col("gone").isNull() | F.exists("left", with_text))
     changed = F.col("gone").isNotNull()
     out = left.select("row", F.when(changed, F.size("gone")).otherwise(0).alias("removed"), F.when(changed, F.array_join("left", "\n")).otherwise(F.col("row.text")).alias("left"))
     new = {"text": F.col("left")}
