@@ -1,7 +1,7 @@
 """Language ID: each document's mixture of languages, by expectation-maximisation over n-gram likelihoods.
 
 Learning counts hashed byte trigrams of lower-cased text for each language, on about `per_language` whole
-labelled documents a language, drawn by a hash of doc_id (the bound of the fitted sample); the model is a
+labelled documents a language, drawn by a hash of doc_id and text (equal rows count once; the bound of the fitted sample); the model is a
 table of likelihoods, languages x buckets (at most `max_languages` x 32,768 of four bytes: 34 MB, which goes to every task). For a document, EM estimates the proportions of all
 languages; the languages with the largest proportions then form nested sets of 1, 2, 3 ... languages,
 each is fitted by EM, and the set with the best likelihood less `penalty` * log(trigrams) for each further
@@ -73,15 +73,16 @@ class Mixture:
 
 
 def learn(labelled: DataFrame, per_language: int = 1500, max_languages: int = 256) -> dict[str, np.ndarray]:
-    """Bucket counts of each language from doc_id, text, lang. Rates come from counts of all labelled rows."""
-    labelled = shared.bound_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = dict(map(tuple, labelled.groupBy("lang").count().limit(max_languages + 1).collect()))
+    """Bucket counts of each language from doc_id, text, lang, of about per_language different rows each. Rates come from all labelled rows; equal rows are drawn together and count once."""
+    labelled = shared.bound_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("doc_id", "text", F.lit("learn")))
+    sizes = dict(map(tuple, labelled.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02)).limit(max_languages + 1).collect()))
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not sizes:
         return {}
     rate = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1_000_000)) < F.get(F.map_values(F.map_filter(rate, lambda k, v: k == F.col("lang"))), 0) * 1_000_000)
+    drawn = labelled.where(F.pmod("hash", F.lit(1_000_000)) < F.get(F.map_values(F.map_filter(rate, lambda k, v: k == F.col("lang"))), 0) * 1_000_000)
+    drawn = drawn.groupBy("lang", "doc_id", "hash").agg(F.first("text").alias("text"))
 
     def count(batches):
         import pyarrow as pa

@@ -570,6 +570,19 @@ def test_language_rows(spark, docs, empty):
     assert {x.lang_pred for x in langid.identify(docs.withColumn("lang", F.lit(None).cast("string")), langid.fold()).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("doc_id", [1, 2, 3, 4, 5, 6, 7, None])
+def test_rows_that_share_an_id_are_drawn_by_their_texts(spark, doc_id):
+    """More rows than are learned from, all with one id, or all the same row."""
+    rng = random.Random(5)
+    rows = [(doc_id, prose(rng, 12), "en") for _ in range(700)]
+    counts = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=200)
+    whole = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10_000)
+    assert 0.15 < counts["en"].sum() / whole["en"].sum() < 0.45
+    same = [(doc_id, "always the same words", "en")] * 3000
+    one = langid.learn(spark.createDataFrame(same, "doc_id long, text string, lang string"), per_language=200)
+    assert one["en"].sum() == langid.learn(spark.createDataFrame(same[:1], "doc_id long, text string, lang string"))["en"].sum() > 0
+
+
 # 10 near duplicates
 
 def brute_components(rows, percent=75):
