@@ -52,3 +52,13 @@ def suppressed(candidates: DataFrame, radius: float, alike: float = 0.7, most: i
     if most is not None:
         out = out.withColumn("place", F.row_number().over(Window.partitionBy("image_id").orderBy("order"))).where(F.col("place") <= most)
     return rows.join(out.select("image_id", "order._id"), ["image_id", "_id"], "left_semi").select(*candidates.columns)
+
+
+def hidden(candidates: DataFrame, known: DataFrame, radius: float, alike: float, name: str) -> DataFrame:
+    """image_id and name of the candidates (image_id, x, y, dx, dy, name) that are within radius of a known point with a product of directions over `alike`."""
+    at = lambda c: F.floor(F.col(c) / radius).cast("long")
+    near = around(known.select("image_id", F.struct("x", "y", "dx", "dy").alias("k"), at("x").alias("bx"), at("y").alias("by")).distinct())
+    both = candidates.withColumns({"bx": at("x"), "by": at("y")}).join(near, PLACE)
+    k = F.col("k")
+    hit = (F.hypot(F.col("x") - k["x"], F.col("y") - k["y"]) <= radius) & (F.col("dx") * k["dx"] + F.col("dy") * k["dy"] > alike)
+    return both.where(hit).select("image_id", name).distinct()
