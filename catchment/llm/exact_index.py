@@ -1,9 +1,13 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by hash.
 
-A batch of rows becomes one row for each digest, which a sort-merge anti-join tests against the index (a
-left join that marks what the index lacks) before it is appended: digests that the index lacks as new
-entries, others as additions to their entry. Rows are then resolved against the index, whose entries and
-additions merge without a shuffle, since both lie in one bucket. Built-in expressions only.
+A batch of rows becomes one row for each digest. A sort-merge anti-join against the index finds the digests that it
+lacks, and only these are appended; for digests that it has, the batch's count and largest row go to a side table in the
+same buckets. After some batches, or when the side table has outgrown the index, both are compacted into one sorted file
+a bucket, so an index grows with the different texts, not with the rows or batches. Rows are then resolved against the
+index, which meets its side table without a shuffle. Built-in expressions only.
+
+A batch counts from the moment that its part is written to the index's layout: what a writer left that died before
+is not read, and the batch can be added again. One writer at a time; readers see the parts that there were when they opened.
 
 Null text counts as empty. Of equal texts the row with the largest doc_id stays, over all batches that were
 added; a null doc_id loses to any other. Rows repeated under one doc_id are told apart by batch and
@@ -14,6 +18,7 @@ the input are never read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -26,48 +31,88 @@ BATCHES = 3
 
 
 class DigestIndex:
-    """Table (digest, keep, rows, fresh) in sorted buckets below `path`; keep = (doc_id, batch, row) of the largest doc_id.
+    """Tables (digest, keep, rows, part) in sorted buckets below `path`; keep = (doc_id, batch, row) of the largest doc_id.
 
-    The number of buckets is written beside the table when an index is begun: opening the path again, in any
-    session, continues with it. `close` takes the name of the table from the catalogue; its files stay.
+    The layout beside them has the number of buckets, the generation (a compaction begins one) and its parts: opening the path
+    again, in any session, continues with it. `close` takes the tables' names from the catalogue; their files stay.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, compact_after: int = 8):
+        self.spark, self.path, self.compact_after = spark, path, compact_after
         held = self.layout()
-        if held and buckets and held != buckets:
-            raise ValueError(f"the index has {held} buckets, not {buckets}")
-        self.buckets = held or buckets or shared.width(spark)
+        if held and buckets and held[0].buckets != buckets:
+            raise ValueError(f"the index has {held[0].buckets} buckets, not {buckets}")
+        self.buckets = held[0].buckets if held else buckets or shared.width(spark)
+        self.generation = max((x.generation for x in held), default=0)
+        self.parts = [x.part for x in held if x.generation == self.generation]
         if not held:
-            spark.range(self.buckets, self.buckets + 1).write.parquet(f"{path}/layout")
-        self.name = f"digest_index_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep STRUCT<doc_id: BIGINT, batch: BIGINT, row: BIGINT>, rows BIGINT, fresh BOOLEAN) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}/index'"
-        )
+            self._commit(0)
+        self._open()
 
-    def layout(self) -> int | None:
+    def layout(self) -> list:
+        """One row for each part that counts."""
         try:
-            return self.spark.read.schema("id long").parquet(f"{self.path}/layout").first()[0]
+            return self.spark.read.schema("buckets int, generation int, part long").parquet(f"{self.path}/layout").collect()
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
-                return None
+                return []
             raise
 
+    def _commit(self, part: int) -> None:
+        row = self.spark.createDataFrame([(self.buckets, self.generation, part)], "buckets int, generation int, part long")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/layout")
+        self.parts.append(part)
+
+    def _open(self) -> None:
+        self.name = f"digest_index_{hashlib.sha256(self.path.encode()).hexdigest()[:24]}_{self.generation}"
+        self.more = f"{self.name}_more"
+        for name in (self.name, self.more):
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep STRUCT<doc_id: BIGINT, batch: BIGINT, row: BIGINT>, rows BIGINT, part BIGINT) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{'more' if name == self.more else 'index'}-{self.generation}'"
+            )
+
     def close(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in (self.name, self.more):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def held(self, name: str) -> DataFrame:
+        """The rows of a table's parts that count."""
+        return self.spark.table(name).where(F.col("part").isin(self.parts)).drop("part")
 
     def entries(self) -> DataFrame:
-        """digest, keep, rows: one for each digest, merged over the batches inside its bucket."""
-        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep").alias("keep"), F.sum("rows").alias("rows"))
+        """digest, keep, rows: one for each digest, with what its later batches brought, which lies in the same bucket."""
+        later = self.held(self.more).groupBy("digest").agg(F.max("keep").alias("later_keep"), F.sum("rows").alias("later_rows"))
+        both = self.held(self.name).join(later.hint("merge"), "digest", "left")
+        return both.select("digest", F.greatest("keep", "later_keep").alias("keep"), (F.col("rows") + F.coalesce("later_rows", F.lit(0))).alias("rows"))
 
     def add(self, rows: DataFrame) -> None:
-        """Appends a batch of `digested` rows. Aggregation combines copies before its shuffle."""
+        """Adds a batch of `digested` rows. Aggregation combines copies before its shuffle."""
+        part = uuid.uuid4().int >> 66
         groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "batch", "row")).alias("keep"), F.count("*").alias("rows"))
-        # written as left_anti, the optimiser would push the join below the aggregate and shuffle every copy
-        known = self.spark.table(self.name).where("fresh").select(F.col("digest").alias("known"))
-        groups = groups.join(known.hint("merge"), F.col("digest") == F.col("known"), "left")
-        groups.select("digest", "keep", "rows", F.col("known").isNull().alias("fresh")).write.insertInto(self.name)
+        # written, as the optimiser would push the anti-join below the aggregate and shuffle every copy
+        work = f"{self.path}/batch-{part}"
+        groups = shared.stash(groups.withColumn("part", F.lit(part)), work)
+        known = self.held(self.name).select("digest").hint("merge")
+        fresh, again = (groups.join(known, "digest", how).select("digest", "keep", "rows", "part") for how in ("left_anti", "left_semi"))
+        again.write.insertInto(self.more)
+        fresh.write.insertInto(self.name)
+        self._commit(part)
+        shared.remove(self.spark, work)
+        if len(self.parts) > self.compact_after or self.held(self.more).count() > self.held(self.name).count():
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes the index anew, a sorted file a bucket; the layout then names it, and the tables before go."""
+        old, before = self.entries(), (self.name, self.more, self.generation)
+        self.generation, self.parts = self.generation + 1, []
+        self._open()
+        old.withColumn("part", F.lit(0).cast("long")).repartition(self.buckets, "digest").write.insertInto(self.name)
+        self._commit(0)
+        for name in before[:2]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for kind in ("index", "more"):
+            shared.remove(self.spark, f"{self.path}/{kind}-{before[2]}")
 
     def resolve(self, rows: DataFrame) -> DataFrame:
         """Each of the `digested` rows with the index's entry for its text.

@@ -70,15 +70,45 @@ def test_index_persists_and_batches_merge(spark, rows, work):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     index = exact_index.DigestIndex(spark, path)
     assert index.entries().count() == len({t or "" for _, t in rows})
-    assert spark.table(index.name).where("fresh").count() == len({t or "" for _, t in rows})
+    assert index.held(index.name).count() == len({t or "" for _, t in rows})  # no digest is appended twice
     found = index.resolve(held[0].union(held[1]).union(held[2]).union(held[3]))
     index.close()
     assert Counter(tuple(x) for x in found.collect()) == brute_groups(rows)
-    assert not [t for t in spark.catalog.listTables() if t.name == index.name]
+    assert not [t for t in spark.catalog.listTables() if t.name in (index.name, index.more)]
     with pytest.raises(ValueError):
         exact_index.DigestIndex(spark, path, 5)
 
 
+def test_index_does_not_grow_with_repeats(spark, docs, rows, work):
+    """Ten batches of the same rows leave as many rows as one; a compacted bucket is one file."""
+    index = exact_index.DigestIndex(spark, f"{work}/index", 4, compact_after=4)
+    held = exact_index.digested(docs, f"{work}/rows")
+    texts = len({t or "" for _, t in rows})
+    for k in range(10):
+        index.add(held.withColumn("batch", F.lit(k).cast("long")))
+        assert index.held(index.name).count() == texts and index.held(index.more).count() <= texts * 4
+    index.compact()
+    assert index.held(index.more).count() == 0 and len(spark.table(index.name).inputFiles()) <= 4
+    got = {x.digest: x.rows for x in index.entries().collect()}
+    assert sum(got.values()) == 10 * len(rows)
+    index.close()
+
+
+def test_a_batch_that_died_does_not_count(spark, docs, rows, work, monkeypatch):
+    index = exact_index.DigestIndex(spark, f"{work}/index", 4)
+    held = exact_index.digested(docs, f"{work}/rows")
+    with monkeypatch.context() as m:
+        m.setattr(index, "_commit", lambda part: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            index.add(held)
+    index.close()
+    again = exact_index.DigestIndex(spark, f"{work}/index")
+    assert again.entries().count() == 0
+    again.add(held)
+    assert Counter(tuple(x) for x in again.resolve(held).collect()) == brute_groups(rows)
+    again.close()
+
+
 # 2 token planes
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
