@@ -199,12 +199,19 @@ def cell_paths(pixels: DataFrame, rows: int, cols: int, height: int, width: int)
 
 
 def supported_paths(candidates: DataFrame, raw: DataFrame, tolerance: int = 1) -> DataFrame:
-    """path_id, supported: whether each cell of a path lies within `tolerance` rows and columns (summed) of some cell of the raw path of the same id. Cells near a raw cell are spread from it, so no pair of all is made."""
+    """path_id, supported: whether each cell of a path lies within `tolerance` rows and columns (summed) of some cell of the raw path of the same id.
+
+    The places around the candidates' own cells meet the raw cells, which stay as many as they are; both sides are shuffled, as an estimate of cells made by a window and a
+    generator is far too low for a broadcast.
+    """
     step = F.sequence(F.lit(-tolerance), F.lit(tolerance))
-    near = raw.select("path_id", "r", "c").distinct().withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).where(F.abs("dr") + F.abs("dc") <= tolerance)
-    near = near.select("path_id", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")).distinct().withColumn("near", F.lit(True))
-    found = candidates.select("path_id", "r", "c").join(near, ["path_id", "r", "c"], "left")
-    return found.groupBy("path_id").agg(F.bool_and(F.coalesce("near", F.lit(False))).alias("supported"))
+    own = candidates.select("path_id", "r", "c").distinct()
+    places = own.withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step)).where(F.abs("dr") + F.abs("dc") <= tolerance)
+    places = places.select("path_id", "r", "c", (F.col("r") + F.col("dr")).alias("nr"), (F.col("c") + F.col("dc")).alias("nc"))
+    cells = raw.select("path_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.lit(True).alias("near")).distinct()
+    met = places.join(cells.hint("merge"), ["path_id", "nr", "nc"], "left")
+    found = met.groupBy("path_id", "r", "c").agg(F.bool_or(F.coalesce("near", F.lit(False))).alias("near"))
+    return found.groupBy("path_id").agg(F.bool_and("near").alias("supported"))
 
 
 def guided_votes(cells: DataFrame, heads: DataFrame, grids: DataFrame) -> DataFrame:
