@@ -167,11 +167,19 @@ def occupied(means: DataFrame, share: float = 0.06, least: int = 5) -> DataFrame
 
 
 def axis_field(ink: DataFrame, rows: int, cols: int) -> DataFrame:
-    """image_id, r, c, axis_x, axis_y, conf: principal axis of the thinned pixels in the 3 x 3 cells around, from five on."""
+    """image_id, r, c, axis_x, axis_y, conf: principal axis of the thinned pixels in the 3 x 3 cells around, from five on.
+
+    Moments are whole numbers, so they don't depend on the order of pixels, and an axis upright to the columns is always at 90 degrees, never at -90.
+    """
     r, c = cell_of_pixel(rows, cols)
     step = F.sequence(F.lit(-1), F.lit(1))
     near = ink.where("line").select("image_id", "x", "y", r.alias("r"), c.alias("c")).withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step))
-    g = near.groupBy("image_id", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")).agg(F.count("*").alias("n"), F.var_pop("x").alias("a"), F.covar_pop("x", "y").alias("b"), F.var_pop("y").alias("d"))
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    sums = {"sx": x, "sy": y, "sxx": x * x, "sxy": x * y, "syy": y * y}
+    g = near.groupBy("image_id", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")).agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()])
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    moment = lambda both, one, two: (whole("n") * whole(both) - whole(one) * whole(two)).cast("double")  # noqa: E731  n * n times the (co)variance
+    g = g.withColumns({"a": moment("sxx", "sx", "sx"), "b": moment("sxy", "sx", "sy"), "d": moment("syy", "sy", "sy")})
     gap = F.sqrt((F.col("a") - F.col("d")) ** 2 + 4 * F.col("b") ** 2)
     angle = 0.5 * F.atan2(2 * F.col("b"), F.col("a") - F.col("d"))  # in (-90, 90] degrees: the sign is fixed
     conf = F.coalesce(F.try_divide(gap, F.col("a") + F.col("d")), F.lit(0.0))
