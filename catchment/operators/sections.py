@@ -3,6 +3,8 @@
 heads: image_id, head_id, x, y (the tip), dx, dy (any length), span (a cell's side in pixels); pixels: image_id, x, y of the ink.
 All samples of all heads are one frame that meets the pixels in an equi-join on the pixel (half to even); what is
 collected for a head is bounded by its samples. Heads without a direction have no samples: widths and scores of 0.
+Frames with rows for each head meet in sort-merge joins: what generators and aggregates make of a small table is far larger than
+its estimate, so no heads are broadcast.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def cross_sections(heads: DataFrame, pixels: DataFrame, distances: tuple[float,
     rows = own.withColumn("distance", F.explode(F.array(*map(F.lit, distances)))).withColumn("k", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     rows = rows.withColumn("at", beside(-F.col("distance") * F.col("span"), -F.col("half") + F.col("k") * F.col("step")))
     hits = inked(rows.select(*HEAD, "distance", "k", "at"), pixels).groupBy(*HEAD, "distance").agg(F.array_sort(F.collect_set("k")).alias("ks"))
-    hits = hits.join(own.select(*HEAD, "span", "step", "half"), HEAD)
+    hits = hits.join(own.select(*HEAD, "span", "step", "half").hint("merge"), HEAD)
     offset = lambda k: -F.col("half") + k * F.col("step")
     below = F.floor(F.col("half") / F.col("step")).cast("int")
     middle = F.when(F.abs(offset(below)) <= F.abs(offset(below + 1)), below).otherwise(below + 1)
@@ -68,7 +70,7 @@ def cross_sections(heads: DataFrame, pixels: DataFrame, distances: tuple[float,
     near = F.abs(offset(F.col("anchor"))) <= F.greatest(F.col("step") * 2.5, F.col("span") * 0.18)
     found = hits.where(near).select(*HEAD, "distance", (high - low).alias("width"), (F.least(less, more) / F.greatest(less, more, F.lit(1e-6))).alias("balance"))
     every = heads.select(*HEAD).withColumn("distance", F.explode(F.array(*map(F.lit, distances))))
-    return every.join(found, [*HEAD, "distance"], "left").fillna(0.0, ["width", "balance"])
+    return every.join(found.hint("merge"), [*HEAD, "distance"], "left").fillna(0.0, ["width", "balance"])
 
 
 def supports(heads: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def supports(heads: DataFrame, pixels: DataFrame) -> DataFrame:
     rows = rows.select(*HEAD, "p.kind", "p.d", "p.o", beside(F.col("p.d") * F.col("span"), F.col("p.o") * F.col("span")).alias("at"))
     n = lambda kind: F.count_if(F.col("kind") == kind)
     hits = inked(rows, pixels).groupBy(*HEAD).agg(n("ahead").alias("ahead"), n("behind").alias("back"), n("shaft").alias("along"), F.count_distinct(F.when(F.col("kind") == "shaft", F.col("d"))).alias("places"))
-    out = directed(heads).select(*HEAD).join(hits, HEAD, "left").fillna(0, ["ahead", "back", "along", "places"])
+    out = directed(heads).select(*HEAD).join(hits.hint("merge"), HEAD, "left").fillna(0, ["ahead", "back", "along", "places"])
     return out.select(*HEAD, (1 - F.col("ahead") / len(AHEAD)).alias("clear"), (F.col("back") / len(BEHIND)).alias("behind"), (F.col("along") / len(SHAFT)).alias("shaft"), (F.col("places") / 5).alias("steady"))
 
 
@@ -92,7 +94,7 @@ def local_scores(heads: DataFrame, pixels: DataFrame) -> DataFrame:
         at(TIP, "width").alias("tip"), at(FRONT, "width").alias("front"), F.greatest(at(MIDDLE, "balance"), at(BASE, "balance")).alias("balance"),
         F.max(F.when(F.col("distance").isin(*HEAD_WIDTHS), F.col("width"))).alias("head"), F.coalesce(F.min(F.when(F.col("distance").isin(*FAR_WIDTHS) & (F.col("width") > 0), F.col("width"))), F.lit(0.0)).alias("far"),
     )
-    rows = heads.select(*HEAD, "span").join(per, HEAD).join(supports(heads, pixels), HEAD, "left").fillna(0.0, ["clear", "behind", "shaft", "steady"])
+    rows = heads.select(*HEAD, "span").join(per.hint("merge"), HEAD).join(supports(heads, pixels).hint("merge"), HEAD, "left").fillna(0.0, ["clear", "behind", "shaft", "steady"])
     clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     over = lambda a, b, share: clip((F.col(a) - F.col(b)) / F.greatest(F.col("span") * share, F.lit(1.0)))
     rows = rows.withColumns({"bulge": over("head", "far", 0.42), "gain": over("head", "tip", 0.34), "taper": over("head", "front", 0.34)})
@@ -100,5 +102,5 @@ def local_scores(heads: DataFrame, pixels: DataFrame) -> DataFrame:
     for name, weight in WEIGHTS.items():
         score = score + weight * F.col(name)
     known = directed(heads).select(*HEAD, F.lit(True).alias("known"))
-    rows = rows.join(known, HEAD, "left")
+    rows = rows.join(known.hint("merge"), HEAD, "left")
     return rows.select(*HEAD, F.when(F.col("known"), clip(clip(score) * (0.28 + 0.72 * F.col("bulge")))).otherwise(0.0).alias("score"))
