@@ -53,7 +53,7 @@ def polyline_points(spark, sf_dir):
 def shape_headers(spark, sf_dir):
     """Kind and box of shapefiles from their headers; a bad file is a row with its error."""
     files = writers.shapefiles(_tracks(spark, sf_dir))
-    bad = files.limit(1).select(F.lit("bad.shp").alias("path"), F.lit("no shapefile").cast("binary").alias("content"))
+    bad = fx.read(spark, sf_dir, "events").limit(1).select(F.lit("bad.shp").alias("path"), F.lit("no shapefile").cast("binary").alias("content"))
     return shapefile.inspect(files.unionByName(bad)).fillna(-1, ["kind"])
 
 

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES, POLYGONS = (3, 13), (5, 15, 25)
 POINTS = "path string, kind int, xmin double, ymin double, xmax double, ymax double, record int, part int, seq int, x double, y double"
 FIELDS = "path string, record int, deleted boolean, attributes map<string, string>"
+#: Points of a batch, about.
+VERTICES = 200_000
 CODECS = ("utf-8", "cp949", "euc-kr", "latin1")
 
 
@@ -40,35 +43,55 @@ def records(content: bytes):
         at += 8 + size
 
 
-def parts(body: bytes) -> list[list[tuple[float, float]]]:
+def vertices(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """part, seq, x, y of a record's points."""
     if struct.unpack("<i", body[:4])[0] == 0:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
     n, points = struct.unpack("<2i", body[36:44])
-    first = [*struct.unpack(f"<{n}i", body[44 : 44 + 4 * n]), points]
-    values = struct.unpack(f"<{2 * points}d", body[44 + 4 * n : 44 + 4 * n + 16 * points])
-    pairs = list(zip(values[::2], values[1::2]))
-    return [pairs[a:b] for a, b in zip(first, first[1:])]
+    first = np.frombuffer(body, "<i4", n, 44).astype(np.int64)
+    xy = np.frombuffer(body, "<f8", 2 * points, 44 + 4 * n).reshape(-1, 2)
+    sizes = np.maximum(np.diff(np.append(first, points)), 0)
+    seq = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.repeat(first, sizes) + seq
+    return np.repeat(np.arange(n, dtype=np.int32), sizes), seq.astype(np.int32), xy[at, 0], xy[at, 1]
 
 
 def read_points(files: DataFrame, kinds=LINES) -> DataFrame:
     """POINTS of shapefiles (path, content); a record without parts gives one row with null part."""
 
-    def parse(batches):
+    def of_file(path: str, content: bytes):
+        """Batches of about VERTICES rows."""
         import pyarrow as pa
 
-        names = [c.split()[0] for c in POINTS.split(", ")]
+        kind, box = header(content)
+        if kind not in kinds:
+            raise ValueError(f"{path}: shape type {kind} isn't supported")
+
+        def batch(held):
+            sizes = [len(v[0]) for _, v in held]
+            bare = [not n for n in sizes]  # records without points
+            number = np.repeat(np.array([i for i, _ in held], np.int32), np.maximum(sizes, 1))
+            empty = np.repeat(bare, np.maximum(sizes, 1))
+            own = []
+            for k, t in enumerate((np.int32, np.int32, np.float64, np.float64)):
+                own.append(pa.array(np.concatenate([np.zeros(1, t) if none else v[k] for (_, v), none in zip(held, bare)]), mask=empty))
+            same = [pa.repeat(pa.scalar(v, t), len(number)) for v, t in ((path, pa.string()), (kind, pa.int32()), *[(b, pa.float64()) for b in box])]
+            return pa.RecordBatch.from_arrays([*same, pa.array(number), *own], [c.split()[0] for c in POINTS.split(", ")])
+
+        held, size = [], 0
+        for i, body in enumerate(records(content)):
+            held.append((i, vertices(body)))
+            size += max(1, len(held[-1][1][0]))
+            if size >= VERTICES:
+                yield batch(held)
+                held, size = [], 0
+        if held:
+            yield batch(held)
+
+    def parse(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                kind, box = header(content)
-                if kind not in kinds:
-                    raise ValueError(f"{path}: shape type {kind} isn't supported")
-                rows = []
-                for i, body in enumerate(records(content)):
-                    own = [(path, kind, *box, i, p, s, x, y) for p, part in enumerate(parts(body)) for s, (x, y) in enumerate(part)]
-                    rows += own or [(path, kind, *box, i, None, None, None, None)]
-                if rows:
-                    kinds_ = [pa.string(), pa.int32(), *[pa.float64()] * 4, *[pa.int32()] * 3, *[pa.float64()] * 2]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds_)], names)
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                yield from of_file(path.as_py(), content.as_py())
 
     return files.mapInArrow(parse, POINTS)
 
@@ -120,7 +143,7 @@ def layer(points: DataFrame, fields: DataFrame | None = None) -> DataFrame:
         return points.where("part IS NOT NULL").withColumn("attributes", F.create_map().cast("map<string,string>"))
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     rows = fields.select(stem.alias("_stem"), "record", "deleted", "attributes")
-    joined = points.where("part IS NOT NULL").withColumn("_stem", F.regexp_replace("path", r"\.[^./]*$", "")).join(rows, ["_stem", "record"], "left")
+    joined = points.where("part IS NOT NULL").withColumn("_stem", F.regexp_replace("path", r"\.[^./]*$", "")).join(rows.hint("merge"), ["_stem", "record"], "left")
     return joined.where(~F.coalesce("deleted", F.lit(False))).drop("_stem", "deleted")
 
 
