@@ -4,8 +4,8 @@
     spark.read.format("shapefile").option("columns", "record,part,seq,x,y").load("/shared/pipes.shp")
 
 Where a file's index (.shx) lies beside it, the file is split into ranges of records with about `bytes` bytes each (an
-option, 32 MB by default); a task reads its part of the index and its own stretch of the file. Without an index a file is
-one task. Comparisons with record, kind, path and the record's own box (rxmin, rymin, rxmax, rymax) are used where Spark
+option, 32 MB by default; more where all files would make over STRETCHES ranges); a task reads its part of the index and its
+own stretch of the file. Without an index a file is one task. Comparisons with record, kind, path and the record's own box (rxmin, rymin, rxmax, rymax) are used where Spark
 pushes filters to Python sources (`register` turns spark.sql.python.filterPushdown.enabled on for the session, which Spark demands of such sources): record narrows the ranges, the box is tested
 on a record's header before its vertices are read. Spark tests all filters again.
 
@@ -32,6 +32,8 @@ from catchment.sources.shapefile import LINES, POLYGONS, header
 FIELDS = {"path": "string", "kind": "int", "record": "long", "rxmin": "double", "rymin": "double", "rxmax": "double", "rymax": "double", "part": "int", "seq": "int", "x": "double", "y": "double"}
 ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 BYTES = 32 << 20
+#: Ranges of a scan, about: the start of a task takes longer than the reading of some kilobytes.
+STRETCHES = 1_000
 #: Vertices of a batch, about.
 VERTICES = 200_000
 COMPARED = (EqualTo, LessThan, LessThanOrEqual, GreaterThan, GreaterThanOrEqual)
@@ -111,7 +113,7 @@ class ShapeReader(DataSourceReader):
         return low, high
 
     def partitions(self) -> list[Stretch]:
-        out = []
+        out, indexed = [], []
         for path in listed(self.path):
             if not self.passes(path=path):
                 continue
@@ -126,8 +128,10 @@ class ShapeReader(DataSourceReader):
                 out.append(Stretch(path, 0, None))
                 continue
             count = (index.size - 100) // 8
-            low, high = self.limits(count)
-            each = max(1, int(count * self.bytes / max(1, info.size)))
+            indexed.append((path, info.size / max(1, count), *self.limits(count)))
+        share = max(self.bytes, sum(size * max(0, high - low) for _, size, low, high in indexed) / STRETCHES)
+        for path, size, low, high in indexed:
+            each = max(1, int(share / max(1, size)))
             out += [Stretch(path, a, min(high, a + each)) for a in range(low, high, each)]
         return out or [Stretch("", 0, 0)]
 
