@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from catchment.operators import evaluate, imaging, raster, sections
+from catchment.operators import evaluate, imaging, raster, sections, spatial
 from catchment.sources import shape_source, shapefile, writers
 
 
@@ -106,3 +106,26 @@ def test_scans_of_shapefiles_have_a_bounded_number_of_ranges(tmp_path):
     reader = shape_source.ShapeReader({"path": str(tmp_path), "bytes": "72"}, ["record"])
     parts = reader.partitions()
     assert len(parts) <= 2 * shape_source.STRETCHES and [p.first for p in parts[1:]] == [p.last for p in parts[:-1]] and (parts[0].first, parts[-1].last) == (0, 5_000)
+
+
+def test_nearest_nodes_of_dense_places(spark):
+    rng = random.Random(8)
+    spot = lambda: (rng.choice([rng.uniform(-20, 20), float(rng.randrange(-20, 20))]), rng.uniform(-20, 20))
+    nodes = [(k, *spot()) for k in range(300)] + [(300 + k, 70.0, 3.0 * k) for k in range(9)]
+    nodes += [(1000 + k, *nodes[k][1:]) for k in range(50)]
+    targets = [(k, *spot()) for k in range(150)] + [(500 + k, 60.0 + k, 2.5 * k) for k in range(20)] + [(900, *nodes[7][1:])]
+    out = spatial.nearest_nodes(spark.createDataFrame(targets, "target_id long, x double, y double"), spark.createDataFrame(nodes, "node_id long, x double, y double"), 5.0, 9.0)
+    want = {}
+    for t, x, y in targets:
+        near = min(((a - x) ** 2 + (b - y) ** 2, n) for n, a, b in nodes)
+        if near[0] <= 81:
+            want[t] = near[1]
+    assert {x.target_id: x.node_id for x in out.collect()} == want and out.count() == len(want)
+    # many targets and nodes at the same few places: pairs are those of places
+    many = spark.range(20_000).select(F.col("id").alias("target_id"), (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    dense = many.withColumnRenamed("target_id", "node_id")
+    start = time.perf_counter()
+    assert spatial.nearest_nodes(many, dense, 5.0, 9.0).where("node_id = target_id % 3").count() == 20_000
+    assert time.perf_counter() - start < 60  # 400 million pairs otherwise
+    empty = spatial.nearest_nodes(many, dense.where("false"), 5.0, 9.0)
+    assert empty.count() == 0 and empty.columns == ["target_id", "node_id"]
