@@ -129,3 +129,19 @@ def test_nearest_nodes_of_dense_places(spark):
     assert time.perf_counter() - start < 60  # 400 million pairs otherwise
     empty = spatial.nearest_nodes(many, dense.where("false"), 5.0, 9.0)
     assert empty.count() == 0 and empty.columns == ["target_id", "node_id"]
+
+
+def test_boxes_and_clipped_rows_are_not_broadcast(spark):
+    spark.range(50).write.mode("overwrite").saveAsTable("few_boxes")
+    k = F.col("id").cast("double")
+    boxes = spark.table("few_boxes").select("id", k.alias("xmin"), (k % 7).alias("ymin"), (k + 9).alias("xmax"), (k % 7 + 9).alias("ymax"))
+    joined = spatial.box_join(boxes, boxes.withColumnRenamed("id", "other"), "id", "other")
+    assert "BroadcastHashJoin" not in plan_of(joined)
+    assert joined.count() == sum(abs(a - b) <= 9 for a in range(50) for b in range(50))
+    segments = spark.table("few_boxes").select(F.lit("g").alias("grid_id"), F.col("id").alias("feature_id"), F.lit(0).alias("part"), F.lit(0).alias("seg"), k.alias("x0"), F.lit(0.0).alias("y0"), k.alias("x1"), F.lit(9.0).alias("y1"))
+    ring = [(10.0, 2.0), (30.0, 2.0), (30.0, 5.0), (10.0, 5.0)]
+    rings = spark.createDataFrame([(1, 0, e, *ring[e], *ring[(e + 1) % 4]) for e in range(4)], "feature_id int, ring int, edge int, x0 double, y0 double, x1 double, y1 double")
+    pieces = spatial.clip_segments(segments, rings)
+    plan = plan_of(pieces)
+    assert "REPARTITION_BY_COL" in plan and "BuildLeft" not in plan
+    assert {(x.feature_id, x.y0, x.y1) for x in pieces.collect()} == {(f, 2.0, 5.0) for f in range(10, 31)}
