@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catchment.functions import directions, geometry
+from catchment.functions.materialise import cut
 
 CELL = ["grid_id", "r", "c"]
+#: Parts that the heads of each grid are dealt into.
+DEALS = 64
 
 
 def oriented(segments: DataFrame) -> DataFrame:
@@ -104,8 +107,14 @@ def segment_votes(segments: DataFrame, rows: int, cols, box) -> DataFrame:
 
 
 def argmax(votes: DataFrame) -> DataFrame:
-    """cells: the code with most weight; the lowest code wins ties."""
-    return votes.where("w > 0").groupBy(*CELL).agg(F.max_by("d", F.struct("w", -F.col("d"))).alias("d"))
+    """cells: the code (1 to 4) with most weight; the lowest code wins ties.
+
+    Each code's weight is a number of its own: an aggregate of structs would sort all votes, this one hashes cells.
+    """
+    best = votes.where("w > 0 AND d BETWEEN 1 AND 4").groupBy(*CELL).agg(*[F.max(F.when(F.col("d") == k, F.col("w"))).alias(f"_{k}") for k in (1, 2, 3, 4)])
+    most = F.greatest("_1", "_2", "_3", "_4")
+    code = F.when(F.col("_1") == most, 1).when(F.col("_2") == most, 2).when(F.col("_3") == most, 3).otherwise(4)
+    return best.select(*CELL, code.cast(votes.schema["d"].dataType).alias("d"))
 
 
 def confidence(votes: DataFrame) -> DataFrame:
@@ -223,7 +232,21 @@ def guided_votes(cells: DataFrame, heads: DataFrame, grids: DataFrame) -> DataFr
     """
     unit = F.hypot("dx", "dy")
     h = heads.where(unit > 1e-6).select("grid_id", "head_id", "x", "y", (F.col("dx") / unit).alias("ux"), (F.col("dy") / unit).alias("uy"), "score")
-    rows = cells.join(grids, "grid_id").join(h, "grid_id")
+    h = cut(h.withColumn("deal", F.pmod(F.xxhash64("head_id", "x", "y"), F.lit(DEALS)).cast("int")))  # a grid's heads are dealt out: few grids may have all
+    own = cut(cells.join(grids, "grid_id").join(h.select("grid_id").distinct(), "grid_id", "left_semi"))
+    fits = _fits(own, h)
+    best = cut(fits.groupBy(*CELL).agg(F.max("fit").alias("best")).where("best >= 0.03"))
+    # the same expression again, for the heads that fit best: aggregates of numbers hash cells, one of structs would sort all pairs; no filter, which would compute it piece by piece
+    first = F.when(F.col("fit") == F.col("best"), F.col("head_id"))
+    found = _fits(own.join(best, CELL), h).groupBy(*CELL).agg(F.min_by("d", first).alias("d"), F.max("best").alias("best"))
+    return found.where("d > 0").select(*CELL, "d", (0.7 + 2.2 * F.col("best")).alias("w"))
+
+
+def _fits(cells: DataFrame, h: DataFrame) -> DataFrame:
+    """cells with d and fit for each head of their grid that fits. The tables are small, their pairs many: as many tasks as parts."""
+    key = ["grid_id", "deal"]
+    dealt = cells.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))).repartition(DEALS, *key)
+    rows = dealt.join(h.repartition(DEALS, *key).hint("shuffle_hash"), key)
     cx, cy = (F.col("c") + 0.5) * F.col("width") / F.col("cols"), (F.col("r") + 0.5) * F.col("height") / F.col("rows")
     scale = F.greatest(F.lit(1.0), F.hypot(F.col("height") / F.col("rows"), F.col("width") / F.col("cols")))
     rows = rows.withColumns({"tx": F.col("x") - cx, "ty": F.col("y") - cy, "size": scale})
@@ -238,8 +261,7 @@ def guided_votes(cells: DataFrame, heads: DataFrame, grids: DataFrame) -> DataFr
     side = lateral / (1.8 * F.col("size"))
     score = (0.30 + 0.70 * F.greatest("score", F.lit(0.0))) * aligned * F.exp(-side * side) * front * F.when(known, 0.25 + 0.75 * agree).otherwise(0.45) * F.when(F.col("path") == 1, 1.10).otherwise(1.0)
     code = directions.dominant_code(F.col("ty"), F.col("tx"))
-    best = rows.where(good).withColumns({"fit": score, "d": code}).groupBy(*CELL).agg(F.max_by(F.struct("d", "fit"), F.struct("fit", -F.col("head_id"))).alias("b"))
-    return best.where("b.fit >= 0.03 AND b.d > 0").select(*CELL, "b.d", (0.7 + 2.2 * F.col("b.fit")).alias("w"))
+    return rows.where(good).withColumns({"fit": score, "d": code})
 
 
 def object_counts(steps: DataFrame) -> DataFrame:

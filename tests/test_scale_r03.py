@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from catchment.operators import evaluate, imaging, raster, sections, spatial
+from catchment.operators import evaluate, imaging, raster, sections, spatial, workspace
 from catchment.sources import shape_source, shapefile, writers
 
 
@@ -145,3 +145,26 @@ def test_boxes_and_clipped_rows_are_not_broadcast(spark):
     plan = plan_of(pieces)
     assert "REPARTITION_BY_COL" in plan and "BuildLeft" not in plan
     assert {(x.feature_id, x.y0, x.y1) for x in pieces.collect()} == {(f, 2.0, 5.0) for f in range(10, 31)}
+
+
+def test_best_codes_and_heads_hash_cells(spark):
+    rng = random.Random(4)
+    votes = [("g", r, 0, d, rng.randrange(4)) for r in range(60) for d in (1, 2, 3, 4)]
+    got = raster.argmax(spark.createDataFrame(votes, "grid_id string, r int, c int, d int, w long"))
+    assert "SortAggregate" not in plan_of(got)
+    best = {}
+    for _, r, _, d, w in votes:
+        if w > 0 and (r not in best or w > best[r][0]):
+            best[r] = (w, d)
+    assert {x.r: x.d for x in got.collect()} == {r: d for r, (_, d) in best.items()}
+    heads = spark.createDataFrame([("g", k, rng.uniform(0, 99), rng.uniform(0, 99), 1.0, 0.0, 0.5) for k in range(40)], "grid_id string, head_id long, x double, y double, dx double, dy double, score double")
+    cells = spark.createDataFrame([("g", r, c, 1, 1.0, 0.0, 0.5) for r in range(5) for c in range(5)], "grid_id string, r int, c int, path int, axis_x double, axis_y double, axis_conf double")
+    grids = spark.createDataFrame([("g", 5, 5, 100, 100)], "grid_id string, rows int, cols int, width int, height int")
+    out = raster.guided_votes(cells, heads.union(heads), grids)  # equal fits: one vote a cell
+    assert "SortAggregate" not in plan_of(out) and out.count() == out.select("grid_id", "r", "c").distinct().count() > 0
+
+
+def test_cells_of_polygons_spread(spark):
+    corners = spark.createDataFrame([("g", k, x, y) for k, (x, y) in enumerate([(1.0, 1.0), (9.0, 1.0), (9.0, 9.0)])], "grid_id string, k int, x double, y double")
+    grids = spark.createDataFrame([("g", 40, 40, 40.0, 40.0)], "grid_id string, rows int, cols int, width double, height double")
+    assert "REPARTITION_BY_NUM" in plan_of(workspace.polygon_cells(corners, grids))
