@@ -15,13 +15,18 @@ from catchment.operators import graph, masks, spatial
 CELL = ["grid_id", "r", "c"]
 
 
+#: Tasks that the cells of few small rows spread over.
+SPREAD = 200
+
+
 def polygon_cells(corners: DataFrame, grids: DataFrame) -> DataFrame:
     """Cells whose centre lies in a drawn polygon: corners grid_id, k, x, y in image pixels (rounded first, as drawn); grids grid_id, rows, cols, width, height."""
     ring = corners.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("k", F.rint("x").alias("x"), F.rint("y").alias("y")))).alias("p"))
     ring = ring.where("size(p) >= 3").select("grid_id", F.posexplode("p").alias("i", "a"), "p")
     edges = ring.select("grid_id", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.get("p", (F.col("i") + 1) % F.size("p")).alias("b"))
     edges = edges.select("grid_id", "x0", "y0", F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
-    cells = grids.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    rows = grids.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).repartition(SPREAD, "grid_id", "r")  # a grid's row is small, its cells and their tests are not
+    cells = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
     x, y = (F.col("c") + 0.5) * F.col("width") / F.col("cols"), (F.col("r") + 0.5) * F.col("height") / F.col("rows")
     near = cells.select(*CELL, x.alias("x"), y.alias("y")).join(edges, "grid_id")  # a hand-drawn ring has few corners
     point = [F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")]
