@@ -11,9 +11,9 @@ CELL = ["grid_id", "r", "c"]
 
 
 def intersect(*masks: DataFrame | None) -> DataFrame | None:
-    """Cells of all given masks; None if none is given."""
+    """Cells of all given masks; None if none is given. Masks made of grids' rows are larger than their estimates: none is broadcast."""
     given = [m.select(*CELL) for m in masks if m is not None]
-    return reduce(lambda a, b: a.join(b, CELL, "left_semi"), given).distinct() if given else None
+    return reduce(lambda a, b: a.join(b.hint("merge"), CELL, "left_semi"), given).distinct() if given else None
 
 
 def union(*masks: DataFrame) -> DataFrame:

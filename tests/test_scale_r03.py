@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from catchment.operators import evaluate, imaging, raster, sections, spatial, workspace
+from catchment.operators import evaluate, imaging, masks, raster, sections, spatial, workspace
 from catchment.sources import shape_source, shapefile, writers
 
 
@@ -168,3 +168,9 @@ def test_cells_of_polygons_spread(spark):
     corners = spark.createDataFrame([("g", k, x, y) for k, (x, y) in enumerate([(1.0, 1.0), (9.0, 1.0), (9.0, 9.0)])], "grid_id string, k int, x double, y double")
     grids = spark.createDataFrame([("g", 40, 40, 40.0, 40.0)], "grid_id string, rows int, cols int, width double, height double")
     assert "REPARTITION_BY_NUM" in plan_of(workspace.polygon_cells(corners, grids))
+
+
+def test_masks_are_not_broadcast(spark):
+    one = spark.createDataFrame([("g", k, 0) for k in range(9)], "grid_id string, r int, c int")
+    both = masks.intersect(one, one.where("r > 3"))
+    assert "Broadcast" not in plan_of(both) and {x.r for x in both.collect()} == {4, 5, 6, 7, 8}
