@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from catchment.functions.directions import NEIGHBOURS, STEPS
 
 MAX_CELLS = 2_000_000
+TASKS = 200
 CODE = {step: code for code, step in STEPS.items()}
 EDITED = "grid_id string, r int, c int, d int, state string"
 
@@ -163,7 +164,8 @@ def correct(cells: DataFrame, outlets: DataFrame, heads: DataFrame | None = None
         state = np.where(~reached[at], "unresolved", np.where(grid.d[at] != before[at], "edited", "kept"))
         return pd.DataFrame({"grid_id": key[0], "r": at[0], "c": at[1], "d": grid.d[at], "state": state})
 
-    return layers.groupBy("grid_id").applyInPandas(run, EDITED)
+    # a repair is long for its few bytes: by their size, Spark would put most grids into a few tasks
+    return layers.repartition(TASKS, "grid_id").groupBy("grid_id").applyInPandas(run, EDITED)
 
 
 def _mask(frame, kind, shape):

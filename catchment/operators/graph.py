@@ -14,8 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catchment.functions import directions
-from catchment.functions.materialise import cut
+from catchment.functions import directions, materialise
 from catchment.operators import kernels
 
 CELL = ["grid_id", "r", "c"]
@@ -23,6 +22,11 @@ SHIFT = 1 << 31
 SMALL = 1_000_000
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written and read back. It meets others in sort-merge joins: files of cells are so much smaller than their rows that Spark would broadcast millions."""
+    return materialise.cut(df).hint("merge")
+
+
 def on_grids(cells: DataFrame, one, many, columns: str) -> DataFrame:
     """one(dict of arrays of a grid's columns) -> arrays for `columns` where a grid has at most SMALL rows, many(rows) -> DataFrame for all others.
 

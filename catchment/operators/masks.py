@@ -21,11 +21,11 @@ def union(*masks: DataFrame) -> DataFrame:
 
 
 def outside(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    return cells.join(mask.select(*CELL), CELL, "left_anti")
+    return cells.join(mask.select(*CELL).hint("merge"), CELL, "left_anti")
 
 
 def within(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    return cells.join(mask.select(*CELL), CELL, "left_semi")
+    return cells.join(mask.select(*CELL).hint("merge"), CELL, "left_semi")
 
 
 def zero_outside(layers: DataFrame, mask: DataFrame, columns: list[str]) -> DataFrame:

@@ -83,11 +83,13 @@ def assist(cells: DataFrame, filled: DataFrame, basin: DataFrame, outlets: DataF
     The order matters: filling after the repair lets pipes near an outlet keep their catchment. filled: cells of the earlier fill.
     outlets: grid_id, r, c, label. Returns grid_id, r, c, d, origin (kept, edited or filled).
     """
-    pipes = cells.join(filled.select(*CELL), CELL, "left_anti")
+    outlets = graph.cut(outlets)
+    pipes = graph.cut(masks.outside(cells, filled))
     labels = graph.partition_by_outlet(pipes.select(*CELL), outlets)
-    repaired = correction.correct_by_outlet(pipes, labels, outlets)
-    good = masks.within(repaired.where("state <> 'unresolved'"), graph.reaching(repaired.where("d > 0").select(*CELL, "d"), outlets))
-    full = graph.fill_basin(good.where("d > 0").select(*CELL, "d"), masks.union(basin, good))
+    # each step is written once, or the next ones would run the repair again for each time that they read it
+    repaired = graph.cut(correction.correct_by_outlet(pipes, labels, outlets))
+    good = graph.cut(masks.within(repaired.where("state <> 'unresolved'"), graph.reaching(repaired.where("d > 0").select(*CELL, "d"), outlets)))
+    full = graph.cut(graph.fill_basin(good.where("d > 0").select(*CELL, "d"), masks.union(basin, good)))
     kept = masks.within(full, graph.reaching(full.select(*CELL, "d"), outlets))
     return kept.join(good.select(*CELL, "state"), CELL, "left").select(*CELL, "d", F.coalesce("state", F.lit("filled")).alias("origin"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catchment.operators import reports
+from catchment.operators.graph import cut
 from catchment.plans import fixtures as fx
 from catchment.plans.grid_queries import _full, _outlets
 
@@ -71,7 +72,7 @@ def coarse_shapes(spark, sf_dir):
 @query()
 def assisted_workspace(spark, sf_dir):
     """A filled workspace repaired and filled again (sequential plans, so no SQL)."""
-    cells = fx.cells(spark, sf_dir, 4, keep="r % 3 = 0 OR c % 5 = 0")
+    cells = cut(fx.cells(spark, sf_dir, 4, keep="r % 3 = 0 OR c % 5 = 0"))
     filled = cells.where("r % 3 <> 0 AND c % 10 = 0")
     stops = _outlets(cells).withColumn("label", F.col("r") * 100 + F.col("c"))
     return reports.assist(cells, filled, _full(cells).where("r BETWEEN 2 AND 37 AND c BETWEEN 2 AND 47"), stops)
