@@ -352,7 +352,24 @@ def degrees(cells: DataFrame) -> DataFrame:
 
 
 def run_lengths(cells: DataFrame, most: int = 6) -> DataFrame:
-    """grid_id, r, c, run: steps that the flow keeps to active cells, `most` at the most (joins of 1, 2, 4 ... steps)."""
+    """grid_id, r, c, run: steps that the flow keeps to active cells, `most` at the most."""
+
+    def one(g):
+        import pyarrow as pa
+
+        order, after = kernels.links(g["r"], g["c"], g["d"])
+        at, run = np.arange(len(after)), np.zeros(len(after), np.int32)
+        for _ in range(most):
+            on = after[at] >= 0
+            run += on
+            at = np.where(on, after[at], at)
+        return pa.array(g["r"][order], pa.int32()), pa.array(g["c"][order], pa.int32()), run
+
+    return on_grids(cells.select(*CELL, "d"), one, lambda rows: run_lengths_large(rows, most), "r int, c int, run int")
+
+
+def run_lengths_large(cells: DataFrame, most: int) -> DataFrame:
+    """The same as tables, a join a step."""
     jump = cut(edges(cells))
     run = jump.select("grid_id", "id", F.col("next").alias("at"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("run"))
     for _ in range(most - 1):

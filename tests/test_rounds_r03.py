@@ -41,3 +41,27 @@ def test_written_cells_and_masks_are_not_broadcast(spark):
     for done, keep in ((masks.within(cells, few), lambda c: c > 3), (masks.outside(cells, few), lambda c: c <= 3)):
         assert "BroadcastHashJoin" not in plan_of(done)
         assert sorted(tuple(x) for x in done.collect()) == sorted(x for x in own if keep(x[2]))
+
+
+def follow(own, start, most):
+    """The cells of a flow, `most` steps at the most."""
+    codes, at, path = {x[:3]: x[3] for x in own}, start, [start]
+    for _ in range(most):
+        dr, dc = {1: (0, 1), 2: (1, 0), 3: (0, -1), 4: (-1, 0)}[codes[at]]
+        at = (at[0], at[1] + dr, at[2] + dc)
+        if at not in codes:
+            break
+        path.append(at)
+    return path
+
+
+def test_run_lengths_take_no_joins(spark, monkeypatch):
+    cells, own = random_cells(spark)
+    want = {x[:3]: len(follow(own, x[:3], 6)) - 1 for x in own}
+    out = graph.run_lengths(cells)
+    assert "Join" not in plan_of(out)
+    assert {(x.grid_id, x.r, x.c): x.run for x in out.collect()} == want and out.count() == len(own)
+    monkeypatch.setattr(graph, "SMALL", 0)
+    large = graph.run_lengths(cells)
+    assert large.schema == out.schema and "BroadcastHashJoin" not in plan_of(large)
+    assert {(x.grid_id, x.r, x.c): x.run for x in large.collect()} == want
