@@ -567,12 +567,30 @@ def shortest_path(mask: DataFrame, ends: DataFrame) -> DataFrame:
     """grid_id, k, r, c: a shortest four-connected path inside the mask from (r0, c0) to (r1, c1) of each grid, ties by the order in which a
     breadth-first search from the start takes cells; only the start where there is none."""
     start = ends.select("grid_id", F.col("r0").alias("r"), F.col("c0").alias("c"), F.lit(0).alias("label"))
-    found = cut(spread(start, mask.select(*CELL).unionByName(start.select(*CELL)).distinct()))
-    goal = ends.select("grid_id", F.col("r1").alias("r"), F.col("c1").alias("c")).join(found, CELL, "left_semi")
-    # d leads back to the start: the path is the flow from the goal
-    from_goal = trace_from(found.select(*CELL, "d"), goal)
-    lone = start.select(*CELL).join(goal.select("grid_id"), "grid_id", "left_anti").select(*CELL, F.lit(0).alias("back"))
-    steps = from_goal.unionByName(lone)
+    found = spread(start, mask.select(*CELL).unionByName(start.select(*CELL)).distinct())
+    goal = ends.select("grid_id", F.col("r1").alias("r"), F.col("c1").alias("c"), F.lit(True).alias("goal"))
+    found = found.join(goal.hint("merge"), CELL, "left").select(*CELL, "d", F.coalesce("goal", F.lit(False)).alias("goal"))
+
+    def one(g):
+        import pyarrow as pa
+
+        # d leads back to the start: the path is the flow from the goal, or the start alone
+        order, after = kernels.links(g["r"], g["c"], g["d"])
+        last = np.flatnonzero(g["goal"][order])
+        path = [int(last[0])] if len(last) else np.flatnonzero(g["d"][order] == 0)[:1].tolist()
+        while len(last) and after[path[-1]] >= 0:
+            path.append(int(after[path[-1]]))
+        at = order[np.array(path[::-1], np.int64)]
+        return tuple(pa.array(x, pa.int32()) for x in (np.arange(len(at)), g["r"][at], g["c"][at]))
+
+    return on_grids(found, one, path_large, "k int, r int, c int")
+
+
+def path_large(found: DataFrame) -> DataFrame:
+    """The same as tables; found has a column goal."""
+    goal = found.where("goal").select(*CELL)
+    lone = found.where("d = 0").join(goal.select("grid_id"), "grid_id", "left_anti").select(*CELL, F.lit(0).alias("back"))
+    steps = cut(trace_from(found.select(*CELL, "d"), goal).unionByName(lone))
     last = steps.groupBy("grid_id").agg(F.max("back").alias("last"))
     return steps.join(last, "grid_id").select("grid_id", (F.col("last") - F.col("back")).alias("k"), "r", "c")
 

@@ -111,8 +111,9 @@ def removal_order(spark, sf_dir):
 @query()
 def component_path(spark, sf_dir):
     """A shortest path through the cells of one direction and those beside (ties by search order, so no SQL)."""
-    cells = fx.cells(spark, sf_dir, 2, keep="d = 1 OR r % 5 = 0")
-    ends = cells.groupBy("grid_id").agg(F.min(F.struct("r", "c")).alias("a"), F.max(F.struct("r", "c")).alias("b")).select("grid_id", F.col("a.r").alias("r0"), F.col("a.c").alias("c0"), F.col("b.r").alias("r1"), F.col("b.c").alias("c1"))
+    cells = graph.cut(fx.cells(spark, sf_dir, 2, keep="d = 1 OR r % 5 = 0"))
+    ends = cells.groupBy("grid_id").agg(F.min(graph.cell_id()).alias("a"), F.max(graph.cell_id()).alias("b"))
+    ends = ends.select("grid_id", graph.row_of("a").alias("r0"), graph.col_of("a").alias("c0"), graph.row_of("b").alias("r1"), graph.col_of("b").alias("c1"))
     return graph.shortest_path(cells, ends)
 
 

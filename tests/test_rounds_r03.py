@@ -65,3 +65,30 @@ def test_run_lengths_take_no_joins(spark, monkeypatch):
     large = graph.run_lengths(cells)
     assert large.schema == out.schema and "BroadcastHashJoin" not in plan_of(large)
     assert {(x.grid_id, x.r, x.c): x.run for x in large.collect()} == want
+
+
+def test_shortest_paths_take_no_rounds(spark, monkeypatch):
+    cells, own = random_cells(spark, grids=12, share=0.8)
+    mask, have = cells.select("grid_id", "r", "c"), {x[:3] for x in own}
+    ends = [(f"g{g}", 0, 0, 7, 8 - g % 2) for g in range(12)]
+    frame = spark.createDataFrame(ends, "grid_id string, r0 int, c0 int, r1 int, c1 int")
+    want = {}
+    for g, *se in ends:
+        start, goal, seen = (se[0], se[1]), (se[2], se[3]), {(se[0], se[1]): 0}
+        for at in (queue := [start]):
+            for to in ((at[0] - 1, at[1]), (at[0] + 1, at[1]), (at[0], at[1] - 1), (at[0], at[1] + 1)):
+                if (g, *to) in have and to not in seen:
+                    seen[to] = seen[at] + 1
+                    queue.append(to)
+        want[g] = seen.get(goal, 0) + 1
+    out = graph.shortest_path(mask, frame)
+    assert "Join" not in plan_of(out)
+    rows = {(x.grid_id, x.k): (x.r, x.c) for x in out.collect()}
+    for g, *se in ends:
+        path = [rows[g, k] for k in range(want[g])]
+        assert path[0] == (se[0], se[1]) and (want[g] == 1 or path[-1] == (se[2], se[3]))
+        assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 and (g, *b) in have for a, b in zip(path, path[1:]))
+    assert len(rows) == sum(want.values()) > 12 and any(n == 1 for n in want.values())
+    monkeypatch.setattr(graph, "SMALL", 0)
+    large = graph.shortest_path(mask, frame)
+    assert large.schema == out.schema and {(x.grid_id, x.k): (x.r, x.c) for x in large.collect()} == rows
