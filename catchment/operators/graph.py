@@ -384,10 +384,11 @@ def downhill(support: DataFrame, dist: DataFrame, cells: DataFrame) -> DataFrame
     to = step.select("*", (F.col("r") + F.col("n.dr")).alias("nr"), (F.col("c") + F.col("n.dc")).alias("nc"))
     near = dist.select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("dist").alias("near"))
     used = cells.select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.lit(0).alias("free"))
-    to = to.join(near, ["grid_id", "nr", "nc"]).join(used, ["grid_id", "nr", "nc"], "left").where("near < dist")
-    key = F.struct("near", F.when((F.col("near") == 0) | F.col("free").isNotNull(), 0).otherwise(1), "n.k")
-    code = directions.axis_code(F.col("n.dr"), F.col("n.dc"))
-    return to.groupBy(*CELL).agg(F.min_by(code, key).alias("d"))
+    to = to.join(near.hint("merge"), ["grid_id", "nr", "nc"]).join(used.hint("merge"), ["grid_id", "nr", "nc"], "left").where("near < dist")
+    # distance, then free, then the neighbour's place in order, as one number: hashed, where structs would be sorted
+    key = F.col("near").cast("long") * 8 + F.when((F.col("near") == 0) | F.col("free").isNotNull(), 0).otherwise(4) + F.col("n.k")
+    codes = F.array(*[directions.axis_code(F.lit(dr), F.lit(dc)) for dr, dc, _ in directions.NEIGHBOURS])
+    return to.groupBy(*CELL).agg(F.min(key).alias("key")).select(*CELL, F.get(codes, (F.col("key") % 4).cast("int")).alias("d"))
 
 
 def coarse(v: Column, src: int, dst: int) -> Column:
@@ -539,7 +540,7 @@ def guide_to_outlet(cells: DataFrame, support: DataFrame, outlets: DataFrame, fi
     empty = routes.join(cells.select(*CELL), CELL, "left_anti")
     if fillable is not None:
         empty = empty.join(fillable.select(*CELL).distinct(), CELL, "left_semi")
-    return downhill(empty, dist, cells).join(dist, CELL)
+    return downhill(cut(empty), dist, cells).join(dist, CELL)
 
 
 def progress(cells: DataFrame, outlets: DataFrame, most: int = 4) -> DataFrame:

@@ -87,7 +87,7 @@ near AS (SELECT e.grid_id, e.r, e.c, e.dist, code, k, b.dist AS next, CASE WHEN
 SELECT grid_id, r, c, CAST(code AS INT) AS d, CAST(dist AS INT) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY grid_id, r, c ORDER BY next, free, k) AS n FROM near) WHERE n = 1""")
 def guided_zeros(spark, sf_dir):
     """Empty support cells led downhill to the outlets."""
-    whole = fx.cells(spark, sf_dir, 4)
+    whole = graph.cut(fx.cells(spark, sf_dir, 4))
     return graph.guide_to_outlet(whole.where(GAPS), whole, _outlets(whole))
 
 

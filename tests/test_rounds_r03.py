@@ -92,3 +92,17 @@ def test_shortest_paths_take_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "SMALL", 0)
     large = graph.shortest_path(mask, frame)
     assert large.schema == out.schema and {(x.grid_id, x.k): (x.r, x.c) for x in large.collect()} == rows
+
+
+def test_guided_cells_hash_numbers(spark):
+    cells, own = random_cells(spark, share=0.5)
+    support = spark.createDataFrame([(f"g{g}", r, c) for g in range(3) for r in range(8) for c in range(9)], "grid_id string, r int, c int")
+    out = graph.guide_to_outlet(cells, support, outlets_of(spark))
+    assert "SortAggregate" not in plan_of(out) and "BroadcastHashJoin" not in plan_of(out)
+    used, dist = {x[:3] for x in own}, lambda r, c: min(abs(r - 4) + abs(c - k) for k in (2, 6))
+    want = {}
+    for g, r, c in ((f"g{g}", r, c) for g in range(3) for r in range(8) for c in range(9)):
+        near = [(dist(a, b), dist(a, b) > 0 and (g, a, b) not in used, k, code) for k, (a, b, code) in enumerate(((r - 1, c, 4), (r + 1, c, 2), (r, c - 1, 3), (r, c + 1, 1))) if 0 <= a < 8 and 0 <= b < 9 and dist(a, b) < dist(r, c)]
+        if (g, r, c) not in used and near:
+            want[g, r, c] = (min(near)[3], dist(r, c))
+    assert {(x.grid_id, x.r, x.c): (x.d, x.dist) for x in out.collect()} == want and out.count() == len(want)
