@@ -52,6 +52,7 @@ def densities(cells: DataFrame, value: str, grids: DataFrame) -> tuple[DataFrame
 def context_maps(cells: DataFrame, grids: DataFrame, steps: int = 6) -> DataFrame:
     """cells (grid_id, r, c, d, occ, head) with the maps of their surroundings: row and column densities of occupied cells and heads, share of the grid that
     the cell's component takes, share of `steps` that its flow goes on, neighbours and entering flows over the grid's largest."""
+    cells = graph.cut(cells)
     occupied = cells.where("occ = 1")
     named = graph.components(occupied)
     sizes = named.groupBy("grid_id", "component").count().join(grids, "grid_id")
@@ -60,7 +61,7 @@ def context_maps(cells: DataFrame, grids: DataFrame, steps: int = 6) -> DataFram
     degree = graph.degrees(occupied).select(*CELL, F.col("degree_share").alias("degree"), F.col("incoming_share").alias("incoming"))
     out = cells
     for more in (ratio, run, degree):
-        out = out.join(more, CELL, "left")
+        out = out.join(more.hint("merge"), CELL, "left")
     for value in ("occ", "head"):
         rows, cols = densities(cells, value, grids)
         out = out.join(rows, ["grid_id", "r"], "left").join(cols, ["grid_id", "c"], "left")
@@ -71,19 +72,47 @@ LOCAL = ("occ", "bw", "edges", "skeleton", "head", "conf")
 GLOBAL = ("component_ratio", "run", "degree", "incoming", "row_occ", "col_occ", "row_head", "col_head")
 
 
+#: Cells on a side of the tiles whose vectors one group makes.
+TILE = 64
+
+
 def feature_vectors(cells: DataFrame, grids: DataFrame, radius: int = 2) -> DataFrame:
-    """grid_id, r, c, x: for the (2 radius + 1)^2 cells around, row by row, four flags of the direction and LOCAL (0 outside of the grid); then place in the grid and GLOBAL."""
-    side = 2 * radius + 1
-    own = F.array(*[(F.col("d") == k).cast("double") for k in (1, 2, 3, 4)], *[F.col(v).cast("double") for v in LOCAL])
-    step = F.sequence(F.lit(-radius), F.lit(radius))
-    sent = cells.select(*CELL, own.alias("v")).withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step))
-    slot = (radius - F.col("dr")) * side + radius - F.col("dc")
-    sent = sent.select("grid_id", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), F.struct(slot.alias("slot"), "v").alias("s"))
-    around = sent.groupBy(*CELL).agg(F.map_from_entries(F.collect_list("s")).alias("m"))
-    none = F.array(*[F.lit(0.0)] * (4 + len(LOCAL)))
-    near = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.coalesce(F.try_element_at("m", k), none)))
+    """grid_id, r, c, x: for the (2 radius + 1)^2 cells around, row by row, four flags of the direction and LOCAL (0 outside of the grid); then place in the grid and GLOBAL.
+
+    A cell goes to its own tile and to those that it is near to, so a grid's size is no bound and a cell is shuffled once, not once for each cell around.
+    """
+    side, wide = 2 * radius + 1, TILE + 2 * radius
+    own = [*[(F.col("d") == k).cast("double").alias(f"_l{k}") for k in (1, 2, 3, 4)], *[F.col(v).cast("double").alias(f"_l{k}") for k, v in enumerate(LOCAL, 5)]]
     place = [F.col("r") / F.greatest(F.lit(1), F.col("rows") - 1), F.col("c") / F.greatest(F.lit(1), F.col("cols") - 1)]
-    return cells.join(around, CELL).join(grids.select("grid_id", "rows", "cols"), "grid_id").select(*CELL, F.concat(near, F.array(*place, *[F.col(v).cast("double") for v in GLOBAL])).alias("x"))
+    rest = [v.alias(f"_g{k}") for k, v in enumerate([*place, *[F.col(v).cast("double") for v in GLOBAL]])]
+    tiles = lambda v: F.sequence(F.floor((F.col(v) - radius) / TILE), F.floor((F.col(v) + radius) / TILE))
+    rows = cells.join(grids.select("grid_id", "rows", "cols"), "grid_id").select(*CELL, *own, *rest)
+    rows = rows.withColumn("tr", F.explode(tiles("r"))).withColumn("tc", F.explode(tiles("c")))
+    kinds = [cells.schema[v].dataType.simpleString() for v in CELL]
+
+    def tile(frame):
+        import numpy as np
+        import pyarrow as pa
+
+        number = lambda name: frame.column(name).to_numpy()
+        r, c = number("r").astype(np.int64), number("c").astype(np.int64)
+        top, left = frame.column("tr")[0].as_py() * TILE, frame.column("tc")[0].as_py() * TILE
+        mine = np.flatnonzero((r >= top) & (r < top + TILE) & (c >= left) & (c < left + TILE))
+        near, far = ([n for n in frame.column_names if n.startswith(k)] for k in ("_l", "_g"))
+
+        def vectors(of):
+            """of(column's name) of the cells around, row by row, and the cell's own."""
+            spots = np.zeros((wide, wide, len(near)), of(near[0]).dtype)
+            spots[r - top + radius, c - left + radius] = np.stack([of(n) for n in near], 1)
+            parts = [spots[r[mine] - top + a, c[mine] - left + b] for a in range(side) for b in range(side)]
+            return np.concatenate([*parts, np.stack([of(n)[mine] for n in far], 1)], 1)
+
+        x = vectors(number)
+        none = vectors(lambda n: frame.column(n).is_null().to_numpy()).ravel() if any(frame.column(n).null_count for n in near + far) else None
+        x = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float64(), mask=none))
+        return pa.Table.from_arrays([*(frame.column(n).take(pa.array(mine)).combine_chunks() for n in CELL), x], [*CELL, "x"])
+
+    return rows.groupBy("grid_id", "tr", "tc").applyInArrow(tile, ", ".join(f"{n} {k}" for n, k in zip(CELL, kinds)) + ", x array<double>")
 
 
 def checked_patch(patch: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catchment.operators import context
+from catchment.operators import context, graph
 from catchment.plans import fixtures as fx
 
 QUERIES: dict = {}
@@ -82,7 +82,7 @@ SELECT a.grid_id, a.r, a.c, 260 AS size, round(sum(((b.r - a.r + 2) * 5 + b.c -
 FROM w a JOIN w b ON a.grid_id = b.grid_id AND abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 JOIN f x ON x.grid_id = a.grid_id AND x.r = a.r AND x.c = a.c GROUP BY 1, 2, 3""")
 def feature_vectors(spark, sf_dir):
     """Vectors of 260 numbers a cell, as a sum weighted by place."""
-    cells = _inked(fx.cells(spark, sf_dir, 4))
+    cells = _inked(graph.cut(fx.cells(spark, sf_dir, 4)))
     x = context.feature_vectors(cells, _grids(cells))
     code = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     return x.select("grid_id", "r", "c", F.size("x").alias("size"), F.round(code, 4).alias("code"))
