@@ -162,22 +162,43 @@ def reaching(cells: DataFrame, outlets: DataFrame) -> DataFrame:
 
 def inspect(cells: DataFrame, grids: DataFrame, outlets: DataFrame) -> DataFrame:
     """One row a grid: counts of active, connected, unreachable cells, sources, junctions, outlets, cycle cells, dead ends, exits."""
-    stops = outlets.select(*CELL).distinct()
-    moving = target(cells.join(stops, CELL, "left_anti")).join(grids, "grid_id")
+    outlets = cut(outlets.select(*CELL).distinct())
+
+    def one(g):
+        order, after = kernels.links(g["r"], g["c"], g["d"], g["stop"])
+        sink, _ = kernels.ends(after)
+        stop, incoming = g["stop"][order], np.bincount(after[after >= 0], minlength=len(after))
+        step = np.array([(0, 0), *(directions.STEPS[k] for k in (1, 2, 3, 4))])[g["d"]]
+        to_r, to_c = g["r"] + step[:, 0], g["c"] + step[:, 1]
+        inside = ((to_r >= 0) & (to_c >= 0) & (to_r < g["rows"]) & (to_c < g["cols"]))[order]
+        moving = ~stop & (g["rows"] >= 0)[order]
+        found = len(order), (incoming == 0).sum(), (incoming >= 2).sum(), (moving & inside & (after < 0)).sum(), (moving & ~inside).sum(), len(kernels.loops(after)), ((sink >= 0) & stop[sink]).sum()
+        return tuple(np.array([n], np.int64) for n in found)
+
+    sizes = grids.select("grid_id", "rows", "cols")
+    rows = stopped(cells, outlets).join(sizes, "grid_id", "left").fillna(-1, ["rows", "cols"])  # -1: no size, so neither dead ends nor exits
+    names = ("active", "sources", "junctions", "dead_ends", "exits", "cycle_cells", "connected")
+    out = on_grids(rows, one, inspect_large, ", ".join(f"{n} long" for n in names))
+    out = out.join(outlets.groupBy("grid_id").agg(F.count("*").alias("outlets")), "grid_id", "left").fillna(0)
+    return out.withColumn("unreachable", F.col("active") - F.col("connected"))
+
+
+def inspect_large(rows: DataFrame) -> DataFrame:
+    """The same counts as tables; rows have stop, rows, cols."""
+    cells, stops = rows.select(*CELL, "d", "stop"), rows.where("stop")
+    moving = target(rows.where("NOT stop AND rows >= 0"))
     inside = (F.col("nr") >= 0) & (F.col("nc") >= 0) & (F.col("nr") < F.col("rows")) & (F.col("nc") < F.col("cols"))
     active = cells.select("grid_id", F.col("r").alias("nr"), F.col("c").alias("nc"), F.lit(True).alias("active"))
-    moved = moving.join(active, ["grid_id", "nr", "nc"], "left").select("*", inside.alias("inside"))
+    moved = cut(moving.join(active, ["grid_id", "nr", "nc"], "left").select("*", inside.alias("inside")))
     ends = moved.groupBy("grid_id").agg(F.count_if(F.col("inside") & F.col("active").isNull()).alias("dead_ends"), F.count_if(~F.col("inside")).alias("exits"))
-    indegree = moved.where("active").groupBy("grid_id", F.col("nr").alias("r"), F.col("nc").alias("c")).count()
-    degree = cells.join(indegree, CELL, "left").groupBy("grid_id").agg(F.count("*").alias("active"), F.count_if(F.col("count").isNull()).alias("sources"), F.count_if(F.col("count") >= 2).alias("junctions"))
-    traced = trace(cells, stops)
-    loops = cycle_cells(cells, stops).groupBy("grid_id").agg(F.count("*").alias("cycle_cells"))
-    connected = traced.join(stops.select("grid_id", cell_id().alias("sink")), ["grid_id", "sink"], "left_semi").groupBy("grid_id").agg(F.count("*").alias("connected"))
-    count = stops.groupBy("grid_id").agg(F.count("*").alias("outlets"))
+    links = edges(cells, stops).where("next IS NOT NULL").groupBy("grid_id", F.col("next").alias("id")).count()
+    degree = cells.select("grid_id", cell_id().alias("id")).join(links, ["grid_id", "id"], "left").groupBy("grid_id").agg(F.count("*").alias("active"), F.count_if(F.col("count").isNull()).alias("sources"), F.count_if(F.col("count") >= 2).alias("junctions"))
+    loops = cycles_large(cells).groupBy("grid_id").agg(F.count("*").alias("cycle_cells"))
+    connected = trace_large(cells).join(stops.select("grid_id", cell_id().alias("sink")), ["grid_id", "sink"], "left_semi").groupBy("grid_id").agg(F.count("*").alias("connected"))
     out = degree
-    for more in (ends, loops, connected, count):
+    for more in (ends, loops, connected):
         out = out.join(more, "grid_id", "left")
-    return out.fillna(0).withColumn("unreachable", F.col("active") - F.col("connected"))
+    return out.fillna(0)
 
 
 def rank_outlets(cells: DataFrame, limit: int = 12) -> DataFrame:
@@ -402,12 +423,8 @@ def coarsen(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int], outle
     A path's steps count for every start upstream of them, so a step's weight is the number of starts that pass it (by
     doubling), not a walk from each start. All of them share their end: flows that miss the outlets weigh `lost`.
     """
-    fine = target(stopped(cells, outlets).join(through_counts(cells, outlets), CELL))
-    if outlets is None:
-        fine = fine.withColumn("share", F.lit(1.0))
-    else:
-        good = reaching(cells, outlets).withColumn("good", F.lit(True))
-        fine = fine.join(good, CELL, "left").withColumn("share", F.when(F.col("good"), 1.0).otherwise(lost))
+    fine = target(cut(fates(cells, outlets)))
+    fine = fine.withColumn("share", F.lit(1.0) if outlets is None else F.when(F.col("good"), 1.0).otherwise(lost))
     spot = lambda r, c: [coarse(F.col(r), shape[0], to[0]).alias("r"), coarse(F.col(c), shape[1], to[1]).alias("c")]
     inside = (F.col("nr") >= 0) & (F.col("nc") >= 0) & (F.col("nr") < shape[0]) & (F.col("nc") < shape[1])
     moved = fine.where(inside & ~F.col("stop")).select("grid_id", *spot("r", "c"), coarse(F.col("nr"), shape[0], to[0]).alias("nr"), coarse(F.col("nc"), shape[1], to[1]).alias("nc"), (F.col("passing") * F.col("share")).alias("weight"))
@@ -417,7 +434,32 @@ def coarsen(cells: DataFrame, shape: tuple[int, int], to: tuple[int, int], outle
     votes = own.groupBy("grid_id", "r", "c", "d").agg(F.count("*").alias("w"))
     into = moves.select("grid_id", (F.col("r") + directions.row_step(F.col("d"))).alias("r"), (F.col("c") + directions.col_step(F.col("d"))).alias("c"), F.lit(0).alias("n"), F.col("t").alias("hits"))
     counts = own.select(*CELL, F.lit(1).alias("n"), F.col("share").alias("hits")).unionByName(into).groupBy(*CELL).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    return counts, votes, moves
+    return cut(counts), cut(votes), moves
+
+
+def fates(cells: DataFrame, outlets: DataFrame | None = None) -> DataFrame:
+    """grid_id, r, c, d, stop, passing (see through_counts), good: whether the cell's flow enters an outlet (see reaching), in one pass over a grid."""
+    rows = stopped(cells, outlets).withColumn("bare", F.lit(False))
+    if outlets is not None:  # an outlet that isn't active takes flow as a cell of its own
+        bare = outlets.select(*CELL).distinct().join(cells.select(*CELL).hint("merge"), CELL, "left_anti")
+        rows = rows.unionByName(bare.select(*CELL, F.lit(0).alias("d"), F.lit(True).alias("stop"), F.lit(True).alias("bare")))
+
+    def one(g):
+        order, after = kernels.links(g["r"], g["c"], g["d"], g["stop"])
+        sink, _ = kernels.ends(after)
+        stop, own = g["stop"][order], ~g["bare"][order]
+        cells = (g[v][order][own].astype(np.int32) for v in ("r", "c", "d"))
+        return *cells, stop[own], kernels.passing(after)[own], ((sink >= 0) & stop[sink])[own]
+
+    return on_grids(rows, one, fates_large, "r int, c int, d int, stop boolean, passing long, good boolean")
+
+
+def fates_large(rows: DataFrame) -> DataFrame:
+    """The same as tables."""
+    stops = rows.where("stop").select("grid_id", cell_id().alias("sink"))
+    good = trace_large(rows).join(stops, ["grid_id", "sink"], "left_semi").select("grid_id", row_of("id").alias("r"), col_of("id").alias("c"), F.lit(True).alias("good"))
+    own = rows.where("NOT bare").select(*CELL, F.col("d").cast("int").alias("d"), "stop")
+    return own.join(through_large(own), CELL).join(good, CELL, "left").fillna(False, ["good"])
 
 
 def through_counts(cells: DataFrame, outlets: DataFrame | None = None) -> DataFrame:

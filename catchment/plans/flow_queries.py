@@ -46,7 +46,7 @@ costs AS (SELECT *, CASE WHEN move <= 0 AND vote <= 0 THEN 3.0 ELSE least(3.0, g
 
 
 def _coarse(spark, sf_dir):
-    cells = fx.cells(spark, sf_dir, 4, keep=SPARSE)
+    cells = graph.cut(fx.cells(spark, sf_dir, 4, keep=SPARSE))
     outlets = cells.select("grid_id").distinct().select("grid_id", F.lit(AT[0]).alias("r"), F.lit(AT[1]).alias("c"))
     return graph.compress_to_outlet(cells, outlets, (fx.ROWS, fx.COLS), (10, 10))
 
