@@ -194,7 +194,7 @@ SELECT a.grid_id, active, sources, junctions, connected, active - connected AS u
        (SELECT count(*) FROM w WHERE w.grid_id = a.grid_id AND sr = w.r AND sc = w.c) AS cycle_cells, (SELECT count(*) FROM outlets o WHERE o.grid_id = a.grid_id) AS outlets
 FROM a""")
 def inspect_counts(spark, sf_dir):
-    cells = fx.cells(spark, sf_dir, 4)
+    cells = graph.cut(fx.cells(spark, sf_dir, 4))
     grids = cells.select("grid_id").distinct().select("grid_id", F.lit(fx.ROWS).alias("rows"), F.lit(fx.COLS).alias("cols"))
     return graph.inspect(cells, grids, _outlets(cells))
 
