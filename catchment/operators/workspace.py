@@ -79,7 +79,8 @@ def active_outlets(outlets: DataFrame, grids: DataFrame, requested: DataFrame |
 
 def sanitise(cells: DataFrame, outlets: DataFrame, lasso: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What an export keeps (cells inside the LASSO whose flow, after the cut, enters an outlet), and a row a grid: outside, unreachable."""
-    inside = masks.within(cells, lasso) if lasso is not None else cells
+    cells = graph.cut(cells)
+    inside = graph.cut(masks.within(cells, lasso)) if lasso is not None else cells
     kept = masks.within(inside, graph.reaching(inside, outlets))
     count = lambda df, name: df.groupBy("grid_id").agg(F.count("*").alias(name))
     n = count(cells, "all_n").join(count(inside, "in_n"), "grid_id", "left").join(count(kept, "kept_n"), "grid_id", "left").fillna(0)

@@ -79,14 +79,14 @@ kept AS (SELECT held.grid_id, held.r, held.c, held.d FROM held SEMI JOIN reach h
 @query(SANE + " SELECT * FROM kept")
 def sanitised_matrix(spark, sf_dir):
     """The cells that an export keeps."""
-    cells = fx.cells(spark, sf_dir, 4, keep="(r + c) % 9 > 0")
+    cells = graph.cut(fx.cells(spark, sf_dir, 4, keep="(r + c) % 9 > 0"))
     return workspace.sanitise(cells, _outlets(cells), _lasso(cells))[0].select("grid_id", "r", "c", "d")
 
 
 @query(SANE + """, n AS (SELECT g.grid_id, (SELECT count(*) FROM cells x WHERE x.grid_id = g.grid_id) AS a, (SELECT count(*) FROM held x WHERE x.grid_id = g.grid_id) AS b, (SELECT count(*) FROM kept x WHERE x.grid_id = g.grid_id) AS k FROM grids g)
 SELECT grid_id, a - b AS outside, b - k AS unreachable, printf('outside %d, unreachable %d', a - b, b - k) AS note FROM n""")
 def sanitised_counts(spark, sf_dir):
-    cells = fx.cells(spark, sf_dir, 4, keep="(r + c) % 9 > 0")
+    cells = graph.cut(fx.cells(spark, sf_dir, 4, keep="(r + c) % 9 > 0"))
     counts = workspace.sanitise(cells, _outlets(cells), _lasso(cells))[1]
     return counts.withColumn("note", workspace.sanitise_note(F.col("outside"), F.col("unreachable")))
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from catchment.operators import correction, graph, masks, reports
+from catchment.operators import context, correction, graph, masks, reports, workspace
 
 
 def plan_of(df):
@@ -12,6 +12,12 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def broadcast_cells(df):
+    """The broadcast joins by cell; those by grid, row or column hold few rows."""
+    keys = [line.split("BroadcastHashJoin [")[1].split("]")[0] for line in plan_of(df).splitlines() if "BroadcastHashJoin [" in line]
+    return [k for k in keys if "r#" in k and "c#" in k]
+
+
 def random_cells(spark, grids=3, rows=8, cols=9, seed=1, share=0.7):
     """A table of cells whose files are tiny, and the same cells as a list."""
     rng = random.Random(seed)
@@ -106,3 +112,66 @@ def test_guided_cells_hash_numbers(spark):
         if (g, r, c) not in used and near:
             want[g, r, c] = (min(near)[3], dist(r, c))
     assert {(x.grid_id, x.r, x.c): (x.d, x.dist) for x in out.collect()} == want and out.count() == len(want)
+
+
+def test_context_maps_broadcast_no_cells(spark):
+    cells, _ = random_cells(spark)
+    flagged = cells.withColumns({"occ": (F.col("c") % 4 > 0).cast("int"), "head": F.lit(0)})
+    grids = cells.select("grid_id").distinct().withColumns({"rows": F.lit(8), "cols": F.lit(9)})
+    out = context.context_maps(flagged, grids)
+    assert not broadcast_cells(out)
+    assert out.count() == cells.count()
+
+
+def test_export_reads_cells_once(spark):
+    cells, own = random_cells(spark)
+    lasso = cells.where("c < 7").select("grid_id", "r", "c")
+    kept, counts = workspace.sanitise(cells, outlets_of(spark), lasso)
+    for out in (kept, counts):
+        assert not broadcast_cells(out)
+    assert {x.grid_id: x.outside for x in counts.collect()} == {f"g{g}": sum(x[0] == f"g{g}" and x[2] >= 7 for x in own) for g in range(3)}
+
+
+def test_vectors_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(context, "TILE", 3)  # most neighbours lie in other tiles
+    rng = random.Random(6)
+    cells, own = random_cells(spark, grids=2)
+    values = {x[:3]: [float(x[3] == k) for k in (1, 2, 3, 4)] + [rng.random() if rng.random() < 0.95 else None for _ in context.LOCAL] for x in own}
+    far = {x[:3]: [rng.random() for _ in context.GLOBAL] for x in own}
+    names = [*context.LOCAL, *context.GLOBAL]
+    frame = spark.createDataFrame([(*x, *values[x[:3]][4:], *far[x[:3]]) for x in own], "grid_id string, r int, c int, d int, " + ", ".join(f"{n} double" for n in names))
+    grids = cells.select("grid_id").distinct().withColumns({"rows": F.lit(8), "cols": F.lit(9)})
+    out = context.feature_vectors(frame, grids)
+    assert "collect_list" not in plan_of(out)
+    got = {(x.grid_id, x.r, x.c): x.x for x in out.collect()}
+    assert len(got) == out.count() == len(own)
+    for (g, r, c), x in got.items():
+        around = [v for a in range(-2, 3) for b in range(-2, 3) for v in values.get((g, r + a, c + b), [0.0] * 10)]
+        assert x == [*around, r / 7, c / 8, *far[g, r, c]]
+
+
+def test_fates_are_one_pass(spark, monkeypatch):
+    cells, _ = random_cells(spark, grids=6)
+    outlets = spark.createDataFrame([(f"g{g}", 4, 4) for g in range(6)], "grid_id string, r int, c int")
+    out = graph.fates(cells, outlets)
+    assert plan_of(out).count("FlatMapGroupsInArrow") == 1
+    good, passing = {tuple(x) for x in graph.reaching(cells, outlets).collect()}, {(x.grid_id, x.r, x.c): x.passing for x in graph.through_counts(cells, outlets).collect()}
+    rows = sorted(tuple(x) for x in out.collect())
+    assert {x[:3]: x[5] for x in rows} == passing and len(rows) == len(passing)
+    assert {x[:3] for x in rows if x[6]} == good & set(passing) and good
+    coarse = graph.coarsen(cells, (8, 9), (4, 3), outlets)
+    assert all("FlatMapGroupsInArrow" not in plan_of(x) for x in coarse)
+    monkeypatch.setattr(graph, "SMALL", 0)
+    large = graph.fates(cells, outlets)
+    assert large.schema == out.schema and sorted(tuple(x) for x in large.collect()) == rows
+
+
+def test_inspection_is_one_pass(spark, monkeypatch):
+    cells, _ = random_cells(spark, grids=5)
+    grids = cells.select("grid_id").distinct().withColumns({"rows": F.lit(8), "cols": F.lit(9)})
+    out = graph.inspect(cells, grids, outlets_of(spark, 5))
+    assert plan_of(out).count("FlatMapGroupsInArrow") == 1 and plan_of(out).count("Join") == 1  # with the number of outlets
+    rows = sorted(tuple(x) for x in out.collect())
+    monkeypatch.setattr(graph, "SMALL", 0)
+    large = graph.inspect(cells, grids, outlets_of(spark, 5))
+    assert large.columns == out.columns and sorted(tuple(x) for x in large.collect()) == rows and len(rows) == 5
