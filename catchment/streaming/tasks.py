@@ -67,7 +67,7 @@ class Wanted(StatefulProcessor):
         self.state = handle.getValueState("newest", "generation long, closed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()  # each call goes to the state's server: null if there is none
         newest, closed = held if held else (None, False)
         last = None
         for row in sorted(rows, key=lambda r: (r.ts, ORDER.index(r.kind), r.generation is not None, r.generation or 0)):
@@ -79,7 +79,7 @@ class Wanted(StatefulProcessor):
             if row.kind == "result" and not closed:
                 yield Row(task=key[0], ts=row.ts, generation=own, value=row.value)
             closed |= row.kind != "start"
-        if newest is not None:
+        if newest is not None and (newest, closed) != (tuple(held) if held else None):
             self.state.update((newest, closed))
         if self.forget is not None and last is not None:
             for timer in list(self.handle.listTimers()):

@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from catchment.operators import context, correction, graph, masks, reports, workspace
+from catchment.streaming import tasks
 
 
 def plan_of(df):
@@ -175,3 +177,28 @@ def test_inspection_is_one_pass(spark, monkeypatch):
     monkeypatch.setattr(graph, "SMALL", 0)
     large = graph.inspect(cells, grids, outlets_of(spark, 5))
     assert large.columns == out.columns and sorted(tuple(x) for x in large.collect()) == rows and len(rows) == 5
+
+
+class Calls:
+    """A state that tells which calls were made."""
+
+    def __init__(self, held):
+        self.held, self.made = held, []
+
+    def get(self):
+        self.made.append("get")
+        return self.held
+
+    def update(self, value):
+        self.made.append("update")
+        self.held = value
+
+
+def test_wanted_calls_the_state_no_more_than_it_must():
+    row = lambda n, kind, generation: Row(task=7, ts=n, kind=kind, generation=generation, value=str(n))
+    one = tasks.Wanted()
+    one.state = Calls(None)
+    assert [x.value for x in one.handleInputRows((7,), iter([row(1, "start", 3), row(2, "result", 3)]), None)] == ["2"]
+    assert one.state.made == ["get", "update"] and one.state.held == (3, True)
+    one.state = Calls((3, True))  # a stale result changes nothing
+    assert list(one.handleInputRows((7,), iter([row(3, "result", 2)]), None)) == [] and one.state.made == ["get"]
